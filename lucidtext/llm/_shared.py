@@ -49,9 +49,9 @@ def _clean() -> None:
             return
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Limit Arrow batches by bytes, so that long texts don't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

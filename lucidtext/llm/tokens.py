@@ -18,6 +18,7 @@ their texts; null doc_ids stand first. An empty table gives no files and no rows
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,9 +35,11 @@ from ._shared import bound_batches, table, written
 END = 2
 #: A file is closed at so many ids, at the end of the document that reaches it.
 FILE_IDS = 4_000_000
+#: Text bytes encoded at once: ids and offsets take many times as much.
+BATCH_BYTES = 2 << 20
 BLOCK = 512
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,6 +52,7 @@ class WordEncoder:
     """Encodes texts by their distinct words: no token of this vocabulary spans white space."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,8 +66,8 @@ class WordEncoder:
         new = [x for x in own if x not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, own
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(new), 2_000):
+            part = new[k : k + 2_000]
             coded = self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False)
             self.known.update((x, np.array(e.ids, np.uint32)) for x, e in zip(part, coded, strict=True))
         parts = [self.known[x] for x in own]
@@ -191,7 +195,7 @@ FILES = "shard string, n_tokens long, file binary"
 def write_files(docs: DataFrame, path: str, bits: int = 16, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files: shard (in doc_id order), n_tokens, file."""
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -211,7 +215,7 @@ def write_files(docs: DataFrame, path: str, bits: int = 16, file_ids: int = FILE
                 continue
             ids, lengths = encoder(batch.column("text"))
             doc_id = batch.column("doc_id")
-            held.append((ids, doc_id.fill_null(0).to_numpy(), doc_id.is_valid().to_numpy(zero_copy_only=False), lengths))
+            held.append((ids.astype(np.uint16 if bits <= 16 else np.uint32), doc_id.fill_null(0).to_numpy(), doc_id.is_valid().to_numpy(zero_copy_only=False), lengths))
             many += len(ids)
             if many >= file_ids:
                 yield file()
