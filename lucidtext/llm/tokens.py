@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ FILE_IDS = 4_000_000
 #: Text bytes encoded at once: ids and offsets take many times as much.
 BATCH_BYTES = 2 << 20
 BLOCK = 512
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 100_000
+#: Distinct pieces of texts whose ids a worker remembers.
+REMEMBERED = 600_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,40 +50,101 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_KIND = np.full(256, 3, np.uint8)  # 0: white space, 1: letter, 2: a sign that tokens don't join with letters, 3: anything else
+_KIND[list(b" \t\n\v\f\r")] = 0
+_KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
+_KIND[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~")] = 2  # not ', which begins contractions, nor |, which special tokens hold
+
+
+def pieces(texts: pa.Array) -> _words.Words:
+    """Texts cut where no token spans: at white space, and between Latin letters and most ASCII signs.
+
+    The tokenizer folds case, so ASCII letters are folded here already, unless a
+    special token may stand in the texts: those are told by case.
+    """
+    data, at = _words.text_bytes(texts)
+    if b"<|" not in data:
+        data = data.translate(_words.LOWER)
+    raw = np.frombuffer(data, np.uint8)
+    kind = _KIND[raw]
+    pair = np.flatnonzero(raw[:-1] == 0xC3)  # the letters of Latin-1: no composition, no change of length
+    pair = pair[(raw[pair + 1] != 0x97) & (raw[pair + 1] != 0xB7)]
+    kind[pair] = kind[pair + 1] = 1
+    begin = kind > 0
+    # 1 beside 2 is a cut, and so is any white space
+    begin[1:] &= (kind[:-1] == 0) | (kind[1:] ^ kind[:-1] == 3) & (kind[1:] != 0)
+    edges = at[(at > 0) & (at < len(raw))]
+    begin[edges] = kind[edges] > 0
+    start = np.flatnonzero(begin)
+    stop = (kind > 0) & np.concatenate([begin[1:] | (kind[1:] == 0), [True]]) if len(raw) else begin
+    stop[edges - 1] = kind[edges - 1] > 0
+    return _words.Words(len(at) - 1, data, at, start, np.flatnonzero(stop) + 1, np.searchsorted(start, at))
+
+
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# byte-level vocabularies write printable Latin-1 bytes as they are, and the others from U+0100 on
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_SIGNS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 class WordEncoder:
-    """Encodes texts by their distinct words: no token of this vocabulary spans white space."""
+    """Encodes texts by their distinct pieces; a worker remembers pieces that it has met."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.model = self.tokenizer.model
+        self.letters = _LETTERS.fullmatch
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # piece -> its place in flat << 16 | number of ids
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _direct(self, piece: str) -> list[int]:
+        """Ids of a word of Latin letters: past folding and cutting, only the library's merges are left to do."""
+        piece = piece.lower()
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+
+    def _learn(self, new: list[bytes]) -> None:
+        for k in range(0, len(new), 2_000):
+            part = new[k : k + 2_000]
+            texts = [x.decode() for x in part]
+            rest = [x for x in texts if not self.letters(x)]
+            coded = dict(zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+            ids = [coded[x].ids if x in coded else self._direct(x) for x in texts]
+            many = list(map(len, ids))
+            while self.used + sum(many) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            if max(many) >> 16:
+                raise ValueError("a word of more than 65,535 tokens")
+            self.flat[self.used : self.used + sum(many)] = list(chain.from_iterable(ids))
+            starts = np.cumsum([self.used, *many])
+            self.used = int(starts[-1])
+            self.known.update(zip(part, (starts[:-1] << 16 | np.array(many)).tolist(), strict=True))
 
     def __call__(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end`` after each text, and how many each text has."""
-        w = _words.words(texts, _words.NOT_SPACE, lower=False)
+        w = pieces(texts)
         ids, distinct = w.ids()
         own = distinct.to_pylist()
         new = [x for x in own if x not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, own
-        for k in range(0, len(new), 2_000):
-            part = new[k : k + 2_000]
-            coded = self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False)
-            self.known.update((x, np.array(e.ids, np.uint32)) for x, e in zip(part, coded, strict=True))
-        parts = [self.known[x] for x in own]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        begin = np.cumsum(size) - size
-        many = size[ids] if len(ids) else np.zeros(0, np.int64)
+            self._forget()
+            new = own
+        self._learn(new)
+        place = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+        size, begin = place & 0xFFFF, place >> 16
+        many = size[ids]
         ends = np.concatenate([[0], np.cumsum(many)])
         lengths = ends[w.first[1:]] - ends[w.first[:-1]] + 1
-        # each word's ids, moved on by one end id for each text before
-        shift = np.repeat(w.doc(), many)
+        # each piece's ids, moved on by one end id for each text before
         out = np.full(int(lengths.sum()), end, np.uint32)
-        inner = np.arange(len(shift)) - np.repeat(ends[:-1], many)
-        out[np.arange(len(shift)) + shift] = flat[np.repeat(begin[ids], many) + inner] if len(ids) else 0
+        inner = np.arange(ends[-1]) - np.repeat(ends[:-1], many)
+        out[np.arange(ends[-1]) + np.repeat(w.doc(), many)] = self.flat[np.repeat(begin[ids], many) + inner]
         return out, lengths
 
 
