@@ -35,6 +35,8 @@ from ._shared import bound_batches, table, written
 from .urls import host
 
 HASH_BITS = 15
+#: Text bytes counted at once: trigrams take many times as much.
+BATCH_BYTES = 2 << 20
 #: A language beyond this many is an error: the model's size is bounded by it.
 MAX_LANGS = 500
 #: Text log-likelihoods are damped: trigrams of one text are far from independent.
@@ -147,7 +149,7 @@ def _sums(frame: DataFrame, key: str, n: int) -> DataFrame:
 def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, lang, probability, text_lang, declared, suffix, host of each row of ``pages`` (page_id, url, html); ``docs`` has lang and text."""
     spark = pages.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     langs = sorted(r.lang for r in docs.select("lang").where("lang IS NOT NULL").distinct().limit(MAX_LANGS + 1).toLocalIterator())
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")

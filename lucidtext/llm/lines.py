@@ -82,8 +82,8 @@ def _seen(docs: DataFrame) -> DataFrame:
 
 def _bits(leaves: DataFrame) -> np.ndarray:
     """A bit for each frequent leaf: bytes set by partitions and joined by OR, of fixed size."""
-    place = F.shiftrightunsigned("leaf", 64 - TABLE_BITS)
-    words = leaves.select(F.shiftright(place, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    placed = leaves.select(F.shiftrightunsigned("leaf", 64 - TABLE_BITS).alias("place"))
+    words = placed.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, CAST(place & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     got = words.toArrow()  # at most 2 ** (TABLE_BITS - 6) rows
     out = np.zeros(1 << (TABLE_BITS - 6), np.int64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
