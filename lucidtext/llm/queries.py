@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, pii, quality, sharding, tokens, urls
+from . import decontaminate, langid, lines, mixing, neardup, pii, quality, sharding, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": langid.op4_language,
         "op5_tokens": tokens.op5_tokens,
         "op6_urls": urls.op6_urls,
+        "op7_neardup": neardup.op7_neardup,
+        "op8_lines": lines.op8_lines,
         "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
     }
@@ -26,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
         "op6_urls": urls.ORACLE,
+        "op7_neardup": neardup.ORACLE,
     }
