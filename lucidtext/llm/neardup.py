@@ -338,7 +338,8 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = written(classes(table(spark, sf_dir, "documents"), 3, 90), "classes")
-    least = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # written apart from the join, which then can split a class of very many documents
+    least = written(found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")), "least")
     return found.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
@@ -349,7 +350,7 @@ def stage_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     found = written(classes(docs, 5, 80), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    heads = found.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("head"))
+    heads = written(found.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("head")), "heads")
     rest = found.join(heads, "class").where(~order.eqNullSafe(F.col("head"))).select("doc_id", "h")
     rest = written(rest.distinct().select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "rest")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
