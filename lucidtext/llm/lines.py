@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._shared import bound_batches, table, written
 
-DEPTH = 3
+DEPTH = 4
 MIN_TEXTS = 5
 #: Constant tokens that a template needs, and their share of its tokens.
 MIN_CONSTANT, MIN_SHARE = 5, 0.6
@@ -118,7 +118,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:
-    """(lines, templates): the lines to drop as doc_id, h, line; and leaf, template, n_texts of what recurs.
+    """(lines, templates): the lines to drop as doc_id, h, line; and leaf, template (a hash), n_texts, example of what recurs.
 
     ``docs`` has doc_id (long), h (a hash of the text) and text.
     """
@@ -126,14 +126,16 @@ def recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, D
     lines = written(_candidates(docs, _bits(leaves)), "lines")
     lines = lines.join(_few(leaves), "leaf", "left_semi")
     # one row for each distinct line, however many documents have it
-    distinct = written(lines.select("leaf", "masked", "h").distinct().groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("texts")), "distinct")
-    tokens = distinct.select("leaf", "masked", "texts", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    constant = tokens.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).where((F.col("n") >= min_texts) & (F.col("token") != _WILD.decode())).select("leaf", "place", "token", F.lit(True).alias("is_constant"))
-    marked = tokens.join(constant, ["leaf", "place", "token"], "left").select("leaf", "masked", "texts", F.struct("place", F.when(F.col("is_constant"), F.col("token")).otherwise(_WILD.decode()).alias("token")).alias("t"))
-    held = marked.groupBy("leaf", "masked").agg(F.first("texts").alias("texts"), F.sort_array(F.collect_list("t")).alias("ts"), F.count_if(F.col("t.token") != _WILD.decode()).alias("constants"))
-    enough = (F.col("constants") >= MIN_CONSTANT) & (F.col("constants") >= MIN_SHARE * F.size("ts"))
-    templates = written(held.where(enough).select("leaf", "masked", "texts", F.array_join(F.transform("ts", lambda t: t["token"]), " ").alias("template")), "templates")
-    recur = templates.groupBy("leaf", "template").agg(F.sum("texts").alias("n_texts")).where(F.col("n_texts") >= min_texts)
+    distinct = lines.select("leaf", "masked", "h").distinct().groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("texts"))
+    distinct = written(distinct.withColumn("line", F.xxhash64("masked")), "distinct")
+    # tokens travel as hashes; a template is known by the exclusive or of its constant places
+    tokens = distinct.select("leaf", "line", "texts", F.posexplode(F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).alias("place", "token"))
+    constant = tokens.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).where((F.col("n") >= min_texts) & (F.col("token") != F.xxhash64(F.lit(_WILD.decode())))).select("leaf", "place", "token", F.xxhash64("place", "token").alias("mark"))
+    marked = tokens.join(constant, ["leaf", "place", "token"], "left").select("leaf", "line", "mark")
+    held = marked.groupBy("leaf", "line").agg(F.count("mark").alias("constants"), F.count(F.lit(1)).alias("size"), F.bit_xor("mark").alias("template"))
+    held = held.where((F.col("constants") >= MIN_CONSTANT) & (F.col("constants") >= MIN_SHARE * F.col("size"))).select("leaf", "line", "template")
+    templates = written(distinct.join(held, ["leaf", "line"]), "templates")
+    recur = templates.groupBy("leaf", "template").agg(F.sum("texts").alias("n_texts"), F.min("masked").alias("example")).where(F.col("n_texts") >= min_texts)
     drop = templates.join(recur, ["leaf", "template"], "left_semi").select("leaf", "masked")
     return lines.join(_few(drop), ["leaf", "masked"], "left_semi").select("doc_id", "h", "line"), recur
 
