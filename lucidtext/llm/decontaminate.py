@@ -33,6 +33,8 @@ WINDOW = 13
 #: Free positions between two documents of a segment: no phrase spans two.
 GAP = 64
 BLOCK_BYTES = 8 << 20
+#: Text bytes of a segment: larger ones are searched for more documents at once.
+SEGMENT_BYTES = 8 << 20
 #: Postings looked at in one step, which bounds a search's memory.
 STEP = 2_000_000
 
@@ -67,7 +69,7 @@ def _segment(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """One row for each segment; ``docs`` has doc_id and text."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, SEGMENT_BYTES)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
