@@ -96,10 +96,10 @@ def token_arrays(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     schema = StructType.fromJson(from_arrow_type(pa.struct(list(_SENTENCE_TYPE))).jsonValue())
-    cores = spark.sparkContext.defaultParallelism
+    cores = 0 if docs.isStreaming else spark.sparkContext.defaultParallelism
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # a small input in one file would keep one core busy
-    return (texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts).mapInArrow(_annotate, schema)
+    return (texts.repartition(cores) if cores and texts.rdd.getNumPartitions() < cores else texts).mapInArrow(_annotate, schema)
 
 
 def sentences(docs: DataFrame) -> DataFrame:
