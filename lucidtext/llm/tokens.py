@@ -158,7 +158,7 @@ def encode_file(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, lengths
     cur = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     zeros = []
     for b in range(bits - 1, -1, -1):
-        bit = ((cur >> cur.dtype.type(b)) & cur.dtype.type(1)).view(np.uint8).reshape(len(cur), -1)[:, 0].astype(bool)
+        bit = (cur & cur.dtype.type(1 << b)) != 0
         plane = np.packbits(bit, bitorder="little")
         plane = np.concatenate([plane, np.zeros(-len(plane) % (BLOCK // 8), np.uint8)])
         ones = np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
