@@ -351,17 +351,101 @@ def rule_sql(rule: str) -> str:
     return f"WITH {FEATURES_SQL} " + " UNION ALL ".join(parts)
 
 
+_HIT = "struct<tag:string,key:string,message:string,score:int,least:int,w:int,a:int,b:int>"
+
+
+def _candidates(a: Annotated) -> DataFrame:
+    """What rules that look at whole documents need to know of each token, in one pass: tag, key, and what goes with them.
+
+    char: a forbidden character; foreign: a foreign word; abbr: an abbreviation (w = 0) or its definition (w = 1);
+    syn: a word with known synonyms; idiom: a phrase of the sentence; mean: the words of the sentence (w).
+    """
+    known = [(p, m, True) for p, m, d, _ in L.IDIOMS if d >= 0.8] + [(p, m, False) for p, m, d in L.FIGURATIVE if d >= 0.6]
+    phrases = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(m).alias("m"), F.lit(i).alias("i")) for p, m, i in known))
+    joined = F.concat(F.lit(" "), F.array_join(F.transform("ts", lambda t: t["lower"]), " "), F.lit(" "))
+    literal = F.lower("text").rlike("|".join(L.LITERAL_MARKERS))
+    base = a.arrays.withColumns({"s_joined": joined, "s_literal": literal}).select(
+        "doc_id",
+        "sent_no",
+        "start_char",
+        "end_char",
+        F.expr("size(filter(ts, t -> t.kind <> 'p'))").alias("s_words"),
+        F.size(F.filter("ts", lambda t: t["lower"].isin(*(x[0] for x in L.FOREIGN_WORDS)))).alias("s_foreign"),
+        F.size("ts").alias("s_tokens"),
+        F.filter(phrases, lambda x: F.contains(F.col("s_joined"), F.concat(F.lit(" "), x["p"], F.lit(" "))) & ~(x["i"] & F.col("s_literal"))).alias("s_idioms"),
+        F.regexp_extract_all("text", F.lit("\\(([A-ZÄÖÜ][A-ZÄÖÜa-zäöüß0-9-]{1,8})\\)"), F.lit(1)).alias("s_defined"),
+        F.inline("ts"),
+    )
+    lexicon = F.create_map(*(x for w, p, d, c in L.FOREIGN_WORDS for x in (F.lit(w), F.struct(F.lit(p).alias("plain"), F.lit(round(d * 10)).alias("difficulty"), F.lit(c).alias("category")))))
+    base = base.withColumn("lx", F.when(F.col("kind") == "w", F.try_element_at(lexicon, F.col("lower"))))
+    score = F.expr("lx.difficulty + (CASE WHEN s_words > 15 THEN 2 ELSE 0 END) + (CASE WHEN s_foreign / s_tokens > 0.2 THEN 3 ELSE 0 END)")
+    allowed = L.ALLOWED_MARKS + L.ALLOWED_QUOTES + L.TECHNICAL + ","
+    word = F.col("kind") == "w"
+    ordinary = ~F.col("lower").isin(*L.COMMON_WORDS)
+
+    def hit(tag, key, message=None, sc=None, least=0, w=None, at="t_start", to="t_end"):
+        return F.struct(F.lit(tag).alias("tag"), key.alias("key"), (message if message is not None else F.lit(None).cast("string")).alias("message"), (sc if sc is not None else F.lit(0)).cast("int").alias("score"), F.lit(least).alias("least"), (w if w is not None else F.lit(0)).cast("int").alias("w"), F.col(at).alias("a"), F.col(to).alias("b"))
+
+    hits = F.array_compact(
+        F.array(
+            F.when((F.col("kind") == "p") & ~F.col("text").isin(*allowed) & ~F.col("text").rlike(r"^[\p{N}\p{M}]"), hit("char", F.col("text"))),
+            F.when(F.col("lx").isNotNull() & ordinary, hit("foreign", F.col("lower"), F.concat(F.lit('Fremdwort "'), "text", F.lit('" (Kategorie: '), "lx.category", F.lit(", Priorität: "), F.when(score >= 9, "hoch").otherwise("mittel"), F.lit('). Einfacher: "'), "lx.plain", F.lit('".')), score, 7)),
+            F.when(word & F.col("lx").isNull() & ordinary & (F.length("lower") >= 4) & (F.expr(spark_sql(foreign_score())) >= 8), hit("foreign", F.col("lower"), F.concat(F.lit('Mögliches Fremdwort "'), "text", F.lit('" (Score '), F.expr(spark_sql(foreign_score())), F.lit(").")), F.expr(spark_sql(foreign_score())), 8)),
+            F.when(word & F.col("text").isin(*L.TITLE_ABBREVIATIONS) & (F.col("next1") == "."), hit("abbr", F.col("lower"))),
+            F.when(word & F.col("lower").isin(*{x for w, _, ss in L.SYNONYMS for x in (w, *ss)}), hit("syn", F.col("lower"))),
+            F.when(F.col("i") == 0, hit("mean", F.lit(""), w=F.col("s_words"))),
+        )
+    )
+    of_sentence = F.when(
+        F.col("i") == 0,
+        F.concat(
+            F.transform("s_idioms", lambda x: hit("idiom", x["p"], F.concat(F.when(x["i"], F.lit('Redewendung "')).otherwise(F.lit('Bildhafter Ausdruck "')), x["p"], F.lit('". Wörtlich: "'), x["m"], F.lit('".')), at="start_char", to="end_char")),
+            F.transform("s_defined", lambda x: hit("abbr", F.lower(x), w=F.lit(1))),
+        ),
+    ).otherwise(F.array().cast(f"array<{_HIT}>"))
+    return base.select("doc_id", "sent_no", "text", F.explode(F.concat(hits, of_sentence)).alias("h")).select("doc_id", "sent_no", "text", "h.*")
+
+
+def _document_rules(a: Annotated) -> DataFrame:
+    """Violations that need a whole document: first occurrences, counts, pairs. Keys are grouped before documents are."""
+    at = F.struct("a", "b", "sent_no", "text", "message", "score", "least")
+    place = F.struct("sent_no", "a", "b", "text")
+    keys = _candidates(a).groupBy("doc_id", "tag", "key").agg(F.min(at).alias("f"), F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.collect_list(F.when((F.col("tag") == "abbr") & (F.col("w") == 0), place)).alias("all"))
+
+    def row(rule, term, message, sent_no="f.sent_no", start="f.a", end="f.b"):
+        return F.struct(F.lit(rule).alias("rule"), F.col(sent_no).cast("int").alias("sent_no"), F.col(start).cast("int").alias("t_start"), F.col(end).cast("int").alias("t_end"), term.alias("term"), message.alias("message"))
+
+    tag = lambda t: F.col("tag") == t
+    none = F.struct(F.lit("satzlaenge").alias("rule"), *(F.lit(None).cast("int").alias(c) for c in ("sent_no", "t_start", "t_end")), F.lit("").alias("term"), F.concat(F.lit("Durchschnittliche Satzlänge ist zu hoch: "), "w", F.lit(" Wörter in "), "n", F.lit(" Sätzen.")).alias("message"))
+    single = F.array_compact(
+        F.array(
+            F.when(tag("char"), row("interpunktion", F.col("key"), F.concat(F.lit('Zeichen "'), "key", F.lit('" gefunden ('), "n", F.lit(" Mal).")))),
+            F.when(tag("foreign") & (F.col("f.score") >= F.col("f.least")), row("fremdwoerter", F.col("f.text"), F.col("f.message"))),
+            F.when(tag("idiom"), row("redewendungen", F.col("key"), F.col("f.message"))),
+            F.when(tag("mean") & (F.col("w") > 10 * F.col("n")), none),
+        )
+    )
+    short = lambda x: F.struct(F.lit("abkuerzungen").alias("rule"), x["sent_no"].alias("sent_no"), x["a"].alias("t_start"), x["b"].alias("t_end"), x["text"].alias("term"), F.concat(F.lit('Abkürzung erkannt: "'), x["text"], F.lit('." Schreiben Sie die Abkürzung aus.')).alias("message"))
+    kind = "array<struct<rule:string,sent_no:int,t_start:int,t_end:int,term:string,message:string>>"
+    found = F.concat(single.cast(kind), F.when(tag("abbr") & (F.col("w") == 0), F.transform("all", short)).otherwise(F.array()).cast(kind))
+    per = keys.select("doc_id", found.alias("found"), F.when(tag("syn"), F.struct("key", "f.sent_no", "f.a", "f.b")).alias("syn")).where("size(found) > 0 OR syn IS NOT NULL")
+    docs = per.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"), F.map_from_entries(F.collect_list(F.when(F.col("syn").isNotNull(), F.struct("syn.key", "syn")))).alias("syn"))
+    pairs = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(r).alias("r"), F.lit(s).alias("s")) for w, r, ss in L.SYNONYMS for s in ss))
+    both = F.filter(pairs, lambda p: F.map_contains_key("syn", p["w"]) & F.map_contains_key("syn", p["s"]))
+    alike = F.transform(both, lambda p: F.struct(F.lit("synonyme").alias("rule"), F.try_element_at("syn", p["w"])["sent_no"].alias("sent_no"), F.try_element_at("syn", p["w"])["a"].alias("t_start"), F.try_element_at("syn", p["w"])["b"].alias("t_end"), p["w"].alias("term"), F.concat(F.lit('Synonyme "'), p["w"], F.lit('" und "'), p["s"], F.lit('". Besser: "'), p["r"], F.lit('".')).alias("message")))
+    return docs.select("doc_id", F.inline(F.concat("found", alike.cast(kind))))
+
+
 def violations(a: Annotated) -> DataFrame:
-    """The union of all rules. Token and sentence declarations of all rules share one pass each."""
+    """The union of all rules in four scans: declarations over tokens, declarations over sentences, what needs whole documents, and marks in the bare text."""
     tokens = F.array(*(F.when(F.expr(spark_sql(p)), F.struct(F.lit(r).alias("rule"), F.expr(spark_sql(m)).alias("message"))) for r, p, m in TOKEN_RULES))
     t = a.tokens.withColumn("hit", F.explode(F.array_compact(tokens))).select("doc_id", "hit.rule", "sent_no", "t_start", "t_end", F.col("text").alias("term"), "hit.message")
     s = sentence_features(a)
-    sents = F.array(*(F.when(F.expr(spark_sql(p)), F.struct(F.lit(r).alias("rule"), F.expr(spark_sql(m)).alias("message"))) for r, p, m in SENTENCE_RULES))
-    out = t.unionByName(s.withColumn("hit", F.explode(F.array_compact(sents))).select("doc_id", "hit.rule", "sent_no", F.col("start_char").alias("t_start"), F.col("end_char").alias("t_end"), T.strip(F.col("text")).alias("term"), "hit.message"))
-    for plans in _OWN.values():
-        for plan, _ in plans:
-            out = out.unionByName(plan(a))
-    return out
+    term = T.strip(F.col("text"))
+    sents = F.array_compact(F.array(*(F.when(F.expr(spark_sql(p)), F.struct(F.lit(r).alias("rule"), term.alias("term"), F.expr(spark_sql(m)).alias("message"))) for r, p, m in SENTENCE_RULES)))
+    runs = F.transform(F.regexp_extract_all("long_flags", F.lit("1{2,}"), F.lit(0)), lambda x: F.struct(F.lit("kurze_woerter").alias("rule"), F.lit("").alias("term"), F.concat(F.lit("Sequenz von "), F.length(x), F.lit(" langen Wörtern hintereinander.")).alias("message")))
+    of_sentences = s.withColumn("hit", F.explode(F.concat(sents, runs))).select("doc_id", "hit.rule", "sent_no", F.col("start_char").alias("t_start"), F.col("end_char").alias("t_end"), "hit.term", "hit.message")
+    return t.unionByName(of_sentences).unionByName(_document_rules(a)).unionByName(repeated_marks(a))
 
 
 def violations_sql() -> str:
