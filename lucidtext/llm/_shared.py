@@ -10,7 +10,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes handed to a Python worker at once; a longer row comes alone.
 BATCH_BYTES = 4 << 20
@@ -54,5 +55,15 @@ def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+#: Up to so many values are sent to all executors; more are joined by shuffle.
+SENT_VALUES = 1_000_000
+
+
+def few(df: DataFrame, weight: Column | int = 2) -> DataFrame:
+    """``df`` to be sent to all executors if it holds few enough values of fixed size; ``weight``: those of a row."""
+    total = df.agg(F.sum(weight if isinstance(weight, Column) else F.lit(weight))).first()[0] or 0
+    return F.broadcast(df) if total <= SENT_VALUES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from . import _words
-from ._shared import bound_batches, table, written
+from ._shared import bound_batches, few, table, written
 from .urls import host
 
 HASH_BITS = 15
@@ -167,7 +167,7 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     world = np.array([x or 0.0 for x in f.agg(*(F.sum(F.col("post")[i]) for i in range(n))).first()])
     joined = f
     for key in ("host", "domain", "declared", "suffix"):
-        joined = joined.join(_sums(f, key, n), key)
+        joined = joined.join(few(written(_sums(f, key, n), key), n + 4), key)
     fused = _fusion(langs, world)("scores", "post", "of_host", "of_domain", "of_declared", "of_suffix")
     return joined.withColumn("r", fused).select("page_id", "r.*", "declared", "suffix", "host")
 

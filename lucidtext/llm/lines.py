@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bound_batches, table, written
+from ._shared import bound_batches, few, table, written
 
 DEPTH = 4
 MIN_TEXTS = 5
@@ -38,8 +38,6 @@ MIN_TEXTS = 5
 MIN_CONSTANT, MIN_SHARE = 5, 0.6
 #: The bit table's size doesn't depend on the corpus: 8 MB. When it fills up, more lines are left to the join.
 TABLE_BITS = 26
-#: Up to so many rows are sent to all executors; more are joined by shuffle.
-SENT_ROWS = 500_000
 
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _DIGIT = re.compile(rb"[0-9]")
@@ -113,10 +111,6 @@ def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return docs.mapInArrow(candidates, LINES)
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
-
-
 def recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:
     """(lines, templates): the lines to drop as doc_id, h, line; and leaf, template (a hash), n_texts, example of what recurs.
 
@@ -124,7 +118,7 @@ def recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, D
     """
     leaves = written(_seen(docs).groupBy("leaf").agg(F.countDistinct("h").alias("texts")).where(F.col("texts") >= min_texts).select("leaf"), "leaves")
     lines = written(_candidates(docs, _bits(leaves)), "lines")
-    lines = lines.join(_few(leaves), "leaf", "left_semi")
+    lines = lines.join(few(leaves), "leaf", "left_semi")
     # one row for each distinct line, however many documents have it
     distinct = lines.select("leaf", "masked", "h").distinct().groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("texts"))
     distinct = written(distinct.withColumn("line", F.xxhash64("masked")), "distinct")
@@ -136,14 +130,14 @@ def recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, D
     held = held.where((F.col("constants") >= MIN_CONSTANT) & (F.col("constants") >= MIN_SHARE * F.col("size"))).select("leaf", "line", "template")
     templates = written(distinct.join(held, ["leaf", "line"]), "templates")
     recur = templates.groupBy("leaf", "template").agg(F.sum("texts").alias("n_texts"), F.min("masked").alias("example")).where(F.col("n_texts") >= min_texts)
-    drop = templates.join(recur, ["leaf", "template"], "left_semi").select("leaf", "masked")
-    return lines.join(_few(drop), ["leaf", "masked"], "left_semi").select("doc_id", "h", "line"), recur
+    drop = templates.join(recur, ["leaf", "template"], "left_semi").select("leaf", F.col("line").alias("hash"))
+    return lines.withColumn("hash", F.xxhash64("masked")).join(few(drop), ["leaf", "hash"], "left_semi").select("doc_id", "h", "line"), recur
 
 
 def without_lines(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """``docs`` (doc_id, h, text) with n_lines, n_dropped and the text that is left."""
     lists = written(drop.distinct().groupBy("doc_id", "h").agg(F.collect_set("line").alias("drop")).withColumnsRenamed({"doc_id": "_id", "h": "_h"}), "drop")
-    joined = docs.join(_few(lists), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    joined = docs.join(few(lists, F.size("drop") + 2), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     all_lines = F.split(F.col("text"), "\n", -1)
     gone = F.coalesce("drop", F.array().cast("array<int>"))
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))

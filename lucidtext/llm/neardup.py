@@ -40,15 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from . import _words
-from ._shared import bound_batches, table, written
+from ._shared import bound_batches, few, table, written
 from .components import components
 
 #: Members of a bucket that are compared in one task at most, twice over.
 TILE = 1000
 #: Fine sketches have so many bits for each token of the longest set of the band.
 FINE = 4
-#: Up to so many keys are sent to all executors; more are joined by shuffle.
-SENT_KEYS = 500_000
 
 
 class Bands:
@@ -276,11 +274,6 @@ def _cross_pairs(percent: int):
     return cross
 
 
-def _some(rows: DataFrame, keys: DataFrame, how: str, on) -> DataFrame:
-    """Semi- or anti-join with keys, sent to all executors only if they are few."""
-    return rows.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, on, how)
-
-
 def _of(df: DataFrame, name: str, end: str) -> DataFrame:
     return df.select(*(F.col(c).alias(name if c == "node" else c + end) for c in df.columns))
 
@@ -289,7 +282,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, perce
     """Those of the pairs (a, b: nodes) whose shingle sets link. ``reps``: a document of each node."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(reps.join(nodes, "node").select(F.col("doc_id").alias("rep_id"), F.col("h").alias("rep_h")), "reps")
-    texts = _some(docs, wanted, "left_semi", F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h")))
+    texts = docs.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h")), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,13 +348,13 @@ def stage_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rest = written(rest.distinct().select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "rest")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
     row = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    kept = _some(row, rest, "left_anti", same)
+    kept = row.join(few(rest), same, "left_anti")
     again = found.where("class IS NOT NULL").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     again = written(again, "again")
     if not again.isEmpty():
-        several = _some(kept, again, "left_semi", same)
+        several = kept.join(few(again), same, "left_semi")
         one = several.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))).where("_rank = 1")
-        kept = _some(kept, again, "left_anti", same).select("_row").unionByName(one.select("_row"))
+        kept = kept.join(few(again), same, "left_anti").select("_row").unionByName(one.select("_row"))
     return kept.select("_row.*")
 
 
