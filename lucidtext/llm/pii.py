@@ -14,7 +14,6 @@ Offsets are code points, ends exclusive. Rows that repeat give the same result e
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa

@@ -1,6 +1,5 @@
 """Corpus operators against brute force, round trips and edge inputs."""
 
-import hashlib
 import random
 import re
 import zlib
