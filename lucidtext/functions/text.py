@@ -81,11 +81,3 @@ def problematic_text(message: Column) -> Column:
 
 def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
-
-
-def one_decimal(x: Column) -> Column:
-    return F.format_string("%.1f", x)
-
-
-def is_one_of(word: Column, words: Iterable[str]) -> Column:
-    return word.isin(*words)

@@ -169,10 +169,6 @@ FEATURES_SQL = (
 )
 
 
-def _token_rule(a: Annotated, rule: str, predicate: str, message: str) -> DataFrame:
-    return a.tokens.where(spark_sql(predicate)).select("doc_id", F.lit(rule).alias("rule"), "sent_no", "t_start", "t_end", F.col("text").alias("term"), F.expr(spark_sql(message)).alias("message"))
-
-
 def _sentence_rule(s: DataFrame, rule: str, predicate: str, message: str) -> DataFrame:
     return s.where(spark_sql(predicate)).select("doc_id", F.lit(rule).alias("rule"), "sent_no", F.col("start_char").alias("t_start"), F.col("end_char").alias("t_end"), T.strip(F.col("text")).alias("term"), F.expr(spark_sql(message)).alias("message"))
 

@@ -19,7 +19,6 @@ FIXTURES = Inline(
         ("d", "#expected:  FLAG  \n# length: short\n# category: recht\nText mit # Zeichen."),
     ],
 )
-_HEADER = r"(?m)^#.*$"
 
 
 @query(
