@@ -15,12 +15,13 @@ With set sizes a <= b that means a symmetric difference of at most
 3. A finer sketch, one parity bit a token, lower-bounds the symmetric difference again and
    rejects most candidates; shingle sets decide about the others.
 4. First each bucket's least node is compared with its others. What that links shares a
-   label. Then, in each bucket that still holds several labels, all pairs of different
-   labels are compared by sketch, in tiles of bounded size, and the set check decides.
-   A pair within one label needs no check: it can't change the components.
+   label. Buckets that still hold several labels are compared by sketch in tiles of
+   bounded size: first, the nearest pairs that join a tile's labels are checked, no more
+   than it has labels; then all pairs of labels that are still different. A pair within
+   one label needs no check: it can't change the components.
 
-Nothing quadratic leaves a task: star pairs are as many as bucket rows, and tiles emit only
-pairs whose sketches come near enough.
+Nothing quadratic leaves a task but pairs whose sketches come near enough and whose sets
+then turn out not to link; each of these leaves once.
 
 Documents with no words (null, empty) have no shingles and are linked with nothing. Fewer
 words than a shingle has make one shingle. Null doc_ids take part and come last when a
@@ -247,15 +248,40 @@ def _linked(percent: int):
     return linked
 
 
-def _cross_pairs(percent: int):
-    """mapInArrow function: tiles of a bucket -> pairs of different labels whose sketches come near enough."""
+def _forest(la: np.ndarray, lb: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which pairs, the nearest first, join labels that the pairs before them leave apart."""
+    order = np.lexsort([far, lb, la])
+    first = np.concatenate([[True], (np.diff(la[order]) != 0) | (np.diff(lb[order]) != 0)])
+    order = order[first]  # the nearest pair of each two labels
+    order = order[np.argsort(far[order], kind="stable")]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    out = []
+    for k, x, y in zip(order.tolist(), la[order].tolist(), lb[order].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def _cross_pairs(percent: int, forest: bool):
+    """mapInArrow function: tiles of a bucket -> pairs of different labels whose sketches come near enough.
+
+    forest: no more of them than join the labels; else all, each in the least of the buckets that its nodes share.
+    """
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bands(percent)
         for batch in batches:
             for row in batch.to_pylist():
                 # all members are in the band of the key's lowest bit: there is one sketch of each
-                m = [(x["tile"], x["node"], x["label"], x["n"], x["own"] if (b.band(x["n"]) ^ row["key"]) & 1 == 0 else x["low"]) for x in row["members"]]
+                m = [(x["tile"], x["node"], x["label"], x["n"], x["own"] if (b.band(x["n"]) ^ row["key"]) & 1 == 0 else x["low"], x["keys"]) for x in row["members"]]
                 m = [x for x in m if x[4] is not None]
                 if len(m) < 2 or len({len(x[4]) for x in m}) > 1:
                     continue
@@ -265,11 +291,20 @@ def _cross_pairs(percent: int):
                 for i in range(len(m) - 1):
                     j = np.arange(i + 1, len(m))
                     j = j[(label[j] != label[i]) & ((tile[j] != tile[i]) | (row["ti"] == row["tj"])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
-                    j = j[_apart(sketch[j], sketch[i]) <= (n[i] + n[j]) * (100 - percent) // (100 + percent)]
-                    pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-                found = np.concatenate(pairs, axis=1)
-                if found.shape[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+                    apart = _apart(sketch[j], sketch[i])
+                    near = apart <= (n[i] + n[j]) * (100 - percent) // (100 + percent)
+                    pairs.append(np.stack([np.full(near.sum(), i), j[near], apart[near]]))
+                i, j, apart = np.concatenate(pairs, axis=1)
+                if not len(i):
+                    continue
+                if forest:
+                    kept = _forest(np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), apart)
+                else:
+                    keys = [set(x[5]) for x in m]
+                    kept = np.array([k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if min(keys[x] & keys[y]) == row["key"]], np.int64)
+                if len(kept):
+                    x, y = node[i[kept]], node[j[kept]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return cross
 
@@ -295,6 +330,21 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, perce
     return both.where(_linked(percent)("tokens_a", "tokens_b")).select("a", "b")
 
 
+def _crossing(buckets: DataFrame, near: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Candidate pairs a, b of different labels in buckets that hold several. The least node of a bucket has met all others already."""
+    named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    open_keys = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("sig")).where("size > 1 AND l1 <> l2")
+    # buckets with the same members in the same band are compared once
+    open_keys = open_keys.groupBy("size", "sig", F.expr("key & 1")).agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    members = written(named.join(open_keys, "key"), "members")
+    # at most as many keys as a set has sketch words
+    keys = members.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    members = members.join(written(near.join(keys, "node"), "near"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiled = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), F.struct("tile", "node", "label", "n", "own", "low", "keys").alias("m"))
+    tiles = tiled.groupBy("key", "ti", "tj").agg(F.collect_list("m").alias("members"))
+    return written(tiles.mapInArrow(_cross_pairs(percent, forest), "a long, b long").distinct(), "crossing")
+
+
 def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, h (xxhash64 of the text), n (size of the shingle set), node, class of each document; the class of linked documents is equal.
 
@@ -316,16 +366,13 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     links = written(_confirmed(stars, docs, reps, k, percent), "links")
     labels = written(components(links, "a", "b"), "labels")
 
-    named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    open_keys = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("sig")).where("size > 1 AND l1 <> l2")
-    # buckets with the same members in the same band are compared once
-    open_keys = open_keys.groupBy("size", "sig", F.expr("key & 1")).agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    members = written(named.join(open_keys, "key"), "members").join(near, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiled = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), F.struct("tile", "node", "label", "n", "own", "low").alias("m"))
-    tiles = tiled.groupBy("key", "ti", "tj").agg(F.collect_list("m").alias("members"))
-    crossing = written(tiles.mapInArrow(_cross_pairs(percent), "a long, b long").distinct(), "crossing")
-    more = _confirmed(crossing, docs, reps, k, percent)
-    final = components(written(links.unionByName(more), "links"), "a", "b").withColumnRenamed("component", "class")
+    # a spanning forest of each bucket's labels joins most of them; all pairs of those left are few
+    for forest in (True, False):
+        crossing = _crossing(buckets, near, labels, percent, forest)
+        if not crossing.isEmpty():
+            links = written(links.unionByName(_confirmed(crossing, docs, reps, k, percent)), "links")
+            labels = written(components(links, "a", "b"), "labels")
+    final = labels.withColumnRenamed("component", "class")
     return sketched.select("doc_id", "h", "n", "node").join(final, "node", "left").select("doc_id", "h", "n", "node", F.coalesce("class", "node").alias("class"))
 
 
