@@ -21,7 +21,7 @@ With set sizes a <= b that means a symmetric difference of at most
    one label needs no check: it can't change the components.
 
 Nothing quadratic leaves a task but pairs whose sketches come near enough and whose sets
-then turn out not to link; each of these leaves once.
+then turn out not to link.
 
 Documents with no words (null, empty) have no shingles and are linked with nothing. Fewer
 words than a shingle has make one shingle. Null doc_ids take part and come last when a
@@ -273,7 +273,7 @@ def _forest(la: np.ndarray, lb: np.ndarray, far: np.ndarray) -> np.ndarray:
 def _cross_pairs(percent: int, forest: bool):
     """mapInArrow function: tiles of a bucket -> pairs of different labels whose sketches come near enough.
 
-    forest: no more of them than join the labels; else all, each in the least of the buckets that its nodes share.
+    forest: no more of them than join the labels; else all.
     """
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +281,7 @@ def _cross_pairs(percent: int, forest: bool):
         for batch in batches:
             for row in batch.to_pylist():
                 # all members are in the band of the key's lowest bit: there is one sketch of each
-                m = [(x["tile"], x["node"], x["label"], x["n"], x["own"] if (b.band(x["n"]) ^ row["key"]) & 1 == 0 else x["low"], x["keys"]) for x in row["members"]]
+                m = [(x["tile"], x["node"], x["label"], x["n"], x["own"] if (b.band(x["n"]) ^ row["key"]) & 1 == 0 else x["low"]) for x in row["members"]]
                 m = [x for x in m if x[4] is not None]
                 if len(m) < 2 or len({len(x[4]) for x in m}) > 1:
                     continue
@@ -297,11 +297,7 @@ def _cross_pairs(percent: int, forest: bool):
                 i, j, apart = np.concatenate(pairs, axis=1)
                 if not len(i):
                     continue
-                if forest:
-                    kept = _forest(np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), apart)
-                else:
-                    keys = [set(x[5]) for x in m]
-                    kept = np.array([k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if min(keys[x] & keys[y]) == row["key"]], np.int64)
+                kept = _forest(np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), apart) if forest else np.arange(len(i))
                 if len(kept):
                     x, y = node[i[kept]], node[j[kept]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -337,10 +333,8 @@ def _crossing(buckets: DataFrame, near: DataFrame, labels: DataFrame, percent: i
     # buckets with the same members in the same band are compared once
     open_keys = open_keys.groupBy("size", "sig", F.expr("key & 1")).agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     members = written(named.join(open_keys, "key"), "members")
-    # at most as many keys as a set has sketch words
-    keys = members.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    members = members.join(written(near.join(keys, "node"), "near"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiled = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), F.struct("tile", "node", "label", "n", "own", "low", "keys").alias("m"))
+    members = members.join(near, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiled = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), F.struct("tile", "node", "label", "n", "own", "low").alias("m"))
     tiles = tiled.groupBy("key", "ti", "tj").agg(F.collect_list("m").alias("members"))
     return written(tiles.mapInArrow(_cross_pairs(percent, forest), "a long, b long").distinct(), "crossing")
 
