@@ -40,8 +40,9 @@ FILE_IDS = 4_000_000
 #: Text bytes encoded at once: ids and offsets take many times as much.
 BATCH_BYTES = 2 << 20
 BLOCK = 512
-#: Distinct pieces of texts whose ids a worker remembers.
+#: Distinct pieces of texts whose ids a worker remembers, and the bytes and ids it remembers before it begins anew.
 REMEMBERED = 600_000
+REMEMBERED_SIZE = 32 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -100,9 +101,10 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}  # piece -> its place in flat << 16 | number of ids
+        self.known: dict[bytes, int] = {}  # piece -> its place in flat << 32 | number of ids
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
+        self.held = 0  # bytes of the pieces in known
 
     def _direct(self, piece: str) -> list[int]:
         """Ids of a word of Latin letters: past folding and cutting, only the library's merges are left to do."""
@@ -119,12 +121,11 @@ class WordEncoder:
             many = list(map(len, ids))
             while self.used + sum(many) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if max(many) >> 16:
-                raise ValueError("a word of more than 65,535 tokens")
             self.flat[self.used : self.used + sum(many)] = list(chain.from_iterable(ids))
             starts = np.cumsum([self.used, *many])
             self.used = int(starts[-1])
-            self.known.update(zip(part, (starts[:-1] << 16 | np.array(many)).tolist(), strict=True))
+            self.held += sum(map(len, part))
+            self.known.update(zip(part, (starts[:-1] << 32 | np.array(many)).tolist(), strict=True))
 
     def __call__(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end`` after each text, and how many each text has."""
@@ -132,12 +133,12 @@ class WordEncoder:
         ids, distinct = w.ids()
         own = distinct.to_pylist()
         new = [x for x in own if x not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > REMEMBERED or self.held + self.used > REMEMBERED_SIZE:
             self._forget()
             new = own
         self._learn(new)
         place = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
-        size, begin = place & 0xFFFF, place >> 16
+        size, begin = place & 0xFFFFFFFF, place >> 32
         many = size[ids]
         ends = np.concatenate([[0], np.cumsum(many)])
         lengths = ends[w.first[1:]] - ends[w.first[:-1]] + 1

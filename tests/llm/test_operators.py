@@ -220,6 +220,18 @@ def test_encoder_on_odd_texts():
         assert [list(x) for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
 
 
+def test_texts_without_white_space_have_no_longest():
+    from tokenizers import Tokenizer
+
+    t, e, rng = Tokenizer.from_file(tokens.tokenizer_path()), tokens.WordEncoder(tokens.tokenizer_path()), random.Random(4)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200_000)), "7" * 200_000, "a1b2" * 50_000, "x" * 200_000, "🙂" * 200_000]
+    for x in [*texts, texts[0]]:
+        ids, lengths = e(pa.array([x, "and so on"], pa.string()))
+        want = [[*t.encode(y, add_special_tokens=False).ids, 2] for y in (x, "and so on")]
+        assert lengths.tolist() == list(map(len, want)) and ids.tolist() == want[0] + want[1]
+    assert max(map(len, e.known)) > 1 << 16
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 511, 512, 513, 3000])
 def test_wavelet_matrix(n):
     rng = np.random.default_rng(n)
