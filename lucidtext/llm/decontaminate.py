@@ -238,14 +238,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contract's rule doesn't call contaminated; columns stay.
+    """Rows that the contract's rule doesn't call contaminated; columns stay.
 
-    Null doc_ids count as one document: all such rows go if one is contaminated.
+    A row goes by its own text: the index knows it by a hash of doc_id and text, so rows
+    that share a doc_id, or have none, don't go with a contaminated one.
     """
-    index = written(build_index(docs), "index")
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    index = written(build_index(docs.select(key.alias("doc_id"), "text")), "index")
     bad = search(index, table(spark, sf_dir, "benchmark")).where(contaminated()).select("doc_id").distinct()
     d, b = docs.alias("d"), bad.alias("b")
-    return d.join(b, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti")
+    return d.join(b, F.xxhash64(F.col("d.doc_id").cast("long"), F.col("d.text")) == F.col("b.doc_id"), "left_anti")
 
 
 #: The same rows by word strings: windows of the items against windows of the documents.

@@ -106,6 +106,14 @@ def test_decontamination_of_nothing(spark, docs, none):
     assert decontaminate.search(decontaminate.build_index(none), bench).count() == 0
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(20))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, passage), (None, "clean one"), (None, "clean two"), (None, None), (5, passage), (5, "clean"), (5, "clean"), (6, passage), (7, "clean")]
+    got = decontaminate.stage_decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert Counter(map(tuple, got.collect())) == Counter(r for r in rows if r[1] != passage)
+
+
 # --- mixing
 
 
