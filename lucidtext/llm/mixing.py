@@ -9,7 +9,10 @@ The words a source takes in total thus stay put, but for the one document left l
 it is rounded to the nearer side, and settled documents are turned to make that good.
 
 The trades run in a reduction tree: cells of about ``FAN`` documents by hash, then
-cells of about ``FAN`` leftovers, and so on, so that no task sees a whole source.
+cells of about ``FAN`` leftovers, and so on, so that no task sees a whole source. A
+source ends at the level where it has one cell. Each cell sends some settled documents
+up with its leftover, so that about ``FAN`` of a source that are taken once more, and as many
+that aren't, are at hand there.
 Chance comes from hashes of the documents, so reruns agree.
 
 Null and empty texts have no words: they take none. A null source is a source. Rows
@@ -78,7 +81,7 @@ _TRADE = f"""aggregate(array_sort(units),
 
 
 #: The last leftover goes to its nearer side; what that adds or takes off in words is made good by
-#: turning settled documents of the last cell, from the longest that fits on down.
+#: turning the settled documents at hand, from the longest that fits on down.
 _LAST = f"""aggregate(reverse(array_sort(transform(done, u -> named_struct('size', u.size, 'k', u.k, 'unit', u)))),
   named_struct('e', (round(cur.p) - cur.p) * cur.size, 'done', array({_unit('cur', 'round(cur.p)')})),
   (acc, x) -> CASE
@@ -103,19 +106,24 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
     # cells of the lowest level; each level above has FAN times fewer
     cells = F.ceil(F.col("n_docs") / FAN)
     unit = F.struct("k", "doc_id", "size", "whole", "p")
-    at = rated.where(~still).select("source", F.pmod("k", cells).alias("cell"), unit.alias("unit"))
+    at = rated.where(~still).select("source", cells.alias("cells"), F.pmod("k", cells).alias("cell"), unit.alias("unit"), F.expr(f"CAST(array() AS array<{_UNIT}>)").alias("spare"))
     done = [rated.where(still).select("source", "doc_id", "size", F.col("whole").alias("copies"))]
     left = most or 0
-    while True:
+    while left:
         left = -(-left // FAN)
-        cell = at.groupBy("source", "cell").agg(F.collect_list("unit").alias("units")).select("source", "cell", F.expr(_TRADE).alias("r"))
-        cell = written(cell.select("source", "cell", "r.cur", "r.done"), "trades")
-        last = left <= 1
-        settled = cell.select("source", F.explode(F.expr(_LAST) if last else F.col("done")).alias("u"))
+        cell = at.groupBy("source", "cells", "cell").agg(F.collect_list("unit").alias("units"), F.flatten(F.collect_list("spare")).alias("spare"))
+        cell = cell.select("source", "cells", "cell", "spare", F.expr(_TRADE).alias("r"))
+        # documents first, leftovers of lower levels after them: these tend to be long
+        cell = written(cell.select("source", "cells", "cell", "r.cur", F.concat("spare", "r.done").alias("done")), "trades")
+        each = F.greatest(F.lit(1), F.floor(F.lit(FAN) / F.col("cells"))).cast("int")
+        sides = [F.filter("done", lambda u: u["p"] < 0.5), F.filter("done", lambda u: u["p"] >= 0.5)]
+        spare = F.concat(*(F.slice(x, F.lit(1), each) for x in sides))
+        units = F.when(F.col("cells") <= 1, F.expr(_LAST)).otherwise(F.concat(*(F.slice(x, each + 1, F.size("done")) for x in sides)))
+        settled = cell.select("source", F.explode(units).alias("u"))
         done.append(settled.select("source", "u.doc_id", "u.size", (F.col("u.whole") + F.round("u.p")).cast("long").alias("copies")))
-        if last:
+        if left <= 1:
             break
-        at = cell.select("source", F.floor(F.col("cell") / FAN).alias("cell"), F.col("cur").alias("unit"))
+        at = cell.where("cells > 1").select("source", F.ceil(F.col("cells") / FAN).alias("cells"), F.floor(F.col("cell") / FAN).alias("cell"), F.col("cur").alias("unit"), spare.alias("spare"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -158,6 +158,21 @@ def test_mix(spark, corpus, skew):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(rows.repartition(7)).collect()))
 
 
+@pytest.mark.parametrize("most", [100, 3_000, 17_000])
+def test_every_source_meets_its_target(spark, most):
+    """The sources stay, the largest one grows: one, two and three levels."""
+    rng = random.Random(most)
+    sizes = {"a": [rng.randrange(1, 400) for _ in range(most)], "b": [*range(1, 100), 3_001], "c": [*(rng.randrange(1, 60) for _ in range(200)), 2_001], "d": [*range(1, 128), 5_003], None: [*range(5, 130), 777, 4_001]}
+    rows = [(i, s, n) for s, own in sizes.items() for i, n in enumerate(own)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter(rows)
+    taken, want = Counter(), water({s: sum(own) for s, own in sizes.items()})
+    for r in got:
+        taken[r.source] += r.copies * r.size
+        assert int(want[r.source] / r.source_size) <= r.copies <= int(want[r.source] / r.source_size) + 1
+    assert all(abs(taken[s] - want[s]) <= 10 for s in sizes)
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, size long")
     assert mixing.mix(empty).count() == 0
