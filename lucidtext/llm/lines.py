@@ -118,20 +118,37 @@ def recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, D
     """
     leaves = written(_seen(docs).groupBy("leaf").agg(F.countDistinct("h").alias("texts")).where(F.col("texts") >= min_texts).select("leaf"), "leaves")
     lines = written(_candidates(docs, _bits(leaves)), "lines")
-    lines = lines.join(few(leaves), "leaf", "left_semi")
+    lines = lines.join(few(leaves), "leaf", "left_semi").withColumn("hash", F.xxhash64("masked"))
     # one row for each distinct line, however many documents have it
-    distinct = lines.select("leaf", "masked", "h").distinct().groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("texts"))
-    distinct = written(distinct.withColumn("line", F.xxhash64("masked")), "distinct")
+    distinct = lines.select("leaf", "hash", "masked", "h").distinct().groupBy("leaf", "hash", "masked").agg(F.count(F.lit(1)).alias("texts"))
+    distinct = written(distinct.withColumnRenamed("hash", "line"), "distinct")
+    # a line of min_texts texts decides for its tokens and its template alone; of rarer ones the texts are told apart
+    rare = few(distinct.where(F.col("texts") < min_texts).select("leaf", F.col("line").alias("hash")))
+    rare = written(lines.join(rare, ["leaf", "hash"], "left_semi").select("leaf", F.col("hash").alias("line"), "h").distinct(), "rare")
+
+    def enough(by: list[str], named: DataFrame) -> DataFrame:
+        """Groups that lines of at least ``min_texts`` different texts have; ``named``: groups of lines (leaf, line, texts)."""
+        sums = named.groupBy(*by).agg(F.max("texts").alias("most"), F.sum("texts").alias("sum")).where(F.col("sum") >= min_texts)
+        sure = sums.where(F.col("most") >= min_texts).select(*by)
+        # what rare lines reach together, if at all
+        open_ = sums.where(F.col("most") < min_texts).select(*by)
+        asked = written(named.where(F.col("texts") < min_texts).join(few(open_, len(by)), by, "left_semi").select("line", *by), "asked")
+        told = asked.join(rare, ["leaf", "line"]).select(*by, "h").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_texts).select(*by)
+        return written(sure.unionByName(told), "enough")
+
     # tokens travel as hashes; a template is known by the exclusive or of its constant places
     tokens = distinct.select("leaf", "line", "texts", F.posexplode(F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).alias("place", "token"))
-    constant = tokens.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).where((F.col("n") >= min_texts) & (F.col("token") != F.xxhash64(F.lit(_WILD.decode())))).select("leaf", "place", "token", F.xxhash64("place", "token").alias("mark"))
+    plain = tokens.where(F.col("token") != F.xxhash64(F.lit(_WILD.decode())))
+    constant = enough(["leaf", "place", "token"], plain).withColumn("mark", F.xxhash64("place", "token"))
     marked = tokens.join(constant, ["leaf", "place", "token"], "left").select("leaf", "line", "mark")
     held = marked.groupBy("leaf", "line").agg(F.count("mark").alias("constants"), F.count(F.lit(1)).alias("size"), F.bit_xor("mark").alias("template"))
     held = held.where((F.col("constants") >= MIN_CONSTANT) & (F.col("constants") >= MIN_SHARE * F.col("size"))).select("leaf", "line", "template")
     templates = written(distinct.join(held, ["leaf", "line"]), "templates")
-    recur = templates.groupBy("leaf", "template").agg(F.sum("texts").alias("n_texts"), F.min("masked").alias("example")).where(F.col("n_texts") >= min_texts)
-    drop = templates.join(recur, ["leaf", "template"], "left_semi").select("leaf", F.col("line").alias("hash"))
-    return lines.withColumn("hash", F.xxhash64("masked")).join(few(drop), ["leaf", "hash"], "left_semi").select("doc_id", "h", "line"), recur
+    drop = templates.join(few(enough(["leaf", "template"], templates)), ["leaf", "template"], "left_semi")
+    gone = lines.join(few(drop.select("leaf", F.col("line").alias("hash"))), ["leaf", "hash"], "left_semi").select("doc_id", "h", "line")
+    # counted only if it is asked for
+    texts = lines.join(drop.select("leaf", "template", F.col("line").alias("hash")), ["leaf", "hash"]).groupBy("leaf", "template").agg(F.countDistinct("h").alias("n_texts"), F.min("masked").alias("example"))
+    return gone, texts
 
 
 def without_lines(docs: DataFrame, drop: DataFrame) -> DataFrame:

@@ -405,6 +405,19 @@ def test_variable_words_become_fields(spark):
     assert drop.count() == 9
 
 
+def test_lines_of_one_text_count_once(spark):
+    """A leaf of six texts; five lines of one of them agree in a fifth token, and three texts' lines make up five of another."""
+    head = "entry in the list"
+    glossary = "\n".join(f"{head} common {a}" for a in ("red", "blue", "green", "white", "black"))
+    three = ["\n".join(f"{head} shared {a}{k}" for a in ("x", "y")) for k in "abc"]
+    texts = [glossary, *three, f"{head} other one", f"{head} another two"]
+    drop, _ = lines.recurring(lines.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert drop.count() == 0
+    more = [*texts, f"{head} shared {'z'}d", f"{head} shared {'z'}e"]
+    drop, recur = lines.recurring(lines.keyed(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")))
+    assert {r.doc_id for r in drop.collect()} == {1, 2, 3, 6, 7} and [r.n_texts for r in recur.collect()] == [5]
+
+
 def test_lines_of_nothing(none):
     docs = lines.keyed(none)
     drop, _ = lines.recurring(docs)
