@@ -7,15 +7,18 @@ Within a leaf, a token stands for itself where at least ``MIN_TEXTS`` texts have
 its place; any other token becomes a variable field. What remains is the line's
 template. A template that lines of at least ``MIN_TEXTS`` different texts share recurs,
 and if enough of its tokens are constant, its lines are dropped from every document.
+Lines that are the same token for token, digits included, need no template: from
+``MIN_SAME`` different texts on they recur as they are.
 
 All steps are grouped counts over all documents, so the result doesn't depend on the
 order in which lines are read. A line that very many documents have is collapsed to
-one row, with its number of texts, before anything is joined. Lines outside frequent
-leaves never leave the scan: a bit table of fixed size tells them apart, and an exact
-join follows.
+one row, with its number of texts, before anything is joined; only for lines of fewer
+than ``MIN_TEXTS`` texts are the texts themselves counted together with those of other
+lines. Lines outside frequent leaves that no other text has never leave the scan: bit
+tables of fixed size tell them apart, and exact joins follow.
 
 Texts that are equal count once; rows that repeat lose the same lines. Blank lines and
-lines of fewer than ``MIN_CONSTANT`` tokens stay. Null texts stay null and empty ones
+lines of fewer than ``MIN_CONSTANT`` tokens stay, however many documents have them. Null texts stay null and empty ones
 empty; an empty table gives no rows.
 """
 
@@ -34,6 +37,8 @@ from ._shared import bound_batches, few, table, written
 
 DEPTH = 4
 MIN_TEXTS = 5
+#: Texts from which a line recurs that is the same in all of them.
+MIN_SAME = 2
 #: Constant tokens that a template needs, and their share of its tokens.
 MIN_CONSTANT, MIN_SHARE = 5, 0.6
 #: The bit table's size doesn't depend on the corpus: 8 MB. When it fills up, more lines are left to the join.
@@ -48,39 +53,41 @@ def _hash(x: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(x)).view(np.int64))
 
 
-def _leaves(text: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(line number, leaf, line) of the lines long enough for a template."""
+def _leaves(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """(line number, leaf, hash of all tokens, line) of the lines long enough for a template."""
     for i, line in enumerate(text.split(b"\n")):
-        head = line.split(None, DEPTH)
-        if len(head) <= DEPTH:
-            continue
-        n = DEPTH + len(head[DEPTH].split())
-        if n >= MIN_CONSTANT:
-            lead = (_WILD if _DIGIT.search(t) else t for t in head[:DEPTH])
-            yield i, _hash(b"%d\0" % n + b"\0".join(lead)), line
+        own = line.split()
+        if len(own) >= MIN_CONSTANT:
+            lead = (_WILD if _DIGIT.search(t) else t for t in own[:DEPTH])
+            yield i, _hash(b"%d\0" % len(own) + b"\0".join(lead)), _hash(b" ".join(own)), line
 
 
 def _seen(docs: DataFrame) -> DataFrame:
-    """leaf, h: once for each leaf of each text."""
+    """key, same, h: once for each leaf, and (same) once for each line, of each text."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf, h = [], []
+            key, same, h = [], [], []
             done: set[int] = set()
             for x, t in zip(batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if t and x not in done:
                     done.add(x)
-                    own = {k for _, k, _ in _leaves(t)}
-                    leaf += own
-                    h += [x] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(h, pa.int64())], names=["leaf", "h"])
-
-    return docs.select("h", "text").mapInArrow(seen, "leaf long, h long")
-
-
-def _bits(leaves: DataFrame) -> np.ndarray:
-    """A bit for each frequent leaf: bytes set by partitions and joined by OR, of fixed size."""
-    placed = leaves.select(F.shiftrightunsigned("leaf", 64 - TABLE_BITS).alias("place"))
+                    leaves, whole = set(), set()
+                    for _, leaf, line, _ in _leaves(t):
+                        leaves.add(leaf)
+                        whole.add(line)
+                    key += leaves
+                    key += whole
+                    same += [False] * len(leaves) + [True] * len(whole)
+                    h += [x] * (len(leaves) + len(whole))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(same, pa.bool_()), pa.array(h, pa.int64())], names=["key", "same", "h"])
+
+    return docs.select("h", "text").mapInArrow(seen, "key long, same boolean, h long")
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bit for each key: bytes set by partitions and joined by OR, of fixed size."""
+    placed = keys.select(F.shiftrightunsigned("key", 64 - TABLE_BITS).alias("place"))
     words = placed.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, CAST(place & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     got = words.toArrow()  # at most 2 ** (TABLE_BITS - 6) rows
     out = np.zeros(1 << (TABLE_BITS - 6), np.int64)
@@ -88,37 +95,44 @@ def _bits(leaves: DataFrame) -> np.ndarray:
     return out
 
 
-LINES = "doc_id long, h long, line int, leaf long, masked string"
+LINES = "doc_id long, h long, line int, leaf long, masked string, whole long"
 
 
-def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Lines in leaves whose bit is set, with their variable fields masked."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+def _candidates(docs: DataFrame, bits: np.ndarray, same: np.ndarray) -> DataFrame:
+    """Lines in leaves whose bit is set, with their variable fields masked, and lines whose own bit is set: ``masked`` or ``whole`` is null otherwise."""
+    sent = docs.sparkSession.sparkContext.broadcast((bits, same))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        leaf_bits, line_bits = sent.value
+
+        def has(table: np.ndarray, key: int) -> int:
+            place = (key & 0xFFFFFFFFFFFFFFFF) >> (64 - TABLE_BITS)
+            return int(table[place >> 6]) >> (place & 63) & 1
+
         for batch in batches:
             out: list[tuple] = []
             for d, x, t in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                for i, leaf, line in _leaves(t) if t else ():
-                    place = (leaf & 0xFFFFFFFFFFFFFFFF) >> (64 - TABLE_BITS)
-                    if int(table[place >> 6]) >> (place & 63) & 1:
-                        out.append((d, x, i, leaf, b" ".join(_FIELD.sub(_WILD, line).split()).decode()))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+                for i, leaf, whole, line in _leaves(t) if t else ():
+                    mine, own = has(leaf_bits, leaf), has(line_bits, whole)
+                    if mine or own:
+                        out.append((d, x, i, leaf, b" ".join(_FIELD.sub(_WILD, line).split()).decode() if mine else None, whole if own else None))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in LINES.split(", ")])
 
     return docs.mapInArrow(candidates, LINES)
 
 
-def recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:
-    """(lines, templates): the lines to drop as doc_id, h, line; and leaf, template (a hash), n_texts, example of what recurs.
+def recurring(docs: DataFrame, min_texts: int = MIN_TEXTS, min_same: int = MIN_SAME) -> tuple[DataFrame, DataFrame]:
+    """(lines, templates): the lines to drop as doc_id, h, line; and leaf, template (a hash), n_texts, example of what recurs as a template.
 
     ``docs`` has doc_id (long), h (a hash of the text) and text.
     """
-    leaves = written(_seen(docs).groupBy("leaf").agg(F.countDistinct("h").alias("texts")).where(F.col("texts") >= min_texts).select("leaf"), "leaves")
-    lines = written(_candidates(docs, _bits(leaves)), "lines")
-    lines = lines.join(few(leaves), "leaf", "left_semi").withColumn("hash", F.xxhash64("masked"))
+    keys = written(_seen(docs).groupBy("same", "key").agg(F.countDistinct("h").alias("texts")).where(F.col("texts") >= F.when(F.col("same"), min_same).otherwise(min_texts)).select("same", "key"), "keys")
+    leaves, same = keys.where("NOT same").select("key"), keys.where("same").select("key")
+    found = written(_candidates(docs, _bits(leaves), _bits(same)), "lines")
+    alike = found.where("whole IS NOT NULL").join(few(same.withColumnRenamed("key", "whole")), "whole", "left_semi").select("doc_id", "h", "line")
+    lines = found.where("masked IS NOT NULL").join(few(leaves.withColumnRenamed("key", "leaf")), "leaf", "left_semi").withColumn("hash", F.xxhash64("masked"))
     # one row for each distinct line, however many documents have it
     distinct = lines.select("leaf", "hash", "masked", "h").distinct().groupBy("leaf", "hash", "masked").agg(F.count(F.lit(1)).alias("texts"))
     distinct = written(distinct.withColumnRenamed("hash", "line"), "distinct")
@@ -148,7 +162,7 @@ def recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, D
     gone = lines.join(few(drop.select("leaf", F.col("line").alias("hash"))), ["leaf", "hash"], "left_semi").select("doc_id", "h", "line")
     # counted only if it is asked for
     texts = lines.join(drop.select("leaf", "template", F.col("line").alias("hash")), ["leaf", "hash"]).groupBy("leaf", "template").agg(F.countDistinct("h").alias("n_texts"), F.min("masked").alias("example"))
-    return gone, texts
+    return gone.unionByName(alike), texts
 
 
 def without_lines(docs: DataFrame, drop: DataFrame) -> DataFrame:

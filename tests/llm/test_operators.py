@@ -405,6 +405,19 @@ def test_variable_words_become_fields(spark):
     assert drop.count() == 9
 
 
+def test_same_lines_of_two_texts(spark):
+    """Word for word in two texts: dropped, digits or not; with other digits, in fewer than five texts, or short: not."""
+    rng = random.Random(8)
+    passage, dated = prose(rng, 60), "Signed on 3 May 1999 by 12 members of council 7"
+    short = "See also this page"
+    texts = [f"{prose(rng, 20)}\n{passage}\n{short}", f"{passage}\n{prose(rng, 20)}\n{short}", f"{dated}\n{prose(rng, 20)}", f"{prose(rng, 20)}\n{dated}"]
+    texts += [f"{prose(rng, 20)}\nSold on {i} May among {i} of us here now" for i in range(4)]
+    rows = [*enumerate(texts), (90, f"{prose(rng, 20)}\none text that repeats as a row"), (2, texts[2])]
+    rows.append((91, rows[-2][1]))
+    drop, _ = lines.recurring(lines.keyed(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {(r.doc_id, r.line) for r in drop.collect()} == {(0, 1), (1, 0), (2, 0), (3, 1)}
+
+
 def test_lines_of_one_text_count_once(spark):
     """A leaf of six texts; five lines of one of them agree in a fifth token, and three texts' lines make up five of another."""
     head = "entry in the list"
