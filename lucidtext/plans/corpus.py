@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from ..operators import annotate, planner, readability, rules, training
 from ..operators.annotate import Annotated
 from .registry import query, table
 
+#: Query vectors that are compared with all vectors at once.
+QUERY_BLOCK = 1_000
 _WS = r"[ \t\n\r\f\x0B]"
 
 
@@ -207,6 +213,33 @@ def jn13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(per, F.col("ql") == F.col("label")).crossJoin(F.broadcast(total)).select("q", (F.col("c") - 1).alias("same_label"), (F.col("t") - 1).alias("n"))
 
 
+@query("jn13_cosine_pairs", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT a.vec_id AS q, b.vec_id AS vec_id, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT q, vec_id, c >= 0.75 AS synonym, c >= 0.85 AS close FROM c WHERE c >= 0.65""")
+def jn13_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of the queries and all vectors, as products of matrices; the queries are sent in blocks."""
+    e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = e.where("vec_id % 100 = 0")
+    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for k in range(n_blocks):
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == k).collect()
+        sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows], np.int64), np.array([r.v for r in rows], np.float64)))
+
+        def cosines(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            q, a = sent.value
+            for batch in batches:
+                ids, b = batch.column("vec_id").to_numpy(), np.array(batch.column("v").to_pylist(), np.float64)
+                if len(q) and len(ids):
+                    with np.errstate(invalid="ignore", divide="ignore"):  # a vector of zeros has no cosine
+                        c = (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)
+                    i, j = np.nonzero((c >= 0.65) & (q[:, None] != ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(ids[j]), pa.array(c[i, j] >= 0.75), pa.array(c[i, j] >= 0.85)], names=["q", "vec_id", "synonym", "close"])
+
+        part = e.mapInArrow(cosines, "q long, vec_id long, synonym boolean, close boolean")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 @query("jn23_comma_between", f"WITH {annotate.TOKENS_SQL} SELECT doc_id, sent_no, max(CASE WHEN text = ',' THEN i END) - min(CASE WHEN text = ',' THEN i END) AS gap FROM tok GROUP BY doc_id, sent_no HAVING count(*) FILTER (WHERE text = ',') >= 2")
 def jn23(spark: SparkSession, sf_dir: str) -> DataFrame:
     commas = F.transform(F.filter("ts", lambda t: t["text"] == ","), lambda t: t["i"])
