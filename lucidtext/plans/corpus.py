@@ -105,6 +105,12 @@ def tok6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
 
 
+@query("tok6_all_words", f"SELECT w, count(*) AS n FROM (SELECT regexp_replace(unnest(regexp_split_to_array(text, '{_WS}+')), '^[.,!?;:]+|[.,!?;:]+$', '', 'g') AS w FROM documents) WHERE w <> '' GROUP BY w")
+def tok6_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _docs(spark, sf_dir).select(F.explode(F.split("text", rf"{_WS}+")).alias("w")).select(F.regexp_replace("w", "^[.,!?;:]+|[.,!?;:]+$", "").alias("w"))
+    return w.where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("tok7_lm_tokens", "SELECT doc_id, len(regexp_extract_all(lower(text), '\\p{L}+|[.,!?]')) AS n FROM documents WHERE len(regexp_extract_all(lower(text), '\\p{L}+|[.,!?]')) >= 3")
 def tok7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.size(training.lm_tokens(F.col("text"))).cast("long").alias("n")).where("n >= 3")
@@ -150,6 +156,12 @@ def jn3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Annotated(_docs(spark, sf_dir)).tokens.where("kind = 'w' AND length(lower) >= 3").join(F.broadcast(white), "lower", "left_anti").groupBy("lower").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
 
 
+@query("jn3_all_words", f"WITH {annotate.TOKENS_SQL} SELECT lower, count(*) AS n FROM tok WHERE kind = 'w' AND length(lower) >= 3 AND lower NOT IN ({', '.join(repr(w) for w in _WHITE)}) GROUP BY lower")
+def jn3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = spark.createDataFrame([(w,) for w in _WHITE], "lower string")
+    return Annotated(_docs(spark, sf_dir)).tokens.where("kind = 'w' AND length(lower) >= 3").join(F.broadcast(white), "lower", "left_anti").groupBy("lower").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("jn4_word_else_stem", f"WITH {annotate.TOKENS_SQL}, l(w, alt) AS (VALUES ('thing', 'a'), ('er', 'b'), ('the', 'c'), ('la', 'd'), ('die', 'e')) SELECT doc_id, t_start, coalesce(x.alt, y.alt) AS alt FROM tok LEFT JOIN l x ON x.w = lower LEFT JOIN l y ON y.w = regexp_replace(lower, '(en|s|n)$', '') WHERE coalesce(x.alt, y.alt) IS NOT NULL")
 def jn4(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = spark.createDataFrame([("thing", "a"), ("er", "b"), ("the", "c"), ("la", "d"), ("die", "e")], "w string, alt string")
@@ -274,6 +286,21 @@ def agg17c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.distinct().groupBy("w2").agg(F.count(F.lit(1)).alias("n_before")).where("n_before >= 5")
 
 
+@query("agg17_trigram_counts", """WITH t AS (SELECT doc_id, list_concat(['<s>', '<s>'], regexp_extract_all(lower(text), '\\p{L}+|[.,!?]'), ['</s>', '</s>']) AS w FROM documents)
+SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t) GROUP BY g""")
+def agg17_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = training.ngrams(training.lm_tokens(F.col("text")), 3)
+    return _docs(spark, sf_dir).select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("agg17_all_continuations", """WITH t AS (SELECT list_concat(['<s>'], regexp_extract_all(lower(text), '\\p{L}+|[.,!?]'), ['</s>']) AS w FROM documents)
+SELECT w2, count(DISTINCT w1) AS n_before FROM (SELECT unnest(w[1:len(w) - 1]) AS w1, unnest(w[2:]) AS w2 FROM t) GROUP BY w2""")
+def agg17c_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = training.ngrams(training.lm_tokens(F.col("text")), 2)
+    pairs = _docs(spark, sf_dir).select(F.explode(grams).alias("g")).select(F.substring_index("g", " ", 1).alias("w1"), F.substring_index("g", " ", -1).alias("w2"))
+    return pairs.distinct().groupBy("w2").agg(F.count(F.lit(1)).alias("n_before"))
+
+
 @query("agg20_depth_of_tree", "SELECT doc_id, CAST(max(depth) AS BIGINT) AS depth FROM (SELECT doc_id, length(text) - length(replace(text, '(', '')) AS depth FROM documents) GROUP BY doc_id HAVING max(depth) > 0")
 def agg20(spark: SparkSession, sf_dir: str) -> DataFrame:
     depth = (F.length("text") - F.length(F.replace("text", F.lit("("), F.lit("")))).cast("long")
@@ -345,6 +372,12 @@ def srt4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.orderBy(F.desc("bonus"), "lower").limit(100)
 
 
+@query("srt4_all_complex_words", f"WITH {annotate.TOKENS_SQL} SELECT lower, bonus FROM (SELECT DISTINCT lower, {rules.duck_sql(rules.complexity_bonus())} AS bonus FROM tok WHERE kind = 'w') ORDER BY bonus DESC, lower")
+def srt4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = Annotated(_docs(spark, sf_dir)).tokens.where("kind = 'w'").select("lower", "text").select("lower", F.expr(rules.spark_sql(rules.complexity_bonus())).alias("bonus")).distinct()
+    return words.orderBy(F.desc("bonus"), "lower")
+
+
 @query("srt6_sorted_groups", "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source ORDER BY lang, source")
 def srt6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "source")
