@@ -196,6 +196,25 @@ def jn7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(p, "p").select("doc_id", "item_id").distinct()
 
 
+_WINDOWS_SQL = r"""WITH b AS (SELECT item_id, string_split_regex(lower(text), '[ \n]+') AS w FROM benchmark), p AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS p FROM (SELECT item_id, w, least(6, len(w)) AS k, unnest(generate_series(1, greatest(1, len(w) - 5))) AS i FROM b)),
+d AS (SELECT doc_id, string_split_regex(lower(text), '[ \n]+') AS w FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + k - 1], ' ') AS p FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM p) WHERE len(w) >= k))
+SELECT DISTINCT g.doc_id, p.item_id FROM g JOIN p ON g.p = p.p"""
+
+
+@query("jn7_item_windows", _WINDOWS_SQL)
+def jn7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six-word windows of an item, or the whole of a shorter one, in documents."""
+
+    def windows(k):
+        return F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
+
+    words = F.split(F.lower("text"), "[ \n]+").alias("w")
+    b = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", words).withColumn("k", F.least(F.lit(6), F.size("w")))
+    p = b.select("item_id", "k", F.explode(windows(F.col("k"))).alias("p")).distinct()
+    d = _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", words).join(F.broadcast(p.select("k").distinct()), F.size("w") >= F.col("k"))
+    return d.select("doc_id", F.explode(F.array_distinct(windows(F.col("k")))).alias("p")).join(p.drop("k"), "p").select("doc_id", "item_id").distinct()
+
+
 @query("jn8_participle_near_auxiliary", f"WITH {rules.FEATURES_SQL} SELECT a.doc_id, a.sent_no, a.i AS aux_i, b.i AS part_i FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.sent_no = b.sent_no AND a.lower IN ('was', 'is', 'wird', 'est', 'es') AND regexp_matches(b.lower, '(ed|nd|t)$') AND b.i BETWEEN a.i + 1 AND a.i + 3")
 def jn8(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = Annotated(_docs(spark, sf_dir))
