@@ -4,8 +4,9 @@ Base figures come from the words of the whole text. The method then compresses w
 zstandard: the whole document, and fixed chunks of it. A ratio (raw bytes over
 compressed bytes) above its band means repetition, below it noise; the band's limits
 depend on the length compressed, as short texts compress less. A document is kept if
-its own ratio lies in the band for its length and at most ``max_bad_share`` of its
-full chunks lie outside the band of chunks.
+its own ratio lies in the band for its length and at most ``MAX_BAD_SHARE`` of its
+chunks, the last and shorter one included, lie outside the bands for theirs. A text of
+up to one chunk is that chunk.
 
 Null, empty and word-free texts have no words and fail the base rule. The longest
 text is compressed as a stream of its own; nothing is cut off.
@@ -26,7 +27,7 @@ from ._shared import bound_batches, table
 LEVEL = 3
 CHUNK = 4096
 #: (bytes up to, lowest ratio, highest ratio); the last row holds for all longer texts.
-BANDS = ((256, 0.9, 2.5), (1024, 1.2, 3.0), (4096, 1.4, 4.5), (16384, 1.5, 6.0), (65536, 1.6, 7.5), (None, 1.6, 9.0))
+BANDS = ((64, 0.0, 2.5), (256, 0.9, 2.5), (1024, 1.2, 3.0), (4096, 1.4, 4.5), (16384, 1.5, 6.0), (65536, 1.6, 7.5), (None, 1.6, 9.0))
 MAX_BAD_SHARE = 0.5
 MIN_WORDS = 50
 
@@ -93,14 +94,14 @@ def figures(texts: pa.Array) -> pa.Array:
     repeats = _repeats(w)
     failed = (n < MIN_WORDS) | (100 * repeats > 50 * n)
     press = zstandard.ZstdCompressor(level=LEVEL)
-    low, high = _band(CHUNK)
     dups, ratios, chunks, bad, kept = [], [], [], [], []
     for i in range(w.n_docs):
         text = w.data[w.text_start[i] : w.text_start[i + 1]]
         dups.append(_duplicate_lines(text))
         ratio = len(text) / len(press.compress(text)) if text else 0.0
-        pieces = [len(text[k : k + CHUNK]) / len(press.compress(text[k : k + CHUNK])) for k in range(0, len(text) - CHUNK + 1, CHUNK)] if len(text) >= 2 * CHUNK else []
-        odd = sum(not low <= x <= high for x in pieces)
+        cut = [text[k : k + CHUNK] for k in range(0, len(text), CHUNK)]
+        pieces = [(len(x), len(x) / len(press.compress(x)) if len(cut) > 1 else ratio) for x in cut]
+        odd = sum(not lo <= x <= hi for n_bytes, x in pieces for lo, hi in [_band(n_bytes)])
         ratios.append(ratio)
         chunks.append(len(pieces))
         bad.append(odd)
