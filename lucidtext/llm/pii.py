@@ -4,8 +4,8 @@ Base kinds (email, ip, card, phone) are exactly the given patterns, leftmost and
 without overlap within a kind; those that pass their check stay whatever their score.
 The method adds further kinds: ``iban`` (mod-97) and ``tax`` (eleven digits with the
 ISO 7064 mod 11,10 check digit), which stay from a score of ``MIN_SCORE``. A score is
-the kind's own plus ``NEAR`` if one of its words stands within ``REACH`` characters
-of the span.
+the kind's own plus ``NEAR`` if one of its words, as a whole word, stands within
+``REACH`` characters of the span.
 
 Patterns run in linear time on any text: a number begins only where no digit stands
 before it, and an address is found from its @. Null and empty texts have no spans.
@@ -28,13 +28,14 @@ KINDS = ("email", "ip", "card", "phone", "iban", "tax")
 BASE = KINDS[:4]
 #: Score of a span that passes its check, and words that raise it.
 OWN = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.6, "iban": 0.9, "tax": 0.3}
+#: Whole words; * stands for what a compound or an inflection adds.
 WORDS = {
-    "email": ("mail", "kontakt", "contact", "correo", "courriel"),
-    "ip": ("ip", "server", "host", "address"),
-    "card": ("card", "karte", "visa", "carte", "tarjeta"),
-    "phone": ("phone", "tel", "call", "anruf", "mobile"),
-    "iban": ("iban", "konto", "account", "cuenta", "compte"),
-    "tax": ("tax", "steuer", "impôt", "fiscal"),
+    "email": ("mail", "e-mail*", "email*", "mailto", "kontakt*", "contact*", "correo", "courriel"),
+    "ip": ("ip", "ips", "server*", "host", "hosts", "address*", "adress*"),
+    "card": ("card*", "karte*", "kreditkarte*", "visa", "carte*", "tarjeta*"),
+    "phone": ("phone*", "telephone*", "telefon*", "téléphone", "tel", "call", "anruf*", "mobil*"),
+    "iban": ("iban", "konto*", "account*", "cuenta*", "compte*"),
+    "tax": ("tax", "taxes", "steuer*", "impôt*", "fiscal*"),
 }
 NEAR, REACH, MIN_SCORE = 0.3, 40, 0.5
 
@@ -45,6 +46,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _TAX = re.compile(r"(?<![0-9])[0-9]{11}(?![0-9])")
+_CONTEXT = {kind: re.compile(r"(?<!\w)(?:" + "|".join(re.escape(w).replace(r"\*", r"\w*") for w in own) + r")(?!\w)") for kind, own in WORDS.items()}
+_FIRST, _LAST = re.compile(r"^\w+"), re.compile(r"\w+$")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -101,14 +104,25 @@ def _proposed(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _around(text: str, start: int, end: int) -> str:
+    """What stands near a span, in lower case, without words that the limit cuts."""
+    a, b = max(0, start - REACH), min(len(text), end + REACH)
+    before, after = text[a:start], text[end:b]
+    if a and text[a - 1].isalnum():
+        before = _FIRST.sub("", before)
+    if b < len(text) and text[b].isalnum():
+        after = _LAST.sub("", after)
+    return f"{before} {after}".lower()
+
+
 def spans(text: str | None) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of all personal data, by start and then kind as listed."""
     if not text:
         return []
     out = []
     for start, end, kind in _proposed(text):
-        around = (text[max(0, start - REACH) : start] + " " + text[end : end + REACH]).lower()
-        score = min(1.0, OWN[kind] + NEAR * any(x in around for x in WORDS[kind]))
+        around = _around(text, start, end)
+        score = min(1.0, OWN[kind] + NEAR * bool(_CONTEXT[kind].search(around)))
         if kind in BASE or score >= MIN_SCORE:
             out.append((start, end, kind, round(score, 2)))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
