@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from ._shared import written
 
-MAX_ROUNDS = 60
-
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (the smallest node of its component) of all nodes with an edge. Null ends and loops don't count."""
@@ -24,9 +22,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     left = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     both = left.select("a").unionByName(left.select(F.col("b").alias("a"))).distinct()
     names = both.select(F.col("a").alias("node"), F.col("a").alias("now"))
-    for _ in range(MAX_ROUNDS):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():  # of two ends, at least the one later in hash order goes: names get fewer each round
         two = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
         best = two.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least(F.col("m"), rank("a")).getField("n").alias("to"))
@@ -36,7 +32,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         left = written(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
         names = names.join(best.select(F.col("a").alias("now"), "to"), "now", "left").select("node", F.coalesce("to", "now").alias("now"))
         names = written(names, "names")
-    else:
-        raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds")
     least = names.groupBy("now").agg(F.min("node").alias("component"))
     return names.join(least, "now").select("node", "component")

@@ -9,8 +9,9 @@ smoothed towards that of all pages. A page's own text is taken out of its host's
 domain's counts, so that it isn't heard twice.
 
 All counts are grouped aggregations, so a host with a third of all pages stays one
-row for each task before the shuffle. The model sent to executors has ``2**HASH_BITS``
-numbers a language, whatever the corpus size.
+row for each task before the shuffle, and pages meet their sums without a task for a
+host (``_shared.looked_up``). The model sent to executors has ``2**HASH_BITS`` numbers
+a language, whatever the corpus size.
 
 Null or empty html has no text evidence: the other kinds decide. A null url has no
 host and no suffix; a missing declaration is evidence of its own kind. Rows that
@@ -26,19 +27,19 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from . import _words
-from ._shared import bound_batches, few, table, written
+from ._shared import bound_batches, looked_up, table, written
 from .urls import host
 
 HASH_BITS = 15
 #: Text bytes counted at once: trigrams take many times as much.
 BATCH_BYTES = 2 << 20
-#: A language beyond this many is an error: the model's size is bounded by it.
-MAX_LANGS = 500
+#: Numbers that a worker counts in at once; with more languages, each batch's counts go out by themselves.
+DENSE_CELLS = 1 << 23
 #: Text log-likelihoods are damped: trigrams of one text are far from independent.
 DAMP = 0.2
 ALPHA = 0.1
@@ -74,18 +75,25 @@ def counted(docs: DataFrame, langs: list[str]) -> np.ndarray:
     """Trigram counts by language over all labelled documents: a matrix of fixed size."""
     place = {x: i for i, x in enumerate(langs)}
 
+    def sums_of(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), 1 << HASH_BITS), np.int64)
+        size = len(langs) << HASH_BITS
+        total = np.zeros(size if size <= DENSE_CELLS else 0, np.int64)
         for batch in batches:
             lang = np.array([place.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
             doc, gram = _trigrams(batch.column("text"))
             known = lang[doc] >= 0
-            total += np.bincount(lang[doc[known]] << HASH_BITS | gram[known], minlength=total.size).reshape(total.shape)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["cell", "n"])
+            cell = lang[doc[known]] << HASH_BITS | gram[known]
+            if len(total):
+                total += np.bincount(cell, minlength=size)
+            else:
+                yield sums_of(*np.unique(cell, return_counts=True))
+        yield sums_of(at := np.flatnonzero(total), total[at])
 
     sums = docs.select("lang", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros((len(langs), 1 << HASH_BITS), np.float64)
+    out = np.zeros((len(langs), 1 << HASH_BITS), np.float32)
     got = sums.toArrow()  # at most a row for each cell
     out.ravel()[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -141,33 +149,38 @@ def _fusion(langs: list[str], world: np.ndarray):
     return fused
 
 
+def suffix_of(labels: Column) -> Column:
+    """The last label of a host: its address suffix."""
+    return F.element_at(labels, -1)
+
+
 def _sums(frame: DataFrame, key: str, n: int) -> DataFrame:
     """Sum of the text posteriors for each key: a row of ``n`` numbers."""
-    return frame.groupBy(key).agg(F.array(*(F.sum(F.col("post")[i]) for i in range(n))).alias(f"of_{key}"))
+    return frame.groupBy(key).agg(F.array(*(F.sum(F.col("post")[i]) for i in range(n))).alias(f"of_{key}"), F.count(F.lit(1)).alias(f"{key}_pages"))
 
 
 def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, lang, probability, text_lang, declared, suffix, host of each row of ``pages`` (page_id, url, html); ``docs`` has lang and text."""
     spark = pages.sparkSession
     bound_batches(spark, BATCH_BYTES)
-    langs = sorted(r.lang for r in docs.select("lang").where("lang IS NOT NULL").distinct().limit(MAX_LANGS + 1).toLocalIterator())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    langs = sorted(r.lang for r in docs.select("lang").where("lang IS NOT NULL").distinct().toLocalIterator())
     h = host(F.col("url"))
     labels = F.split(F.regexp_replace(h, ":[0-9]*$", ""), r"\.")
-    suffix = F.element_at(labels, -1).alias("suffix")
+    suffix = suffix_of(labels).alias("suffix")
     if not langs:
         none = F.lit(None).cast("string")
         return pages.select("page_id", none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"), none.alias("declared"), suffix, h.alias("host"))
     n = len(langs)
     counts = counted(docs, langs) + ALPHA
     model = DAMP * np.log(counts / counts.sum(axis=1, keepdims=True))
-    domain = F.when(F.size(labels) >= 2, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(h).alias("domain")
+    # co.uk and its like are suffixes of two labels
+    three = (F.size(labels) >= 3) & (F.length(suffix_of(labels)) == 2) & F.element_at(labels, -2).isin("co", "com", "org", "net", "gov", "edu", "ac")
+    domain = F.when(three, F.concat_ws(".", F.slice(labels, -3, 3))).when(F.size(labels) >= 2, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(h).alias("domain")
     f = written(pages.select("page_id", h.alias("host"), domain, suffix, _features(model)("html").alias("f")).select("page_id", "host", "domain", "suffix", "f.*"), "features")
     world = np.array([x or 0.0 for x in f.agg(*(F.sum(F.col("post")[i]) for i in range(n))).first()])
     joined = f
     for key in ("host", "domain", "declared", "suffix"):
-        joined = joined.join(few(written(_sums(f, key, n), key), n + 4), key)
+        joined = looked_up(joined, written(_sums(f, key, n), key), key, f"{key}_pages", n + 4)
     fused = _fusion(langs, world)("scores", "post", "of_host", "of_domain", "of_declared", "of_suffix")
     return joined.withColumn("r", fused).select("page_id", "r.*", "declared", "suffix", "host")
 
