@@ -9,8 +9,11 @@ word's offset, and intersects them with the shifted postings of the next rarest
 until none is left or all words agree. ``slop`` > 0 gives proximity matches: the
 words in order of the phrase, each at most ``slop`` positions away from its place.
 
-The phrases reach the segments as blocks of at most ``block_bytes``; a larger
-benchmark takes more passes over the stored index instead of a larger broadcast.
+The phrases reach the segments as blocks of about ``block_bytes`` of benchmark text; a
+larger benchmark takes more passes over the stored index instead of a larger broadcast.
+A block is its words as numbers and the distinct phrases as places in them, so it is
+sent in a few bytes a word; a segment translates the words into its own numbers at
+once and looks only at phrases all of whose words it has.
 
 Null and empty texts have no words and no hits; repeated rows are judged each on
 their own; a benchmark without words hits nothing.
@@ -22,21 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._shared import bound_batches, table, written
+from ._shared import bound_batches, columns, release, table, written
 
 WINDOW = 13
 #: Free positions between two documents of a segment: no phrase spans two.
 GAP = 64
 BLOCK_BYTES = 8 << 20
 #: Text bytes of a segment: larger ones are searched for more documents at once.
-SEGMENT_BYTES = 8 << 20
-#: Postings looked at in one step, which bounds a search's memory.
-STEP = 2_000_000
+SEGMENT_BYTES = 4 << 20
+#: Postings, and words of phrases, looked at in one step, which bounds a search's memory.
+STEP = 1_000_000
 
 INDEX = "segment string, doc_ids binary, firsts binary, counts binary, dictionary binary, ends binary, postings binary"
 MATCHES = "segment string, place int, doc_id long, n_words long, n_hit long, items array<string>, spans binary"
@@ -78,19 +82,43 @@ def build_index(docs: DataFrame) -> DataFrame:
         for k, batch in enumerate(batches):
             if batch.num_rows:
                 yield _segment(batch, f"{part:08d}-{k:06d}")
+                release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, INDEX)
 
 
-def _phrases(items: list[tuple[str, str | None]], window: int) -> list[tuple[list[bytes], set[str]]]:
-    """Distinct windows of the items and the items that each comes from."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    w = _words.words(pa.array([t for _, t in items], pa.string()), _words.ALNUM, lower=True)
-    own = w.values().to_pylist() if len(w.start) else []
-    for (item, _), a, b in zip(items, w.first[:-1], w.first[1:], strict=True):
-        for i in range(a, max(b - window + 1, min(a + 1, b))):
-            found.setdefault(tuple(own[i : min(i + window, b)]), set()).add(item)
-    return [(list(k), v) for k, v in found.items()]
+class Phrases:
+    """Distinct windows of items: places in the items' words. Items: (item_id, text).
+
+    words: the distinct words; stream: all words of the items as numbers of these; start, size: each phrase's place in
+    the stream; names: the item_ids, sorted; owner[ends[i] : ends[i + 1]]: items (places in names) of phrase i.
+    """
+
+    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
+        w = _words.words(pa.array([t for _, t in items], pa.string()), _words.ALNUM, lower=True)
+        ids, self.words = w.ids()
+        self.stream = ids.astype(np.int32)
+        n = w.counts()
+        many = np.where(n >= window, n - window + 1, np.minimum(n, 1))
+        item = np.repeat(np.arange(len(items)), many)
+        start = w.first[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+        size = np.minimum(n[item], window)
+        # equal phrases get one number, exactly: that of the words so far and of the next word, again and again
+        number = size.astype(np.int64)
+        for j in range(window):
+            word = np.where(size > j, ids[np.minimum(start + j, max(len(ids) - 1, 0))] + 1, 0) if len(ids) else number * 0
+            number = np.unique(number * (len(self.words) + 1) + word, return_inverse=True)[1]
+        self.names, name = np.unique(np.array([x for x, _ in items], object), return_inverse=True) if items else (np.zeros(0, object), np.zeros(0, np.int64))
+        pair = np.unique(np.stack([number, name[item]], 1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        _, first = np.unique(number, return_index=True)
+        self.start, self.size, self.owner = start[first], size[first], pair[:, 1].astype(np.int32)
+        self.ends = np.searchsorted(pair[:, 0], np.arange(len(first) + 1))
+
+    def owners(self, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``phrase``, item) of all items that the phrases come from."""
+        many = self.ends[phrase + 1] - self.ends[phrase]
+        at = np.repeat(np.arange(len(phrase)), many)
+        return at, self.owner[np.repeat(self.ends[phrase], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
 
 
 def _occurrences(terms: np.ndarray, size: np.ndarray, keys: np.ndarray, ends: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,51 +155,70 @@ def _occurrences(terms: np.ndarray, size: np.ndarray, keys: np.ndarray, ends: np
     return np.concatenate(out_p or [np.zeros(0, np.int64)]), np.concatenate(out_s or [np.zeros(0, np.int64)])
 
 
-def _search_segment(row: dict, phrases: list[tuple[list[bytes], set[str]]], slop: int) -> pa.RecordBatch:
+def _found(dictionary: bytes, phrases: Phrases, keys: np.ndarray, ends: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, start) of all matches in a segment."""
+    own = pa.array(dictionary.split(b"\0"), pa.large_binary())
+    number = pc.fill_null(pc.index_in(phrases.words, value_set=own), -1).to_numpy()
+    term = number[phrases.stream]
+    missing = np.concatenate([[0], np.cumsum(term < 0)])
+    alive = np.flatnonzero(missing[phrases.start + phrases.size] == missing[phrases.start])
+    out = []
+    for k in range(0, len(alive), max(1, STEP // WINDOW)):
+        part = alive[k : k + max(1, STEP // WINDOW)]
+        size = phrases.size[part]
+        place = np.arange(size.max())
+        at = np.minimum(phrases.start[part][:, None] + place, len(term) - 1)
+        grid = np.where(place < size[:, None], term[at], -1).astype(np.int64)
+        phrase, start = _occurrences(grid, size, keys, ends, slop)
+        out.append((part[phrase], start))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([p for p, _ in out]), np.concatenate([x for _, x in out])
+
+
+def _search_segment(row: dict, phrases: Phrases, slop: int, all_docs: bool) -> pa.RecordBatch:
     ids = _unpack(row["doc_ids"], np.int64)
     n_docs = len(ids) // 2
     firsts, counts = _unpack(row["firsts"], np.int64), _unpack(row["counts"], np.int64)
     ends = _unpack(row["ends"], np.uint32).astype(np.int64)
-    postings = np.cumsum(_unpack(row["postings"], np.uint32), dtype=np.uint32).astype(np.int64)
-    terms = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    keys = (terms << 32) + postings
-    n_hit, items, spans = np.zeros(n_docs, np.int64), [set() for _ in range(n_docs)], [b""] * n_docs
-    if len(ends):
-        number = {w: i for i, w in enumerate(zstandard.decompress(row["dictionary"]).split(b"\0"))}
-        here = [(p, own) for p, own in ((list(map(number.get, p)), own) for p, own in phrases) if None not in p]
-        if here:
-            size = np.array([len(p) for p, _ in here])
-            grid = np.full((len(here), size.max()), -1, np.int64)
-            for i, (p, _) in enumerate(here):
-                grid[i, : len(p)] = p
-            phrase, start = _occurrences(grid, size, keys, ends, slop)
-            doc = np.searchsorted(firsts - GAP // 2, start, side="right") - 1
-            last = np.minimum(start + size[phrase] + slop, firsts[doc] + counts[doc])
-            start = np.maximum(start - slop, firsts[doc])
-            cover = np.zeros(int(firsts[-1] + counts[-1]) + 2, np.int64)
-            np.add.at(cover, start, 1)
-            np.add.at(cover, last, -1)
-            hit = np.cumsum(cover) > 0
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = total[firsts + counts] - total[firsts]
-            for pair in np.unique(doc * len(here) + phrase):
-                items[pair // len(here)] |= here[pair % len(here)][1]
-            order = np.lexsort([last, start])
-            own = np.stack([start - firsts[doc], last - firsts[doc]], 1)[order].astype(np.int64)
-            at = np.flatnonzero(n_hit)
-            by = doc[order]
-            for d, lo, hi in zip(at, np.searchsorted(by, at), np.searchsorted(by, at, side="right"), strict=True):
-                spans[d] = np.unique(own[lo:hi], axis=0).tobytes()
-    columns = [
+    keys = np.cumsum(_unpack(row["postings"], np.uint32), dtype=np.uint32).astype(np.int64)
+    keys += np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)) << 32
+    n_hit, items, spans = np.zeros(n_docs, np.int64), [[] for _ in range(n_docs)], [b""] * n_docs
+    phrase, start = _found(zstandard.decompress(row["dictionary"]), phrases, keys, ends, slop) if len(ends) and len(phrases.start) else (ids[:0], ids[:0])
+    if len(phrase):
+        doc = np.searchsorted(firsts - GAP // 2, start, side="right") - 1
+        last = np.minimum(start + phrases.size[phrase] + slop, firsts[doc] + counts[doc])
+        start = np.maximum(start - slop, firsts[doc])
+        edge = np.zeros(int(firsts[-1] + counts[-1]) + 2, np.int32)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, last, -1)
+        total = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
+        n_hit = total[firsts + counts] - total[firsts]
+        pairs = np.unique(doc * len(phrases.start) + phrase)
+        at, item = phrases.owners(pairs % len(phrases.start))
+        of = np.unique((pairs // len(phrases.start))[at] * len(phrases.names) + item)
+        by = of // len(phrases.names)
+        named = phrases.names[of % len(phrases.names)]  # names are sorted, so each document's are
+        hit = np.flatnonzero(n_hit)
+        for d, lo, hi in zip(hit.tolist(), np.searchsorted(by, hit), np.searchsorted(by, hit, side="right"), strict=True):
+            items[d] = named[lo:hi].tolist()
+        order = np.lexsort([last, start])
+        own = np.stack([start - firsts[doc], last - firsts[doc]], 1)[order].astype(np.int64)
+        by = doc[order]
+        for d, lo, hi in zip(hit.tolist(), np.searchsorted(by, hit), np.searchsorted(by, hit, side="right"), strict=True):
+            spans[d] = np.unique(own[lo:hi], axis=0).tobytes()
+    names = [x.split()[0] for x in MATCHES.split(", ")]
+    made = [
         pa.array([row["segment"]] * n_docs, pa.string()),
         pa.array(np.arange(n_docs), pa.int32()),
         pa.array(ids[n_docs:], pa.int64(), mask=ids[:n_docs] == 0),
         pa.array(counts, pa.int64()),
         pa.array(n_hit, pa.int64()),
-        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+        pa.array(items, pa.list_(pa.string())),
         pa.array(spans, pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in MATCHES.split(", ")])
+    out = pa.RecordBatch.from_arrays(made, names=names)
+    return out if all_docs else out.filter(pa.array(n_hit > 0))
 
 
 def _merged(parts: list[bytes]) -> tuple[int, bytes]:
@@ -198,26 +245,43 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     found = None
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
-        sent = spark.sparkContext.broadcast(_phrases([(r.item_id, r.text) for r in block.toLocalIterator()], window))
+        sent = spark.sparkContext.broadcast(Phrases([(r.item_id, r.text) for r in block.toLocalIterator()], window))
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    yield _search_segment(batch.slice(i, 1).to_pylist()[0], sent.value, slop)
+                    yield _search_segment(batch.slice(i, 1).to_pylist()[0], sent.value, slop, n_blocks == 1)
+                    release()
 
         part = index.mapInArrow(look, MATCHES)
-        if n_blocks > 1:
-            part = written(part, "matches")
+        if n_blocks == 1:
+            return part
+        part = written(part, "matches")  # of one block, only the documents that it hits
+        sent.unpersist()
         found = part if found is None else found.unionByName(part)
-    if n_blocks == 1:
-        return found
     joined = F.udf(lambda parts: _merged([bytes(p) for p in parts]), "n_hit long, spans binary")
-    return (
-        found.groupBy("segment", "place", "doc_id", "n_words")
+    hits = (
+        found.groupBy("segment", "place")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("spans").alias("parts"))
         .withColumn("merged", joined("parts"))
-        .select("segment", "place", "doc_id", "n_words", "merged.n_hit", "items", "merged.spans")
+        .select("segment", "place", "merged.n_hit", "items", "merged.spans")
     )
+    none = F.array().cast("array<string>")
+    every = index.mapInArrow(_counted, COUNTED).join(hits, ["segment", "place"], "left")
+    return every.select("segment", "place", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.lit(b"")).alias("spans"))
+
+
+COUNTED = "segment string, place int, doc_id long, n_words long"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """segment, place, doc_id, n_words of all documents of the index."""
+    for batch in batches:
+        for row in batch.select(["segment", "doc_ids", "counts"]).to_pylist():
+            ids, counts = _unpack(row["doc_ids"], np.int64), _unpack(row["counts"], np.int64)
+            n = len(counts)
+            made = [pa.array([row["segment"]] * n, pa.string()), pa.array(np.arange(n), pa.int32()), pa.array(ids[n:], pa.int64(), mask=ids[:n] == 0), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, names=[x.split()[0] for x in COUNTED.split(", ")])
 
 
 def contaminated() -> F.Column:
@@ -246,8 +310,9 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")
     index = written(build_index(docs.select(key.alias("doc_id"), "text")), "index")
     bad = search(index, table(spark, sf_dir, "benchmark")).where(contaminated()).select("doc_id").distinct()
-    d, b = docs.alias("d"), bad.alias("b")
-    return d.join(b, F.xxhash64(F.col("d.doc_id").cast("long"), F.col("d.text")) == F.col("b.doc_id"), "left_anti")
+    row = docs.select(F.struct(*columns(docs)).alias("_row"))
+    gone = F.xxhash64(F.col("_row.doc_id").cast("long"), F.col("_row.text")) == F.col("_bad")
+    return row.join(bad.select(F.col("doc_id").alias("_bad")), gone, "left_anti").select("_row.*")
 
 
 #: The same rows by word strings: windows of the items against windows of the documents.
