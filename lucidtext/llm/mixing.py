@@ -15,8 +15,14 @@ up with its leftover, so that about ``FAN`` of a source that are taken once more
 that aren't, are at hand there.
 Chance comes from hashes of the documents, so reruns agree.
 
+Sources are ranked by ranges of names, and the level at which targets stand is found by
+sums over all sources, again and again until no further one reaches its cap: no task
+and no window sees all sources.
+
 Null and empty texts have no words: they take none. A null source is a source. Rows
-that repeat are dealt with one by one. With no words at all, every target is 0.
+that repeat are counted first, then dealt with one by one, each with a chance of its
+own, so they spread over the cells however many they are. With no words at all, every
+target is 0.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ._shared import columns, table, written
 
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -38,20 +44,43 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "x"), r"[\x20\x09-\x0D]+", "")).cast("long")
 
 
+def _ranked(per: DataFrame, by: str) -> DataFrame:
+    """``per`` with _rank: from 0, in the order of ``by``, null last. Ranges of names are numbered on their own."""
+    order = F.col(by).asc_nulls_last()
+    n = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(per.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dict(dealt.groupBy("_part").agg(F.count(F.lit(1))).collect())  # a row for each partition
+    starts, at = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        starts.append(at)
+        at += sizes.get(part, 0)
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return dealt.withColumn("_rank", F.element_at(F.array(*(F.lit(x).cast("long") for x in starts or [0])), F.col("_part") + 1) + inside).drop("_part")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """source, source_size, n_docs, target. ``sizes``: source and size of each document. One row for each source."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("w", weight).withColumn("cap", (max_copies * F.col("source_size")).cast("double"))
-    # sources reach their cap in the order of cap / w; the first that doesn't sets the level for all after it
-    by_cap = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1))
-    per = per.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
-    level = F.first(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level")), ignorenulls=True).over(by_cap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return per.select("source", "source_size", "n_docs", F.least(F.coalesce(level * F.col("w"), F.col("cap")), F.col("cap")).alias("target"))
+    weight = F.element_at(F.array(*(F.lit(w).cast("long") for w in weights)), (F.pmod("_rank", F.lit(len(weights))) + 1).cast("int"))
+    per = written(_ranked(per, "source").withColumn("w", weight).withColumn("cap", F.lit(max_copies) * F.col("source_size")), "sources")
+    total, w = per.agg(F.sum("source_size"), F.sum("w")).first()
+    capped = (0, 0)  # sums of the caps and weights of the sources that have reached theirs
+    level = 0.0
+    while total:  # ends: each round more sources reach their cap, or it is the last
+        left, rest = total - capped[0], w - capped[1]
+        if rest <= 0:
+            level = None
+            break
+        level = left / rest
+        # in whole numbers: cap * rest < w * left says that the source's cap lies below the level
+        full = F.col("cap").cast("decimal(38,0)") * F.lit(rest).cast("decimal(19,0)") < F.col("w").cast("decimal(19,0)") * F.lit(left).cast("decimal(38,0)")
+        now = per.where(full).agg(F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+        if tuple(now) == tuple(capped):
+            break
+        capped = tuple(now)
+    cap = F.col("cap").cast("double")
+    share = cap if level is None else F.least(F.lit(level) * F.col("w"), cap)
+    return per.select("source", "source_size", "n_docs", share.alias("target"))
 
 
 _GAIN = "least((1 - acc.cur.p) * acc.cur.size, x.p * x.size)"
@@ -90,17 +119,31 @@ _LAST = f"""aggregate(reverse(array_sort(transform(done, u -> named_struct('size
     ELSE named_struct('e', acc.e, 'done', concat(acc.done, array(x.unit))) END).done"""
 
 
+#: Rows that repeat are dealt out in chunks of so many.
+CHUNK_ROWS = 1_000_000
+
+
+def _told_apart(sizes: DataFrame) -> DataFrame:
+    """doc_id, source, size and k, a hash of its own for each row: rows that are equal are counted and numbered."""
+    counted = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    chunks = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK_ROWS))))
+    if (counted.agg(F.max("n")).first()[0] or 0) > CHUNK_ROWS:
+        chunks = chunks.repartition("doc_id", "source", "size", "chunk")
+    last = F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK_ROWS) - 1
+    each = chunks.select("doc_id", "source", "size", F.explode(F.sequence(F.col("chunk") * CHUNK_ROWS, last)).alias("i"))
+    return each.select("doc_id", "source", "size", F.xxhash64("doc_id", "size", "i").alias("k"))
+
+
 def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """doc_id, size, source, source_size, target, copies of each row of ``sizes`` (doc_id long, source, size long)."""
     per = written(targets(sizes, weights, max_copies), "targets")
     n, most = per.agg(F.count(F.lit(1)), F.max("n_docs")).first()
     side = F.broadcast(per) if n <= SENT_SOURCES else per
-    s = sizes.select("doc_id", "source", "size").alias("s")
+    s = _told_apart(sizes.select("doc_id", "source", "size")).alias("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = (
         s.join(side.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
-        .select("s.doc_id", "s.source", "s.size", "t.n_docs", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"))
-        .withColumn("k", F.xxhash64("doc_id", "size"))
+        .select("s.doc_id", "s.source", "s.size", "t.n_docs", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"), "s.k")
     )
     still = (F.col("p") <= 0) | (F.col("size") == 0)
     # cells of the lowest level; each level above has FAN times fewer
@@ -140,22 +183,28 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; columns stay.
 
-    Rows with the same doc_id and text share the sum of their copies evenly, the
-    first ones getting what is left over.
+    Rows of one doc_id, source and size share the sum of their copies evenly; what is left over
+    goes to one more copy each of as many of them. Texts without words aren't taken.
     """
-    h = F.xxhash64("text")
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), h.alias("h")), "sizes")
-    mixed = mix(sizes.select("doc_id", "source", "size"))
-    # copies belong to (doc_id, size, source); rows that share these are told apart by rank alone
-    takes = mixed.groupBy("doc_id", "size", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    cols = docs.columns
-    row = docs.select(F.struct(*cols).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"))
-    t = written(takes, "takes").alias("t")
+    sized = docs.select(F.struct(*columns(docs)).alias("_row"))
+    own = (F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.source").alias("source"), word_count(F.col("_row.text")).alias("size"))
+    mixed = mix(written(sized.select(*own), "sizes"))
+    # copies belong to (doc_id, source, size); rows that share these are told apart by their number
+    t = written(mixed.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")), "takes").alias("t")
+    row = sized.select("_row", *(c.alias(f"_{n}") for c, n in zip(own, ("id", "source", "size"), strict=True)))
     cond = F.col("_id").eqNullSafe(F.col("t.doc_id")) & F.col("_source").eqNullSafe(F.col("t.source")) & (F.col("_size") == F.col("t.size"))
-    joined = row.join(t, cond).select("_row", "_id", "_source", "_size", "t.copies", "t.rows")
-    single = joined.where("rows = 1").select("_row", F.col("copies").alias("n"))
-    if not takes.where("rows > 1").isEmpty():
-        rank = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("_row.text")))
-        several = joined.where("rows > 1").withColumn("rank", rank)
-        single = single.unionByName(several.select("_row", (F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("rank") <= F.col("copies") % F.col("rows"), 1).otherwise(0)).alias("n")))
-    return single.where("n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("_row.*")
+    taken = t.where("copies > 0")
+    one = row.join(taken.where("rows = 1").alias("t"), cond).select("_row", F.col("t.copies").alias("n"))
+    many = taken.where("rows > 1")
+    if not many.isEmpty():
+        key = ["_id", "_source", "_size"]
+        several = written(row.join(many.alias("t"), cond).select("_row", *key, "t.copies", "t.rows").withColumn("_part", F.spark_partition_id()), "several")
+        # numbered within each partition, then from what the partitions before hold: no task has all rows of a key
+        per_part = several.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_c"))
+        start = F.coalesce(F.sum("_c").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = per_part.select(*(F.col(k).alias(f"s{k}") for k in key), F.col("_part").alias("s_part"), start.alias("_start"))
+        same = [F.col(k).eqNullSafe(F.col(f"s{k}")) for k in key] + [F.col("_part") == F.col("s_part")]
+        rank = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(F.xxhash64("_row.text"))) + F.col("_start")
+        several = several.join(starts, same).withColumn("_rank", rank)
+        one = one.unionByName(several.select("_row", (F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("_rank") <= F.col("copies") % F.col("rows"), 1).otherwise(0)).alias("n")))
+    return one.where("n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("_row.*")
