@@ -4,7 +4,8 @@ A row's shard follows from its key and the number of shards alone; with one more
 shard, rows move only into the new one, and no ring table is kept. Slots number the
 rows of a shard without gaps: shards are cut into chunks of equal hash range, counted
 in one aggregation, and numbered chunk by chunk from the counts before them, so that
-no task holds a whole shard.
+no task holds a whole shard. A chunk with too many different rows, as of a key that
+very many rows have, is cut further by a hash of the rows themselves.
 
 A null key hashes like a fixed number of its own. Rows that agree in everything the
 order looks at are counted before they are dealt out and numbered one after the
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import few, table
 from ._words import mix
 
 SHARDS = 24
@@ -60,18 +61,22 @@ def placed(shards: int):
 
 
 def shard(rows: DataFrame, key: str, shards: int, order: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``key`` (a long), ``order`` and shard, grown_shard, slot for each row; slots follow the key's hash, the key, then ``order``."""
+    """``key`` (a long), ``order`` and shard, grown_shard, slot for each row; slots follow the chunk, the key's hash, the key, then ``order``."""
     cols = [key, *order]
     given = rows.select(*cols).withColumn("_p", placed(shards)(key)).select(*cols, "_p.*")
     # equal rows are counted in place, so that a key with very many rows stays small
     counted = given.groupBy(*cols, "h", "shard", "grown_shard").agg(F.count(F.lit(1)).alias("_n"))
     bits = max(0, min(20, (rows.count() // (shards * chunk_rows)).bit_length()))
     counted = counted.withColumn("_chunk", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long"))
-    per_chunk = counted.groupBy("shard", "_chunk").agg(F.sum("_n").alias("_rows"))
-    before = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_chunk.select("shard", "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_chunk").orderBy("h", *cols).rowsBetween(Window.unboundedPreceding, -1)
-    dealt = counted.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, ["shard", "_chunk"])
+    wide = counted.groupBy("shard", "_chunk").agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > 8 * chunk_rows)
+    wide = wide.select("shard", "_chunk", F.ceil(F.col("_many") / chunk_rows).alias("_cuts"))
+    cut = F.pmod(F.xxhash64(*cols), F.coalesce("_cuts", F.lit(1)))
+    counted = counted.join(few(wide, 3), ["shard", "_chunk"], "left").withColumn("_cut", cut).drop("_cuts")
+    per_chunk = counted.groupBy("shard", "_chunk", "_cut").agg(F.sum("_n").alias("_rows"))
+    before = Window.partitionBy("shard").orderBy("_chunk", "_cut").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_chunk.select("shard", "_chunk", "_cut", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("shard", "_chunk", "_cut").orderBy("h", *cols).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = counted.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, ["shard", "_chunk", "_cut"])
     first = F.col("_start") + F.col("_before")
     return dealt.withColumn("slot", F.explode(F.sequence(first, first + F.col("_n") - 1))).select(*cols, "shard", "grown_shard", "slot")
 
