@@ -4,14 +4,15 @@ Documents go to shards in ascending doc_id order; each shard becomes one file th
 holds its ids as a wavelet matrix: for every bit of an id, from the highest, a plane
 of bits in an order that the planes above decide, with a directory of counts. The
 file answers what id stands at a place, how often an id occurs in a range and where,
-without being decoded as a whole, and can be decoded as a whole.
+by unpacking only the blocks that the question touches, and can be decoded as a whole.
 
-File: b"WVM1", then little-endian uint32 length of a JSON header, the header, and
+File: b"WVM2", then little-endian uint32 length of a JSON header, the header, and
 zstandard blocks in the header's order: doc_ids (int64), known (uint8, 0: null
-doc_id), lengths (int64), and for each bit the plane (packed bits, lowest first) and its
-directory (uint32 count of ones before each 512 bits).
+doc_id), lengths (int64), for each bit its directory (uint32 count of ones before each
+512 bits), and for each bit the plane (packed bits, lowest first) in blocks of ``PLANE`` bytes.
+There are as many bits as the tokenizer's largest id needs.
 
-Null and empty texts have the end id alone. Equal doc_ids stand in the order of
+Null and empty texts have the end id alone. Equal doc_ids stand in the order of a hash of
 their texts; null doc_ids stand first. An empty table gives no files and no rows.
 """
 
@@ -32,17 +33,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words
-from ._shared import bound_batches, table, written
+from ._shared import bound_batches, parts, release, table, written
 
 END = 2
 #: A file is closed at so many ids, at the end of the document that reaches it.
 FILE_IDS = 4_000_000
 #: Text bytes encoded at once: ids and offsets take many times as much.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 BLOCK = 512
+#: Bytes of a plane that are compressed together.
+PLANE = 1 << 15
 #: Distinct pieces of texts whose ids a worker remembers, and the bytes and ids it remembers before it begins anew.
-REMEMBERED = 600_000
-REMEMBERED_SIZE = 32 << 20
+REMEMBERED = 300_000
+REMEMBERED_SIZE = 16 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -155,47 +158,62 @@ def _pack(a: np.ndarray) -> bytes:
 
 def encode_file(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, bits: int = 16) -> bytes:
     """The file of one shard."""
-    blocks = [_pack(doc_ids.astype("<i8")), _pack(known.astype(np.uint8)), _pack(lengths.astype("<i8"))]
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"ids of more than {bits} bits")
     cur = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-    zeros = []
+    zeros, planes, ones = [], [], []
     for b in range(bits - 1, -1, -1):
         bit = (cur & cur.dtype.type(1 << b)) != 0
         plane = np.packbits(bit, bitorder="little")
         plane = np.concatenate([plane, np.zeros(-len(plane) % (BLOCK // 8), np.uint8)])
-        ones = np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
-        blocks += [_pack(plane), _pack((np.cumsum(ones) - ones).astype("<u4"))]
+        count = np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
+        ones.append(_pack((np.cumsum(count) - count).astype("<u4")))
+        planes += [_pack(plane[k : k + PLANE]) for k in range(0, len(plane), PLANE)]
         low = cur[~bit]
         zeros.append(len(low))
         cur = np.concatenate([low, cur[bit]])
+    blocks = [_pack(doc_ids.astype("<i8")), _pack(known.astype(np.uint8)), _pack(lengths.astype("<i8")), *ones, *planes]
     head = json.dumps({"n": len(ids), "docs": len(doc_ids), "bits": bits, "zeros": zeros, "blocks": [len(x) for x in blocks]}).encode()
-    return b"".join([b"WVM1", struct.pack("<I", len(head)), head, *blocks])
+    return b"".join([b"WVM2", struct.pack("<I", len(head)), head, *blocks])
 
 
 class WaveletFile:
-    """Reads a file made by ``encode_file``."""
+    """Reads a file made by ``encode_file``; a block is unpacked when it is first needed."""
 
     def __init__(self, data: bytes) -> None:
-        if data[:4] != b"WVM1":
+        if data[:4] != b"WVM2":
             raise ValueError("not a wavelet matrix file")
         (k,) = struct.unpack("<I", data[4:8])
         head = json.loads(data[8 : 8 + k])
         self.n, self.bits, self.zeros = head["n"], head["bits"], head["zeros"]
-        at, raw = 8 + k, []
-        for size in head["blocks"]:
-            raw.append(zstandard.decompress(data[at : at + size]))
-            at += size
-        self.doc_ids, self.known, self.lengths = np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[1], np.uint8).astype(bool), np.frombuffer(raw[2], "<i8")
-        self.planes = [np.frombuffer(x, np.uint8) for x in raw[3::2]]
-        self.ones = [np.frombuffer(x, "<u4") for x in raw[4::2]]
+        self._data, self._at = data, np.concatenate([[0], np.cumsum(head["blocks"])]) + 8 + k
+        self._unpacked: dict[int, bytes] = {}
+        self._each = (len(head["blocks"]) - 3 - self.bits) // self.bits  # blocks of a plane
+        self.doc_ids, self.known, self.lengths = np.frombuffer(self._block(0), "<i8"), np.frombuffer(self._block(1), np.uint8).astype(bool), np.frombuffer(self._block(2), "<i8")
+
+    def _block(self, k: int, keep: bool = True) -> bytes:
+        raw = self._unpacked.get(k)
+        if raw is None:
+            raw = zstandard.decompress(self._data[self._at[k] : self._at[k + 1]])
+            if keep:
+                self._unpacked[k] = raw
+        return raw
+
+    def _ones(self, level: int) -> np.ndarray:
+        return np.frombuffer(self._block(3 + level), "<u4")
+
+    def _bytes(self, level: int, lo: int, hi: int) -> np.ndarray:
+        """Bytes lo to hi of a plane, of one block of it."""
+        return np.frombuffer(self._block(3 + self.bits + level * self._each + lo // PLANE), np.uint8)[lo % PLANE : lo % PLANE + hi - lo]
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones before place i of a plane."""
-        block = min(i // BLOCK, len(self.ones[level]) - 1) if len(self.ones[level]) else 0
-        if not len(self.ones[level]):
+        ones = self._ones(level)
+        if not len(ones):
             return 0
-        lo, hi = block * BLOCK // 8, i // 8
-        count = int(self.ones[level][block]) + int(np.bitwise_count(self.planes[level][lo:hi]).sum())
-        return count + (int(self.planes[level][hi]) & ((1 << i % 8) - 1)).bit_count() if i % 8 else count
+        block = min(i // BLOCK, len(ones) - 1)
+        bits = np.unpackbits(self._bytes(level, block * BLOCK // 8, (block + 1) * BLOCK // 8), count=i - block * BLOCK, bitorder="little")
+        return int(ones[block]) + int(bits.sum())
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -203,7 +221,7 @@ class WaveletFile:
             raise IndexError(i)
         value = 0
         for level in range(self.bits):
-            bit = self.planes[level][i // 8] >> i % 8 & 1
+            bit = self._bytes(level, i // 8, i // 8 + 1)[0] >> i % 8 & 1
             ones = self._rank1(level, i)
             value = value << 1 | int(bit)
             i = self.zeros[level] + ones if bit else i - ones
@@ -230,11 +248,11 @@ class WaveletFile:
             one = token >> (self.bits - 1 - level) & 1
             want = at - self.zeros[level] if one else at
             # the place where so many ones (or zeros) stand before, and one itself
-            before = self.ones[level].astype(np.int64)
+            before = self._ones(level).astype(np.int64)
             if not one:
                 before = np.arange(len(before)) * BLOCK - before
             block = int(np.searchsorted(before, want, side="right")) - 1
-            bits = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
+            bits = np.unpackbits(self._bytes(level, block * BLOCK // 8, (block + 1) * BLOCK // 8), bitorder="little")
             at = block * BLOCK + int(np.flatnonzero(bits == one)[want - int(before[block])])
         return at
 
@@ -245,7 +263,9 @@ class WaveletFile:
         """All ids."""
         cur = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            first = 3 + self.bits + level * self._each
+            plane = np.frombuffer(b"".join(self._block(k, keep=False) for k in range(first, first + self._each)), np.uint8)
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             out = np.empty_like(cur)
             out[~bit] = cur[: self.zeros[level]]
             out[bit] = cur[self.zeros[level] :] | cur.dtype.type(1 << (self.bits - 1 - level))
@@ -256,10 +276,18 @@ class WaveletFile:
 FILES = "shard string, n_tokens long, file binary"
 
 
-def write_files(docs: DataFrame, path: str, bits: int = 16, file_ids: int = FILE_IDS) -> DataFrame:
+def bits_for(path: str) -> int:
+    """Bits of the largest id of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    return max(END, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()).bit_length()
+
+
+def write_files(docs: DataFrame, path: str, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files: shard (in doc_id order), n_tokens, file."""
     spark = docs.sparkSession
     bound_batches(spark, BATCH_BYTES)
+    bits = bits_for(path)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -284,12 +312,16 @@ def write_files(docs: DataFrame, path: str, bits: int = 16, file_ids: int = FILE
             if many >= file_ids:
                 yield file()
                 held, many, k = [], 0, k + 1
+            del ids, lengths
+            release()
         if held:
             yield file()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(build, FILES)
+    # rows of one doc_id, null above all, may fill many partitions: the hash of the text and, for rows that repeat, the row's place tell them apart
+    order = [F.col("doc_id"), F.col("_h"), F.col("_row")]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    ordered = keyed.repartitionByRange(parts(docs), *order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "text").mapInArrow(build, FILES)
 
 
 DOCS = "shard string, doc_id long, in_shard long, n_tokens long, ids_crc32 long"
@@ -307,11 +339,15 @@ def read_files(files: DataFrame) -> DataFrame:
                 starts = ends - f.lengths
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
                 shard = pa.array([batch.column("shard")[i].as_py()] * len(starts), pa.string())
+                del ids
                 yield pa.RecordBatch.from_arrays([shard, pa.array(f.doc_ids, pa.int64(), mask=~f.known), pa.array(starts, pa.int64()), pa.array(f.lengths, pa.int64()), pa.array(crc, pa.int64())], names=["shard", "doc_id", "in_shard", "n_tokens", "ids_crc32"])
 
-    # one row for each file of millions of ids
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    # ids before each part, then before each file of a part: one row for each part meets in a task
+    part = F.substring("shard", 1, 8).alias("part")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = files.select("shard", part, "n_tokens")
+    of_part = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("base"))
+    bases = sizes.withColumn("inner", before(Window.partitionBy("part").orderBy("shard"))).join(of_part, "part").select("shard", (F.col("base") + F.col("inner")).alias("base"))
     docs = files.select("shard", "file").mapInArrow(read, DOCS)
     return docs.join(bases, "shard").select("doc_id", (F.col("base") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")
 
