@@ -39,67 +39,98 @@ def _syllables(lower: pa.Array, words: np.ndarray) -> np.ndarray:
     return n * words
 
 
-def _tokens(texts: list[str], start: np.ndarray, sentence: np.ndarray) -> pa.Array:
-    """Token structs; ``sentence`` numbers the sentences of a batch."""
-    text = pa.array(texts, pa.string())
-    lower = pc.utf8_lower(text)
-    word = pc.match_substring_regex(text, r"^\p{L}").to_numpy(zero_copy_only=False)
-    digit = pc.match_substring_regex(text, "^[0-9]").to_numpy(zero_copy_only=False)
-    kind = pa.array(np.array(["p", "d", "w"])[word * 2 + digit], pa.string())
-    at = np.arange(len(texts))
-    first = np.searchsorted(sentence, sentence)
-    length = np.fromiter(map(len, texts), np.int64, len(texts))
-
-    def beside(k: int) -> pa.Array:
-        there = at + k
-        inside = (there >= 0) & (there < len(at))
-        inside[inside] = sentence[there[inside]] == sentence[inside]
-        return lower.take(pa.array(np.where(inside, there, 0), mask=~inside))
-
-    columns = [at - first, start, start + length, text, lower, kind, _syllables(lower, word), beside(-1), beside(1), beside(2)]
-    return pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int32()) for c in columns], fields=list(_TOKEN_TYPE))
-
-
-def _annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, start, sentence = [], [], []
-        doc_ids, numbers, begins, ends, sents = [], [], [], [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+class Scanned:
+    """The sentences and tokens of a batch of texts. Words are told once: ``word`` numbers the batch's distinct tokens.
+
+    doc_ids: of each row with tokens; row: place in the batch; doc: the row each sentence belongs to; numbers, begins, ends, sents: of
+    the sentences; start, sentence: of the tokens; first: the first token of each sentence, and the number of all.
+    """
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        texts: list[str] = []
+        start, sentence = [], []
+        self.texts = batch.column("text").to_pylist()
+        self.row, self.doc, self.numbers, self.begins, self.ends, self.sents = [], [], [], [], [], []
+        for row, text in enumerate(self.texts):
             if not text:
                 continue
-            bounds = [m.start() for m in _SENTENCE.finditer(text)] + [len(text)]
             found = [(m.start(), m.group()) for m in _TOKEN.finditer(text)]
             if not found:
                 continue
+            bounds = [m.start() for m in _SENTENCE.finditer(text)] + [len(text)]
             at = np.array([x for x, _ in found])
             # sentences without a token are blank
             numbered, place = np.unique(np.searchsorted(bounds, at, side="right"), return_inverse=True)
             texts += [x for _, x in found]
             start.append(at)
-            sentence.append(place + len(sents))
+            sentence.append(place + len(self.sents))
             for n in numbered.tolist():
-                doc_ids.append(doc_id)
-                numbers.append(n)
-                begins.append(bounds[n - 1])
-                ends.append(bounds[n])
-                sents.append(text[bounds[n - 1] : bounds[n]])
-        if not texts:
+                self.doc.append(len(self.row))
+                self.numbers.append(n)
+                self.begins.append(bounds[n - 1])
+                self.ends.append(bounds[n])
+                self.sents.append(text[bounds[n - 1] : bounds[n]])
+            self.row.append(row)
+        self.doc_ids = batch.column("doc_id").take(pa.array(self.row, pa.int64()))
+        none = np.zeros(0, np.int64)
+        self.start, self.sentence = np.concatenate(start or [none]), np.concatenate(sentence or [none])
+        self.first = np.searchsorted(self.sentence, np.arange(len(self.sents) + 1))
+        coded = pa.array(texts, pa.string()).dictionary_encode()
+        self.word, self.text = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        self.lower = pc.utf8_lower(self.text)
+        letters = pc.match_substring_regex(self.text, r"^\p{L}").to_numpy(zero_copy_only=False)
+        digit = pc.match_substring_regex(self.text, "^[0-9]").to_numpy(zero_copy_only=False)
+        self.kind = pa.array(np.array(["p", "d", "w"])[letters * 2 + digit], pa.string())
+        self.n_syll = _syllables(self.lower, letters)
+        self.length = pc.utf8_length(self.text).to_numpy()
+
+    def words(self) -> dict[str, pa.Array | np.ndarray]:
+        """The distinct tokens, for predicates."""
+        return {"text": self.text, "lower": self.lower, "kind": self.kind, "n_syll": self.n_syll}
+
+    def beside(self, tokens: np.ndarray, k: int) -> pa.Array:
+        """The k-th token after each of these, in lower case; null beyond the sentence."""
+        there = tokens + k
+        inside = (there >= 0) & (there < len(self.word))
+        inside[inside] = self.sentence[there[inside]] == self.sentence[tokens[inside]]
+        return self.lower.take(pa.array(np.where(inside, self.word[np.where(inside, there, 0)], 0), mask=~inside))
+
+    def columns(self, tokens: np.ndarray) -> list[pa.Array]:
+        """i, t_start, t_end, text, lower, kind, n_syll, prev1, next1, next2 of some tokens."""
+        word, start = self.word[tokens], self.start[tokens]
+        at = pa.array(word)
+        numbers = [pa.array(x, pa.int32()) for x in (tokens - self.first[self.sentence[tokens]], start, start + self.length[word])]
+        return [*numbers, self.text.take(at), self.lower.take(at), self.kind.take(at), pa.array(self.n_syll[word], pa.int32()), self.beside(tokens, -1), self.beside(tokens, 1), self.beside(tokens, 2)]
+
+
+def _annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        s = Scanned(batch)
+        if not s.sents:
             continue
-        of = np.concatenate(sentence)
-        offsets = np.searchsorted(of, np.arange(len(sents) + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), _tokens(texts, np.concatenate(start), of))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip((doc_ids, numbers, begins, ends, sents, lists), _SENTENCE_TYPE, strict=True)], schema=_SENTENCE_TYPE)
+        tokens = pa.StructArray.from_arrays(s.columns(np.arange(len(s.word))), fields=list(_TOKEN_TYPE))
+        lists = pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), tokens)
+        made = [s.doc_ids.take(pa.array(s.doc)), s.numbers, s.begins, s.ends, s.sents, lists]
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, _SENTENCE_TYPE, strict=True)], schema=_SENTENCE_TYPE)
 
 
-def token_arrays(docs: DataFrame) -> DataFrame:
-    """doc_id, sent_no, start_char, end_char, text, ts (array of token structs) of each sentence that isn't blank."""
+def spark_type(schema: pa.Schema) -> StructType:
+    return StructType.fromJson(from_arrow_type(pa.struct(list(schema))).jsonValue())
+
+
+def batched(docs: DataFrame) -> DataFrame:
+    """doc_id and text in batches of bounded size, dealt out to all cores."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    schema = StructType.fromJson(from_arrow_type(pa.struct(list(_SENTENCE_TYPE))).jsonValue())
     cores = 0 if docs.isStreaming else spark.sparkContext.defaultParallelism
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # a small input in one file would keep one core busy
-    return (texts.repartition(cores) if cores and texts.rdd.getNumPartitions() < cores else texts).mapInArrow(_annotate, schema)
+    return texts.repartition(cores) if cores and texts.rdd.getNumPartitions() < cores else texts
+
+
+def token_arrays(docs: DataFrame) -> DataFrame:
+    """doc_id, sent_no, start_char, end_char, text, ts (array of token structs) of each sentence that isn't blank."""
+    return batched(docs).mapInArrow(_annotate, spark_type(_SENTENCE_TYPE))
 
 
 def sentences(docs: DataFrame) -> DataFrame:

@@ -1,32 +1,33 @@
-"""The eighteen rules as plans over tokens, sentences and documents.
+"""The eighteen rules, from one pass over the texts (``findings``).
 
-A rule is one or several declarations: a predicate over the token table or over the
-sentence table with its term and message, or a plan of its own. All rules give the
-same columns: doc_id, rule, sent_no, t_start, t_end, term, message.
+A rule is one or several declarations: a predicate over words, and what must stand beside them; a predicate over a
+sentence's counts; a pattern in a sentence's words or text; a pattern in the whole text; or a first occurrence, a
+count or a pair within a document. All rules give the same columns: doc_id, rule, sent_no, t_start, t_end, term, message.
 
 Predicates are SQL in the part that Spark and DuckDB share; ``rx(a, 'p')`` stands for
-a regular-expression search. Rules that need a parser work on closed word classes and
+a regular-expression search. Those over words are evaluated on Arrow columns, once for each distinct word of a batch
+(``functions.predicates``). Rules that need a parser work on closed word classes and
 word shapes instead (tier 1); they are approximations and say so in ``TIERS``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
 from .annotate import TOKENS_SQL, Annotated
+from .findings import Wanted, findings
 
 COLUMNS = ("doc_id", "rule", "sent_no", "t_start", "t_end", "term", "message")
 
 #: 0: exact on regex tokens; 1: closed classes and shapes instead of a parser.
 TIERS = {
-    "abkuerzungen": 0, "fremdwoerter": 1, "genitiv": 1, "interpunktion": 0, "komplexitaet": 0, "komposita": 1, "konjunktiv": 1,
-    "kurze_woerter": 0, "mehrere_aussagen": 0, "nebensaetze": 1, "negationen": 1, "passiv_erkennung": 1, "perplexity_saetze": 1,
+    "abkuerzungen": 1, "fremdwoerter": 1, "genitiv": 1, "interpunktion": 0, "komplexitaet": 0, "komposita": 1, "konjunktiv": 1,
+    "kurze_woerter": 0, "mehrere_aussagen": 1, "nebensaetze": 1, "negationen": 1, "passiv_erkennung": 1, "perplexity_saetze": 1,
     "personalpronomen": 1, "redewendungen": 0, "satzlaenge": 1, "synonyme": 1, "zahlwoerter": 0,
 }
 
@@ -72,26 +73,30 @@ def complexity_bonus() -> str:
     return f"((CASE WHEN length(text) > 15 THEN 15 WHEN length(text) > 12 THEN 8 ELSE 0 END) + (CASE WHEN {suffix} THEN 10 ELSE 0 END) + (CASE WHEN {prefix} THEN 5 ELSE 0 END))"
 
 
-#: (rule, predicate over tokens, message)
-TOKEN_RULES: tuple[tuple[str, str, str], ...] = (
-    ("kurze_woerter", f"{COUNTED} AND {LONG}", "concat(CASE WHEN n_syll >= 6 THEN 'Sehr langes Wort' WHEN n_syll >= 4 THEN 'Langes Wort' ELSE 'Etwas langes Wort' END, ' \"', text, '\" (', n_syll, ' Silben, ', length(text), ' Zeichen).')"),
-    ("komposita", f"{_WORD} AND {_CAPITAL} AND length(text) >= 12 AND text NOT LIKE '%-%'", "concat(CASE WHEN length(text) > 25 THEN 'Sehr langes Kompositum' WHEN length(text) > 20 THEN 'Langes Kompositum' ELSE 'Komplexes Kompositum' END, ' \"', text, '\" (', CASE WHEN length(text) > 25 THEN 'sehr hoch' WHEN length(text) > 20 THEN 'hoch' ELSE 'mittel' END, ').')"),
-    ("komplexitaet", f"{_WORD} AND length(text) >= 3 AND {complexity_bonus()} >= 10", f"concat('Komplexes Wort \"', text, '\" (Bonus ', {complexity_bonus()}, ').')"),
-    ("zahlwoerter", f"{_WORD} AND {_in('lower', L.NUMBER_WORDS)}", "concat('Zahlwort \"', text, '\" sollte als Ziffer geschrieben werden. Text-Position: ', t_start, '-', t_end)"),
-    ("zahlwoerter", f"{_WORD} AND (rx(text, '{L.ROMAN}') OR rx(lower, '{L.NUMBERS_TO_100}'))", "concat('Zahl \"', text, '\" sollte als Ziffer geschrieben werden. Text-Position: ', t_start, '-', t_end)"),
-    ("negationen", f"{_WORD} AND {_in('lower', L.NEG_PARTICLES)}", "concat('Negationspartikel \"', text, '\" macht den Satz schwer verständlich.')"),
-    ("negationen", f"{_WORD} AND {_in('lower', L.NEG_DETERMINERS)}", "concat('Negative Bestimmung \"', text, '\" macht den Satz schwer verständlich.')"),
-    ("negationen", f"{_WORD} AND {_in('lower', L.NEG_ADVERBS)}", "concat('Negative Aussage (Adverb) \"', text, '\" macht den Satz schwer verständlich.')"),
-    ("negationen", f"{_WORD} AND {_in('lower', L.NEG_PRONOUNS)}", "concat('Negative Aussage (Pronomen) \"', text, '\" macht den Satz schwer verständlich.')"),
-    ("negationen", f"{_WORD} AND length(lower) >= 5 AND NOT {_in('lower', L.NEG_STOPLIST)} AND (rx(lower, '^un') AND length(lower) > 4 OR rx(lower, '^miss') AND length(lower) > 6 OR rx(lower, 'los$') AND length(lower) > 5 OR rx(lower, 'frei$') AND length(lower) > 6)", "concat('Negationsform \"', text, '\" erschwert das Verständnis.')"),
-    ("konjunktiv", f"{_WORD} AND {_in('lower', L.SUBJUNCTIVE_FORMS)} AND NOT (lower = 'sei' AND coalesce(prev1, '') = 'es' AND coalesce(next1, '') = 'denn')", "concat('Konjunktiv \"', text, '\".')"),
-    ("genitiv", f"{_WORD} AND lower = 'des' AND rx(coalesce(next1, ''), '^[a-zäöüß]{{3,}}s$')", "concat('Genitiv \"', text, ' ', next1, '\".')"),
-    ("genitiv", f"{_WORD} AND {_in('lower', L.GENITIVE_PREPOSITIONS)} AND {_in('''coalesce(next1, '')''', ('des', 'der', 'eines', 'einer'))}", "concat('Genitiv \"', text, ' ', next1, '\".')"),
-    ("passiv_erkennung", f"{_WORD} AND length(lower) >= 7 AND rx(text, '^[a-zäöüß]') AND rx(lower, '(bar|abel)$')", "concat('Passivähnliches Adjektiv \"', text, '\".')"),
-    ("nebensaetze", f"text = ',' AND {_in('''coalesce(next1, '')''', L.SUBORDINATORS)}", "concat('Nebensatz mit \"', next1, '\".')"),
-    ("nebensaetze", f"text = ',' AND {_in('''coalesce(next1, '')''', L.RELATIVE_PRONOUNS)}", "concat('Relativsatz mit \"', next1, '\".')"),
-    ("personalpronomen", f"{_WORD} AND lower = 'man'", "concat('Unpersönliches \"', text, '\".')"),
-    ("personalpronomen", f"{_WORD} AND {_in('lower', L.THIRD_PERSON)} AND NOT (i > 0 AND {_CAPITAL})", "concat('Pronomen \"', text, '\" ohne klaren Bezug.')"),
+#: (rule, predicate over words, what must hold besides of the token and its neighbours, message)
+TOKEN_RULES: tuple[tuple[str, str, str, str], ...] = (
+    ("kurze_woerter", f"{COUNTED} AND {LONG}", "", "concat(CASE WHEN n_syll >= 6 THEN 'Sehr langes Wort' WHEN n_syll >= 4 THEN 'Langes Wort' ELSE 'Etwas langes Wort' END, ' \"', text, '\" (', n_syll, ' Silben, ', length(text), ' Zeichen).')"),
+    ("komposita", f"{_WORD} AND {_CAPITAL} AND length(text) >= 12 AND text NOT LIKE '%-%'", "", "concat(CASE WHEN length(text) > 25 THEN 'Sehr langes Kompositum' WHEN length(text) > 20 THEN 'Langes Kompositum' ELSE 'Komplexes Kompositum' END, ' \"', text, '\" (', CASE WHEN length(text) > 25 THEN 'sehr hoch' WHEN length(text) > 20 THEN 'hoch' ELSE 'mittel' END, ').')"),
+    ("komplexitaet", f"{_WORD} AND length(text) >= 3 AND {complexity_bonus()} >= 10", "", f"concat('Komplexes Wort \"', text, '\" (Bonus ', {complexity_bonus()}, ').')"),
+    ("zahlwoerter", f"{_WORD} AND {_in('lower', L.NUMBER_WORDS)}", "", "concat('Zahlwort \"', text, '\" sollte als Ziffer geschrieben werden. Text-Position: ', t_start, '-', t_end)"),
+    ("zahlwoerter", f"{_WORD} AND (rx(text, '{L.ROMAN}') OR rx(lower, '{L.NUMBERS_TO_100}'))", "", "concat('Zahl \"', text, '\" sollte als Ziffer geschrieben werden. Text-Position: ', t_start, '-', t_end)"),
+    ("negationen", f"{_WORD} AND {_in('lower', L.NEG_PARTICLES)}", "", "concat('Negationspartikel \"', text, '\" macht den Satz schwer verständlich.')"),
+    ("negationen", f"{_WORD} AND {_in('lower', L.NEG_DETERMINERS)}", "", "concat('Negative Bestimmung \"', text, '\" macht den Satz schwer verständlich.')"),
+    ("negationen", f"{_WORD} AND {_in('lower', L.NEG_ADVERBS)}", "", "concat('Negative Aussage (Adverb) \"', text, '\" macht den Satz schwer verständlich.')"),
+    ("negationen", f"{_WORD} AND {_in('lower', L.NEG_PRONOUNS)}", "", "concat('Negative Aussage (Pronomen) \"', text, '\" macht den Satz schwer verständlich.')"),
+    ("negationen", f"{_WORD} AND length(lower) >= 5 AND NOT {_in('lower', L.NEG_STOPLIST)} AND (rx(lower, '^un') AND length(lower) > 4 OR rx(lower, '^miss') AND length(lower) > 6 OR rx(lower, 'los$') AND length(lower) > 5 OR rx(lower, 'frei$') AND length(lower) > 6)", "", "concat('Negationsform \"', text, '\" erschwert das Verständnis.')"),
+    ("konjunktiv", f"{_WORD} AND {_in('lower', L.SUBJUNCTIVE_FORMS)}", "NOT (lower = 'sei' AND coalesce(prev1, '') = 'es' AND coalesce(next1, '') = 'denn')", "concat('Konjunktiv \"', text, '\".')"),
+    ("genitiv", "lower = 'des'", "rx(coalesce(next1, ''), '^[a-zäöüß]{3,}[sn]$')", "concat('Genitiv \"', text, ' ', next1, '\".')"),
+    ("genitiv", f"{_WORD} AND {_in('lower', L.GENITIVE_PREPOSITIONS)}", _in("coalesce(next1, '')", ("des", "der", "eines", "einer")), "concat('Genitiv \"', text, ' ', next1, '\".')"),
+    ("passiv_erkennung", f"{_WORD} AND length(lower) >= 7 AND rx(text, '^[a-zäöüß]') AND rx(lower, '(bar|abel)$')", "", "concat('Passivähnliches Adjektiv \"', text, '\".')"),
+    ("nebensaetze", "text = ','", _in("coalesce(next1, '')", L.SUBORDINATORS), "concat('Nebensatz mit \"', next1, '\".')"),
+    ("nebensaetze", "text = ','", _in("coalesce(next1, '')", L.MORE_SUBORDINATORS), "concat('Nebensatz mit \"', next1, '\".')"),
+    ("nebensaetze", "text = ','", _in("coalesce(next1, '')", L.SUBJECT_PRONOUNS), "concat('Zweiter Hauptsatz mit \"', next1, '\".')"),
+    ("abkuerzungen", f"{_WORD} AND rx(text, '[a-zäöüß][A-ZÄÖÜ]')", "", "concat('Abkürzung erkannt: \"', text, '\" Schreiben Sie die Abkürzung aus.')"),
+    ("abkuerzungen", f"{_WORD} AND {_in('text', L.SHORT_FORMS)}", "coalesce(next1, '') = '.'", "concat('Abkürzung erkannt: \"', text, '.\" Schreiben Sie die Abkürzung aus.')"),
+    ("personalpronomen", f"{_WORD} AND lower = 'man'", "", "concat('Unpersönliches \"', text, '\".')"),
+    ("personalpronomen", f"{_WORD} AND {_in('lower', L.THIRD_PERSON)}", f"NOT (i > 0 AND {_CAPITAL}) AND NOT (lower = 'sie' AND rx(coalesce(next1, ''), 'en$'))", "concat('Pronomen \"', text, '\" ohne klaren Bezug.')"),
+    ("nebensaetze", "text = ','", _in("coalesce(next1, '')", L.INTERROGATIVES), "concat('Nebensatz mit \"', next1, '\".')"),
 )
 
 #: (rule, predicate over sentences, message); see ``sentence_features``.
@@ -103,11 +108,45 @@ SENTENCE_RULES: tuple[tuple[str, str, str], ...] = (
     ("interpunktion", f"n_commas > {L.MAX_COMMAS}", f"concat('Satz ', sent_no, ' enthält ', n_commas, ' Kommas. Erlaubt sind {L.MAX_COMMAS}.')"),
     ("mehrere_aussagen", "n_words >= 4 AND (n_split > 10 AND (lower(text) LIKE '% und %' OR lower(text) LIKE '% aber %' OR lower(text) LIKE '% oder %' OR lower(text) LIKE '% doch %') OR n_commas >= 2)", "concat('Satz ', sent_no, ' enthält mehrere Aussagen.')"),
     ("passiv_erkennung", "n_passive > 0", "concat('Passiv in Satz ', sent_no, '.')"),
-    ("perplexity_saetze", "length(text) >= 10 AND (n_sub > 0 OR n_passive > 0 OR n_words > 18)", "concat('Satz ', sent_no, ' ist schwer zu lesen (', (CASE WHEN n_sub > 0 THEN 1 ELSE 0 END) + (CASE WHEN n_passive > 0 THEN 1 ELSE 0 END) + (CASE WHEN n_words > 18 OR n_words > 12 AND (n_sub > 0 OR n_passive > 0) THEN 1 ELSE 0 END), ' Gründe).')"),
+    ("perplexity_saetze", "length(text) >= 10 AND (n_sub > 0 OR n_passive > 0 OR n_words > 18 OR n_words >= 3 AND 100 * n_long >= 25 * n_words)", "concat('Satz ', sent_no, ' ist schwer zu lesen (', (CASE WHEN n_sub > 0 THEN 1 ELSE 0 END) + (CASE WHEN n_passive > 0 THEN 1 ELSE 0 END) + (CASE WHEN n_words > 18 OR n_words > 12 AND (n_sub > 0 OR n_passive > 0) THEN 1 ELSE 0 END), ' Gründe).')"),
     ("nebensaetze", "last_token = ','", "concat('Satz ', sent_no, ' endet mit einem Komma.')"),
     ("personalpronomen", "n_pronouns > 3", "concat('Satz ', sent_no, ' enthält ', n_pronouns, ' Pronomen.')"),
 )
 
+_SOME = "(?:[^ ]+ ){0,12}?"
+_PARTICIPLE = "(?:[a-zäöüß]*ge[a-zäöüß]+(?:t|en)|(?:be|er|ver|zer|ent|emp)[a-zäöüß]{2,}t)"
+_HARD_NEGATION = "concat('Komplexe Negation \"', m, '\" ist schwer verständlich.')"
+#: (rule, a sentence's words between blanks ("joined") or its text, pattern, first words that it doesn't hold for, message for what is found: m)
+PATTERN_RULES: tuple[tuple[str, str, str, tuple[str, ...], str], ...] = (
+    ("negationen", "joined", " ohne ", (), "concat('Präpositionale Negation \"', m, '\" ist schwer verständlich.')"),
+    ("negationen", "joined", " kaum ", (), "concat('Limitierendes Adverb \"', m, '\" ist schwer verständlich.')"),
+    ("negationen", "joined", " weder (?:[^ .,;:!?]+ ){0,5}?noch ", (), "concat('Mehrteilige Negation \"', m, '\" ist schwer verständlich.')"),
+    ("negationen", "joined", " (?:noch|gar|überhaupt) (?:nicht|nichts|nie) ", (), _HARD_NEGATION),
+    ("negationen", "joined", " (?:nicht|nie) (?:mehr|wieder|länger|einmal) ", (), _HARD_NEGATION),
+    ("negationen", "joined", " auf kein(?:en|e|em)? (?:fall|fälle|fällen) ", (), _HARD_NEGATION),
+    ("negationen", "joined", " unter kein(?:en|e|em)? (?:umstand|umstände|umständen) ", (), _HARD_NEGATION),
+    ("redewendungen", "joined", "|".join(L.METAPHORS), (), "concat('Bildhafter Ausdruck \"', m, '\".')"),
+    ("passiv_erkennung", "joined", f" (?:bin|bist|ist|sind|seid|war|warst|waren|wart) {_SOME}{_PARTICIPLE} worden ", (), "concat('Passiv \"', m, '\".')"),
+    ("passiv_erkennung", "joined", f" {_alt(L.MODAL_FORMS).replace('(', '(?:', 1)} {_SOME}{_PARTICIPLE} werden ", (), "concat('Passiv mit Modalverb \"', m, '\".')"),
+    ("passiv_erkennung", "joined", f" (?:bin|bist|ist|sind|seid|war|waren) {_SOME}zu [a-zäöüß]+(?:en|ern|eln) ", (), "concat('Passiversatz \"', m, '\".')"),
+    ("passiv_erkennung", "joined", f" (?:bin|bist|ist|sind|seid|war|waren) {_SOME}(?:[a-zäöüß]{{2,4}})?ge[a-zäöüß]+t [.!?] ", (), "concat('Zustandspassiv \"', m, '\".')"),
+    ("passiv_erkennung", "joined", f" (?:lässt|lassen|lasse|ließ|ließen) sich | sich {_SOME}(?:lässt|lassen|lasse|ließ|ließen) ", (), "concat('Passiversatz \"', m, '\".')"),
+    ("nebensaetze", "text", f", {_alt(L.RELATIVE_PRONOUNS).replace('(', '(?:', 1)} (?:[A-ZÄÖÜ][a-zäöüß]+ )?[a-zäöüß]+", (), "concat('Relativsatz \"', m, '\".')"),
+    ("mehrere_aussagen", "joined", " , (?:aber|doch|jedoch|sondern|denn|der|die|das|er|sie|es|wir|ich) (?:[^ .,;:!?]+ ){2,}", (), "concat('Zweite Aussage \"', m, '\".')"),
+    ("mehrere_aussagen", "joined", " und (?:[a-zäöüß]+t (?:[^ .,;:!?]+ )+|(?:der|die|das|er|sie|es|wir|ich|ein|eine) [^ .,;:!?]+ [a-zäöüß]+t )", (), "concat('Zweite Aussage \"', m, '\".')"),
+    ("nebensaetze", "joined", f" um {_SOME}zu [a-zäöüß]+(?:en|ern|eln) ", (), "concat('Infinitivsatz \"', m, '\".')"),
+    ("genitiv", "text", "[A-ZÄÖÜ][a-zäöüß]+ (?:der|einer|dieser|jeder|unserer|ihrer|seiner|meiner) [A-ZÄÖÜ][a-zäöüß]+", (), "concat('Genitiv \"', m, '\".')"),
+    ("genitiv", "text", "[A-ZÄÖÜ][a-zäöü]+s [A-ZÄÖÜ][a-zäöüß]+", ("das", "des", "dies", "alles", "eines", "dieses", "jedes", "es", "was", "als", "bis", "aus", "ins"), "concat('Sächsischer Genitiv \"', m, '\".')"),
+)
+
+#: (name, pattern in the whole text, term if not what is found, message for a term)
+MARKS: tuple[tuple[str, str, str | None, str], ...] = (
+    ("repeated", "[.!?]{2,}", None, "concat('Mehrfache Satzzeichen \"', term, '\" sind verwirrend.')"),
+    ("ellipsis", "[.][.][.]|…", "...", "'Auslassungspunkte \"...\" oder \"…\" gefunden.'"),
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", None, "concat('E-Mail-Adresse \"', term, '\" im Fließtext gefunden.')"),
+    ("url", "(?:https?://|www[.])[^ \t\n\r<>]+", None, "concat('URL \"', term, '\" im Fließtext gefunden.')"),
+)
+
 #: Counted tokens of a sentence: name -> predicate over tokens.
 FEATURES = {
     "n_words": "kind <> 'p'",
@@ -116,7 +155,7 @@ FEATURES = {
     "n_modal": f"{_WORD} AND {_in('lower', L.MODAL_FORMS)}",
     "n_nominal": f"{_WORD} AND {_CAPITAL} AND rx(lower, '{_alt(L.NOMINAL_SUFFIXES)}$')",
     "n_werden": f"{_WORD} AND {_in('lower', L.WERDEN_FORMS)}",
-    "n_participles": f"{_WORD} AND rx(lower, '^([a-zäöü]{{2,4}})?ge[a-zäöüß]+(t|en)$') AND rx(text, '^[a-zäöüß]')",
+    "n_participles": f"{_WORD} AND (rx(lower, '^([a-zäöü]{{2,4}})?ge[a-zäöüß]+(t|en)$') OR rx(lower, '^(be|er|ver|zer|ent|emp)[a-zäöüß]{{2,}}t$')) AND rx(text, '^[a-zäöüß]')",
     "n_counted": COUNTED,
     "n_long": f"{COUNTED} AND n_syll > {L.MAX_SYLLABLES}",
     "n_pronouns": f"{_WORD} AND {_in('lower', L.PERSONAL_PRONOUNS)}",
@@ -124,30 +163,18 @@ FEATURES = {
 _PAREN = (r"\([^)]+\)", r"\[[^\]]+\]", "—[^—]+—", ",[^,]{3,},")
 
 
+_LONG_FLAG = f"{_WORD} AND length(text) >= 4 AND n_syll > {L.MAX_SYLLABLES}"
+_OF_SENTENCE = {"counts": tuple(FEATURES.items()), "syllables": COUNTED, "long": _LONG_FLAG, "parens": _PAREN, "sentences": True}
+
+
+def _passive() -> Column:
+    return F.when((F.col("n_werden") > 0) & (F.col("n_participles") > 0), 1).otherwise(0).alias("n_passive")
+
+
 def sentence_features(a: Annotated) -> DataFrame:
-    """Sentences with counts of what stands in them, from one pass over their token arrays."""
-    s = a.arrays.withColumnRenamed("ts", "k")
-
-    def over(predicate: str) -> str:
-        return re.sub(r"(?<![.'\w])(text|lower|kind|n_syll)\b(?!\()", r"t.\1", spark_sql(predicate))
-
-    for name, predicate in FEATURES.items():
-        s = s.withColumn(name, F.expr(f"size(filter(k, t -> {over(predicate)}))"))
-    return s.select(
-        "doc_id",
-        "sent_no",
-        "start_char",
-        "end_char",
-        "text",
-        *FEATURES,
-        F.expr(f"aggregate(filter(k, t -> {over(COUNTED)}), 0, (x, t) -> x + t.n_syll)").alias("syll_counted"),
-        F.when((F.col("n_werden") > 0) & (F.col("n_participles") > 0), 1).otherwise(0).alias("n_passive"),
-        sum((F.regexp_count("text", F.lit(p)) for p in _PAREN[1:]), F.regexp_count("text", F.lit(_PAREN[0]))).alias("n_paren"),
-        F.size(F.filter(F.split("text", rf"{T.SPACE}+"), lambda x: x != "")).alias("n_split"),
-        F.element_at(F.col("k"), -1).getField("text").alias("last_token"),
-        F.array_join(F.transform("k", lambda t: t["lower"]), " ").alias("joined"),
-        F.array_join(F.transform("k", lambda t: F.when((t["kind"] == "w") & (F.length(t["text"]) >= 4) & (t["n_syll"] > L.MAX_SYLLABLES), "1").otherwise("0")), "").alias("long_flags"),
-    )
+    """Sentences with counts of what stands in them."""
+    s = findings(a.docs, Wanted(**_OF_SENTENCE, joined=""))
+    return s.select("doc_id", "sent_no", F.col("t_start").alias("start_char"), F.col("t_end").alias("end_char"), "text", *FEATURES, "syll_counted", _passive(), "n_paren", "n_split", "last_token", "joined", "long_flags")
 
 
 FEATURES_SQL = (
@@ -169,40 +196,33 @@ FEATURES_SQL = (
 )
 
 
-def _sentence_rule(s: DataFrame, rule: str, predicate: str, message: str) -> DataFrame:
-    return s.where(spark_sql(predicate)).select("doc_id", F.lit(rule).alias("rule"), "sent_no", F.col("start_char").alias("t_start"), F.col("end_char").alias("t_end"), T.strip(F.col("text")).alias("term"), F.expr(spark_sql(message)).alias("message"))
-
-
 _TRIM_SQL = r"regexp_replace(text, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')"
 
 
-def token_rule_sql(rule: str, predicate: str, message: str) -> str:
-    return f"SELECT doc_id, '{rule}' AS rule, sent_no, t_start, t_end, text AS term, {duck_sql(message)} AS message FROM tok WHERE {duck_sql(predicate)}"
+def token_rule_sql(rule: str, predicate: str, context: str, message: str) -> str:
+    return f"SELECT doc_id, '{rule}' AS rule, sent_no, t_start, t_end, text AS term, {duck_sql(message)} AS message FROM tok WHERE ({duck_sql(predicate)}) AND {duck_sql(context or 'true')}"
 
 
 def sentence_rule_sql(rule: str, predicate: str, message: str) -> str:
     return f"SELECT doc_id, '{rule}' AS rule, sent_no, start_char AS t_start, end_char AS t_end, {_TRIM_SQL} AS term, {duck_sql(message)} AS message FROM sf WHERE {duck_sql(predicate)}"
 
 
-# --- rules with a plan of their own
+def pattern_rule_sql(rule: str, column: str, pattern: str, but: tuple[str, ...], message: str) -> str:
+    where = f" WHERE NOT {_in("lower(split_part(m, ' ', 1))", but)}" if but else ""
+    source = "' ' || joined || ' '" if column == "joined" else "text"
+    return f"SELECT doc_id, '{rule}' AS rule, sent_no, start_char AS t_start, end_char AS t_end, m AS term, {message} AS message FROM (SELECT * REPLACE (trim(m) AS m) FROM (SELECT *, unnest(regexp_extract_all({source}, '{pattern}')) AS m FROM sf)){where}"
 
 
-def word_runs(s: DataFrame) -> DataFrame:
-    """Runs of two or more long words in a row, found in a string of flags."""
-    runs = s.select("doc_id", "sent_no", "start_char", "end_char", F.explode(F.regexp_extract_all("long_flags", F.lit("1{2,}"), F.lit(0))).alias("run"))
-    return runs.select("doc_id", F.lit("kurze_woerter").alias("rule"), "sent_no", F.col("start_char").alias("t_start"), F.col("end_char").alias("t_end"), F.lit("").alias("term"), F.concat(F.lit("Sequenz von "), F.length("run"), F.lit(" langen Wörtern hintereinander.")).alias("message"))
+def marks_sql() -> str:
+    each = [f"SELECT DISTINCT doc_id, {f"'{fixed}'" if fixed else 'm'} AS term, '{name}' AS mark FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS m FROM documents)" for name, pattern, fixed, _ in MARKS]
+    said = " ".join(f"WHEN mark = '{name}' THEN {message}" for name, _, _, message in MARKS)
+    return f"SELECT doc_id, 'interpunktion' AS rule, CAST(NULL AS INTEGER) AS sent_no, CAST(NULL AS INTEGER) AS t_start, CAST(NULL AS INTEGER) AS t_end, term, CASE {said} END AS message FROM ({' UNION ALL '.join(each)}) WHERE NOT (mark = 'repeated' AND term = '...')"
 
 
-WORD_RUNS_SQL = "SELECT doc_id, 'kurze_woerter' AS rule, sent_no, start_char AS t_start, end_char AS t_end, '' AS term, concat('Sequenz von ', length(run), ' langen Wörtern hintereinander.') AS message FROM (SELECT *, unnest(regexp_extract_all(long_flags, '1{2,}')) AS run FROM sf)"
+# --- rules over whole documents
 
 
-def forbidden_characters(a: Annotated) -> DataFrame:
-    """Each character that isn't allowed, once for each document, with its count."""
-    allowed = L.ALLOWED_MARKS + L.ALLOWED_QUOTES + L.TECHNICAL + ","
-    bad = a.tokens.where((F.col("kind") == "p") & ~F.col("text").isin(*allowed) & ~F.col("text").rlike(r"^[\p{N}\p{M}]"))
-    per = bad.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t_start", "t_end", "sent_no")).alias("first"))
-    message = F.concat(F.lit('Zeichen "'), "text", F.lit('" gefunden ('), "n", F.lit(" Mal)."))
-    return per.select("doc_id", F.lit("interpunktion").alias("rule"), "first.sent_no", "first.t_start", "first.t_end", F.col("text").alias("term"), message.alias("message"))
+WORD_RUNS_SQL = "SELECT doc_id, 'kurze_woerter' AS rule, sent_no, start_char AS t_start, end_char AS t_end, '' AS term, concat('Sequenz von ', length(run), ' langen Wörtern hintereinander.') AS message FROM (SELECT *, unnest(regexp_extract_all(long_flags, '1{2,}')) AS run FROM sf)"
 
 
 FORBIDDEN_SQL = (
@@ -213,37 +233,6 @@ FORBIDDEN_SQL = (
 )
 
 
-def repeated_marks(a: Annotated) -> DataFrame:
-    """Doubled sentence marks and ellipses, each once for each document."""
-    docs = a.docs.where("text IS NOT NULL")
-    marks = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[.!?]{2,}"), F.lit(0)))).alias("term")).where("term <> '...'")
-    dots = docs.where(F.col("text").contains("...") | F.col("text").contains("…")).select("doc_id", F.lit("...").alias("term"))
-    none = F.lit(None).cast("int")
-    said = F.when(F.col("term") == "...", F.lit('Auslassungspunkte "..." oder "…" gefunden.')).otherwise(F.concat(F.lit('Mehrfache Satzzeichen "'), "term", F.lit('" sind verwirrend.')))
-    return marks.unionByName(dots).select("doc_id", F.lit("interpunktion").alias("rule"), none.alias("sent_no"), none.alias("t_start"), none.alias("t_end"), "term", said.alias("message"))
-
-
-REPEATED_SQL = """SELECT doc_id, 'interpunktion' AS rule, CAST(NULL AS INTEGER) AS sent_no, CAST(NULL AS INTEGER) AS t_start, CAST(NULL AS INTEGER) AS t_end, term,
-  CASE WHEN term = '...' THEN 'Auslassungspunkte "..." oder "…" gefunden.' ELSE concat('Mehrfache Satzzeichen "', term, '" sind verwirrend.') END AS message
-  FROM (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[.!?]{2,}')) AS term FROM documents) WHERE term <> '...'
-  UNION ALL SELECT doc_id, '...' FROM documents WHERE contains(text, '...') OR contains(text, '…'))"""
-
-
-def foreign_words(a: Annotated) -> DataFrame:
-    """Foreign words: from the lexicon in their context, or by score; the first of each word in a document."""
-    spark = a.docs.sparkSession
-    lexicon = spark.createDataFrame([(w, p, round(d * 10), c) for w, p, d, c in L.FOREIGN_WORDS], "lower string, plain string, difficulty int, category string")
-    words = a.tokens.where((F.col("kind") == "w") & (F.length("lower") >= 3) & ~F.col("lower").isin(*L.COMMON_WORDS))
-    context = sentence_features(a).select("doc_id", "sent_no", "n_words", F.size(F.filter(F.split("joined", " "), lambda w: w.isin(*(x[0] for x in L.FOREIGN_WORDS)))).alias("n_foreign"), F.size(F.split("joined", " ")).alias("n_tokens"))
-    known = words.join(F.broadcast(lexicon), "lower").join(context, ["doc_id", "sent_no"])
-    total = F.expr("difficulty + (CASE WHEN n_words > 15 THEN 2 ELSE 0 END) + (CASE WHEN n_foreign / n_tokens > 0.2 THEN 3 ELSE 0 END)")
-    known = known.withColumn("score", total).select("doc_id", "lower", "sent_no", "t_start", "t_end", "text", "score", F.concat(F.lit('Fremdwort "'), "text", F.lit('" (Kategorie: '), "category", F.lit(", Priorität: "), F.when(F.col("score") >= 9, "hoch").otherwise("mittel"), F.lit('). Einfacher: "'), "plain", F.lit('".')).alias("message"), F.lit(7).alias("least"))
-    guessed = words.join(F.broadcast(lexicon.select("lower")), "lower", "left_anti").where("length(lower) >= 4").withColumn("score", F.expr(spark_sql(foreign_score())))
-    guessed = guessed.where("score >= 8").select("doc_id", "lower", "sent_no", "t_start", "t_end", "text", "score", F.concat(F.lit('Mögliches Fremdwort "'), "text", F.lit('" (Score '), "score", F.lit(").")).alias("message"), F.lit(8).alias("least"))
-    first = known.unionByName(guessed).groupBy("doc_id", "lower").agg(F.min(F.struct("t_start", "t_end", "sent_no", "text", "message", "score", "least")).alias("f"))
-    return first.where("f.score >= f.least").select("doc_id", F.lit("fremdwoerter").alias("rule"), "f.sent_no", "f.t_start", "f.t_end", F.col("f.text").alias("term"), "f.message")
-
-
 FOREIGN_SQL = f"""SELECT doc_id, 'fremdwoerter' AS rule, sent_no, t_start, t_end, text AS term, message FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, lower ORDER BY t_start) AS r FROM (
     SELECT tok.doc_id, tok.lower, tok.sent_no, tok.t_start, tok.t_end, tok.text, lx.d + CASE WHEN sf.n_words > 15 THEN 2 ELSE 0 END + CASE WHEN len(list_filter(string_split(sf.joined, ' '), lambda w: {_in('w', [x[0] for x in L.FOREIGN_WORDS])})) / len(string_split(sf.joined, ' ')) > 0.2 THEN 3 ELSE 0 END AS score, 7 AS least,
@@ -256,29 +245,9 @@ FOREIGN_SQL = f"""SELECT doc_id, 'fremdwoerter' AS rule, sent_no, t_start, t_end
 ) WHERE r = 1 AND score >= least"""
 
 
-def idioms(s: DataFrame) -> DataFrame:
-    """Idioms and figurative phrases as token sequences of a sentence, unless it is meant literally; the first of each in a document."""
-    known = [(p, m, True) for p, m, d, _ in L.IDIOMS if d >= 0.8] + [(p, m, False) for p, m, d in L.FIGURATIVE if d >= 0.6]
-    phrases = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(m).alias("m"), F.lit(i).alias("i")) for p, m, i in known))
-    padded = F.concat(F.lit(" "), "joined", F.lit(" "))
-    hits = s.select("doc_id", "sent_no", "start_char", "end_char", "text", F.explode(F.filter(phrases, lambda x: F.contains(padded, F.concat(F.lit(" "), x["p"], F.lit(" "))))).alias("x"))
-    hits = hits.where(~(F.col("x.i") & F.lower("text").rlike("|".join(L.LITERAL_MARKERS))))
-    first = hits.groupBy("doc_id", F.col("x.p").alias("term")).agg(F.min(F.struct("sent_no", "start_char", "end_char", "x")).alias("f"))
-    message = F.concat(F.when(F.col("f.x.i"), 'Redewendung "').otherwise('Bildhafter Ausdruck "'), "term", F.lit('". Wörtlich: "'), "f.x.m", F.lit('".'))
-    return first.select("doc_id", F.lit("redewendungen").alias("rule"), "f.sent_no", F.col("f.start_char").alias("t_start"), F.col("f.end_char").alias("t_end"), "term", message.alias("message"))
-
-
 IDIOMS_SQL = f"""SELECT doc_id, 'redewendungen' AS rule, min(sent_no) AS sent_no, min(start_char) AS t_start, min(end_char) AS t_end, p AS term, concat(CASE WHEN any_value(i) THEN 'Redewendung "' ELSE 'Bildhafter Ausdruck "' END, p, '". Wörtlich: "', any_value(m), '".') AS message
-  FROM sf JOIN (VALUES {', '.join([f"('{p}', '{m}', true)" for p, m, d, _ in L.IDIOMS if d >= 0.8] + [f"('{p}', '{m}', false)" for p, m, d in L.FIGURATIVE if d >= 0.6])}) x(p, m, i) ON contains(' ' || joined || ' ', ' ' || p || ' ')
-  WHERE NOT (i AND regexp_matches(lower(text), '{"|".join(L.LITERAL_MARKERS)}')) GROUP BY doc_id, p"""
-
-
-def title_abbreviations(a: Annotated) -> DataFrame:
-    """Abbreviations written with a period, but for those that a document spells out as ``Langform (ABK)``."""
-    hits = a.tokens.where((F.col("kind") == "w") & F.col("text").isin(*L.TITLE_ABBREVIATIONS) & (F.col("next1") == "."))
-    defined = a.docs.select(F.col("doc_id").alias("d_id"), F.explode(F.regexp_extract_all("text", F.lit("\\(([A-ZÄÖÜ][A-ZÄÖÜa-zäöüß0-9-]{1,8})\\)"), F.lit(1))).alias("abbr")).distinct()
-    kept = hits.join(defined, (F.col("doc_id") == F.col("d_id")) & (F.lower("abbr") == F.col("lower")), "left_anti")
-    return kept.select("doc_id", F.lit("abkuerzungen").alias("rule"), "sent_no", "t_start", "t_end", F.col("text").alias("term"), F.concat(F.lit('Abkürzung erkannt: "'), "text", F.lit('." Schreiben Sie die Abkürzung aus.')).alias("message"))
+  FROM sf JOIN (VALUES {', '.join([f"('{p}', '{m}', {round(d * 10)}, true)" for p, m, d, _ in L.IDIOMS] + [f"('{p}', '{m}', {round(d * 10)}, false)" for p, m, d in L.FIGURATIVE if d >= 0.6])}) x(p, m, d, i) ON contains(' ' || joined || ' ', ' ' || p || ' ')
+  WHERE NOT (i AND (regexp_matches(lower(text), '{"|".join(L.LITERAL_MARKERS)}') OR d + CASE WHEN n_words > 15 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '{"|".join(L.IDIOM_CONTEXT)}') THEN 3 ELSE 0 END < 8)) GROUP BY doc_id, p"""
 
 
 ABBREVIATIONS_SQL = f"""SELECT doc_id, 'abkuerzungen' AS rule, sent_no, t_start, t_end, text AS term, concat('Abkürzung erkannt: "', text, '." Schreiben Sie die Abkürzung aus.') AS message
@@ -286,165 +255,175 @@ ABBREVIATIONS_SQL = f"""SELECT doc_id, 'abkuerzungen' AS rule, sent_no, t_start,
     SELECT 1 FROM (SELECT doc_id AS d_id, unnest(regexp_extract_all(text, '\\(([A-ZÄÖÜ][A-ZÄÖÜa-zäöüß0-9-]{{1,8}})\\)', 1)) AS abbr FROM documents) WHERE d_id = tok.doc_id AND lower(abbr) = tok.lower)"""
 
 
-def known_synonyms(a: Annotated) -> DataFrame:
-    """A word and one of its listed synonyms in the same document."""
-    spark = a.docs.sparkSession
-    pairs = F.broadcast(spark.createDataFrame([(w, r, s) for w, r, ss in L.SYNONYMS for s in ss], "word string, plain string, other string"))
-    words = a.tokens.where("kind = 'w'").where(F.col("lower").isin(*{x for w, _, ss in L.SYNONYMS for x in (w, *ss)})).groupBy("doc_id", "lower").agg(F.min(F.struct("t_start", "t_end", "sent_no")).alias("f"))
-    x, y = words.alias("x"), words.alias("y")
-    both = x.join(pairs, F.col("x.lower") == F.col("word")).join(y, (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("y.lower") == F.col("other")))
-    return both.select("x.doc_id", F.lit("synonyme").alias("rule"), "x.f.sent_no", "x.f.t_start", "x.f.t_end", F.col("word").alias("term"), F.concat(F.lit('Synonyme "'), "word", F.lit('" und "'), "other", F.lit('". Besser: "'), "plain", F.lit('".')).alias("message"))
-
-
 SYNONYMS_SQL = f"""SELECT x.doc_id, 'synonyme' AS rule, x.sent_no, x.t_start, x.t_end, word AS term, concat('Synonyme "', word, '" und "', other, '". Besser: "', plain, '".') AS message
   FROM (VALUES {', '.join(f"('{w}', '{r}', '{s}')" for w, r, ss in L.SYNONYMS for s in ss)}) p(word, plain, other)
   JOIN (SELECT doc_id, lower, min(t_start) AS t_start, arg_min(t_end, t_start) AS t_end, arg_min(sent_no, t_start) AS sent_no FROM tok WHERE kind = 'w' GROUP BY doc_id, lower) x ON x.lower = word
   JOIN (SELECT DISTINCT doc_id, lower FROM tok WHERE kind = 'w') y ON y.lower = other AND y.doc_id = x.doc_id"""
 
 
-def mean_sentence_length(s: DataFrame) -> DataFrame:
-    """Documents whose sentences have more than ten words on average."""
-    per = s.groupBy("doc_id").agg(F.sum("n_words").alias("w"), F.count(F.lit(1)).alias("n")).where("w > 10 * n")
-    none = F.lit(None).cast("int")
-    return per.select("doc_id", F.lit("satzlaenge").alias("rule"), none.alias("sent_no"), none.alias("t_start"), none.alias("t_end"), F.lit("").alias("term"), F.concat(F.lit("Durchschnittliche Satzlänge ist zu hoch: "), "w", F.lit(" Wörter in "), "n", F.lit(" Sätzen.")).alias("message"))
-
-
 MEAN_SQL = "SELECT doc_id, 'satzlaenge' AS rule, CAST(NULL AS INTEGER) AS sent_no, CAST(NULL AS INTEGER) AS t_start, CAST(NULL AS INTEGER) AS t_end, '' AS term, concat('Durchschnittliche Satzlänge ist zu hoch: ', sum(n_words), ' Wörter in ', count(*), ' Sätzen.') AS message FROM sf GROUP BY doc_id HAVING sum(n_words) > 10 * count(*)"
 
-_OWN: dict[str, tuple[tuple[Callable[[Annotated], DataFrame], str], ...]] = {
-    "kurze_woerter": ((lambda a: word_runs(sentence_features(a)), WORD_RUNS_SQL),),
-    "interpunktion": ((forbidden_characters, FORBIDDEN_SQL), (repeated_marks, REPEATED_SQL)),
-    "fremdwoerter": ((foreign_words, FOREIGN_SQL),),
-    "redewendungen": ((lambda a: idioms(sentence_features(a)), IDIOMS_SQL),),
-    "abkuerzungen": ((title_abbreviations, ABBREVIATIONS_SQL),),
-    "synonyme": ((known_synonyms, SYNONYMS_SQL),),
-    "satzlaenge": ((lambda a: mean_sentence_length(sentence_features(a)), MEAN_SQL),),
+BODY_SQL = f"""SELECT doc_id, 'redewendungen' AS rule, sent_no, start_char AS t_start, end_char AS t_end, part || ' ' || verb AS term, concat('Körperteil-Metapher "', part, ' ', verb, '".') AS message
+  FROM sf JOIN (VALUES {', '.join(f"('{part}', '{verb}')" for part, verbs in L.BODY_PART_VERBS for verb in verbs)}) b(part, verb) ON contains(lower(text), part) AND contains(lower(text), verb)
+  WHERE NOT regexp_matches(lower(text), '{"|".join(L.ILL)}')"""
+
+_OWN_SQL: dict[str, tuple[str, ...]] = {
+    "kurze_woerter": (WORD_RUNS_SQL,),
+    "interpunktion": (FORBIDDEN_SQL, marks_sql()),
+    "fremdwoerter": (FOREIGN_SQL,),
+    "redewendungen": (IDIOMS_SQL, BODY_SQL),
+    "abkuerzungen": (ABBREVIATIONS_SQL,),
+    "synonyme": (SYNONYMS_SQL,),
+    "satzlaenge": (MEAN_SQL,),
 }
 RULES = tuple(sorted(TIERS))
 
+_LEXICON = [w for w, *_ in L.FOREIGN_WORDS]
+_ORDINARY = f"{_WORD} AND NOT {_in('lower', L.COMMON_WORDS)}"
+#: Words that rules over whole documents look for: rule -> flag -> predicate.
+_DOCUMENT_WORDS = {
+    "interpunktion": {"char": f"kind = 'p' AND NOT {_in('text', dict.fromkeys(L.ALLOWED_MARKS + L.ALLOWED_QUOTES + L.TECHNICAL + ','))} AND NOT rx(text, '^[\\p{{N}}\\p{{M}}]')"},
+    "fremdwoerter": {"known": f"{_ORDINARY} AND {_in('lower', _LEXICON)}", "guessed": f"{_ORDINARY} AND length(lower) >= 4 AND NOT {_in('lower', _LEXICON)} AND {foreign_score()} >= 8"},
+    "abkuerzungen": {"short": f"{_WORD} AND {_in('text', L.TITLE_ABBREVIATIONS)}"},
+}
+_EXPLAINED = r"\(([A-ZÄÖÜ][A-ZÄÖÜa-zäöüß0-9-]{1,8})\)"
+
+
+def wanted(rules: tuple[str, ...]) -> Wanted:
+    """What the scan is to find for these rules."""
+    words = {f"t{k}": predicate for k, (rule, predicate, _, _) in enumerate(TOKEN_RULES) if rule in rules}
+    for rule, own in _DOCUMENT_WORDS.items():
+        words |= own if rule in rules else {}
+    patterns = {column: "|".join(f"(?:{p})" for rule, c, p, _, _ in PATTERN_RULES if rule in rules and c == column) for column in ("joined", "text")}
+    idioms = "redewendungen" in rules
+    if idioms:
+        patterns["text"] = "|".join(filter(None, (patterns["text"], f"(?i:{'|'.join(part for part, _ in L.BODY_PART_VERBS)})")))
+    sentences = any(r in rules for r, *_ in SENTENCE_RULES) or any(patterns.values())
+    counts = tuple(FEATURES.items()) if sentences else (("n_words", FEATURES["n_words"]),)
+    return Wanted(
+        **(_OF_SENTENCE if sentences else {"counts": counts}),
+        words=tuple(words.items()),
+        tokens=tuple(words),
+        once=tuple(g for g in (("char",), ("known", "guessed")) if g[0] in words),
+        joined=patterns["joined"] or None,
+        cased=patterns["text"] or None,
+        means="satzlaenge" in rules,
+        undefined="short" if "short" in words else "",
+        explained=_EXPLAINED,
+        foreign=_in("lower", _LEXICON) if "known" in words else "",
+        phrases=(*((p, m, round(d * 10), True) for p, m, d, _ in L.IDIOMS), *((p, m, round(d * 10), False) for p, m, d in L.FIGURATIVE if d >= 0.6)) if idioms else (),
+        harder=L.IDIOM_CONTEXT,
+        literal=L.LITERAL_MARKERS,
+        pairs=tuple(L.SYNONYMS) if "synonyme" in rules else (),
+        marks=tuple((name, p, fixed) for name, p, fixed, _ in MARKS) if "interpunktion" in rules else (),
+    )
+
+
+def _said(rule: str, message: Column, term: Column | None = None, place: bool = True) -> Column:
+    none = F.lit(None).cast("int")
+    where = [F.col(c).alias(c) if place else none.alias(c) for c in ("sent_no", "t_start", "t_end")]
+    return F.struct(F.lit(rule).alias("rule"), *where, (F.col("text") if term is None else term).alias("term"), message.alias("message"))
+
+
+def _of_tokens(want: Wanted, rules: tuple[str, ...]) -> list[Column]:
+    has = lambda column, flag: F.col(column).bitwiseAND(F.lit(want.bit(flag))) != 0
+    out = []
+    for k, (rule, _, context, message) in enumerate(TOKEN_RULES):
+        if rule in rules:
+            found = has("flags", f"t{k}")
+            out.append(F.when(found & F.expr(spark_sql(context)) if context else found, _said(rule, F.expr(spark_sql(message)))))
+    if "interpunktion" in rules:
+        out.append(F.when(has("first", "char"), _said("interpunktion", F.concat(F.lit('Zeichen "'), "text", F.lit('" gefunden ('), "n", F.lit(" Mal).")))))
+    if "fremdwoerter" in rules:
+        lexicon = F.create_map(*(x for w, p, d, c in L.FOREIGN_WORDS for x in (F.lit(w), F.struct(F.lit(p).alias("plain"), F.lit(round(d * 10)).alias("difficulty"), F.lit(c).alias("category")))))
+        entry = F.try_element_at(lexicon, F.col("lower"))
+        score = entry["difficulty"] + F.when(F.col("s_words") > 15, 2).otherwise(0) + F.when(F.col("s_foreign") / F.col("s_tokens") > 0.2, 3).otherwise(0)
+        known = F.concat(F.lit('Fremdwort "'), "text", F.lit('" (Kategorie: '), entry["category"], F.lit(", Priorität: "), F.when(score >= 9, "hoch").otherwise("mittel"), F.lit('). Einfacher: "'), entry["plain"], F.lit('".'))
+        guessed = F.concat(F.lit('Mögliches Fremdwort "'), "text", F.lit('" (Score '), F.expr(spark_sql(foreign_score())), F.lit(")."))
+        first = has("first", "known")
+        out += [F.when(first & has("flags", "known") & (score >= 7), _said("fremdwoerter", known)), F.when(first & has("flags", "guessed"), _said("fremdwoerter", guessed))]
+    if "abkuerzungen" in rules:
+        out.append(F.when(has("flags", "short") & (F.col("next1") == "."), _said("abkuerzungen", F.concat(F.lit('Abkürzung erkannt: "'), "text", F.lit('." Schreiben Sie die Abkürzung aus.')))))
+    return out
+
+
+def _of_sentences(rules: tuple[str, ...]) -> list[Column]:
+    """Arrays of what is found in a sentence."""
+    term = T.strip(F.col("text"))
+    out = [F.array_compact(F.array(*(F.when(F.expr(spark_sql(p)), _said(r, F.expr(spark_sql(m)), term)) for r, p, m in SENTENCE_RULES if r in rules)))] if any(r in rules for r, *_ in SENTENCE_RULES) else []
+    for rule, column, pattern, but, message in PATTERN_RULES:
+        if rule in rules:
+            source = F.concat(F.lit(" "), F.col("joined"), F.lit(" ")) if column == "joined" else F.col("lower")
+            found = F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), lambda m: F.trim(m))
+            if but:
+                found = F.filter(found, lambda m: ~F.lower(F.split_part(m, F.lit(" "), F.lit(1))).isin(*but))  # noqa: B023  called at once
+            before, after = re.fullmatch(r"concat\('(.*)', m, '(.*)'\)", message).groups()
+            out.append(F.transform(found, lambda m: _said(rule, F.concat(F.lit(before), m, F.lit(after)), m)))  # noqa: B023
+    if "kurze_woerter" in rules:
+        out.append(F.transform(F.regexp_extract_all("long_flags", F.lit("1{2,}"), F.lit(0)), lambda x: _said("kurze_woerter", F.concat(F.lit("Sequenz von "), F.length(x), F.lit(" langen Wörtern hintereinander.")), F.lit(""))))
+    if "redewendungen" in rules:
+        pairs = F.array(*(F.struct(F.lit(part).alias("part"), F.lit(verb).alias("verb")) for part, verbs in L.BODY_PART_VERBS for verb in verbs))
+        text = F.lower("lower")  # given only where a part of the body is named
+        named = F.filter(pairs, lambda x: F.contains(text, x["part"]) & F.contains(text, x["verb"]))
+        well = F.when(~text.rlike("|".join(L.ILL)), named)
+        out.append(F.transform(well, lambda x: _said("redewendungen", F.concat(F.lit('Körperteil-Metapher "'), x["part"], F.lit(" "), x["verb"], F.lit('".')), F.concat(x["part"], F.lit(" "), x["verb"]))))
+    return out
+
+
+_SAID = "array<struct<rule:string,sent_no:int,t_start:int,t_end:int,term:string,message:string>>"
+
+
+def violations(a: Annotated, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """All violations of these rules, in one scan and without a shuffle."""
+    want = wanted(rules)
+    f = findings(a.docs, want)
+    if want.sentences:
+        f = f.withColumn("n_passive", _passive())
+    is_a = lambda what: F.col("what") == what
+    none = F.array().cast(_SAID)
+    found = []
+    if tokens := _of_tokens(want, rules):
+        found.append(F.when(is_a("t"), F.array_compact(F.array(*tokens)).cast(_SAID)))
+    if sentences := _of_sentences(rules):
+        found.append(F.when(is_a("s"), F.concat(*(F.coalesce(x.cast(_SAID), none) for x in sentences))))
+    if want.phrases:
+        kind = F.when(F.col("n") == 1, 'Redewendung "').otherwise('Bildhafter Ausdruck "')
+        found.append(F.when(is_a("i"), F.array(_said("redewendungen", F.concat(kind, "text", F.lit('". Wörtlich: "'), "lower", F.lit('".')))).cast(_SAID)))
+    if want.pairs:
+        found.append(F.when(is_a("y"), F.array(_said("synonyme", F.concat(F.lit('Synonyme "'), "text", F.lit('" und "'), "lower", F.lit('". Besser: "'), "next1", F.lit('".')))).cast(_SAID)))
+    if want.marks:
+        said = F.expr("CASE " + " ".join(f"WHEN lower = '{name}' THEN {re.sub(r'\bterm\b', 'text', message)}" for name, _, _, message in MARKS) + " END")
+        found.append(F.when(is_a("m") & ~((F.col("lower") == "repeated") & (F.col("text") == "...")), F.array(_said("interpunktion", said, place=False)).cast(_SAID)))
+    if want.means:
+        said = F.concat(F.lit("Durchschnittliche Satzlänge ist zu hoch: "), "s_words", F.lit(" Wörter in "), "n", F.lit(" Sätzen."))
+        found.append(F.when(is_a("d") & (F.col("s_words") > 10 * F.col("n")), F.array(_said("satzlaenge", said, F.lit(""), place=False)).cast(_SAID)))
+    return f.select("doc_id", F.inline(F.coalesce(*found, none))).select(*COLUMNS)
+
 
 def check_rule(a: Annotated, rule: str) -> DataFrame:
     """All violations of one rule."""
-    parts = []
-    tokens = [(p, m) for r, p, m in TOKEN_RULES if r == rule]
-    if tokens:  # one scan of the tokens for all declarations of the rule
-        hits = F.array(*(F.when(F.expr(spark_sql(p)), F.expr(spark_sql(m))) for p, m in tokens))
-        found = a.tokens.withColumn("message", F.explode(F.array_compact(hits)))
-        parts.append(found.select("doc_id", F.lit(rule).alias("rule"), "sent_no", "t_start", "t_end", F.col("text").alias("term"), "message"))
-    sents = [(p, m) for r, p, m in SENTENCE_RULES if r == rule]
-    if sents:
-        s = sentence_features(a)
-        parts += [_sentence_rule(s, rule, p, m) for p, m in sents]
-    parts += [plan(a) for plan, _ in _OWN.get(rule, ())]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return violations(a, (rule,))
+
+
+def forbidden_characters(a: Annotated) -> DataFrame:
+    """Each character that isn't allowed, once for each document, with its count: doc_id, term, n."""
+    f = findings(a.docs, Wanted(words=tuple(_DOCUMENT_WORDS["interpunktion"].items()), tokens=("char",), once=(("char",),)))
+    return f.where("first <> 0").select("doc_id", F.col("text").alias("term"), "n")
+
+
+def _parts(rule: str) -> list[str]:
+    return [
+        *(token_rule_sql(*x) for x in TOKEN_RULES if x[0] == rule),
+        *(sentence_rule_sql(*x) for x in SENTENCE_RULES if x[0] == rule),
+        *(pattern_rule_sql(*x) for x in PATTERN_RULES if x[0] == rule),
+        *_OWN_SQL.get(rule, ()),
+    ]
 
 
 def rule_sql(rule: str) -> str:
-    parts = [token_rule_sql(*x) for x in TOKEN_RULES if x[0] == rule] + [sentence_rule_sql(*x) for x in SENTENCE_RULES if x[0] == rule] + [sql for _, sql in _OWN.get(rule, ())]
-    return f"WITH {FEATURES_SQL} " + " UNION ALL ".join(parts)
-
-
-_HIT = "struct<tag:string,key:string,message:string,score:int,least:int,w:int,a:int,b:int>"
-
-
-def _candidates(a: Annotated) -> DataFrame:
-    """What rules that look at whole documents need to know of each token, in one pass: tag, key, and what goes with them.
-
-    char: a forbidden character; foreign: a foreign word; abbr: an abbreviation (w = 0) or its definition (w = 1);
-    syn: a word with known synonyms; idiom: a phrase of the sentence; mean: the words of the sentence (w).
-    """
-    known = [(p, m, True) for p, m, d, _ in L.IDIOMS if d >= 0.8] + [(p, m, False) for p, m, d in L.FIGURATIVE if d >= 0.6]
-    phrases = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(m).alias("m"), F.lit(i).alias("i")) for p, m, i in known))
-    joined = F.concat(F.lit(" "), F.array_join(F.transform("ts", lambda t: t["lower"]), " "), F.lit(" "))
-    literal = F.lower("text").rlike("|".join(L.LITERAL_MARKERS))
-    base = a.arrays.withColumns({"s_joined": joined, "s_literal": literal}).select(
-        "doc_id",
-        "sent_no",
-        "start_char",
-        "end_char",
-        F.expr("size(filter(ts, t -> t.kind <> 'p'))").alias("s_words"),
-        F.size(F.filter("ts", lambda t: t["lower"].isin(*(x[0] for x in L.FOREIGN_WORDS)))).alias("s_foreign"),
-        F.size("ts").alias("s_tokens"),
-        F.filter(phrases, lambda x: F.contains(F.col("s_joined"), F.concat(F.lit(" "), x["p"], F.lit(" "))) & ~(x["i"] & F.col("s_literal"))).alias("s_idioms"),
-        F.regexp_extract_all("text", F.lit("\\(([A-ZÄÖÜ][A-ZÄÖÜa-zäöüß0-9-]{1,8})\\)"), F.lit(1)).alias("s_defined"),
-        F.inline("ts"),
-    )
-    lexicon = F.create_map(*(x for w, p, d, c in L.FOREIGN_WORDS for x in (F.lit(w), F.struct(F.lit(p).alias("plain"), F.lit(round(d * 10)).alias("difficulty"), F.lit(c).alias("category")))))
-    base = base.withColumn("lx", F.when(F.col("kind") == "w", F.try_element_at(lexicon, F.col("lower"))))
-    score = F.expr("lx.difficulty + (CASE WHEN s_words > 15 THEN 2 ELSE 0 END) + (CASE WHEN s_foreign / s_tokens > 0.2 THEN 3 ELSE 0 END)")
-    allowed = L.ALLOWED_MARKS + L.ALLOWED_QUOTES + L.TECHNICAL + ","
-    word = F.col("kind") == "w"
-    ordinary = ~F.col("lower").isin(*L.COMMON_WORDS)
-
-    def hit(tag, key, message=None, sc=None, least=0, w=None, at="t_start", to="t_end"):
-        return F.struct(F.lit(tag).alias("tag"), key.alias("key"), (message if message is not None else F.lit(None).cast("string")).alias("message"), (sc if sc is not None else F.lit(0)).cast("int").alias("score"), F.lit(least).alias("least"), (w if w is not None else F.lit(0)).cast("int").alias("w"), F.col(at).alias("a"), F.col(to).alias("b"))
-
-    hits = F.array_compact(
-        F.array(
-            F.when((F.col("kind") == "p") & ~F.col("text").isin(*allowed) & ~F.col("text").rlike(r"^[\p{N}\p{M}]"), hit("char", F.col("text"))),
-            F.when(F.col("lx").isNotNull() & ordinary, hit("foreign", F.col("lower"), F.concat(F.lit('Fremdwort "'), "text", F.lit('" (Kategorie: '), "lx.category", F.lit(", Priorität: "), F.when(score >= 9, "hoch").otherwise("mittel"), F.lit('). Einfacher: "'), "lx.plain", F.lit('".')), score, 7)),
-            F.when(word & F.col("lx").isNull() & ordinary & (F.length("lower") >= 4) & (F.expr(spark_sql(foreign_score())) >= 8), hit("foreign", F.col("lower"), F.concat(F.lit('Mögliches Fremdwort "'), "text", F.lit('" (Score '), F.expr(spark_sql(foreign_score())), F.lit(").")), F.expr(spark_sql(foreign_score())), 8)),
-            F.when(word & F.col("text").isin(*L.TITLE_ABBREVIATIONS) & (F.col("next1") == "."), hit("abbr", F.col("lower"))),
-            F.when(word & F.col("lower").isin(*{x for w, _, ss in L.SYNONYMS for x in (w, *ss)}), hit("syn", F.col("lower"))),
-            F.when(F.col("i") == 0, hit("mean", F.lit(""), w=F.col("s_words"))),
-        )
-    )
-    of_sentence = F.when(
-        F.col("i") == 0,
-        F.concat(
-            F.transform("s_idioms", lambda x: hit("idiom", x["p"], F.concat(F.when(x["i"], F.lit('Redewendung "')).otherwise(F.lit('Bildhafter Ausdruck "')), x["p"], F.lit('". Wörtlich: "'), x["m"], F.lit('".')), at="start_char", to="end_char")),
-            F.transform("s_defined", lambda x: hit("abbr", F.lower(x), w=F.lit(1))),
-        ),
-    ).otherwise(F.array().cast(f"array<{_HIT}>"))
-    return base.select("doc_id", "sent_no", "text", F.explode(F.concat(hits, of_sentence)).alias("h")).select("doc_id", "sent_no", "text", "h.*")
-
-
-def _document_rules(a: Annotated) -> DataFrame:
-    """Violations that need a whole document: first occurrences, counts, pairs. Keys are grouped before documents are."""
-    at = F.struct("a", "b", "sent_no", "text", "message", "score", "least")
-    place = F.struct("sent_no", "a", "b", "text")
-    keys = _candidates(a).groupBy("doc_id", "tag", "key").agg(F.min(at).alias("f"), F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.collect_list(F.when((F.col("tag") == "abbr") & (F.col("w") == 0), place)).alias("all"))
-
-    def row(rule, term, message, sent_no="f.sent_no", start="f.a", end="f.b"):
-        return F.struct(F.lit(rule).alias("rule"), F.col(sent_no).cast("int").alias("sent_no"), F.col(start).cast("int").alias("t_start"), F.col(end).cast("int").alias("t_end"), term.alias("term"), message.alias("message"))
-
-    tag = lambda t: F.col("tag") == t
-    none = F.struct(F.lit("satzlaenge").alias("rule"), *(F.lit(None).cast("int").alias(c) for c in ("sent_no", "t_start", "t_end")), F.lit("").alias("term"), F.concat(F.lit("Durchschnittliche Satzlänge ist zu hoch: "), "w", F.lit(" Wörter in "), "n", F.lit(" Sätzen.")).alias("message"))
-    single = F.array_compact(
-        F.array(
-            F.when(tag("char"), row("interpunktion", F.col("key"), F.concat(F.lit('Zeichen "'), "key", F.lit('" gefunden ('), "n", F.lit(" Mal).")))),
-            F.when(tag("foreign") & (F.col("f.score") >= F.col("f.least")), row("fremdwoerter", F.col("f.text"), F.col("f.message"))),
-            F.when(tag("idiom"), row("redewendungen", F.col("key"), F.col("f.message"))),
-            F.when(tag("mean") & (F.col("w") > 10 * F.col("n")), none),
-        )
-    )
-    short = lambda x: F.struct(F.lit("abkuerzungen").alias("rule"), x["sent_no"].alias("sent_no"), x["a"].alias("t_start"), x["b"].alias("t_end"), x["text"].alias("term"), F.concat(F.lit('Abkürzung erkannt: "'), x["text"], F.lit('." Schreiben Sie die Abkürzung aus.')).alias("message"))
-    kind = "array<struct<rule:string,sent_no:int,t_start:int,t_end:int,term:string,message:string>>"
-    found = F.concat(single.cast(kind), F.when(tag("abbr") & (F.col("w") == 0), F.transform("all", short)).otherwise(F.array()).cast(kind))
-    per = keys.select("doc_id", found.alias("found"), F.when(tag("syn"), F.struct("key", "f.sent_no", "f.a", "f.b")).alias("syn")).where("size(found) > 0 OR syn IS NOT NULL")
-    docs = per.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"), F.map_from_entries(F.collect_list(F.when(F.col("syn").isNotNull(), F.struct("syn.key", "syn")))).alias("syn"))
-    pairs = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(r).alias("r"), F.lit(s).alias("s")) for w, r, ss in L.SYNONYMS for s in ss))
-    both = F.filter(pairs, lambda p: F.map_contains_key("syn", p["w"]) & F.map_contains_key("syn", p["s"]))
-    alike = F.transform(both, lambda p: F.struct(F.lit("synonyme").alias("rule"), F.try_element_at("syn", p["w"])["sent_no"].alias("sent_no"), F.try_element_at("syn", p["w"])["a"].alias("t_start"), F.try_element_at("syn", p["w"])["b"].alias("t_end"), p["w"].alias("term"), F.concat(F.lit('Synonyme "'), p["w"], F.lit('" und "'), p["s"], F.lit('". Besser: "'), p["r"], F.lit('".')).alias("message")))
-    return docs.select("doc_id", F.inline(F.concat("found", alike.cast(kind))))
-
-
-def violations(a: Annotated) -> DataFrame:
-    """The union of all rules in four scans: declarations over tokens, declarations over sentences, what needs whole documents, and marks in the bare text."""
-    tokens = F.array(*(F.when(F.expr(spark_sql(p)), F.struct(F.lit(r).alias("rule"), F.expr(spark_sql(m)).alias("message"))) for r, p, m in TOKEN_RULES))
-    t = a.tokens.withColumn("hit", F.explode(F.array_compact(tokens))).select("doc_id", "hit.rule", "sent_no", "t_start", "t_end", F.col("text").alias("term"), "hit.message")
-    s = sentence_features(a)
-    term = T.strip(F.col("text"))
-    sents = F.array_compact(F.array(*(F.when(F.expr(spark_sql(p)), F.struct(F.lit(r).alias("rule"), term.alias("term"), F.expr(spark_sql(m)).alias("message"))) for r, p, m in SENTENCE_RULES)))
-    runs = F.transform(F.regexp_extract_all("long_flags", F.lit("1{2,}"), F.lit(0)), lambda x: F.struct(F.lit("kurze_woerter").alias("rule"), F.lit("").alias("term"), F.concat(F.lit("Sequenz von "), F.length(x), F.lit(" langen Wörtern hintereinander.")).alias("message")))
-    of_sentences = s.withColumn("hit", F.explode(F.concat(sents, runs))).select("doc_id", "hit.rule", "sent_no", F.col("start_char").alias("t_start"), F.col("end_char").alias("t_end"), "hit.term", "hit.message")
-    return t.unionByName(of_sentences).unionByName(_document_rules(a)).unionByName(repeated_marks(a))
+    return f"WITH {FEATURES_SQL} " + " UNION ALL ".join(_parts(rule))
 
 
 def violations_sql() -> str:
     """Shared common table expressions and v, the union of all rules."""
-    parts = [token_rule_sql(*x) for x in TOKEN_RULES] + [sentence_rule_sql(*x) for x in SENTENCE_RULES] + [sql for x in _OWN.values() for _, sql in x]
-    return f"WITH {FEATURES_SQL}, v AS ({' UNION ALL '.join(parts)}) "
+    return f"WITH {FEATURES_SQL}, v AS ({' UNION ALL '.join(x for rule in RULES for x in _parts(rule))}) "

@@ -59,7 +59,7 @@ def test_edge_texts(spark, text):
 
 def test_first_use_expands_abbreviation(spark):
     docs = spark.createDataFrame([(1, "Der Doktor (Dr) kommt. Dr. Meier ist da."), (2, "Dr. Meier ist da.")], "doc_id long, text string")
-    assert [r.doc_id for r in rules.title_abbreviations(Annotated(docs)).collect()] == [2]
+    assert [r.doc_id for r in rules.check_rule(Annotated(docs), "abkuerzungen").collect()] == [2]
 
 
 def test_statistics_add_up(spark):
