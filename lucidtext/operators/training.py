@@ -39,7 +39,7 @@ def has_artifact(line: Column) -> Column:
 
 def repaired_bio(labels: Column) -> Column:
     """B after B or I becomes I: a run is one entity."""
-    return F.transform(labels, lambda x, i: F.when(x.startswith("B-") & (i > 0) & F.get(labels, i - 1).rlike("^[BI]-"), F.concat(F.lit("I-"), F.substring(x, 3, 1000))).otherwise(x))
+    return F.transform(labels, lambda x, i: F.when(x.startswith("B-") & (i > 0) & F.get(labels, i - 1).rlike("^[BI]-"), F.concat(F.lit("I-"), F.substring(x, F.lit(3), F.length(x)))).otherwise(x))
 
 
 def known_labels(labels: Column, allowed: list[str]) -> Column:
@@ -76,4 +76,6 @@ def lm_tokens(text: Column) -> Column:
 def ngrams(tokens: Column, n: int) -> Column:
     """Padded n-grams of a token array, joined by blanks."""
     pad = F.concat(F.array_repeat(F.lit("<s>"), n - 1), tokens, F.array_repeat(F.lit("</s>"), n - 1))
-    return F.transform(F.sequence(F.lit(1), F.size(pad) - n + 1), lambda i: F.array_join(F.slice(pad, i, n), " "))
+    # n shifted copies side by side: an index into the array would compute it anew for each gram
+    shifted = F.arrays_zip(*(F.slice(pad, F.lit(j + 1), F.size(pad) - n + 1).alias(f"w{j}") for j in range(n)))
+    return F.transform(shifted, lambda z: F.concat_ws(" ", *(z[f"w{j}"] for j in range(n))))

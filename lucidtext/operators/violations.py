@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import lexicons as L
 from ..functions import text as T
@@ -52,6 +54,26 @@ def resolved(issues: DataFrame) -> DataFrame:
     return x.withColumn("_f", first).select(*issues.columns, F.when(stated, F.col("_a")).otherwise(F.col("_f.s")).alias("p_start"), F.when(stated, F.col("_b")).otherwise(F.col("_f.e")).alias("p_end"))
 
 
+@F.arrow_udf(StringType())
+def inserted(text: pa.Array, ends: pa.Array, marks: pa.Array) -> pa.Array:
+    """Texts with each mark after the place where it ends; places ascend. One pass, however many marks there are."""
+    out = []
+    for t, at, own in zip(text.to_pylist(), ends.to_pylist(), marks.to_pylist(), strict=True):
+        if t is not None and at:
+            t = "".join(x for b, e, m in zip([0, *at], at, own, strict=False) for x in (t[b:e], m)) + t[at[-1] :]
+        out.append(t)
+    return pa.array(out, pa.string())
+
+
+def annotated_documents(docs: DataFrame, v: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with annotated: the text with [rule: term] behind each violation that has a place."""
+    placed = v.where("t_end IS NOT NULL").groupBy("doc_id", "t_end").agg(F.sort_array(F.collect_list(F.struct("t_start", "rule", "term", "message"))).alias("own"))
+    said = F.array_join(F.transform("own", lambda m: F.concat(F.lit("["), m["rule"], F.lit(": "), m["term"], F.lit("]"))), "")
+    marks = placed.select("doc_id", "t_end", said.alias("mark")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("t_end", "mark"))).alias("marks"))
+    joined = docs.join(marks, "doc_id", "left")
+    return joined.withColumn("annotated", inserted("text", F.col("marks.t_end"), F.col("marks.mark"))).drop("marks")
+
+
 def annotated(text: Column, marks: Column) -> Column:
     """``text`` with [rule: term] at the end of each mark (array of struct(ord, rule, term, end)); marks at one place in their order."""
     # from the last place to the first, so that offsets stay right

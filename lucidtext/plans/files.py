@@ -42,17 +42,9 @@ def snk5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good"))
 
 
-@query("snk9_ngram_tables", """WITH t AS (SELECT regexp_extract_all(lower(text), '\\p{L}+|[.,!?]') AS w FROM benchmark), u AS (SELECT list_concat(['<s>'], w, ['</s>']) AS w FROM t)
-SELECT 1 AS n, CAST(count(DISTINCT g) AS BIGINT) AS grams FROM (SELECT unnest(w) AS g FROM t) UNION ALL SELECT 2, count(DISTINCT g) FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM u)""")
-def snk9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _folder(spark)
-    sinks.ngram_tables(table(spark, sf_dir, "benchmark"), at, order=2)
-    return spark.read.option("recursiveFileLookup", True).schema("gram string, n long").parquet(at).select(F.regexp_extract(F.input_file_name(), "/n=([0-9]+)/", 1).cast("int").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("grams"))
-
-
-@query("snk9_document_trigrams", r"""WITH t AS (SELECT regexp_extract_all(lower(text), '\p{L}+|[.,!?]') AS w FROM documents), u AS (SELECT list_concat(['<s>'], w, ['</s>']) AS w FROM t), v AS (SELECT list_concat(['<s>', '<s>'], w, ['</s>', '</s>']) AS w FROM t)
+@query("snk9_ngram_tables", r"""WITH t AS (SELECT regexp_extract_all(lower(text), '\p{L}+|[.,!?]') AS w FROM documents), u AS (SELECT list_concat(['<s>'], w, ['</s>']) AS w FROM t), v AS (SELECT list_concat(['<s>', '<s>'], w, ['</s>', '</s>']) AS w FROM t)
 SELECT 1 AS n, count(DISTINCT g) AS grams FROM (SELECT unnest(w) AS g FROM t) UNION ALL SELECT 2, count(DISTINCT g) FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM u) UNION ALL SELECT 3, count(DISTINCT g) FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM v)""")
-def snk9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snk9(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _folder(spark)
     sinks.ngram_tables(table(spark, sf_dir, "documents"), at, order=3)
     return spark.read.option("recursiveFileLookup", True).schema("gram string, n long").parquet(at).select(F.regexp_extract(F.input_file_name(), "/n=([0-9]+)/", 1).cast("int").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("grams"))

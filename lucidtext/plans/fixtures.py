@@ -80,9 +80,9 @@ PROMPTS = Inline("rule string, content string", [("negationen", "# Negationen\n\
 )
 def src12(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split("content", r"(?m)^##[ ]+")
-    s = PROMPTS.df(spark).select("rule", F.explode(F.slice(parts, 2, 1000)).alias("s"))
+    s = PROMPTS.df(spark).select("rule", F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("s"))
     items = F.filter(F.split("s", "\n"), lambda x: x.startswith("- "))
-    return s.select("rule", F.lower(F.trim(F.substring_index("s", "\n", 1))).alias("section"), F.size(items).alias("n_items"), F.array_join(F.transform(items, lambda x: F.regexp_replace(F.substring(x, 3, 1000), "^[\"']|[\"']$", "")), "|").alias("items"))
+    return s.select("rule", F.lower(F.trim(F.substring_index("s", "\n", 1))).alias("section"), F.size(items).alias("n_items"), F.array_join(F.transform(items, lambda x: F.regexp_replace(F.substring(x, F.lit(3), F.length(x)), "^[\"']|[\"']$", "")), "|").alias("items"))
 
 
 MESSAGES = Inline(
