@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,21 +11,16 @@ from ..streaming import pipeline
 from .registry import query, table
 
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lucidtext-")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("snk2_jsonl_round_trip", "SELECT conv_id, turn, role, length(text) AS n FROM conversations")
 def snk2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _folder(spark)
+    at = sinks.shared_folder(spark)
     sinks.append_jsonl(table(spark, sf_dir, "conversations"), at)
     return readers.jsonl(spark, at, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
 
 
 @query("src8_csv_round_trip", "SELECT doc_id, lang, n_chars, md5(text) AS digest FROM documents")
 def src8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _folder(spark)
+    at = sinks.shared_folder(spark)
     table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text").write.option("header", True).option("quote", '"').option("escape", '"').csv(at)
     rows = readers.statements_csv(spark, at, "doc_id long, lang string, n_chars long, text string")
     return rows.select("doc_id", "lang", "n_chars", F.md5(F.encode("text", "UTF-8")).alias("digest"))
@@ -36,7 +28,7 @@ def src8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("snk5_split_files", "SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 < 9 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good FROM labels GROUP BY split")
 def snk5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _folder(spark)
+    at = sinks.shared_folder(spark)
     sinks.split_csvs(table(spark, sf_dir, "labels").withColumn("split", training.split_of(F.col("doc_id"))), at)
     rows = spark.read.schema("doc_id long, quality int, toxic int, split string").option("header", True).csv(at)
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good"))
@@ -45,7 +37,7 @@ def snk5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("snk9_ngram_tables", r"""WITH t AS (SELECT regexp_extract_all(lower(text), '\p{L}+|[.,!?]') AS w FROM documents), u AS (SELECT list_concat(['<s>'], w, ['</s>']) AS w FROM t), v AS (SELECT list_concat(['<s>', '<s>'], w, ['</s>', '</s>']) AS w FROM t)
 SELECT 1 AS n, count(DISTINCT g) AS grams FROM (SELECT unnest(w) AS g FROM t) UNION ALL SELECT 2, count(DISTINCT g) FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM u) UNION ALL SELECT 3, count(DISTINCT g) FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM v)""")
 def snk9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _folder(spark)
+    at = sinks.shared_folder(spark)
     sinks.ngram_tables(table(spark, sf_dir, "documents"), at, order=3)
     return spark.read.option("recursiveFileLookup", True).schema("gram string, n long").parquet(at).select(F.regexp_extract(F.input_file_name(), "/n=([0-9]+)/", 1).cast("int").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("grams"))
 
@@ -56,7 +48,7 @@ _SENTENCE_HITS = " UNION ALL ".join(rules.sentence_rule_sql(*x) for x in rules.S
 @query("str3_document_stream", f"WITH {rules.FEATURES_SQL} SELECT rule, count(*) AS n FROM ({_SENTENCE_HITS}) GROUP BY rule")
 def str3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence violations of documents read as a stream, once through what is there."""
-    at = _folder(spark)
+    at = sinks.shared_folder(spark)
     table(spark, sf_dir, "documents").write.parquet(f"{at}/in")
     found = pipeline.sentence_violations(pipeline.document_stream(spark, f"{at}/in"))
     found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()

@@ -22,6 +22,12 @@ def fixtures(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def discovered(spark: SparkSession, folder: str, rule_file: str, training_file: str) -> DataFrame:
+    """rule, trainable: folders that hold a rule's file, and whether they hold a training configuration, too."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("rule"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
+    return names.groupBy("rule").agg(F.bool_or(F.col("file") == training_file).alias("trainable"), F.bool_or(F.col("file") == rule_file).alias("is_rule")).where("is_rule").drop("is_rule")
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

@@ -2,12 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import training
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path below the one that driver and executors share; on one machine alone, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lucidtext-")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def through_folder(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends here."""
+    at = f"{shared_folder(df.sparkSession)}-{name}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file, through the file system that Spark uses for the path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def promote(spark: SparkSession, staged: str, live: str, stamp: str) -> str | None:
+    """What is staged becomes live; what was live stays beside it under a stamp. Folders are renamed, so readers see one or the other."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(live).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(staged)):
+        raise FileNotFoundError(staged)
+    kept = None
+    if fs.exists(path(live)):
+        kept = f"{live}.{stamp}"
+        fs.rename(path(live), path(kept))
+    fs.rename(path(staged), path(live))
+    return kept
+
+
 def append_jsonl(records: DataFrame, path: str) -> None:
     """Add records; a run that fails leaves the earlier ones as they are."""
     records.write.mode("append").json(path)
