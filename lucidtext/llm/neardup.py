@@ -9,9 +9,11 @@ With set sizes a <= b that means a symmetric difference of at most
    each band, tokens are XOR-hashed into P words of 64 parity bits. A token changes one
    word, so the number of differing words lower-bounds the symmetric difference; for at
    most d of them, one of any d + 1 words agrees. P is such that sets of the band have
-   more than d words with a token in them: then such a word agrees, and words without any
-   are left out of the join (sets with fewer send theirs too). Pigeonhole join: nodes
-   with a word in common fall into one bucket.
+   more than d words with a token in them: the first d + 1 of these are enough. (Of the
+   first d + 1 of one set, one agrees with the other; take the first that does. What the
+   other has before it are differing words, d at most, so it is among its first d + 1,
+   too.) Sets with fewer send all their words. Pigeonhole join: nodes with a word in
+   common fall into one bucket.
 3. A finer sketch, one parity bit a token, lower-bounds the symmetric difference again and
    rejects most candidates; shingle sets decide about the others.
 4. First each bucket's least node is compared with its others. What that links shares a
@@ -132,6 +134,8 @@ def word_keys(tokens: np.ndarray, band: int, b: Bands) -> np.ndarray:
         value = np.zeros(words, np.uint64)
         value[place] = word
         place, word = np.arange(words), value
+    else:
+        place, word = place[: d + 1], word[: d + 1]
     with np.errstate(over="ignore"):
         key = _words.mix(word + _words.mix((place + (band << 32)).astype(np.uint64)))
     return (key >> np.uint64(1) << np.uint64(1) | np.uint64(band & 1)).view(np.int64)
