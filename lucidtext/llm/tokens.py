@@ -24,6 +24,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -39,13 +40,13 @@ END = 2
 #: A file is closed at so many ids, at the end of the document that reaches it.
 FILE_IDS = 4_000_000
 #: Text bytes encoded at once: ids and offsets take many times as much.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 BLOCK = 512
 #: Bytes of a plane that are compressed together.
 PLANE = 1 << 15
 #: Distinct pieces of texts whose ids a worker remembers, and the bytes and ids it remembers before it begins anew.
-REMEMBERED = 300_000
-REMEMBERED_SIZE = 16 << 20
+REMEMBERED = 400_000
+REMEMBERED_SIZE = 24 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -141,17 +142,26 @@ class WordEncoder:
             new = own
         self._learn(new)
         place = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
-        size, begin = place & 0xFFFFFFFF, place >> 32
+        size, begin = place & 0xFFFFFFFF, (place >> 32).astype(np.int32)  # what is remembered has fewer than 2 ** 31 ids
         many = size[ids]
         ends = np.concatenate([[0], np.cumsum(many)])
         lengths = ends[w.first[1:]] - ends[w.first[:-1]] + 1
-        # each piece's ids, moved on by one end id for each text before
+        # where each id stands in flat: a piece's ids follow one another
+        source = np.repeat((begin[ids] - ends[:-1]).astype(np.int32 if ends[-1] < 1 << 31 else np.int64), many)
+        source += np.arange(len(source), dtype=source.dtype)
         out = np.full(int(lengths.sum()), end, np.uint32)
-        inner = np.arange(ends[-1]) - np.repeat(ends[:-1], many)
-        out[np.arange(ends[-1]) + np.repeat(w.doc(), many)] = self.flat[np.repeat(begin[ids], many) + inner]
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        out[inner] = self.flat[source]
         return out, lengths
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """A worker's encoder: what it remembers serves all tasks that the worker runs."""
+    return WordEncoder(path)
+
+
 def _pack(a: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
 
@@ -293,7 +303,7 @@ def write_files(docs: DataFrame, path: str, file_ids: int = FILE_IDS) -> DataFra
         from pyspark import TaskContext
 
         part, k = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         held: list[tuple] = []
         many = 0
 
