@@ -53,3 +53,15 @@ def str3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pipeline.sentence_violations(pipeline.document_stream(spark, f"{at}/in"))
     found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("doc_id long, sent_no int, rule string, message string").parquet(f"{at}/out").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("str1_stream_requests", "SELECT DISTINCT sha256(user_id || chr(31) || event_type) AS request FROM events")
+def str1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests read as a stream; of equal ones within the watermark the first goes through. What is there is one batch, so each request comes once."""
+    at = sinks.shared_folder(spark)
+    schema = "ts timestamp, request_hash string"
+    request = F.sha2(F.concat_ws("\x1f", F.col("user_id").cast("string"), "event_type"), 256)
+    table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), request.alias("request_hash")).write.parquet(f"{at}/in")
+    found = pipeline.coalesced(spark.readStream.schema(schema).parquet(f"{at}/in"))
+    found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/out").select(F.col("request_hash").alias("request"))
