@@ -10,6 +10,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lucidtext-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -39,15 +42,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, written; the tables that were written for it are deleted."""
+    before = len(_written)
+    out = written(make(), name)
+    inside = _written[before:-1]
+    del _written[before:-1]
+    for spark, path in inside:
+        _delete(spark, path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            if spark.sparkContext._jsc is None:
-                continue
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             return
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from . import _words
-from ._shared import bound_batches, columns, few, release, table, written
+from ._shared import bound_batches, columns, few, release, settled, table, written
 from .components import components
 
 #: Members of a bucket that are compared in one task at most, twice over.
@@ -365,7 +365,7 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     buckets = written(_buckets(keys), "buckets")
     met = buckets.select("node").unionByName(buckets.select(F.col("pivot").alias("node"))).distinct()
     # null doc_ids sort first in a struct; any document of the node will do
-    mine = sketched.where("own IS NOT NULL").join(met, "node")
+    mine = sketched.where("own IS NOT NULL").select("doc_id", "h", "n", "node", "own", "low").join(met, "node")
     nodes = written(mine.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("n").alias("n"), F.min("own").alias("own"), F.min("low").alias("low")), "nodes")
     reps, near = nodes.select("node", "rep.*"), nodes.select("node", "n", "own", "low")
 
@@ -386,7 +386,7 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = written(classes(table(spark, sf_dir, "documents"), 3, 90), "classes")
+    found = settled(lambda: classes(table(spark, sf_dir, "documents"), 3, 90), "classes")
     # written apart from the join, which then can split a class of very many documents
     least = written(found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")), "least")
     return found.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
@@ -397,7 +397,7 @@ def stage_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null doc_ids come last. Of rows with the same doc_id and text one stays.
     """
-    found = written(classes(docs, 5, 80), "classes")
+    found = settled(lambda: classes(docs, 5, 80), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     heads = written(found.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("head")), "heads")
     rest = found.join(heads, "class").where(~order.eqNullSafe(F.col("head"))).select("doc_id", "h")
