@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lucidtext.llm._shared import table, written
+from lucidtext.llm._shared import settled, table
 from lucidtext.llm.decontaminate import stage_decontaminate
 from lucidtext.llm.mixing import stage_mix
 from lucidtext.llm.neardup import stage_neardup
@@ -28,7 +28,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+    """The last stage's result; what a stage was made from is deleted once the stage is written."""
+
+    def after(k: int) -> DataFrame:
+        if not k:
+            return table(spark, sf_dir, "documents")
+        name, stage = STAGES[k - 1]
+        return settled(lambda: stage(spark, after(k - 1), sf_dir), name)
+
+    return after(len(STAGES))
