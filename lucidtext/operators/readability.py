@@ -7,16 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .annotate import TOKENS_SQL, Annotated
+from .findings import Wanted, findings
 
 FORMULAS = ("amstad", "wiener", "smog", "lix")
 MEASURES = ("asl", "asw", "pct_long", "pct_poly", "pct_mono")
 
 
+_COUNTED = Wanted(
+    counts=(("words", "kind = 'w'"), ("long", "kind = 'w' AND length(text) > 6"), ("poly", "kind = 'w' AND n_syll >= 3"), ("mono", "kind = 'w' AND n_syll = 1")),
+    syllables="kind = 'w'",
+    sentences=True,
+)
+
+
 def word_statistics(a: Annotated) -> DataFrame:
     """doc_id, words, sents, syll, chars over 6, syllables of 3 and more, of 1. Digits and punctuation don't count."""
-    w = a.tokens.where("kind = 'w'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum("n_syll").alias("syll"), F.count_if(F.length("text") > 6).alias("long"), F.count_if(F.col("n_syll") >= 3).alias("poly"), F.count_if(F.col("n_syll") == 1).alias("mono"))
-    s = a.sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sents"))
-    both = a.docs.select("doc_id").join(s, "doc_id", "left").join(w, "doc_id", "left")
+    s = findings(a.docs, _COUNTED).where("what = 's'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("sents"), F.sum("syll_counted").alias("syll"), *(F.sum(c).alias(c) for c, _ in _COUNTED.counts))
+    both = a.docs.select("doc_id").join(s, "doc_id", "left")
     zero = F.lit(0).cast("long")
     return both.select("doc_id", F.greatest(F.lit(1).cast("long"), F.coalesce("sents", zero)).alias("sents"), *(F.coalesce(c, zero).alias(c) for c in ("words", "syll", "long", "poly", "mono")))
 
