@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from . import _words
-from ._shared import bound_batches, columns, few, release, settled, table, written
+from ._shared import bound_batches, columns, few, parts, release, settled, table, written
 from .components import components
 
 #: Members of a bucket that are compared in one task at most, twice over.
@@ -188,7 +188,7 @@ def _nodes_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.uint64)[2 * column.offset : 2 * (column.offset + len(column))].reshape(-1, 2)
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
+def _buckets(rows: DataFrame, n_parts: int) -> DataFrame:
     """key, pivot, node: all nodes of each bucket but the least, with that. Rows are read in order, so a bucket may have any size."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def _buckets(rows: DataFrame) -> DataFrame:
                 at = np.flatnonzero(out)
                 yield pa.RecordBatch.from_arrays([pa.array(key[at]), pivots.take(pa.array(begin[at])), nodes.take(pa.array(at))], names=["key", "pivot", "node"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(runs, "key long, pivot binary, node binary")
+    return rows.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(runs, "key long, pivot binary, node binary")
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -362,7 +362,7 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     sketched = written(_sketched(docs, k, percent), "sketched")
     keys = sketched.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")
-    buckets = written(_buckets(keys), "buckets")
+    buckets = written(_buckets(keys, parts(docs)), "buckets")
     met = buckets.select("node").unionByName(buckets.select(F.col("pivot").alias("node"))).distinct()
     # null doc_ids sort first in a struct; any document of the node will do
     mine = sketched.where("own IS NOT NULL").select("doc_id", "h", "n", "node", "own", "low").join(met, "node")
