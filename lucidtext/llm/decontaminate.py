@@ -289,6 +289,7 @@ def contaminated() -> F.Column:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document row, repeated ones included, judged by its own text. Null and empty texts have no words; a null item_id counts as an empty one; without documents no rows."""
     index = written(build_index(table(spark, sf_dir, "documents")), "index")
     found = search(index, table(spark, sf_dir, "benchmark"))
     return found.select(

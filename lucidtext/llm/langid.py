@@ -186,4 +186,5 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page row. Null html and null urls leave the other kinds of evidence to decide; of languages with equal posteriors the first in order; repeated rows get the same result; without pages no rows."""
     return identified(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))

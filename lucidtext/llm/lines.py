@@ -180,6 +180,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document row. Null texts have no lines; blank lines stay; repeated rows count as one text and lose the same lines; without documents no rows."""
     bound_batches(spark)
     docs = keyed(table(spark, sf_dir, "documents"))
     drop, _ = recurring(docs)

@@ -175,6 +175,7 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document row. Null texts and those without words take 0; a null source is a source of its own, last in order; repeated rows are told apart by number alone; without documents no rows."""
     sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
     mixed = mix(written(sizes, "sizes"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -386,6 +386,7 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document row. Null texts and those without words have no shingles and are their own component; null ids are never the smallest; repeated rows are copies; without documents no rows."""
     found = settled(lambda: classes(table(spark, sf_dir, "documents"), 3, 90), "classes")
     # written apart from the join, which then can split a class of very many documents
     least = written(found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")), "least")

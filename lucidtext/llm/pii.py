@@ -155,6 +155,7 @@ def pii_masked(texts: pa.Array) -> pa.Array:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document row. Null and empty texts have no spans; spans that begin together stand in the order of kinds; repeated rows get the same result; without documents no rows."""
     bound_batches(spark)
     found = table(spark, sf_dir, "documents").select("doc_id", pii_spans("text").alias("s"))
     said = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))

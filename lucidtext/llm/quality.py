@@ -117,12 +117,13 @@ def quality_figures(texts: pa.Array) -> pa.Array:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document row. Null and empty texts have no words and fail; repeated rows get the same result; without documents no rows."""
     bound_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", quality_figures("text").alias("q")).select("doc_id", "q.*")
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep; columns stay."""
+    """Documents that the rules keep; columns stay. Null, empty and word-free texts go; repeated rows go or stay together."""
     bound_batches(spark)
     return docs.where(quality_figures("text").getField("kept"))

@@ -82,6 +82,7 @@ def shard(rows: DataFrame, key: str, shards: int, order: list[str], chunk_rows:
 
 
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document row. Null texts have no bytes (size 8); null ids share one key and so one shard; repeated rows get slots of their own; without documents no rows."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     return shard(docs, "doc_id", SHARDS, ["size", "text_crc32"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

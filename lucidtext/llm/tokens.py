@@ -363,8 +363,10 @@ def read_files(files: DataFrame) -> DataFrame:
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """A row for each document row. Null texts are empty: the end id alone; null ids come first; repeated rows are encoded each, one after the other; without documents no rows."""
     return stage_tokens(spark, table(spark, sf_dir, "documents"), sf_dir, tokenizer)
 
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """op5 over ``docs``; columns besides doc_id and text are not read."""
     return read_files(written(write_files(docs, tokenizer or tokenizer_path()), "tokens"))

@@ -102,6 +102,7 @@ def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page row. Null urls have neither host nor path and are allowed; of rules equally long none can fit the same url; repeated rows get the same verdict; without pages no rows."""
     return judged(table(spark, sf_dir, "pages"))
 
 
