@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import rules
 from ..operators.annotate import TOKENS_SQL, Annotated
@@ -51,9 +52,30 @@ def aux10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy(F.expr("CASE WHEN b < 25 THEN 'einfach' WHEN b < 40 THEN 'mittel' ELSE 'schwer' END").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("aux13_polite_forms", f"WITH {TOKENS_SQL} SELECT doc_id, t_start, text FROM tok WHERE text IN ('Sie', 'Ihnen', 'Ihr', 'Ihre', 'Es', 'La', 'The') AND i > 0")
+_POLITE = ("Sie", "Ihnen", "Ihr", "Ihre", "Ihren", "Ihrem", "Ihrer", "Ihres")
+_REFLEXIVE = ("sich", "mich", "dich", "uns", "euch")
+
+
+@query("aux13_polite_forms", f"WITH {TOKENS_SQL} SELECT doc_id, t_start, text, CASE WHEN text IN ({', '.join(map(repr, _POLITE))}) THEN 'polite' ELSE 'reflexive' END AS kind FROM tok WHERE text IN ({', '.join(map(repr, _POLITE))}) AND i > 0 OR lower IN ({', '.join(map(repr, _REFLEXIVE))})")
 def aux13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _corpus(spark, sf_dir).tokens.where((F.col("i") > 0) & F.col("text").isin("Sie", "Ihnen", "Ihr", "Ihre", "Es", "La", "The")).select("doc_id", "t_start", "text")
+    """Capitalised forms of address inside a sentence, and reflexive pronouns."""
+    polite = F.col("text").isin(*_POLITE)
+    found = _corpus(spark, sf_dir).tokens.where((F.col("i") > 0) & polite | F.col("lower").isin(*_REFLEXIVE))
+    return found.select("doc_id", "t_start", "text", F.when(polite, "polite").otherwise("reflexive").alias("kind"))
+
+
+_ALTERNATIVES = Inline("word string, alternative string", [(w, a) for w, plain, others in L.SYNONYMS for a in dict.fromkeys((plain.lower(), *others))])
+
+
+@query("srt5_best_alternative", f"WITH {TOKENS_SQL}, f AS (SELECT lower, count(*) AS n FROM tok WHERE kind = 'w' GROUP BY lower) SELECT word, alternative AS best, n FROM (SELECT word, alternative, coalesce(f.n, 0) AS n, row_number() OVER (PARTITION BY word ORDER BY coalesce(f.n, 0) DESC, length(alternative), alternative) AS r FROM {_ALTERNATIVES.sql()} x LEFT JOIN f ON f.lower = x.alternative) WHERE r = 1")
+def srt5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best alternative of each listed word: most frequent in the corpus, then shortest."""
+    given = _ALTERNATIVES.df(spark)
+    asked = _corpus(spark, sf_dir).tokens.where("kind = 'w'").select(F.col("lower").alias("alternative")).join(F.broadcast(given.select("alternative").distinct()), "alternative", "left_semi")
+    n = asked.groupBy("alternative").agg(F.count(F.lit(1)).alias("n"))
+    x = given.join(n, "alternative", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    best = x.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("back"), F.length("alternative").alias("l"), "alternative")).alias("b"))
+    return best.select("word", F.col("b.alternative").alias("best"), (-F.col("b.back")).alias("n"))
 
 
 @query("prj19_embedded_shapes", f"WITH {TOKENS_SQL} SELECT doc_id, t_start, text FROM tok WHERE regexp_matches(text, '^[A-ZÄÖÜ]{{2,}}$') AND coalesce(prev1, '') <> '-' AND coalesce(next1, '') <> '-'")

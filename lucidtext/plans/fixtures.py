@@ -585,11 +585,6 @@ def aux12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CANDIDATES.df(spark).groupBy("pron").agg(F.max_by("word", score).alias("best"))
 
 
-@query("srt5_best_alternative", f"SELECT pron, max(word) AS last_word, arg_max(word, w_pos) AS best FROM {CANDIDATES.sql()} GROUP BY pron")
-def srt5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CANDIDATES.df(spark).groupBy("pron").agg(F.max("word").alias("last_word"), F.max_by("word", "w_pos").alias("best"))
-
-
 @query("aux1_rule_catalogue", "SELECT rule, weight, cost FROM (VALUES " + ", ".join(f"('{r}', {w}, {L.VIOLATION_COST[w]})" for r, w in L.RULE_WEIGHTS.items()) + ") t(rule, weight, cost)")
 def aux1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([(r,) for r in sorted(L.RULE_WEIGHTS)], "rule string")
