@@ -143,12 +143,13 @@ _CACHE = 2
 h AS (SELECT p.user_id, p.k, count(DISTINCT b.event_type) AS others FROM p JOIN x b ON b.user_id = p.user_id AND b.k > p.before AND b.k < p.k GROUP BY p.user_id, p.k)
 SELECT p.user_id, count(*) AS n, count(*) FILTER (WHERE before IS NOT NULL AND coalesce(others, 0) < {_CACHE}) AS hits FROM p LEFT JOIN h ON h.user_id = p.user_id AND h.k = p.k GROUP BY p.user_id""")
 def srt9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of a least-recently-used cache for each user's requests: fewer others than it has places came between."""
-    # the cache itself, as an array, goes through a user's requests in order
-    user = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("es"))
-    zero = F.struct(F.array().cast("array<string>").alias("held"), F.lit(0).cast("long").alias("hits"))
-    step = lambda a, e: F.struct(F.slice(F.concat(F.array(e["event_type"]), F.array_remove(a["held"], e["event_type"])), 1, _CACHE).alias("held"), (a["hits"] + F.when(F.array_contains(a["held"], e["event_type"]), 1).otherwise(0)).alias("hits"))
-    return user.select("user_id", F.size("es").cast("long").alias("n"), F.aggregate("es", zero, step)["hits"].alias("hits"))
+    """Hits of a least-recently-used cache with two places for each user's requests: the same as the one before, or as the run of equal ones before the last."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type").withColumn("again", F.coalesce(F.lag("event_type").over(w) == F.col("event_type"), F.lit(False)))
+    # a run's first request: hit if the run before the last one was of its kind
+    runs = e.where("NOT again").withColumn("back", F.coalesce(F.lag("event_type", 2).over(w) == F.col("event_type"), F.lit(False)))
+    hits = runs.groupBy("user_id").agg(F.count_if("back").alias("first_hits"))
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("again").alias("hits")).join(hits, "user_id").select("user_id", "n", (F.col("hits") + F.col("first_hits")).alias("hits"))
 
 
 @query("aux6_passive_dispatcher", f"SELECT doc_id, sent_no, trim(split_part(message, '\"', 1)) AS detector, count(*) AS n FROM ({rules.rule_sql('passiv_erkennung')}) GROUP BY ALL")
