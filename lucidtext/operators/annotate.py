@@ -114,6 +114,20 @@ def _annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, _SENTENCE_TYPE, strict=True)], schema=_SENTENCE_TYPE)
 
 
+_CUT_TYPE = pa.schema(list(_SENTENCE_TYPE)[:-1])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: tuple[list, ...] = ([], [], [], [], [])
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for n, m in enumerate(_SENTENCE.finditer(text or ""), 1):
+                if m[0].strip(" \t\n\r\f\x0B"):
+                    for column, value in zip(rows, (doc_id, n, m.start(), m.end(), m[0]), strict=True):
+                        column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _CUT_TYPE, strict=True)], schema=_CUT_TYPE)
+
+
 def spark_type(schema: pa.Schema) -> StructType:
     return StructType.fromJson(from_arrow_type(pa.struct(list(schema))).jsonValue())
 
@@ -135,7 +149,7 @@ def token_arrays(docs: DataFrame) -> DataFrame:
 
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, sent_no, start_char, end_char, text. Blank sentences are left out but counted."""
-    return token_arrays(docs).drop("ts")
+    return batched(docs).mapInArrow(_cut, spark_type(_CUT_TYPE))
 
 
 def tokens(arrays: DataFrame) -> DataFrame:
@@ -149,7 +163,7 @@ class Annotated:
     def __init__(self, docs: DataFrame) -> None:
         self.docs = docs.select("doc_id", "text")
         self.arrays = token_arrays(self.docs)
-        self.sentences = self.arrays.drop("ts")
+        self.sentences = sentences(self.docs)
         self.tokens = tokens(self.arrays)
 
 
