@@ -125,7 +125,7 @@ CHUNK_ROWS = 1_000_000
 
 def _told_apart(sizes: DataFrame) -> DataFrame:
     """doc_id, source, size and k, a hash of its own for each row: rows that are equal are counted and numbered."""
-    counted = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    counted = written(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "counted")
     chunks = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK_ROWS))))
     if (counted.agg(F.max("n")).first()[0] or 0) > CHUNK_ROWS:
         chunks = chunks.repartition("doc_id", "source", "size", "chunk")
