@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import few, table
+from ._shared import few, table, written
 from ._words import mix
 
 SHARDS = 24
@@ -65,8 +65,9 @@ def shard(rows: DataFrame, key: str, shards: int, order: list[str], chunk_rows:
     cols = [key, *order]
     given = rows.select(*cols).withColumn("_p", placed(shards)(key)).select(*cols, "_p.*")
     # equal rows are counted in place, so that a key with very many rows stays small
-    counted = given.groupBy(*cols, "h", "shard", "grown_shard").agg(F.count(F.lit(1)).alias("_n"))
-    bits = max(0, min(20, (rows.count() // (shards * chunk_rows)).bit_length()))
+    counted = written(given.groupBy(*cols, "h", "shard", "grown_shard").agg(F.count(F.lit(1)).alias("_n")), "counted")
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    bits = max(0, min(20, (total // (shards * chunk_rows)).bit_length()))
     counted = counted.withColumn("_chunk", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long"))
     wide = counted.groupBy("shard", "_chunk").agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > 8 * chunk_rows)
     wide = wide.select("shard", "_chunk", F.ceil(F.col("_many") / chunk_rows).alias("_cuts"))
