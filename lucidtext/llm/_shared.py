@@ -33,23 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends here."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: lineage ends here. ``by``: a column whose values get folders of their own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """For ``sweep``: what is written from now on."""
+    return len(_written)
+
+
+def sweep(since: int) -> None:
+    """Delete the tables written since ``mark`` gave ``since``, all but the last."""
+    inside = _written[since:-1]
+    del _written[since:-1]
+    for spark, path in inside:
+        _delete(spark, path)
+
+
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What ``make`` gives, written; the tables that were written for it are deleted."""
-    before = len(_written)
+    before = mark()
     out = written(make(), name)
-    inside = _written[before:-1]
-    del _written[before:-1]
-    for spark, path in inside:
-        _delete(spark, path)
+    sweep(before)
     return out
 
 
