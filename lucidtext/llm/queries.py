@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontaminate, langid, lines, mixing, neardup, pii, quality, sharding, tokens, urls
+from . import codes, decontaminate, langid, lines, mixing, neardup, pii, prefixes, quality, sharding, tokens, urls
 from ._shared import table
 
 
@@ -79,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
         "op11_codes": codes.op11_codes,
+        "op12_prefixes": prefixes.op12_prefixes,
         "llm_shard_places": llm_shard_places,
         "llm_mix_targets": llm_mix_targets,
         "llm_pii_counts": llm_pii_counts,
@@ -92,6 +93,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_urls": urls.ORACLE,
         "op7_neardup": neardup.ORACLE,
         "op11_codes": codes.ORACLE,
+        "op12_prefixes": prefixes.ORACLE,
         "llm_shard_places": sharding.ORACLE,
         "llm_mix_targets": MIX_TARGETS,
         "llm_pii_counts": PII_COUNTS,
