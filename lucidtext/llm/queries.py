@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontaminate, langid, lines, mixing, neardup, pii, prefixes, quality, sharding, tokens, urls
+from . import codes, decontaminate, extract, langid, lines, mixing, neardup, pii, prefixes, quality, sharding, tokens, urls
 from ._shared import table
 
 
@@ -80,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": quality.op10_quality,
         "op11_codes": codes.op11_codes,
         "op12_prefixes": prefixes.op12_prefixes,
+        "op13_main_text": extract.op13_main_text,
         "llm_shard_places": llm_shard_places,
         "llm_mix_targets": llm_mix_targets,
         "llm_pii_counts": llm_pii_counts,
