@@ -53,6 +53,8 @@ def nothing(spark, odd, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("nothing"))
     for name in ("documents", "benchmark", "pages"):
         spark.read.parquet(f"{odd[0]}/{name}.parquet").limit(0).write.parquet(f"{at}/{name}.parquet")
+    for name in ("embeddings", "conversations"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{at}/{name}.parquet")
     return at
 
 
