@@ -1,7 +1,6 @@
 """Fixed values of the rules: word lists, thresholds, weights.
 
 They decide results, so they stand here as they are meant, each list together.
-Large tables are built from a rule.
 """
 
 from __future__ import annotations
@@ -66,15 +65,18 @@ COMMON_WORDS = (
     "einführung", "durchführung", "ausführung", "aufführung", "umgestaltung", "gestaltung", "entwicklung", "verbesserung", "betreuung", "beratung",
     "unterstützung", "förderung", "untersuchung", "bewertung", "einschätzung", "änderung", "erweiterung", "kürzung", "verlängerung", "beschleunigung",
     "verzögerung", "vereinfachung", "verkomplizierung", "klärung", "lösung", "behandlung", "beendigung", "erhaltung", "erhöhung", "verringerung",
-    "steigerung", "senkung", "vermehrung", "verminderung", "verstärkung", "consultant", "plant", "relevant", "präsent", "agent",
+    "steigerung", "senkung", "vermehrung", "verminderung", "verstärkung",
 )
+# --- words with endings like those of foreign words; fixed values
+ACRONYMS = ("consultant", "plant", "relevant", "präsent", "patient", "student", "agent")
 # --- endings of foreign words by difficulty, with their score; fixed values
 FOREIGN_ENDINGS = (
     (0.6, ("tion", "sion", "ität", "ismus", "ment", "ant", "ent", "anz", "enz")),
     (0.4, ("al", "ell", "iv", "ar", "är", "ik", "ur")),
     (0.2, ("ös", "os", "isch")),
 )
-GREEK_STEM = "(graph|log|phon|krat|nom|phil)(ie|isch|en)$"
+# --- words of Latin or Greek stock; fixed values
+GREEK_STEMS = (".*graph(ie|isch|en)$", ".*log(ie|isch|en)$", ".*phon(ie|isch|en)$", ".*krat(ie|isch|en)$", ".*nom(ie|isch|en)$", ".*phil(ie|isch|en)$")
 
 # --- word length; fixed values
 MAX_SYLLABLES, MAX_CHARS = 3, 12
@@ -123,12 +125,14 @@ SUBJUNCTIVE_FORMS = (
     "wäre", "wärst", "wären", "wärt", "hätte", "hättest", "hätten", "hättet", "würde", "würdest", "würden", "würdet", "könnte", "könntest", "könnten",
     "könntet", "müsste", "müsstest", "müssten", "müsstet", "dürfte", "dürftest", "dürften", "dürftet", "möchte", "möchtest", "möchten", "möchtet",
     "sei", "seist", "seien", "seiet", "habe", "gäbe", "käme", "ginge", "bliebe",
+    "waere", "waerst", "waeren", "waert", "haette", "haettest", "haetten", "haettet", "wuerde", "wuerdest", "wuerden", "wuerdet", "koennte",
+    "koenntest", "koennten", "koenntet", "muesste", "muesstest", "muessten", "muesstet", "duerfte", "duerftest", "duerften", "duerftet", "moechte",
+    "moechtest", "moechten", "moechtet", "gaebe", "kaeme",
 )
 THIRD_PERSON = ("er", "sie", "es", "ihn", "ihm", "ihr", "ihnen", "sein", "seine", "seinen", "seinem", "seiner", "ihre", "ihren", "ihrem", "ihrer")
 PERSONAL_PRONOUNS = (
     "ich", "du", "er", "sie", "es", "wir", "ihr", "mich", "dich", "ihn", "uns", "euch", "mir", "dir", "ihm", "ihnen", "sich", "man",
 )
-SUBJUNCTIVE_FORMS += tuple(dict.fromkeys(w.replace("ä", "ae").replace("ö", "oe").replace("ü", "ue") for w in SUBJUNCTIVE_FORMS if any(c in w for c in "äöü")))
 MORE_SUBORDINATORS = ("ob", "da", "als", "bis", "seit", "seitdem", "indem", "sodass", "solange", "sobald", "ehe", "zumal", "obgleich", "wenngleich", "obschon")
 SUBJECT_PRONOUNS = ("ich", "du", "er", "sie", "es", "wir", "ihr")
 SHORT_FORMS = ("Tel", "Nr", "Str", "Abs", "Art", "Abb", "Std", "Min", "Sek", "Mio", "Mrd", "St", "Co")
@@ -212,23 +216,26 @@ IDIOMS = (
 )
 #: In a sentence of more than 15 words an idiom is harder by 0.2, beside one of these words by 0.3.
 IDIOM_CONTEXT = ("jedoch", "dennoch", "allerdings", "freilich")
+#: Animals, of which two words of a sentence make an idiom likelier; words of a phrase that stand for any word.
+ANIMALS = ("hund", "katze", "maus", "schwein", "vogel")
+PLACEHOLDERS = ("jemand", "jemandem", "jemanden", "jemandes", "etwas")
 LITERAL_MARKERS = ("wirklich", "tatsächlich", "buchstäblich", "echt", "konkret")
 
-# --- metaphors in a sentence's words; parts of the body with verbs, unless one is ill; fixed values
+# --- metaphors in a sentence in lower case; parts of the body with verbs, unless one is ill; fixed values
 METAPHORS = (
-    " (?:herz|kopf|hand|auge|ohr) (?:ist|war|wird) [^ ]+ ",
-    " (?:stein|berg|wolke|himmel|erde) (?:fällt|steigt|sinkt) ",
-    " (?:feuer|wasser|luft|wind) (?:brennt|fließt|weht) ",
-    " (?:türe?n?|fenster|brücke) (?:öffnen|schließen|bauen) ",
-    " (?:spreu|weizen) (?:vom|trennen) ",
-    " kind mit dem bade? ausschütten ",
-    " tellerrand (?:blicken|schauen) ",
-    " fähnlein in den wind hängen ",
-    " herz und nieren prüfen ",
-    " sande? verlaufen ",
-    " (?:lippenbekenntnisse|lippenbekenntnis) ",
-    " mammutaufgabe ",
-    " mosaiksteine? ",
+    r"\b(herz|kopf|hand|auge|ohr)\s+(ist|war|wird)\s+\w+",
+    r"\b(stein|berg|wolke|himmel|erde)\s+(fällt|steigt|sinkt)",
+    r"\b(feuer|wasser|luft|wind)\s+(brennt|fließt|weht)",
+    r"\b(türe?n?|fenster|brücke)\s+(öffnen|schließen|bauen)",
+    r"\b(spreu|weizen)\s+(vom|trennen)",
+    r"\b(kind)\s+(mit\s+dem\s+bade?)\s+(ausschütten)",
+    r"\b(tellerrand)\s+(blicken|schauen)",
+    r"\b(fähnlein)\s+(in\s+den\s+wind)\s+(hängen)",
+    r"\b(herz\s+und\s+nieren)\s+(prüfen)",
+    r"\b(sande?)\s+(verlaufen)",
+    r"\b(lippenbekenntnisse|lippenbekenntnis)",
+    r"\b(mammutaufgabe)",
+    r"\b(mosaiksteine?)",
 )
 BODY_PART_VERBS = (
     ("kopf", ("zerbrechen", "rauchen", "platzen", "schwirren")),
@@ -282,26 +289,71 @@ KNOTS = {
 RATINGS = ((5, "expert"), (10, "complex"), (15, "readable"), (16, "plain"), (18, "simple"), (None, "easy"))
 
 
-def number_words() -> tuple[str, ...]:
-    """Number words from 0 to 50 and their inflections; one, eight and eleven are ambiguous and left out."""
-    ones = {2: "zwei", 3: "drei", 4: "vier", 5: "fünf", 6: "sechs", 7: "sieben", 9: "neun", 10: "zehn"}
-    stems = {2: "zwei", 3: "drit", 4: "vier", 5: "fünf", 6: "sechs", 7: "sieb", 9: "neun", 10: "zehn"}
-    out = ["null"]
-    for n, word in ones.items():
-        out += [word, f"{word}er", f"{word}en", f"{word}mal"]
-        out += [f"{stems[n]}t{e}" for e in ("e", "en", "er", "es", "ens")]
-    out += ["zwölf", "zwölfmal", *(f"zwölft{e}" for e in ("e", "en", "er", "es"))]
-    teens = ("dreizehn", "vierzehn", "fünfzehn", "sechzehn", "siebzehn", "achtzehn", "neunzehn")
-    out += [w + e for w in teens for e in ("", "te", "ten", "ter", "tes")]
-    units = ("", "einund", "zweiund", "dreiund", "vierund", "fünfund", "sechsund", "siebenund", "achtund", "neunund")
-    tens = [u + t for t in ("zwanzig", "dreißig", "vierzig") for u in units] + ["fünfzig"]
-    out += [w + e for w in tens for e in ("", "ste", "sten", "ster", "stes")]
-    return tuple(dict.fromkeys(out))
-
-
-NUMBER_WORDS = number_words()
+# --- number words; fixed values
+#: Number words and their inflections; one, eight and eleven are ambiguous and left out.
+NUMBER_WORDS = tuple(
+    """
+    null
+    zwei zweier zweien zweite zweiten zweiter zweites zweimal zweitens
+    drei dreier dreien dritte dritten dritter drittes dreimal drittens
+    vier vierer vieren vierte vierten vierter viertes viermal viertens
+    fünf fünfer fünfen fünfte fünften fünfter fünftes fünfmal fünftens
+    sechs sechser sechsen sechste sechsten sechster sechstes sechsmal sechstens
+    sieben siebener siebenen siebte siebten siebter siebtes siebenmal siebtens
+    neun neuner neunen neunte neunten neunter neuntes neunmal neuntens
+    zehn zehner zehnen zehnte zehnten zehnter zehntes zehnmal zehntens
+    zwölf zwölfte zwölften zwölfter zwölftes zwölfmal
+    dreizehn dreizehnte dreizehnten dreizehnter dreizehntes
+    vierzehn vierzehnte vierzehnten vierzehnter vierzehntes
+    fünfzehn fünfzehnte fünfzehnten fünfzehnter fünfzehntes
+    sechzehn sechzehnte sechzehnten sechzehnter sechzehntes
+    siebzehn siebzehnte siebzehnten siebzehnter siebzehntes
+    achtzehn achtzehnte achtzehnten achtzehnter achtzehntes
+    neunzehn neunzehnte neunzehnten neunzehnter neunzehntes
+    zwanzig zwanzigste zwanzigsten zwanzigster zwanzigstes
+    einundzwanzig einundzwanzigste einundzwanzigsten einundzwanzigster einundzwanzigstes
+    zweiundzwanzig zweiundzwanzigste zweiundzwanzigsten zweiundzwanzigster zweiundzwanzigstes
+    dreiundzwanzig dreiundzwanzigste dreiundzwanzigsten dreiundzwanzigster dreiundzwanzigstes
+    vierundzwanzig vierundzwanzigste vierundzwanzigsten vierundzwanzigster vierundzwanzigstes
+    fünfundzwanzig fünfundzwanzigste fünfundzwanzigsten fünfundzwanzigster fünfundzwanzigstes
+    sechsundzwanzig sechsundzwanzigste sechsundzwanzigsten sechsundzwanzigster sechsundzwanzigstes
+    siebenundzwanzig siebenundzwanzigste siebenundzwanzigsten siebenundzwanzigster siebenundzwanzigstes
+    achtundzwanzig achtundzwanzigste achtundzwanzigsten achtundzwanzigster achtundzwanzigstes
+    neunundzwanzig neunundzwanzigste neunundzwanzigsten neunundzwanzigster neunundzwanzigstes
+    dreißig dreißigste dreißigsten dreißigster dreißigstes
+    einunddreißig einunddreißigste einunddreißigsten einunddreißigster einunddreißigstes
+    zweiunddreißig zweiunddreißigste zweiunddreißigsten zweiunddreißigster zweiunddreißigstes
+    dreiunddreißig dreiunddreißigste dreiunddreißigsten dreiunddreißigster dreiunddreißigstes
+    vierunddreißig vierunddreißigste vierunddreißigsten vierunddreißigster vierunddreißigstes
+    fünfunddreißig fünfunddreißigste fünfunddreißigsten fünfunddreißigster fünfunddreißigstes
+    sechsunddreißig sechsunddreißigste sechsunddreißigsten sechsunddreißigster sechsunddreißigstes
+    siebenunddreißig siebenunddreißigste siebenunddreißigsten siebenunddreißigster siebenunddreißigstes
+    achtunddreißig achtunddreißigste achtunddreißigsten achtunddreißigster achtunddreißigstes
+    neununddreißig neununddreißigste neununddreißigsten neununddreißigster neununddreißigstes
+    vierzig vierzigste vierzigsten vierzigster vierzigstes
+    einundvierzig einundvierzigste einundvierzigsten einundvierzigster einundvierzigstes
+    zweiundvierzig zweiundvierzigste zweiundvierzigsten zweiundvierzigster zweiundvierzigstes
+    dreiundvierzig dreiundvierzigste dreiundvierzigsten dreiundvierzigster dreiundvierzigstes
+    vierundvierzig vierundvierzigste vierundvierzigsten vierundvierzigster vierundvierzigstes
+    fünfundvierzig fünfundvierzigste fünfundvierzigsten fünfundvierzigster fünfundvierzigstes
+    sechsundvierzig sechsundvierzigste sechsundvierzigsten sechsundvierzigster sechsundvierzigstes
+    siebenundvierzig siebenundvierzigste siebenundvierzigsten siebenundvierzigster siebenundvierzigstes
+    achtundvierzig achtundvierzigste achtundvierzigsten achtundvierzigster achtundvierzigstes
+    neunundvierzig neunundvierzigste neunundvierzigsten neunundvierzigster neunundvierzigstes
+    fünfzig fünfzigste fünfzigsten fünfzigster fünfzigstes
+    sechzig sechzigste sechzigsten sechzigster
+    siebzig siebzigste siebzigsten siebzigster
+    achtzig achtzigste achtzigsten achtzigster
+    neunzig neunzigste neunzigsten neunzigster
+    hundert hunderte hundertste hundertsten hundertster
+    tausend tausende tausendste tausendsten tausendster
+    million millionen millionste millionsten millionster
+    milliarde milliarden milliardste milliardsten
+    hälfte hälften drittel drittels viertel viertels fünftel fünftels sechstel sechstels siebtel siebtels achtel achtels neuntel neuntels zehntel zehntels zwanzigstel zwanzigstels hundertstel hundertstels
+    """.split()
+)
 ROMAN = "^(X{1,3}|IX|IV|V?I{1,3})$"
-NUMBERS_TO_100 = "^((ein|zwei|drei|vier|fünf|sechs|sieben|acht|neun)und(fünfzig|sechzig|siebzig|achtzig|neunzig)|fünfzig|sechzig|siebzig|achtzig|neunzig|(ein)?hundert)$"
+NUMBERS_TO_100 = "^((ein|zwei|drei|vier|fünf|sechs|sieben|acht|neun)und(fünfzig|sechzig|siebzig|achtzig|neunzig)|einhundert)$"
 
 # --- suggestions in messages, placeholders of lazy rewrites; fixed values
 SUGGESTION_PATTERNS = ('Einfacher: "([^"]+)"', 'Besser: "([^"]+)"', 'Alternative: "([^"]+)"', 'Richtig: "([^"]+)"', 'Ersetzen durch: "([^"]+)"')

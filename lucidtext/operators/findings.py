@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.predicates import evaluated
 from .annotate import Scanned, batched, spark_type
+from .phrases import RATIO, Windows, words_only
 
 NOT_SPACE = "[^ \\t\\n\\r\\f\\x0B]+"
 
@@ -30,8 +32,9 @@ class Wanted:
     each, a document's first token of a word has the group's first flag in ``first``, and ``n`` is how often it stands there.
     counts: column of a sentence -> predicate over words. parens: patterns counted in a sentence. joined, cased: patterns over
     a sentence's words and its text; these are given only where one of them is found. undefined: a flag that goes where the
-    document itself explains the word in brackets. phrases: (phrase, meaning, tenths of difficulty, is an idiom), of which
-    8 tenths are asked for; ``harder`` words of a sentence add 3, more than 15 words 2; ``literal`` words mean no idiom. pairs: (word, plainer word, synonyms). marks: (name, pattern, what
+    document itself explains the word in brackets. phrases: (phrase, meaning, tenths of difficulty, category or none).
+    Of an idiom, which has a category, 0.8 of the words and 8 tenths are asked for: ``harder`` words of a sentence add 3, more than 15 words 2,
+    two ``animals`` 4; ``literal`` words mean no idiom; ``placeholders`` stand for any word. Others must be found word by word. pairs: (word, plainer word, synonyms). marks: (name, pattern, what
     to call it if not by what is found) over whole texts.
     """
 
@@ -49,8 +52,10 @@ class Wanted:
     undefined: str = ""
     explained: str = ""
     foreign: str = ""
-    phrases: tuple[tuple[str, str, int, bool], ...] = ()
+    phrases: tuple[tuple[str, str, int, str], ...] = ()
     harder: tuple[str, ...] = ()
+    animals: tuple[str, ...] = ()
+    placeholders: tuple[str, ...] = ()
     literal: tuple[str, ...] = ()
     pairs: tuple[tuple[str, str, tuple[str, ...]], ...] = ()
     marks: tuple[tuple[str, str, str | None], ...] = ()
@@ -82,6 +87,11 @@ def _only(values: pa.Array, keep: pa.Array) -> pa.Array:
     return pc.if_else(keep, values, pa.scalar(None, values.type))
 
 
+@lru_cache(maxsize=4)
+def _windows(want: Wanted) -> Windows:
+    return Windows([p.split() for p, *_ in want.phrases], RATIO, want.placeholders)
+
+
 class _Batch:
     """One batch's rows."""
 
@@ -163,27 +173,32 @@ class _Batch:
             n_split=pc.count_substring_regex(sents, NOT_SPACE), last_token=s.text.take(pa.array(s.word[s.first[1:] - 1])), joined=kept, long_flags=signs, **counts,
         )
 
-    def phrases(self, joined: pa.Array, s_words: np.ndarray) -> pa.RecordBatch | None:
+    def phrases(self, s_words: np.ndarray) -> pa.RecordBatch | None:
         s, want = self.s, self.want
-        any_of = "|".join(f"(?: {re.escape(p)} )" for p, _, _, _ in want.phrases)
-        padded = _padded(joined)
-        at = np.flatnonzero(pc.match_substring_regex(padded, any_of).to_numpy(zero_copy_only=False))
+        look = _windows(want)
+        at = words_only(s)
+        phrase, start, hits = look(s.lower, s.word[at], s.sentence[at])
         done, found = set(), []
-        for k in at.tolist():
-            words, low = padded[k].as_py(), s.sents[k].lower()
-            literal = any(x in low for x in want.literal)
-            harder = (2 if s_words[k] > 15 else 0) + (3 if any(x in low for x in want.harder) else 0)
-            for phrase, meaning, tenths, idiom in want.phrases:
-                key = (s.doc[k], phrase)
-                if key in done or f" {phrase} " not in words or (idiom and (literal or tenths + harder < 8)):
+        for p, a, b, n in zip(phrase.tolist(), at[start].tolist(), at[start + look.size[phrase] - 1].tolist(), hits.tolist(), strict=True):
+            (name, meaning, tenths, category), k = want.phrases[p], int(s.sentence[a])
+            key = (s.doc[k], p)
+            if key in done:
+                continue
+            if category:
+                low = s.sents[k].lower()
+                own = s.lower.take(pa.array(s.word[s.first[k] : s.first[k + 1]])).to_pylist()
+                tenths += (2 if s_words[k] > 15 else 0) + (3 if any(x in low for x in want.harder) else 0) + (4 if sum(any(x in w for x in want.animals) for w in own) > 1 else 0)
+                if tenths < 8 or any(x in low for x in want.literal):
                     continue
-                done.add(key)
-                found.append((k, phrase, meaning, int(idiom)))
+            elif n < look.size[p]:
+                continue
+            done.add(key)
+            found.append((k, s.start[a], s.start[b] + s.length[s.word[b]], name, meaning, category, tenths))
         if not found:
             return None
-        k, text, lower, idiom = zip(*found, strict=True)
+        k, begin, end, text, lower, category, tenths = zip(*found, strict=True)
         k = np.array(k)
-        return self.rows(len(found), doc_id=self.ids(k), what=["i"] * len(found), sent_no=np.array(s.numbers)[k], t_start=np.array(s.begins)[k], t_end=np.array(s.ends)[k], text=list(text), lower=list(lower), n=list(idiom))
+        return self.rows(len(found), doc_id=self.ids(k), what=["i"] * len(found), sent_no=np.array(s.numbers)[k], t_start=np.array(begin), t_end=np.array(end), text=list(text), lower=list(lower), next1=list(category), n=list(tenths))
 
     def pairs(self) -> pa.RecordBatch | None:
         s = self.s
@@ -213,7 +228,7 @@ class _Batch:
         out = [self.marks()] if want.marks else []
         if len(s.word):
             counts = {name: self.per_sentence(evaluated(p, self.of_word)) for name, p in want.counts}
-            joined = _join(s) if want.sentences or want.phrases else None
+            joined = _join(s) if want.sentences else None
             s_foreign = self.per_sentence(evaluated(want.foreign, self.of_word)) if want.foreign else None
             words = counts.get("n_words")
             if want.tokens:
@@ -221,7 +236,7 @@ class _Batch:
             if want.sentences:
                 out.append(self.sentences(joined, counts))
             if want.phrases:
-                out.append(self.phrases(joined, words))
+                out.append(self.phrases(words))
             if want.pairs:
                 out.append(self.pairs())
             if want.means:

@@ -21,6 +21,7 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from .annotate import TOKENS_SQL, Annotated
 from .findings import Wanted, findings
+from .phrases import windows_sql
 
 COLUMNS = ("doc_id", "rule", "sent_no", "t_start", "t_end", "term", "message")
 
@@ -50,6 +51,12 @@ def duck_sql(text: str) -> str:
     return re.sub(r"\brx\(", "regexp_matches(", text)
 
 
+def unicode_pattern(pattern: str) -> str:
+    """A pattern that begins at a word's edge, for engines that know ASCII words only; its first group is what is found."""
+    letter = r"\p{L}\p{N}_"
+    return rf"(?:^|[^{letter}])(" + re.sub(r"\((?!\?)", "(?:", pattern.removeprefix(r"\b")).replace(r"\w", f"[{letter}]") + ")"
+
+
 _WORD = "kind = 'w'"
 _CAPITAL = "rx(text, '^[A-ZÄÖÜ]')"
 _MORPH = (
@@ -63,7 +70,8 @@ COUNTED = f"({_WORD} AND length(text) >= 4)"
 def foreign_score(word: str = "lower", capital: str = _CAPITAL) -> str:
     """Shared SQL: how foreign a word looks."""
     endings = " + ".join(f"(CASE WHEN rx({word}, '{_alt(e)}$') THEN {int(s * 10)} ELSE 0 END)" for s, e in L.FOREIGN_ENDINGS)
-    return f"((CASE WHEN n_syll >= 4 THEN 3 ELSE 0 END) + {endings} + (CASE WHEN rx({word}, '{L.GREEK_STEM}') THEN 5 ELSE 0 END) + (CASE WHEN {capital} AND length({word}) > 8 THEN 2 ELSE 0 END))"
+    greek = " OR ".join(f"rx({word}, '^{p}')" for p in L.GREEK_STEMS)
+    return f"((CASE WHEN n_syll >= 4 THEN 3 ELSE 0 END) + {endings} + (CASE WHEN {greek} THEN 5 ELSE 0 END) + (CASE WHEN {capital} AND length({word}) > 8 THEN 2 ELSE 0 END))"
 
 
 def complexity_bonus() -> str:
@@ -125,7 +133,7 @@ PATTERN_RULES: tuple[tuple[str, str, str, tuple[str, ...], str], ...] = (
     ("negationen", "joined", " (?:nicht|nie) (?:mehr|wieder|länger|einmal) ", (), _HARD_NEGATION),
     ("negationen", "joined", " auf kein(?:en|e|em)? (?:fall|fälle|fällen) ", (), _HARD_NEGATION),
     ("negationen", "joined", " unter kein(?:en|e|em)? (?:umstand|umstände|umständen) ", (), _HARD_NEGATION),
-    ("redewendungen", "joined", "|".join(L.METAPHORS), (), "concat('Bildhafter Ausdruck \"', m, '\".')"),
+    *(("redewendungen", "lowered", unicode_pattern(p), (), "concat('Bildhafter Ausdruck \"', m, '\".')") for p in L.METAPHORS),
     ("passiv_erkennung", "joined", f" (?:bin|bist|ist|sind|seid|war|warst|waren|wart) {_SOME}{_PARTICIPLE} worden ", (), "concat('Passiv \"', m, '\".')"),
     ("passiv_erkennung", "joined", f" {_alt(L.MODAL_FORMS).replace('(', '(?:', 1)} {_SOME}{_PARTICIPLE} werden ", (), "concat('Passiv mit Modalverb \"', m, '\".')"),
     ("passiv_erkennung", "joined", f" (?:bin|bist|ist|sind|seid|war|waren) {_SOME}zu [a-zäöüß]+(?:en|ern|eln) ", (), "concat('Passiversatz \"', m, '\".')"),
@@ -209,8 +217,9 @@ def sentence_rule_sql(rule: str, predicate: str, message: str) -> str:
 
 def pattern_rule_sql(rule: str, column: str, pattern: str, but: tuple[str, ...], message: str) -> str:
     where = f" WHERE NOT {_in("lower(split_part(m, ' ', 1))", but)}" if but else ""
-    source = "' ' || joined || ' '" if column == "joined" else "text"
-    return f"SELECT doc_id, '{rule}' AS rule, sent_no, start_char AS t_start, end_char AS t_end, m AS term, {message} AS message FROM (SELECT * REPLACE (trim(m) AS m) FROM (SELECT *, unnest(regexp_extract_all({source}, '{pattern}')) AS m FROM sf)){where}"
+    source = {"joined": "' ' || joined || ' '", "text": "text", "lowered": "lower(text)"}[column]
+    group = 1 if column == "lowered" else 0
+    return f"SELECT doc_id, '{rule}' AS rule, sent_no, start_char AS t_start, end_char AS t_end, m AS term, {message} AS message FROM (SELECT * REPLACE (trim(m) AS m) FROM (SELECT *, unnest(regexp_extract_all({source}, '{pattern}', {group})) AS m FROM sf)){where}"
 
 
 def marks_sql() -> str:
@@ -238,16 +247,30 @@ FOREIGN_SQL = f"""SELECT doc_id, 'fremdwoerter' AS rule, sent_no, t_start, t_end
     SELECT tok.doc_id, tok.lower, tok.sent_no, tok.t_start, tok.t_end, tok.text, lx.d + CASE WHEN sf.n_words > 15 THEN 2 ELSE 0 END + CASE WHEN len(list_filter(string_split(sf.joined, ' '), lambda w: {_in('w', [x[0] for x in L.FOREIGN_WORDS])})) / len(string_split(sf.joined, ' ')) > 0.2 THEN 3 ELSE 0 END AS score, 7 AS least,
       concat('Fremdwort "', tok.text, '" (Kategorie: ', lx.c, ', Priorität: ', CASE WHEN score >= 9 THEN 'hoch' ELSE 'mittel' END, '). Einfacher: "', lx.p, '".') AS message
     FROM tok JOIN (VALUES {', '.join(f"('{w}', '{p}', {round(d * 10)}, '{c}')" for w, p, d, c in L.FOREIGN_WORDS)}) lx(w, p, d, c) ON lx.w = tok.lower JOIN sf ON sf.doc_id = tok.doc_id AND sf.sent_no = tok.sent_no
-    WHERE NOT {_in('tok.lower', L.COMMON_WORDS)}
+    WHERE NOT {_in('tok.lower', (*L.COMMON_WORDS, *L.ACRONYMS))}
     UNION ALL
     SELECT doc_id, lower, sent_no, t_start, t_end, text, {duck_sql(foreign_score())} AS score, 8 AS least, concat('Mögliches Fremdwort "', text, '" (Score ', {duck_sql(foreign_score())}, ').') AS message
-    FROM tok WHERE kind = 'w' AND length(lower) >= 4 AND NOT {_in('lower', L.COMMON_WORDS)} AND NOT {_in('lower', [x[0] for x in L.FOREIGN_WORDS])} AND {duck_sql(foreign_score())} >= 8)
+    FROM tok WHERE kind = 'w' AND length(lower) >= 4 AND NOT {_in('lower', (*L.COMMON_WORDS, *L.ACRONYMS))} AND NOT {_in('lower', [x[0] for x in L.FOREIGN_WORDS])} AND {duck_sql(foreign_score())} >= 8)
 ) WHERE r = 1 AND score >= least"""
 
 
-IDIOMS_SQL = f"""SELECT doc_id, 'redewendungen' AS rule, min(sent_no) AS sent_no, min(start_char) AS t_start, min(end_char) AS t_end, p AS term, concat(CASE WHEN any_value(i) THEN 'Redewendung "' ELSE 'Bildhafter Ausdruck "' END, p, '". Wörtlich: "', any_value(m), '".') AS message
-  FROM sf JOIN (VALUES {', '.join([f"('{p}', '{m}', {round(d * 10)}, true)" for p, m, d, _ in L.IDIOMS] + [f"('{p}', '{m}', {round(d * 10)}, false)" for p, m, d in L.FIGURATIVE if d >= 0.6])}) x(p, m, d, i) ON contains(' ' || joined || ' ', ' ' || p || ' ')
-  WHERE NOT (i AND (regexp_matches(lower(text), '{"|".join(L.LITERAL_MARKERS)}') OR d + CASE WHEN n_words > 15 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '{"|".join(L.IDIOM_CONTEXT)}') THEN 3 ELSE 0 END < 8)) GROUP BY doc_id, p"""
+#: (phrase, meaning, tenths of difficulty, category or none for what is figurative only)
+PHRASES = (*((p, m, round(d * 10), c) for p, m, d, c in L.IDIOMS), *((p, m, round(d * 10), "") for p, m, d in L.FIGURATIVE if d >= 0.6))
+
+
+def _idioms_sql() -> str:
+    idioms, figurative = [x for x in PHRASES if x[3]], [x for x in PHRASES if not x[3]]
+    found = lambda own, ratio: windows_sql([p.split() for p, *_ in own], ratio, L.PLACEHOLDERS)
+    values = lambda own: ", ".join(f"({k}, '{p}', '{m}', {d}, '{c}')" for k, (p, m, d, c) in enumerate(own))
+    first = "SELECT doc_id, 'redewendungen' AS rule, arg_min(sent_no, t_start) AS sent_no, min(t_start) AS t_start, arg_min(t_end, t_start) AS t_end, p AS term,"
+    score = f"d + CASE WHEN n_words > 15 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '{'|'.join(L.IDIOM_CONTEXT)}') THEN 3 ELSE 0 END + CASE WHEN len(list_filter(string_split(joined, ' '), lambda w: regexp_matches(w, '{'|'.join(L.ANIMALS)}'))) > 1 THEN 4 ELSE 0 END"
+    return f"""{first} concat('Redewendung "', p, '" (Kategorie: ', any_value(c), ', Priorität: ', arg_min(CASE WHEN s >= 10 THEN 'hoch' ELSE 'mittel' END, t_start), '). Wörtlich: "', any_value(m), '".') AS message FROM (
+    SELECT f.*, x.*, {score} AS s, text FROM ({found(idioms, 0.8)}) f JOIN (VALUES {values(idioms)}) x(k, p, m, d, c) ON f.phrase = x.k JOIN sf ON sf.doc_id = f.doc_id AND sf.sent_no = f.sent_no)
+  WHERE s >= 8 AND NOT regexp_matches(lower(text), '{"|".join(L.LITERAL_MARKERS)}') GROUP BY doc_id, p
+  UNION ALL {first} concat('Bildhafter Ausdruck "', p, '". Wörtlich: "', any_value(m), '".') AS message FROM ({found(figurative, 1.0)}) f JOIN (VALUES {values(figurative)}) x(k, p, m, d, c) ON f.phrase = x.k GROUP BY doc_id, p"""
+
+
+IDIOMS_SQL = _idioms_sql()
 
 
 ABBREVIATIONS_SQL = f"""SELECT doc_id, 'abkuerzungen' AS rule, sent_no, t_start, t_end, text AS term, concat('Abkürzung erkannt: "', text, '." Schreiben Sie die Abkürzung aus.') AS message
@@ -279,7 +302,7 @@ _OWN_SQL: dict[str, tuple[str, ...]] = {
 RULES = tuple(sorted(TIERS))
 
 _LEXICON = [w for w, *_ in L.FOREIGN_WORDS]
-_ORDINARY = f"{_WORD} AND NOT {_in('lower', L.COMMON_WORDS)}"
+_ORDINARY = f"{_WORD} AND NOT {_in('lower', (*L.COMMON_WORDS, *L.ACRONYMS))}"
 #: Words that rules over whole documents look for: rule -> flag -> predicate.
 _DOCUMENT_WORDS = {
     "interpunktion": {"char": f"kind = 'p' AND NOT {_in('text', dict.fromkeys(L.ALLOWED_MARKS + L.ALLOWED_QUOTES + L.TECHNICAL + ','))} AND NOT rx(text, '^[\\p{{N}}\\p{{M}}]')"},
@@ -294,10 +317,10 @@ def wanted(rules: tuple[str, ...]) -> Wanted:
     words = {f"t{k}": predicate for k, (rule, predicate, _, _) in enumerate(TOKEN_RULES) if rule in rules}
     for rule, own in _DOCUMENT_WORDS.items():
         words |= own if rule in rules else {}
-    patterns = {column: "|".join(f"(?:{p})" for rule, c, p, _, _ in PATTERN_RULES if rule in rules and c == column) for column in ("joined", "text")}
+    patterns = {column: "|".join(f"(?:{p})" for rule, c, p, _, _ in PATTERN_RULES if rule in rules and c == column) for column in ("joined", "text", "lowered")}
     idioms = "redewendungen" in rules
     if idioms:
-        patterns["text"] = "|".join(filter(None, (patterns["text"], f"(?i:{'|'.join(part for part, _ in L.BODY_PART_VERBS)})")))
+        patterns["text"] = "|".join(filter(None, (patterns["text"], f"(?i:{'|'.join(part for part, _ in L.BODY_PART_VERBS)})", f"(?i:{patterns['lowered']})")))
     sentences = any(r in rules for r, *_ in SENTENCE_RULES) or any(patterns.values())
     counts = tuple(FEATURES.items()) if sentences else (("n_words", FEATURES["n_words"]),)
     return Wanted(
@@ -311,9 +334,11 @@ def wanted(rules: tuple[str, ...]) -> Wanted:
         undefined="short" if "short" in words else "",
         explained=_EXPLAINED,
         foreign=_in("lower", _LEXICON) if "known" in words else "",
-        phrases=(*((p, m, round(d * 10), True) for p, m, d, _ in L.IDIOMS), *((p, m, round(d * 10), False) for p, m, d in L.FIGURATIVE if d >= 0.6)) if idioms else (),
+        phrases=PHRASES if idioms else (),
         harder=L.IDIOM_CONTEXT,
+        animals=L.ANIMALS,
         literal=L.LITERAL_MARKERS,
+        placeholders=L.PLACEHOLDERS,
         pairs=tuple(L.SYNONYMS) if "synonyme" in rules else (),
         marks=tuple((name, p, fixed) for name, p, fixed, _ in MARKS) if "interpunktion" in rules else (),
     )
@@ -353,8 +378,8 @@ def _of_sentences(rules: tuple[str, ...]) -> list[Column]:
     out = [F.array_compact(F.array(*(F.when(F.expr(spark_sql(p)), _said(r, F.expr(spark_sql(m)), term)) for r, p, m in SENTENCE_RULES if r in rules)))] if any(r in rules for r, *_ in SENTENCE_RULES) else []
     for rule, column, pattern, but, message in PATTERN_RULES:
         if rule in rules:
-            source = F.concat(F.lit(" "), F.col("joined"), F.lit(" ")) if column == "joined" else F.col("lower")
-            found = F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), lambda m: F.trim(m))
+            source = {"joined": F.concat(F.lit(" "), F.col("joined"), F.lit(" ")), "text": F.col("lower"), "lowered": F.lower("lower")}[column]
+            found = F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1 if column == "lowered" else 0)), lambda m: F.trim(m))
             if but:
                 found = F.filter(found, lambda m: ~F.lower(F.split_part(m, F.lit(" "), F.lit(1))).isin(*but))  # noqa: B023  called at once
             before, after = re.fullmatch(r"concat\('(.*)', m, '(.*)'\)", message).groups()
@@ -387,8 +412,8 @@ def violations(a: Annotated, rules: tuple[str, ...] = RULES) -> DataFrame:
     if sentences := _of_sentences(rules):
         found.append(F.when(is_a("s"), F.concat(*(F.coalesce(x.cast(_SAID), none) for x in sentences))))
     if want.phrases:
-        kind = F.when(F.col("n") == 1, 'Redewendung "').otherwise('Bildhafter Ausdruck "')
-        found.append(F.when(is_a("i"), F.array(_said("redewendungen", F.concat(kind, "text", F.lit('". Wörtlich: "'), "lower", F.lit('".')))).cast(_SAID)))
+        said = F.when(F.col("next1") == "", F.concat(F.lit('Bildhafter Ausdruck "'), "text", F.lit('"'))).otherwise(F.concat(F.lit('Redewendung "'), "text", F.lit('" (Kategorie: '), "next1", F.lit(", Priorität: "), F.when(F.col("n") >= 10, "hoch").otherwise("mittel"), F.lit(")")))
+        found.append(F.when(is_a("i"), F.array(_said("redewendungen", F.concat(said, F.lit('. Wörtlich: "'), "lower", F.lit('".')))).cast(_SAID)))
     if want.pairs:
         found.append(F.when(is_a("y"), F.array(_said("synonyme", F.concat(F.lit('Synonyme "'), "text", F.lit('" und "'), "lower", F.lit('". Besser: "'), "next1", F.lit('".')))).cast(_SAID)))
     if want.marks:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import annotate, planner, readability, rules, training, violations
+from ..operators import annotate, phrases, planner, readability, rules, training, violations
 from ..operators.annotate import Annotated
 from .registry import query, table
 
@@ -207,6 +207,33 @@ def jn7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode(F.array_distinct(windows(F.col("k")))).alias("p")).join(p.drop("k"), "p").select("doc_id", "item_id").distinct()
 
 
+#: The sentences of the benchmark as phrases.
+_PHRASES = r"""it AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[^.!?]+')) AS s FROM benchmark), ph AS (SELECT DISTINCT trim(s, chr(10) || ' ') AS phrase FROM it), pw AS (SELECT phrase, regexp_extract_all(phrase, '\p{L}+(?:-\p{L}+)*|[0-9]+') AS w FROM ph)"""
+_LEAST_WORDS = 3
+
+
+def _item_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[^.!?]+"), F.lit(0))).alias("s")).select(F.trim("s", F.lit("\n ")).alias("phrase")).distinct()
+    return each.select(F.xxhash64("phrase").alias("phrase_id"), "phrase", F.regexp_extract_all("phrase", F.lit(r"\p{L}+(?:-\p{L}+)*|[0-9]+"), F.lit(0)).alias("words")).where(F.size("words") >= _LEAST_WORDS)
+
+
+@query("jn7_contained_phrases", f"""WITH {_PHRASES} SELECT doc_id, phrase, CAST(strpos(lower(text), phrase) - 1 AS BIGINT) AS first_start FROM documents JOIN pw ON contains(lower(text), phrase) WHERE len(w) >= {_LEAST_WORDS}""")
+def jn7_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the benchmark in documents, as they are."""
+    lexicon = _item_phrases(spark, sf_dir)
+    found = phrases.contained(_docs(spark, sf_dir), lexicon)
+    return found.join(lexicon.select("phrase_id", "phrase"), "phrase_id").select("doc_id", "phrase", "first_start")
+
+
+@query("jn7_phrase_windows", f"""WITH {annotate.TOKENS_SQL}, {_PHRASES}, px AS (SELECT phrase, len(w) AS size, (4 * len(w) + 4) // 5 AS need, unnest(generate_series(0, len(w) - 1)) AS place, unnest(w) AS w FROM pw WHERE len(w) >= {_LEAST_WORDS})
+{phrases.agreeing_sql("px")}""")
+def jn7_windows_of_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of documents that agree with a sentence of the benchmark in 0.8 of its words."""
+    lexicon = _item_phrases(spark, sf_dir)
+    found = phrases.agreeing(_docs(spark, sf_dir), lexicon)
+    return found.join(lexicon.select("phrase_id", "phrase"), "phrase_id").drop("phrase_id")
+
+
 @query("jn8_participle_near_auxiliary", f"""WITH {annotate.TOKENS_SQL} SELECT doc_id, sent_no, i AS aux_i, CAST(i + k AS INTEGER) AS part_i FROM (
   SELECT doc_id, sent_no, i, lower, unnest([1, 2, 3]) AS k, unnest([lead(lower) OVER w, lead(lower, 2) OVER w, lead(lower, 3) OVER w]) AS near FROM tok WINDOW w AS (PARTITION BY doc_id, sent_no ORDER BY i))
 WHERE lower IN ('was', 'is', 'wird', 'est', 'es') AND regexp_matches(near, '(ed|nd|t)$')""")

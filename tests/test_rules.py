@@ -77,11 +77,6 @@ def test_similarity_is_difflib_ratio(spark):
     assert [r.s for r in got] == [difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs]
 
 
-def test_number_words():
-    assert {"zwei", "dritte", "siebtens", "zwölfmal", "neunzehnten", "einundzwanzigste", "fünfzig"} <= set(L.NUMBER_WORDS)
-    assert not {"acht", "elf", "ein", "eins"} & set(L.NUMBER_WORDS)
-
-
 def test_sentences_cover_text(spark):
     text = "Eins. Zwei!  Drei? ... Vier"
     s = annotate.sentences(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("sent_no").collect()
