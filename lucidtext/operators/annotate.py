@@ -132,12 +132,12 @@ def spark_type(schema: pa.Schema) -> StructType:
     return StructType.fromJson(from_arrow_type(pa.struct(list(schema))).jsonValue())
 
 
-def batched(docs: DataFrame) -> DataFrame:
-    """doc_id and text in batches of bounded size, dealt out to all cores."""
+def batched(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and ``more`` in batches of bounded size, dealt out to all cores."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     cores = 0 if docs.isStreaming else spark.sparkContext.defaultParallelism
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
     # a small input in one file would keep one core busy
     return texts.repartition(cores) if cores and texts.rdd.getNumPartitions() < cores else texts
 

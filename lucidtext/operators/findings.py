@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ..functions.predicates import evaluated
@@ -35,7 +36,7 @@ class Wanted:
     document itself explains the word in brackets. phrases: (phrase, meaning, tenths of difficulty, category or none).
     Of an idiom, which has a category, 0.8 of the words and 8 tenths are asked for: ``harder`` words of a sentence add 3, more than 15 words 2,
     two ``animals`` 4; ``literal`` words mean no idiom; ``placeholders`` stand for any word. Others must be found word by word. pairs: (word, plainer word, synonyms). marks: (name, pattern, what
-    to call it if not by what is found) over whole texts.
+    to call it if not by what is found) over whole texts. texts: whether each document's text and ``about`` are given on.
     """
 
     words: tuple[tuple[str, str], ...] = ()
@@ -59,15 +60,19 @@ class Wanted:
     literal: tuple[str, ...] = ()
     pairs: tuple[tuple[str, str, tuple[str, ...]], ...] = ()
     marks: tuple[tuple[str, str, str | None], ...] = ()
+    texts: bool = False
 
     def bit(self, flag: str) -> int:
         return 1 << [name for name, _ in self.words].index(flag)
 
 
 def schema(want: Wanted) -> pa.Schema:
-    """what: t a token, s a sentence, i a phrase, y a pair of synonyms, m a mark, d a document's means."""
+    """what: t a token, s a sentence, i a phrase, y a pair of synonyms, m a mark, d a document's means, x its text.
+
+    row numbers the documents, whatever their doc_id; the rows of a batch of documents follow each other and have its number in batch.
+    """
     text, number = pa.string(), pa.int32()
-    fixed = [("doc_id", pa.int64()), ("what", text), ("sent_no", number), ("t_start", number), ("t_end", number), ("text", text), ("lower", text), ("n_syll", number), ("i", number), ("prev1", text), ("next1", text), ("next2", text)]
+    fixed = [("row", pa.int64()), ("batch", pa.int64()), ("doc_id", pa.int64()), ("what", text), ("sent_no", number), ("t_start", number), ("t_end", number), ("text", text), ("lower", text), ("n_syll", number), ("i", number), ("prev1", text), ("next1", text), ("next2", text)]
     fixed += [("flags", pa.int64()), ("first", pa.int64()), ("n", number), ("s_foreign", number), ("s_tokens", number), ("s_words", number)]
     of_sentence = [(name, number) for name, _ in want.counts] + [(x, number) for x in ("syll_counted", "n_paren", "n_split")] + [(x, text) for x in ("last_token", "joined", "long_flags")]
     return pa.schema(fixed + of_sentence)
@@ -95,8 +100,8 @@ def _windows(want: Wanted) -> Windows:
 class _Batch:
     """One batch's rows."""
 
-    def __init__(self, batch: pa.RecordBatch, want: Wanted) -> None:
-        self.want, self.schema, self.batch = want, schema(want), batch
+    def __init__(self, batch: pa.RecordBatch, want: Wanted, number: int = 0) -> None:
+        self.want, self.schema, self.batch, self.number = want, schema(want), batch, number
         self.s = s = Scanned(batch)
         self.of_word = s.words()
         self.flags = np.zeros(len(s.text), np.int64)
@@ -104,14 +109,18 @@ class _Batch:
             self.flags |= evaluated(predicate, self.of_word).astype(np.int64) << k
         self.doc = np.array(s.doc, np.int64)
 
-    def rows(self, many: int, /, **given: pa.Array | np.ndarray | list) -> pa.RecordBatch:
+    def rows(self, of: np.ndarray | list[int], what: str, /, **given: pa.Array | np.ndarray | list) -> pa.RecordBatch:
+        """``of``: the document of each row, by its place in the batch."""
+        of = np.asarray(of, np.int64)
+        many = len(of)
+        given |= {"row": of + self.number, "batch": np.full(many, self.number), "doc_id": self.batch["doc_id"].take(pa.array(of)), "what": [what] * many}
         return pa.RecordBatch.from_arrays([(x if isinstance(x, pa.Array) else pa.array(x, f.type)) if (x := given.get(f.name)) is not None else pa.nulls(many, f.type) for f in self.schema], schema=self.schema)
 
     def per_sentence(self, of_words: np.ndarray) -> np.ndarray:
         return np.add.reduceat(of_words[self.s.word].astype(np.int32), self.s.first[:-1])
 
-    def ids(self, sentences: np.ndarray) -> pa.Array:
-        return self.s.doc_ids.take(pa.array(self.doc[sentences]))
+    def of(self, sentences: np.ndarray) -> np.ndarray:
+        return np.array(self.s.row, np.int64)[self.doc[sentences]]
 
     def mask(self, flags: tuple[str, ...]) -> int:
         return sum(self.want.bit(f) for f in flags)
@@ -156,7 +165,7 @@ class _Batch:
         more = {}
         if s_words is not None and s_foreign is not None:
             more = {"s_words": s_words[at], "s_foreign": s_foreign[at], "s_tokens": np.diff(s.first)[at]}
-        return self.rows(len(tokens), doc_id=self.ids(at), what=["t"] * len(tokens), sent_no=np.array(s.numbers)[at], t_start=start, t_end=end, text=text, lower=lower, n_syll=syll, i=i, prev1=prev1, next1=next1, next2=next2, flags=flags, first=first, n=n, **more)
+        return self.rows(self.of(at), "t", sent_no=np.array(s.numbers)[at], t_start=start, t_end=end, text=text, lower=lower, n_syll=syll, i=i, prev1=prev1, next1=next1, next2=next2, flags=flags, first=first, n=n, **more)
 
     def sentences(self, joined: pa.Array, counts: dict[str, np.ndarray]) -> pa.RecordBatch:
         s, want = self.s, self.want
@@ -169,7 +178,7 @@ class _Batch:
         cased = _only(sents, pc.match_substring_regex(sents, want.cased)) if want.cased else None
         kept = joined if want.joined == "" else _only(joined, pc.match_substring_regex(_padded(joined), want.joined)) if want.joined else None
         return self.rows(
-            len(sents), doc_id=self.ids(np.arange(len(sents))), what=["s"] * len(sents), sent_no=s.numbers, t_start=s.begins, t_end=s.ends, text=sents, lower=cased, syll_counted=self.per_sentence(syll), n_paren=parens,
+            self.of(np.arange(len(sents))), "s", sent_no=s.numbers, t_start=s.begins, t_end=s.ends, text=sents, lower=cased, syll_counted=self.per_sentence(syll), n_paren=parens,
             n_split=pc.count_substring_regex(sents, NOT_SPACE), last_token=s.text.take(pa.array(s.word[s.first[1:] - 1])), joined=kept, long_flags=signs, **counts,
         )
 
@@ -198,7 +207,7 @@ class _Batch:
             return None
         k, begin, end, text, lower, category, tenths = zip(*found, strict=True)
         k = np.array(k)
-        return self.rows(len(found), doc_id=self.ids(k), what=["i"] * len(found), sent_no=np.array(s.numbers)[k], t_start=np.array(begin), t_end=np.array(end), text=list(text), lower=list(lower), next1=list(category), n=list(tenths))
+        return self.rows(self.of(k), "i", sent_no=np.array(s.numbers)[k], t_start=np.array(begin), t_end=np.array(end), text=list(text), lower=list(lower), next1=list(category), n=list(tenths))
 
     def pairs(self) -> pa.RecordBatch | None:
         s = self.s
@@ -213,7 +222,7 @@ class _Batch:
         d, token, word, plain, other = zip(*found, strict=True)
         token = np.array(token)
         start = s.start[token]
-        return self.rows(len(found), doc_id=s.doc_ids.take(pa.array(d)), what=["y"] * len(found), sent_no=np.array(s.numbers)[s.sentence[token]], t_start=start, t_end=start + s.length[s.word[token]], text=list(word), lower=list(other), next1=list(plain))
+        return self.rows(np.array(s.row, np.int64)[np.array(d)], "y", sent_no=np.array(s.numbers)[s.sentence[token]], t_start=start, t_end=start + s.length[s.word[token]], text=list(word), lower=list(other), next1=list(plain))
 
     def marks(self) -> pa.RecordBatch | None:
         patterns = [(name, re.compile(p), fixed) for name, p, fixed in self.want.marks]
@@ -221,11 +230,12 @@ class _Batch:
         if not found:
             return None
         row, name, text = zip(*found, strict=True)
-        return self.rows(len(found), doc_id=self.batch.column("doc_id").take(pa.array(row)), what=["m"] * len(found), text=list(text), lower=list(name))
+        return self.rows(row, "m", text=list(text), lower=list(name))
 
     def all(self) -> Iterator[pa.RecordBatch]:
         want, s = self.want, self.s
-        out = [self.marks()] if want.marks else []
+        out = [self.rows(np.arange(self.batch.num_rows), "x", text=self.batch["text"], lower=self.batch["about"])] if want.texts else []
+        out += [self.marks()] if want.marks else []
         if len(s.word):
             counts = {name: self.per_sentence(evaluated(p, self.of_word)) for name, p in want.counts}
             joined = _join(s) if want.sentences else None
@@ -242,15 +252,17 @@ class _Batch:
             if want.means:
                 first = np.flatnonzero(np.diff(self.doc, prepend=-1))
                 sums, many = np.add.reduceat(words, first), np.diff(np.append(first, len(self.doc)))
-                out.append(self.rows(len(first), doc_id=s.doc_ids, what=["d"] * len(first), s_words=sums, n=many))
+                out.append(self.rows(s.row, "d", s_words=sums, n=many))
         return (x for x in out if x is not None)
 
 
 def findings(docs: DataFrame, want: Wanted) -> DataFrame:
-    """Rows of ``schema(want)``. ``docs`` has doc_id and text; each row of it is a document."""
+    """Rows of ``schema(want)``. ``docs`` has doc_id and text, and about (a string) where texts are wanted; each row of it is a document."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            yield from _Batch(batch, want).all()
+            yield from _Batch(batch, want, number).all()
+            number += batch.num_rows
 
-    return batched(docs).mapInArrow(find, spark_type(schema(want)))
+    return batched(docs, *(["about"] if want.texts else [])).mapInArrow(find, spark_type(schema(want)))

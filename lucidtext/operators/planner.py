@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,13 +38,13 @@ def neighbours(sents: DataFrame, k: int = 1, text: str = "text") -> DataFrame:
     return sents.withColumn("before", F.array_join(F.collect_list(text).over(w.rowsBetween(-k, -1)), "\n")).withColumn("after", F.array_join(F.collect_list(text).over(w.rowsBetween(1, k)), "\n"))
 
 
-def reassembled(states: DataFrame) -> DataFrame:
-    """doc_id, text, edits: sentences stripped and joined by single spaces; how many differ from their original."""
-    parts = states.groupBy("doc_id").agg(
+def reassembled(states: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``key``, text, edits: sentences stripped and joined by single spaces; how many differ from their original."""
+    parts = states.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("idx", T.strip(F.col("current")).alias("t")))).alias("ts"),
         F.count_if(T.strip(F.col("current")) != T.strip(F.col("original"))).alias("edits"),
     )
-    return parts.select("doc_id", F.array_join(F.filter(F.transform("ts", lambda x: x["t"]), lambda t: t != ""), " ").alias("text"), "edits")
+    return parts.select(*key, F.array_join(F.filter(F.transform("ts", lambda x: x["t"]), lambda t: t != ""), " ").alias("text"), "edits")
 
 
 def looks_lazy(candidate: Column, source: Column) -> Column:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..sources.sinks import through_folder
-from . import annotate, planner, rules, violations
+from ..sources.sinks import dropped, through_folder
+from . import annotate, planner, violations
 
 Stage = Callable[[Column], Column]
 
@@ -43,36 +43,46 @@ STAGES: tuple[Stage, ...] = (clauses_apart, plain_words, single_marks)
 
 
 def weighed(texts: DataFrame) -> DataFrame:
-    """``texts`` (sid, text, ...) with weighted: the cost of the violations of each text by itself."""
-    own = texts.select("sid", "text").distinct()
-    v = rules.violations(annotate.Annotated(own.withColumnRenamed("sid", "doc_id")))
-    per = violations.statistics(v).select(F.col("doc_id").alias("sid"), F.col("weighted").cast("long").alias("weighted"))
-    return texts.join(per, "sid", "left").withColumn("weighted", F.coalesce("weighted", F.lit(0).cast("long")))
+    """sid, weighted (the cost of a text's violations by itself) of the rows of ``texts`` (sid, text) with any; sids differ."""
+    return violations.statistics(texts.select(F.col("sid").alias("doc_id"), "text")).select(F.col("doc_id").alias("sid"), "weighted")
 
 
 def refined(docs: DataFrame, stages: Sequence[Stage] = STAGES, rounds: int = 3) -> DataFrame:
-    """doc_id, idx, original, current, before, weighted, attempts, status of each sentence of ``docs`` (doc_id, text)."""
-    s = annotate.sentences(docs)
-    texts = s.select(F.xxhash64("doc_id", "sent_no").alias("sid"), "doc_id", F.col("sent_no").alias("idx"), T.strip(F.col("text")).alias("text"))
-    states = weighed(texts).select("sid", "doc_id", "idx", F.col("text").alias("original"), F.col("text").alias("current"), F.col("weighted").alias("before"), "weighted", F.lit(0).alias("attempts"))
-    states = through_folder(states, "states")
+    """doc_row, doc_id, idx, original, current, before, weighted, attempts, status of each sentence of ``docs`` (doc_id, text).
+
+    Documents are numbered first (doc_row) and sentences after that (sid), and both are written, so that rows that share a doc_id, or have none, stay apart. In a round only
+    candidates are weighed, not sentences at rest; rounds end when there is no candidate.
+    """
+    spark = docs.sparkSession
+    numbered = through_folder(docs.select("doc_id", "text").withColumn("doc_row", F.monotonically_increasing_id()), "numbered")
+    s = annotate.sentences(numbered.select(F.col("doc_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("doc_row"), F.col("sent_no").alias("idx"), T.strip(F.col("text")).alias("text"))
+    texts = through_folder(s.withColumn("sid", F.monotonically_increasing_id()), "sentences")
+    states = texts.join(weighed(texts), "sid", "left").withColumn("weighted", F.coalesce("weighted", F.lit(0).cast("long")))
+    states = through_folder(states.select("sid", "doc_row", "idx", F.col("text").alias("original"), F.col("text").alias("current"), F.col("weighted").alias("before"), "weighted", F.lit(0).alias("attempts")), "states")
+    dropped(spark, texts)
     for k in range(rounds):
         stage = stages[k % len(stages)]
         is_open = (F.col("weighted") > 0) & (F.col("attempts") < len(stages))
         asked = states.where(is_open).select("sid", "current", T.strip(stage(F.col("current"))).alias("text")).where("text <> current")
-        good = weighed(asked).select(F.col("sid").alias("c_sid"), "text", F.col("weighted").alias("c_weighted"), (~planner.looks_lazy(F.col("text"), F.col("current"))).alias("real"))
-        tried = states.join(good, F.col("sid") == F.col("c_sid"), "left")
+        asked = through_folder(asked, "asked")
+        if asked.isEmpty():  # all open sentences are refused alike
+            states = states.withColumn("attempts", F.col("attempts") + F.when(is_open, 1).otherwise(0))
+            continue
+        good = asked.join(weighed(asked), "sid", "left").select("sid", "text", F.coalesce("weighted", F.lit(0).cast("long")).alias("c_weighted"), (~planner.looks_lazy(F.col("text"), F.col("current"))).alias("real"))
+        tried = states.join(good, "sid", "left")
         better = F.col("real") & (F.col("c_weighted") < F.col("weighted"))
         refused = is_open & ~F.coalesce(better, F.lit(False))
-        states = tried.select(
-            "sid", "doc_id", "idx", "original", F.when(better, F.col("text")).otherwise(F.col("current")).alias("current"), "before",
+        now = tried.select(
+            "sid", "doc_row", "idx", "original", F.when(better, F.col("text")).otherwise(F.col("current")).alias("current"), "before",
             F.when(better, F.col("c_weighted")).otherwise(F.col("weighted")).alias("weighted"), (F.col("attempts") + F.when(refused, 1).otherwise(0)).alias("attempts"),
         )
-        states = through_folder(states, "states")
+        now = through_folder(now, "states")
+        dropped(spark, states, asked)
+        states = now
     status = F.when(F.col("weighted") == 0, "done").when(F.col("attempts") >= len(stages), "failed").otherwise("open")
-    return states.select("doc_id", "idx", "original", "current", "before", "weighted", "attempts", status.alias("status"))
+    return states.join(numbered.select("doc_row", "doc_id"), "doc_row").select("doc_row", "doc_id", "idx", "original", "current", "before", "weighted", "attempts", status.alias("status"))
 
 
 def rewritten(docs: DataFrame, stages: Sequence[Stage] = STAGES, rounds: int = 3) -> DataFrame:
-    """doc_id, text, edits: the documents put together again."""
-    return planner.reassembled(refined(docs, stages, rounds))
+    """doc_id, text, edits: the documents put together again, a row for each row of ``docs`` that has sentences."""
+    return planner.reassembled(refined(docs, stages, rounds), ("doc_row", "doc_id")).drop("doc_row")

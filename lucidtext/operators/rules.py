@@ -312,7 +312,7 @@ _DOCUMENT_WORDS = {
 _EXPLAINED = r"\(([A-ZÄÖÜ][A-ZÄÖÜa-zäöüß0-9-]{1,8})\)"
 
 
-def wanted(rules: tuple[str, ...]) -> Wanted:
+def wanted(rules: tuple[str, ...], texts: bool = False) -> Wanted:
     """What the scan is to find for these rules."""
     words = {f"t{k}": predicate for k, (rule, predicate, _, _) in enumerate(TOKEN_RULES) if rule in rules}
     for rule, own in _DOCUMENT_WORDS.items():
@@ -324,6 +324,7 @@ def wanted(rules: tuple[str, ...]) -> Wanted:
     sentences = any(r in rules for r, *_ in SENTENCE_RULES) or any(patterns.values())
     counts = tuple(FEATURES.items()) if sentences else (("n_words", FEATURES["n_words"]),)
     return Wanted(
+        texts=texts,
         **(_OF_SENTENCE if sentences else {"counts": counts}),
         words=tuple(words.items()),
         tokens=tuple(words),
@@ -398,10 +399,10 @@ def _of_sentences(rules: tuple[str, ...]) -> list[Column]:
 _SAID = "array<struct<rule:string,sent_no:int,t_start:int,t_end:int,term:string,message:string>>"
 
 
-def violations(a: Annotated, rules: tuple[str, ...] = RULES) -> DataFrame:
-    """All violations of these rules, in one scan and without a shuffle."""
-    want = wanted(rules)
-    f = findings(a.docs, want)
+def found_in(docs: DataFrame, rules: tuple[str, ...] = RULES, texts: bool = False) -> DataFrame:
+    """row, batch (see ``findings``) and the columns of violations. With ``texts``, each document has a row without a rule as well, first in its batch: its text as term, ``about`` as message."""
+    want = wanted(rules, texts)
+    f = findings(docs, want)
     if want.sentences:
         f = f.withColumn("n_passive", _passive())
     is_a = lambda what: F.col("what") == what
@@ -422,7 +423,14 @@ def violations(a: Annotated, rules: tuple[str, ...] = RULES) -> DataFrame:
     if want.means:
         said = F.concat(F.lit("Durchschnittliche Satzlänge ist zu hoch: "), "s_words", F.lit(" Wörter in "), "n", F.lit(" Sätzen."))
         found.append(F.when(is_a("d") & (F.col("s_words") > 10 * F.col("n")), F.array(_said("satzlaenge", said, F.lit(""), place=False)).cast(_SAID)))
-    return f.select("doc_id", F.inline(F.coalesce(*found, none))).select(*COLUMNS)
+    if want.texts:
+        found.append(F.when(is_a("x"), F.array(_said("", F.col("lower"), F.col("text"), place=False)).cast(_SAID)))
+    return f.select("row", "batch", "doc_id", F.inline(F.coalesce(*found, none)))
+
+
+def violations(a: Annotated, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """All violations of these rules, in one scan and without a shuffle."""
+    return found_in(a.docs, rules).select(*COLUMNS)
 
 
 def check_rule(a: Annotated, rule: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from . import rules
 
 
 def rule_name(rule_id: Column) -> Column:
@@ -25,16 +29,58 @@ def cost(w: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), w), F.lit(L.DEFAULT_COST))
 
 
-def statistics(v: DataFrame) -> DataFrame:
-    """doc_id, total, unique ((rule, term) pairs), by_rule (map), weighted. One shuffle on (doc_id, rule, term), one on doc_id."""
-    per_term = v.groupBy("doc_id", "rule", "term").agg(F.count(F.lit(1)).alias("n"))
-    per_rule = per_term.groupBy("doc_id", "rule").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("u"))
-    return per_rule.groupBy("doc_id").agg(
-        F.sum("n").alias("total"),
-        F.sum("u").alias("unique"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule", F.col("n").cast("int"))))).alias("by_rule"),
-        F.sum(F.col("n") * cost(weight(F.col("rule")))).alias("weighted"),
-    )
+def _by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of ``rules.found_in`` for one batch of documents after the other."""
+    held: list[pa.RecordBatch] = []
+    for part in batches:
+        number = part["batch"].to_numpy()
+        cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                if held and held[-1]["batch"][0].as_py() != number[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(part.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _of_each(docs: DataFrame, keep: Sequence[str], texts: bool) -> DataFrame:
+    about = F.to_json(F.struct(*keep)) if keep else F.lit("")
+    return rules.found_in(docs.select("doc_id", "text", about.alias("about")), texts=texts)
+
+
+def _with_kept(out: DataFrame, docs: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    kind = docs.select(*keep).schema if keep else None
+    own = [F.from_json("about", kind)[k].alias(k) for k in keep] if kind is not None else []
+    return out.select("doc_id", *columns, *own)
+
+
+def statistics(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, total, unique ((rule, term) pairs), by_rule (map), weighted of each row of ``docs`` (doc_id, text, ...) with violations, and its columns ``keep``.
+
+    A document is counted where it was read, so nothing is shuffled, and rows that share a doc_id stay apart.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_batch(batches):
+            about = dict(zip(*(t.filter(pc.equal(t["rule"], ""))[c].to_pylist() for c in ("row", "message")), strict=True))
+            t = t.filter(pc.not_equal(t["rule"], ""))
+            term = t.group_by(["row", "doc_id", "rule", "term"]).aggregate([([], "count_all")])
+            rule = term.group_by(["row", "doc_id", "rule"]).aggregate([("count_all", "sum"), ("count_all", "count")]).sort_by([("row", "ascending"), ("rule", "ascending")])
+            row, n, u = (rule[c].to_numpy() for c in ("row", "count_all_sum", "count_all_count"))
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            if not len(first):
+                continue
+            name = rule["rule"].combine_chunks()
+            price = np.array([L.VIOLATION_COST.get(L.RULE_WEIGHTS.get(x, L.DEFAULT_WEIGHT), L.DEFAULT_COST) for x in name.to_pylist()])
+            by_rule = pa.MapArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), name, pa.array(n, pa.int32()))
+            sums = [pa.array(np.add.reduceat(x, first), pa.int64()) for x in (n, u)]
+            yield pa.RecordBatch.from_arrays([rule["doc_id"].combine_chunks().take(pa.array(first)), *sums, by_rule, pa.array(np.add.reduceat(n * price, first), pa.int64()), pa.array([about.get(r) for r in row[first].tolist()], pa.string())], names=["doc_id", "total", "unique", "by_rule", "weighted", "about"])
+
+    found = _of_each(docs, keep, bool(keep)).select("row", "batch", "doc_id", "rule", "term", "message")
+    out = found.mapInArrow(count, "doc_id bigint, total bigint, unique bigint, by_rule map<string,int>, weighted bigint, about string")
+    return _with_kept(out, docs, keep, ("total", "unique", "by_rule", "weighted"))
 
 
 def resolved(issues: DataFrame) -> DataFrame:
@@ -54,24 +100,30 @@ def resolved(issues: DataFrame) -> DataFrame:
     return x.withColumn("_f", first).select(*issues.columns, F.when(stated, F.col("_a")).otherwise(F.col("_f.s")).alias("p_start"), F.when(stated, F.col("_b")).otherwise(F.col("_f.e")).alias("p_end"))
 
 
-@F.arrow_udf(StringType())
-def inserted(text: pa.Array, ends: pa.Array, marks: pa.Array) -> pa.Array:
-    """Texts with each mark after the place where it ends; places ascend. One pass, however many marks there are."""
-    out = []
-    for t, at, own in zip(text.to_pylist(), ends.to_pylist(), marks.to_pylist(), strict=True):
-        if t is not None and at:
-            t = "".join(x for b, e, m in zip([0, *at], at, own, strict=False) for x in (t[b:e], m)) + t[at[-1] :]
-        out.append(t)
-    return pa.array(out, pa.string())
-
-
-def annotated_documents(docs: DataFrame, v: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with annotated: the text with [rule: term] behind each violation that has a place."""
-    placed = v.where("t_end IS NOT NULL").groupBy("doc_id", "t_end").agg(F.sort_array(F.collect_list(F.struct("t_start", "rule", "term", "message"))).alias("own"))
-    said = F.array_join(F.transform("own", lambda m: F.concat(F.lit("["), m["rule"], F.lit(": "), m["term"], F.lit("]"))), "")
-    marks = placed.select("doc_id", "t_end", said.alias("mark")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("t_end", "mark"))).alias("marks"))
-    joined = docs.join(marks, "doc_id", "left")
-    return joined.withColumn("annotated", inserted("text", F.col("marks.t_end"), F.col("marks.mark"))).drop("marks")
+def inserted(text: str, marks: list[tuple[int, str]]) -> str:
+    """``text`` with each mark after the place where it ends; places ascend. One pass, however many marks there are."""
+    at, out = 0, []
+    for end, mark in marks:
+        out += (text[at:end], mark)
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def annotated_documents(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, annotated (the text with [rule: term] behind each violation that has a place) of each row of ``docs`` (doc_id, text, ...), and its columns ``keep``. Nothing is shuffled; rows that share a doc_id stay apart."""
+
+    def annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_batch(batches):
+            whole = t.filter(pc.equal(t["rule"], ""))
+            marks: dict[int, list[tuple]] = {}
+            for row, *mark in zip(*(t.filter(pc.is_valid(t["t_end"]))[c].to_pylist() for c in ("row", "t_end", "t_start", "rule", "term", "message")), strict=True):
+                marks.setdefault(row, []).append(mark)
+            texts = whole["term"].to_pylist()
+            said = [text if text is None else inserted(text, [(m[0], f"[{m[2]}: {m[3]}]") for m in sorted(marks.get(row, []))]) for row, text in zip(whole["row"].to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([whole["doc_id"].combine_chunks(), pa.array(texts, pa.string()), pa.array(said, pa.string()), whole["message"].combine_chunks()], names=["doc_id", "text", "annotated", "about"])
+
+    found = _of_each(docs, keep, True).select("row", "batch", "doc_id", "rule", "t_start", "t_end", "term", "message")
+    return _with_kept(found.mapInArrow(annotate, "doc_id bigint, text string, annotated string, about string"), docs, keep, ("text", "annotated"))
 
 
 def annotated(text: Column, marks: Column) -> Column:

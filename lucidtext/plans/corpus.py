@@ -45,8 +45,7 @@ SELECT d.doc_id, CASE WHEN regexp_replace(text, '{_WS}', '', 'g') = '' THEN '' W
 @query("snk1_response_projection", _MARKS_SQL)
 def snk1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole annotated text; blank texts give an empty one."""
-    docs = _docs(spark, sf_dir)
-    marked = violations.annotated_documents(docs, rules.violations(Annotated(docs)))
+    marked = violations.annotated_documents(_docs(spark, sf_dir), keep=("lang",))
     return marked.select("doc_id", F.when(T.blank(F.col("text")), "").otherwise(F.col("annotated")).alias("annotated"), F.col("lang").alias("format"))
 
 

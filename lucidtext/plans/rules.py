@@ -73,7 +73,7 @@ _WEIGHT = "CASE " + " ".join(f"WHEN rule = '{r}' THEN {L.VIOLATION_COST[w]}" for
 
 @query("agg1_document_statistics", f"{rules.violations_sql()}, pr AS (SELECT doc_id, rule, count(*) AS n, count(DISTINCT term) AS u FROM v GROUP BY doc_id, rule) SELECT doc_id, sum(n)::BIGINT AS total, sum(u)::BIGINT AS \"unique\", string_agg(rule || '=' || n, ',' ORDER BY rule) AS by_rule, sum(n * {_WEIGHT})::BIGINT AS weighted FROM pr GROUP BY doc_id")
 def agg1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = violations.statistics(rules.violations(corpus(spark, sf_dir)))
+    s = violations.statistics(table(spark, sf_dir, "documents"))
     said = F.array_join(F.transform(F.map_entries("by_rule"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return s.select("doc_id", "total", "unique", said.alias("by_rule"), "weighted")
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import annotate, rewriting, rules
+from ..operators import annotate, rewriting, rules, violations
 from ..operators.annotate import Annotated
 from ..sources import readers, sinks
 from .registry import Inline, query, table
@@ -152,11 +152,16 @@ def srt9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("again").alias("hits")).join(hits, "user_id").select("user_id", "n", (F.col("hits") + F.col("first_hits")).alias("hits"))
 
 
-@query("aux6_passive_dispatcher", f"SELECT doc_id, sent_no, trim(split_part(message, '\"', 1)) AS detector, count(*) AS n FROM ({rules.rule_sql('passiv_erkennung')}) GROUP BY ALL")
+#: What a message of the passive rule begins with -> the detector that says it.
+_DETECTORS = {"Passivähnliches": "adjektiv", "Passiv in": "werden", "Passiv mit": "modal", "Passiversatz": "ersatz", "Passiv \"": "perfekt", "Zustandspassiv": "zustand"}
+
+
+@query("aux6_passive_dispatcher", f"SELECT doc_id, sent_no, CASE {' '.join(f"WHEN starts_with(message, '{k}') THEN '{v}'" for k, v in _DETECTORS.items())} END AS detector, count(*) AS n FROM ({rules.rule_sql('passiv_erkennung')}) GROUP BY ALL")
 def aux6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which detectors of passives find something in a sentence."""
     v = rules.check_rule(Annotated(table(spark, sf_dir, "documents")), "passiv_erkennung")
-    return v.groupBy("doc_id", "sent_no", F.trim(F.substring_index("message", '"', 1)).alias("detector")).agg(F.count(F.lit(1)).alias("n"))
+    name = F.coalesce(*(F.when(F.startswith("message", F.lit(k)), v) for k, v in _DETECTORS.items()))
+    return v.groupBy("doc_id", "sent_no", name.alias("detector")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("aux9_word_ablation", f"""WITH {annotate.TOKENS_SQL}, w AS (SELECT doc_id, sent_no, i, lower, n_syll, count(*) OVER s AS n, sum(n_syll) OVER s AS total, row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY n_syll DESC, i) AS r FROM tok WHERE kind = 'w' WINDOW s AS (PARTITION BY doc_id, sent_no))
@@ -185,6 +190,5 @@ def gen1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("aux18_evaluation_run", f"""{rules.violations_sql()}, c AS (SELECT doc_id, rule, count(*) AS n FROM v GROUP BY doc_id, rule) SELECT lang, rule, count(*) AS docs, CAST(sum(n) AS BIGINT) AS violations, max(n) AS most FROM c JOIN documents USING (doc_id) GROUP BY lang, rule""")
 def aux18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One evaluation run: violations of all texts by language and rule."""
-    docs = table(spark, sf_dir, "documents")
-    per = rules.violations(Annotated(docs)).groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"))
-    return per.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "rule").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("violations"), F.max("n").alias("most"))
+    per = violations.statistics(table(spark, sf_dir, "documents"), keep=("lang",)).select("lang", F.explode("by_rule").alias("rule", "n"))
+    return per.groupBy("lang", "rule").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("violations"), F.max("n").alias("most"))

@@ -28,6 +28,14 @@ def through_folder(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that ``through_folder`` has written and nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for at in {file.rsplit("/", 1)[0] for t in tables for file in t.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(at)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def put(spark: SparkSession, path: str, content: bytes) -> None:
     """A small file, through the file system that Spark uses for the path."""
     jvm = spark.sparkContext._jvm

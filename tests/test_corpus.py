@@ -64,3 +64,16 @@ def test_sentences_are_rewritten(spark):
     assert got[2, 1].weighted < got[2, 1].before and got[2, 1].current.count(".") > 1
     text = {r.doc_id: r for r in rewriting.rewritten(docs).collect()}
     assert text[1].text == "Die Verwaltung hilft! Das Haus ist rot." and text[1].edits == 1
+
+
+def test_rewriting_keeps_rows_of_one_id_apart(spark):
+    from lucidtext.operators import rewriting
+
+    texts = [(1, "Die Administration hilft!! Das Haus ist rot."), (1, "Das Haus ist rot."), (1, "Die Administration hilft!!"), (None, "Die Administration hilft!! Das Haus ist rot."), (None, "Das Haus ist rot."), (None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    one = "Die Verwaltung hilft!"
+    got = [(r.doc_id, r.idx, r.current) for r in rewriting.refined(docs).collect()]
+    want = [(1, 1, one), (1, 2, "Das Haus ist rot."), (1, 1, "Das Haus ist rot."), (1, 1, one), (None, 1, one), (None, 2, "Das Haus ist rot."), (None, 1, "Das Haus ist rot.")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    whole = [(r.doc_id, r.text, r.edits) for r in rewriting.rewritten(docs).collect()]
+    assert sorted(map(repr, whole)) == sorted(map(repr, [(1, f"{one} Das Haus ist rot.", 1), (1, "Das Haus ist rot.", 0), (1, one, 1), (None, f"{one} Das Haus ist rot.", 1), (None, "Das Haus ist rot.", 0)]))

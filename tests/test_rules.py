@@ -63,12 +63,57 @@ def test_first_use_expands_abbreviation(spark):
 
 
 def test_statistics_add_up(spark):
-    v = rules.violations(Annotated(spark.createDataFrame([(1, "Das ist nicht gut. Das ist nicht schlecht.")], "doc_id long, text string"))).cache()
-    s = violations.statistics(v).collect()[0]
+    docs = spark.createDataFrame([(1, "Das ist nicht gut. Das ist nicht schlecht.")], "doc_id long, text string")
+    v = rules.violations(Annotated(docs)).cache()
+    s = violations.statistics(docs).collect()[0]
     assert s.total == v.count() == sum(s.by_rule.values())
     assert s.unique == v.select("rule", "term").distinct().count()
 
 
+REPEATED = [(1, "Keine Administration.", "a"), (1, "Das ist nicht gut.", "b"), (1, "Das ist nicht gut.", None), (None, "Kein Problem. Nie!", "c"), (None, None, "d"), (None, "Das Haus ist rot.", "e"), (2, "", "f")]
+
+
+def by_itself(spark, text):
+    return rules.violations(Annotated(spark.createDataFrame([(7, text)], "doc_id long, text string"))).collect() if text else []
+
+
+def test_rows_of_one_id_stay_apart(spark):
+    """Statistics and annotated texts of each row are those of a table with that row alone."""
+    docs = spark.createDataFrame(REPEATED, "doc_id long, text string, tag string").coalesce(1)
+    stats, marked = [], []
+    for doc_id, text, tag in REPEATED:
+        own = by_itself(spark, text)
+        by_rule = {}
+        for v in own:
+            by_rule[v.rule] = by_rule.get(v.rule, 0) + 1
+        if own:
+            stats.append((doc_id, tag, len(own), len({(v.rule, v.term) for v in own}), sorted(by_rule.items()), sum(L.VIOLATION_COST[L.RULE_WEIGHTS[v.rule]] for v in own)))
+        out = text
+        for v in sorted((v for v in own if v.t_end is not None), key=lambda v: (v.t_end, v.t_start, v.rule, v.term, v.message), reverse=True):
+            out = out[: v.t_end] + f"[{v.rule}: {v.term}]" + out[v.t_end :]
+        marked.append((doc_id, tag, out))
+    got = violations.statistics(docs, keep=("tag",)).collect()
+    assert sorted(map(repr, stats)) == sorted(repr((r.doc_id, r.tag, r.total, r.unique, sorted(r.by_rule.items()), r.weighted)) for r in got)
+    assert sorted(map(repr, marked)) == sorted(repr((r.doc_id, r.tag, r.annotated)) for r in violations.annotated_documents(docs, keep=("tag",)).collect())
+
+
+def test_statistics_of_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(annotate, "BATCH_BYTES", 200)
+    docs = spark.createDataFrame([(k % 5, f"Nein. Das ist nicht gut, {'nie ' * (k % 7)}.") for k in range(60)], "doc_id long, text string")
+    assert violations.statistics(docs).count() == 60
+    total = violations.statistics(docs).agg({"total": "sum"}).collect()[0][0]
+    assert total == rules.violations(Annotated(docs)).count()
+
+
+def test_detectors_of_passives_have_names(spark, tmp_path):
+    from lucidtext.plans import queries
+
+    text = "Der Antrag wird geprüft. Der Antrag muss geprüft werden. Das ist machbar. Die Tür ist geöffnet. Das lässt sich lösen. Er ist geprüft worden."
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.sent_no, r.detector) for r in queries.queries()["aux6_passive_dispatcher"](spark, str(tmp_path)).collect()}
+    assert {(1, "werden"), (2, "modal"), (3, "adjektiv"), (4, "zustand"), (5, "ersatz"), (6, "perfekt")} <= got and {d for _, d in got} <= {"adjektiv", "werden", "modal", "ersatz", "perfekt", "zustand"}
+
+
 def test_similarity_is_difflib_ratio(spark):
     import difflib
 
