@@ -121,13 +121,25 @@ class Phrases:
         return at, self.owner[np.repeat(self.ends[phrase], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
 
 
-def _occurrences(terms: np.ndarray, size: np.ndarray, keys: np.ndarray, ends: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, start) of all matches. terms: the word numbers of each phrase in a row, -1 beyond its size."""
+def _places(keys: np.ndarray, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of all places of each row's word from ``low`` to ``high``."""
+    first, last = np.searchsorted(keys, (term << 32) + np.maximum(low, 0)), np.searchsorted(keys, (term << 32) + np.maximum(high, -1), side="right")
+    many = np.maximum(last - first, 0)
+    row = np.repeat(np.arange(len(term)), many)
+    return row, keys[np.repeat(first, many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)] & 0xFFFFFFFF
+
+
+def _occurrences(terms: np.ndarray, size: np.ndarray, keys: np.ndarray, ends: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, start, end) of all matches. terms: the word numbers of each phrase in a row, -1 beyond its size.
+
+    With ``slop``, a match begins with the phrase's first word; the others follow in their order, each at the next place where it
+    stands, and up to ``slop`` other words lie between all of them.
+    """
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     freq = np.where(terms >= 0, ends[terms].astype(np.int64) - begins[terms], np.iinfo(np.int64).max)
     order = np.argsort(freq, axis=1, kind="stable")  # offsets, the rarest word first
     rarest = np.take_along_axis(freq, order[:, :1], 1)[:, 0]
-    out_p, out_s = [], []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     bounds = np.concatenate([[0], np.cumsum(rarest)])
     at = 0
     while at < len(terms):
@@ -138,25 +150,36 @@ def _occurrences(terms: np.ndarray, size: np.ndarray, keys: np.ndarray, ends: np
         first = terms[rows, order[rows, 0]]
         inner = np.arange(len(phrase)) - np.repeat(np.cumsum(many) - many, many)
         start = (keys[np.repeat(begins[first], many) + inner] & 0xFFFFFFFF) - order[phrase, 0]
-        if slop:  # the rarest word itself may stand off its place
-            phrase, start = np.repeat(phrase, 2 * slop + 1), (start[:, None] + np.arange(-slop, slop + 1)).ravel()
-        for j in range(0 if slop else 1, terms.shape[1]):
-            need = size[phrase] > j
-            off = order[phrase, np.minimum(j, size[phrase] - 1)]
-            want = (terms[phrase, off] << 32) + start + off - slop
-            hit = np.searchsorted(keys, want)
-            ok = ~need | ((hit < len(keys)) & (keys[np.minimum(hit, len(keys) - 1)] <= want + 2 * slop))
-            phrase, start = phrase[ok], start[ok]
-            if not len(phrase):
-                break
-        out_p.append(phrase)
-        out_s.append(start)
+        if slop:  # the first word stands up to ``slop`` places before the one that the rarest word's place asks for
+            row, start = _places(keys, terms[phrase, 0], start - slop, start)
+            phrase, start = np.unique(np.stack([phrase[row], start]), axis=1)
+            last = start.copy()
+            for j in range(1, terms.shape[1]):
+                need = size[phrase] > j
+                word = terms[phrase, np.minimum(j, size[phrase] - 1)] << 32
+                hit = np.searchsorted(keys, word + last + 1)
+                place = keys[np.minimum(hit, len(keys) - 1)] - word
+                ok = ~need | ((hit < len(keys)) & (place <= start + j + slop))
+                last = np.where(need, place, last)
+                phrase, start, last = phrase[ok], start[ok], last[ok]
+            out.append((phrase, start, last + 1))
+        else:
+            for j in range(1, terms.shape[1]):
+                need = size[phrase] > j
+                off = order[phrase, np.minimum(j, size[phrase] - 1)]
+                want = (terms[phrase, off] << 32) + start + off
+                hit = np.searchsorted(keys, want)
+                ok = ~need | ((hit < len(keys)) & (keys[np.minimum(hit, len(keys) - 1)] <= want))
+                phrase, start = phrase[ok], start[ok]
+                if not len(phrase):
+                    break
+            out.append((phrase, start, start + size[phrase]))
         at = to
-    return np.concatenate(out_p or [np.zeros(0, np.int64)]), np.concatenate(out_s or [np.zeros(0, np.int64)])
+    return tuple(np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in range(3))
 
 
-def _found(dictionary: bytes, phrases: Phrases, keys: np.ndarray, ends: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, start) of all matches in a segment."""
+def _found(dictionary: bytes, phrases: Phrases, keys: np.ndarray, ends: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, start, end) of all matches in a segment."""
     own = pa.array(dictionary.split(b"\0"), pa.large_binary())
     number = pc.fill_null(pc.index_in(phrases.words, value_set=own), -1).to_numpy()
     term = number[phrases.stream]
@@ -169,11 +192,9 @@ def _found(dictionary: bytes, phrases: Phrases, keys: np.ndarray, ends: np.ndarr
         place = np.arange(size.max())
         at = np.minimum(phrases.start[part][:, None] + place, len(term) - 1)
         grid = np.where(place < size[:, None], term[at], -1).astype(np.int64)
-        phrase, start = _occurrences(grid, size, keys, ends, slop)
-        out.append((part[phrase], start))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([p for p, _ in out]), np.concatenate([x for _, x in out])
+        phrase, start, end = _occurrences(grid, size, keys, ends, slop)
+        out.append((part[phrase], start, end))
+    return tuple(np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in range(3))
 
 
 def _search_segment(row: dict, phrases: Phrases, slop: int, all_docs: bool) -> pa.RecordBatch:
@@ -184,11 +205,12 @@ def _search_segment(row: dict, phrases: Phrases, slop: int, all_docs: bool) -> p
     keys = np.cumsum(_unpack(row["postings"], np.uint32), dtype=np.uint32).astype(np.int64)
     keys += np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)) << 32
     n_hit, items, spans = np.zeros(n_docs, np.int64), [[] for _ in range(n_docs)], [b""] * n_docs
-    phrase, start = _found(zstandard.decompress(row["dictionary"]), phrases, keys, ends, slop) if len(ends) and len(phrases.start) else (ids[:0], ids[:0])
+    phrase, start, last = _found(zstandard.decompress(row["dictionary"]), phrases, keys, ends, slop) if len(ends) and len(phrases.start) else (ids[:0], ids[:0], ids[:0])
+    if slop:  # the next place of a word may lie in the next document
+        own = last <= (firsts + counts)[np.searchsorted(firsts, start, side="right") - 1]
+        phrase, start, last = phrase[own], start[own], last[own]
     if len(phrase):
-        doc = np.searchsorted(firsts - GAP // 2, start, side="right") - 1
-        last = np.minimum(start + phrases.size[phrase] + slop, firsts[doc] + counts[doc])
-        start = np.maximum(start - slop, firsts[doc])
+        doc = np.searchsorted(firsts, start, side="right") - 1
         edge = np.zeros(int(firsts[-1] + counts[-1]) + 2, np.int32)
         np.add.at(edge, start, 1)
         np.add.at(edge, last, -1)
@@ -236,8 +258,8 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
 
     ``benchmark`` has item_id and text; it is read in blocks of about ``block_bytes``.
     """
-    if slop + window > GAP // 2:
-        raise ValueError(f"window + slop may be {GAP // 2} at most")
+    if window > GAP // 2:
+        raise ValueError(f"a window may be {GAP // 2} words at most")
     spark = index.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
