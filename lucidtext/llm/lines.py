@@ -8,7 +8,8 @@ its place; any other token becomes a variable field. What remains is the line's
 template. A template that lines of at least ``MIN_TEXTS`` different texts share recurs,
 and if enough of its tokens are constant, its lines are dropped from every document.
 Lines that are the same token for token, digits included, need no template: from
-``MIN_SAME`` different texts on they recur as they are.
+``MIN_SAME`` different texts on they recur as they are, and shorter ones, of fewer than
+``MIN_CONSTANT`` tokens but with a letter, from ``MIN_SHORT`` on.
 
 All steps are grouped counts over all documents, so the result doesn't depend on the
 order in which lines are read. A line that very many documents have is collapsed to
@@ -18,8 +19,8 @@ lines. Lines outside frequent leaves that no other text has never leave the scan
 tables of fixed size tell them apart, and exact joins follow.
 
 Texts that are equal count once; rows that repeat lose the same lines. Blank lines and
-lines of fewer than ``MIN_CONSTANT`` tokens stay, however many documents have them. Null texts stay null and empty ones
-empty; an empty table gives no rows.
+short ones without a letter (a bracket, a page number) stay. Null texts stay null and
+empty ones empty; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ DEPTH = 4
 MIN_TEXTS = 5
 #: Texts from which a line recurs that is the same in all of them.
 MIN_SAME = 2
+#: And for lines too short for a template.
+MIN_SHORT = 20
 #: Constant tokens that a template needs, and their share of its tokens.
 MIN_CONSTANT, MIN_SHARE = 5, 0.6
 #: The bit table's size doesn't depend on the corpus: 8 MB. When it fills up, more lines are left to the join.
@@ -46,6 +49,7 @@ TABLE_BITS = 26
 
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _DIGIT = re.compile(rb"[0-9]")
+_LETTER = re.compile(rb"[A-Za-z\x80-\xFF]")
 _WILD = b"<*>"
 
 
@@ -53,17 +57,19 @@ def _hash(x: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(x)).view(np.int64))
 
 
-def _leaves(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """(line number, leaf, hash of all tokens, line) of the lines long enough for a template."""
+def _leaves(text: bytes) -> Iterator[tuple[int, int | None, int, bytes]]:
+    """(line number, leaf, hash of all tokens, line) of the lines; no leaf for those too short for a template."""
     for i, line in enumerate(text.split(b"\n")):
         own = line.split()
         if len(own) >= MIN_CONSTANT:
             lead = (_WILD if _DIGIT.search(t) else t for t in own[:DEPTH])
             yield i, _hash(b"%d\0" % len(own) + b"\0".join(lead)), _hash(b" ".join(own)), line
+        elif _LETTER.search(line):
+            yield i, None, _hash(b" ".join(own)), line
 
 
 def _seen(docs: DataFrame) -> DataFrame:
-    """key, same, h: once for each leaf, and (same) once for each line, of each text."""
+    """key, same, h: once for each leaf (0), each line that has one (1) and each shorter line (2) of each text."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,17 +78,18 @@ def _seen(docs: DataFrame) -> DataFrame:
             for x, t in zip(batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if t and x not in done:
                     done.add(x)
-                    leaves, whole = set(), set()
+                    own = set()
                     for _, leaf, line, _ in _leaves(t):
-                        leaves.add(leaf)
-                        whole.add(line)
-                    key += leaves
-                    key += whole
-                    same += [False] * len(leaves) + [True] * len(whole)
-                    h += [x] * (len(leaves) + len(whole))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(same, pa.bool_()), pa.array(h, pa.int64())], names=["key", "same", "h"])
+                        if leaf is None:
+                            own.add((line, 2))
+                        else:
+                            own |= {(leaf, 0), (line, 1)}
+                    key += [k for k, _ in own]
+                    same += [k for _, k in own]
+                    h += [x] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(same, pa.int8()), pa.array(h, pa.int64())], names=["key", "same", "h"])
 
-    return docs.select("h", "text").mapInArrow(seen, "key long, same boolean, h long")
+    return docs.select("h", "text").mapInArrow(seen, "key long, same byte, h long")
 
 
 def _bits(keys: DataFrame) -> np.ndarray:
@@ -113,7 +120,7 @@ def _candidates(docs: DataFrame, bits: np.ndarray, same: np.ndarray) -> DataFram
             out: list[tuple] = []
             for d, x, t in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 for i, leaf, whole, line in _leaves(t) if t else ():
-                    mine, own = has(leaf_bits, leaf), has(line_bits, whole)
+                    mine, own = leaf is not None and has(leaf_bits, leaf), has(line_bits, whole)
                     if mine or own:
                         out.append((d, x, i, leaf, b" ".join(_FIELD.sub(_WILD, line).split()).decode() if mine else None, whole if own else None))
             columns = list(zip(*out, strict=True)) or [()] * 6
@@ -123,13 +130,14 @@ def _candidates(docs: DataFrame, bits: np.ndarray, same: np.ndarray) -> DataFram
     return docs.mapInArrow(candidates, LINES)
 
 
-def recurring(docs: DataFrame, min_texts: int = MIN_TEXTS, min_same: int = MIN_SAME) -> tuple[DataFrame, DataFrame]:
+def recurring(docs: DataFrame, min_texts: int = MIN_TEXTS, min_same: int = MIN_SAME, min_short: int = MIN_SHORT) -> tuple[DataFrame, DataFrame]:
     """(lines, templates): the lines to drop as doc_id, h, line; and leaf, template (a hash), n_texts, example of what recurs as a template.
 
     ``docs`` has doc_id (long), h (a hash of the text) and text.
     """
-    keys = written(_seen(docs).groupBy("same", "key").agg(F.countDistinct("h").alias("texts")).where(F.col("texts") >= F.when(F.col("same"), min_same).otherwise(min_texts)).select("same", "key"), "keys")
-    leaves, same = keys.where("NOT same").select("key"), keys.where("same").select("key")
+    least = F.when(F.col("same") == 0, min_texts).when(F.col("same") == 1, min_same).otherwise(min_short)
+    keys = written(_seen(docs).groupBy("same", "key").agg(F.countDistinct("h").alias("texts")).where(F.col("texts") >= least).select("same", "key"), "keys")
+    leaves, same = keys.where("same = 0").select("key"), keys.where("same > 0").select("key")
     found = written(_candidates(docs, _bits(leaves), _bits(same)), "lines")
     alike = found.where("whole IS NOT NULL").join(few(same.withColumnRenamed("key", "whole")), "whole", "left_semi").select("doc_id", "h", "line")
     lines = found.where("masked IS NOT NULL").join(few(leaves.withColumnRenamed("key", "leaf")), "leaf", "left_semi").withColumn("hash", F.xxhash64("masked"))
