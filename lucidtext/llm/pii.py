@@ -2,7 +2,7 @@ r"""Personal data: patterns propose spans, checksums confirm them, context adjus
 
 Base kinds (email, ip, card, phone) are exactly the given patterns, leftmost and
 without overlap within a kind; those that pass their check stay whatever their score.
-The method adds further kinds: ``iban`` (mod-97) and ``tax`` (eleven digits with the
+The method adds further kinds: ``iban`` (its country's length and mod-97) and ``tax`` (eleven digits with the
 ISO 7064 mod 11,10 check digit), which stay from a score of ``MIN_SCORE``. A score is
 the kind's own plus ``NEAR`` if one of its words, as a whole word, stands within
 ``REACH`` characters of the span.
@@ -44,7 +44,13 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}")
+#: Characters of an IBAN by country, as its registry has them; fixed values.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20"
+    " LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
+_IBAN_REST = {n: re.compile(rf"(?:\x20?[A-Za-z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
 _TAX = re.compile(r"(?<![0-9])[0-9]{11}(?![0-9])")
 _CONTEXT = {kind: re.compile(r"(?<!\w)(?:" + "|".join(re.escape(w).replace(r"\*", r"\w*") for w in own) + r")(?!\w)") for kind, own in WORDS.items()}
 _FIRST, _LAST = re.compile(r"^\w+"), re.compile(r"\w+$")
@@ -60,8 +66,8 @@ def luhn(digits: str) -> bool:
 
 
 def mod97(iban: str) -> bool:
-    s = iban.replace(" ", "")
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    s = iban.replace(" ", "").upper()
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 def mod11_10(digits: str) -> bool:
@@ -86,6 +92,18 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """As many letters and digits as the country's IBANs have, single blanks between them, and then no more."""
+    out, free = [], 0
+    for m in _IBAN.finditer(text):
+        n = IBAN_LENGTHS.get(m[0][:2].upper())
+        rest = _IBAN_REST[n].match(text, m.end()) if n and m.start() >= free else None
+        if rest and mod97(text[m.start() : rest.end()]):
+            free = rest.end()
+            out.append((m.start(), free))
+    return out
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -99,7 +117,7 @@ def _proposed(text: str) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "card") for m in _CARD.finditer(text) if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         found += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
-    found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if mod97(m[0])]
+    found += [(a, b, "iban") for a, b in _ibans(text)]
     found += [(m.start(), m.end(), "tax") for m in _TAX.finditer(text) if mod11_10(m[0])]
     return found
 

@@ -100,6 +100,52 @@ def test_proximity(spark):
     assert decontaminate.search(decontaminate.build_index(docs), bench).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("slop", [0, 1, 2, 5, 100])
+def test_proximity_keeps_order(spark, slop):
+    """A match's words ascend, none serves twice, and at most ``slop`` others lie between them."""
+    rng = random.Random(slop)
+    texts = ["b a", "a", "a a", "a b", "a x b"] + [" ".join(rng.choice("abcdx") for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    phrases = ["a b", "a a", "b a c", "a b a b", "d", "c c c"]
+    want = []
+    for d, t in enumerate(texts):
+        w, hit, items = t.split(), set(), set()
+        for p in phrases:
+            own = p.split()
+            for i in range(len(w)):
+                last = i
+                for j, x in enumerate(own):
+                    last = next((k for k in range(last + (j > 0), len(w)) if w[k] == x), None) if j else (i if w[i] == x else None)
+                    if last is None or last - i - j > slop:
+                        break
+                else:
+                    hit |= set(range(i, last + 1))
+                    items.add(p)
+        if hit:
+            want.append((d, len(hit), sorted(items)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(p, p) for p in phrases], "item_id string, text string")
+    got = decontaminate.search(decontaminate.build_index(docs), bench, slop=slop).where("n_hit > 0").collect()
+    assert sorted((r.doc_id, r.n_hit, r["items"]) for r in got) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("IBAN DE89370400440532013000 EUR", [(5, 27)]),
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", [(5, 32)]),
+        ("gb82 west 1234 5698 7654 32.", [(0, 27)]),
+        ("NL91ABNA0417164300DE89370400440532013000", []),
+        ("NL91ABNA0417164300 DE89370400440532013000", [(0, 18), (19, 41)]),
+        ("DE89370400440532013001", []),
+        ("DE893704004405320130001", []),
+        ("XX89370400440532013000", []),
+        ("xDE89370400440532013000", []),
+    ],
+)
+def test_ibans(text, want):
+    assert [(a, b) for a, b, kind, _ in pii.spans(text) if kind == "iban"] == want
+
+
 def test_decontamination_of_nothing(spark, docs, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.search(decontaminate.build_index(docs), bench).where("n_hit > 0").count() == 0

@@ -265,8 +265,11 @@ def lines_by_hand(rows):
     mask = lambda w: b"<*>" if re.search(rb"[0-9]", w) else w
     leaf = lambda ws: (len(ws), tuple(map(mask, ws[: lines.DEPTH])))
     at, whole = defaultdict(set), defaultdict(set)
+    short = lambda ws: len(ws) < lines.MIN_CONSTANT and re.search(rb"[A-Za-z\x80-\xFF]", b" ".join(ws))
     for t, ls in own.items():
         for ws in ls:
+            if short(ws):
+                whole[tuple(ws)].add(t)
             if len(ws) >= lines.MIN_CONSTANT:
                 whole[tuple(ws)].add(t)
                 for k, w in enumerate(ws):
@@ -282,7 +285,7 @@ def lines_by_hand(rows):
         for ws in ls:
             if len(ws) >= lines.MIN_CONSTANT and template(ws):
                 having[leaf(ws), template(ws)].add(t)
-    gone = lambda ws: len(ws) >= lines.MIN_CONSTANT and (len(whole[tuple(ws)]) >= lines.MIN_SAME or (template(ws) is not None and len(having[leaf(ws), template(ws)]) >= lines.MIN_TEXTS))
+    gone = lambda ws: short(ws) and len(whole[tuple(ws)]) >= lines.MIN_SHORT or len(ws) >= lines.MIN_CONSTANT and (len(whole[tuple(ws)]) >= lines.MIN_SAME or (template(ws) is not None and len(having[leaf(ws), template(ws)]) >= lines.MIN_TEXTS))
     out = []
     for r in rows:
         cut = (r[1] or "").split("\n")
@@ -312,6 +315,18 @@ def test_template_tree_by_hand(spark, tmp_path):
     same([(r.doc_id, r.n_lines, r.n_dropped, r.kept_chars, r.kept_sha256) for r in got], lines_by_hand(rows))
 
 
+def test_short_lines_recur_from_a_higher_count(spark, tmp_path):
+    rng = random.Random(5)
+    often, seldom, signs = "Read more", "All rights reserved", "} 12"
+    rows = [(i, "\n".join([prose(rng, 12), often, signs] + [seldom] * (i < lines.MIN_SHORT - 1) + [" \t"]), None, None, 0) for i in range(lines.MIN_SHORT)]
+    rows += [(100, rows[0][1], None, None, 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()["op8_lines"](spark, str(tmp_path)).collect()
+    want = lines_by_hand(rows)
+    assert [w[2] for w in want] == [1] * len(rows)
+    same([(r.doc_id, r.n_lines, r.n_dropped, r.kept_chars, r.kept_sha256) for r in got], want)
+
+
 def test_op9(spark, odd):
     _, rows, _, _ = odd
     want = []
