@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..sources.sinks import dropped, through_folder
+from ..sources.folders import dropped, through_folder
 from . import annotate, planner, violations
 
 Stage = Callable[[Column], Column]

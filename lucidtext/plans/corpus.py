@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import annotate, phrases, planner, readability, rules, training, violations
+from ..operators import annotate, language_model, phrases, planner, readability, rules, training, violations
 from ..operators.annotate import Annotated
+from ..sources.folders import through_folder
 from .registry import query, table
 
 #: Query vectors that are compared with all vectors at once.
@@ -328,6 +329,23 @@ def agg17_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("agg17_kneser_ney", f"WITH {annotate.SENTENCES_SQL}, {language_model.MODEL_SQL} SELECT w1, w2, w3, c AS n, p FROM kn")
+def agg17_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoothed probability of every trigram of all documents."""
+    docs = _docs(spark, sf_dir)
+    counts = through_folder(language_model.counted(docs), "counts")
+    return language_model.fitted(docs).probabilities(counts)
+
+
+@query("agg18_log_perplexity", f"""WITH {annotate.SENTENCES_SQL}, {language_model.MODEL_SQL}
+SELECT doc_id, sent_no, CAST(count(*) AS INTEGER) AS n_tokens, floor(-sum(ln(p)) / count(*) * 10000 + 0.5::DOUBLE) / 10000.0::DOUBLE AS log_perplexity FROM gr JOIN kn USING (w1, w2, w3) GROUP BY doc_id, sent_no""")
+def agg18_log_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-perplexity of each sentence under the model of all documents."""
+    docs = _docs(spark, sf_dir)
+    found = language_model.perplexities(docs, language_model.fitted(docs))
+    return found.withColumn("log_perplexity", F.floor(F.col("log_perplexity") * 10000 + F.lit(0.5)).cast("double") / F.lit(10000.0))
+
+
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 

@@ -2,38 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import training
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path below the one that driver and executors share; on one machine alone, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="lucidtext-")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def through_folder(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here."""
-    at = f"{shared_folder(df.sparkSession)}-{name}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
-def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables that ``through_folder`` has written and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for at in {file.rsplit("/", 1)[0] for t in tables for file in t.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(at)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+from .folders import dropped, shared_folder, through_folder  # noqa: F401
 
 
 def put(spark: SparkSession, path: str, content: bytes) -> None:
