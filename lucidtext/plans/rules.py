@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import annotate, readability, rules, violations
+from ..operators import annotate, morphology, readability, rules, violations
 from ..operators.annotate import Annotated
+from ..operators.joins import looked_up
+from ..sources.folders import through_folder
 from .registry import query, table
 
 
@@ -21,6 +23,25 @@ def tok1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).tokens
 
 
+@query("tok1_analyses")
+def tok1_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag and lemma of every token; transitions counted over all documents. (Tests hold decoding against all sequences.)"""
+    docs = table(spark, sf_dir, "documents")
+    return morphology.analyses(docs, morphology.counted(docs))
+
+
+@query("r14_genitive_kinds")
+def r14_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genitives by what governs them."""
+    return morphology.governed(table(spark, sf_dir, "documents")).where("rule = 'genitiv'").select("doc_id", "sent_no", "t_start", "t_end", "term", "kind")
+
+
+@query("r15_subjunctive_classes")
+def r15_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjunctives by mood and function."""
+    return morphology.governed(table(spark, sf_dir, "documents")).where("rule = 'konjunktiv'").select("doc_id", "sent_no", "t_start", "t_end", "term", "kind", "function")
+
+
 @query("tok2_sentences", f"WITH {annotate.SENTENCES_SQL} SELECT * FROM sent")
 def tok2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).sentences
@@ -101,9 +122,11 @@ def agg5(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, sent_no, count(*) AS n, count(*) FILTER (WHERE vocab.lower IS NULL) AS n_oov FROM tok LEFT JOIN vocab ON vocab.lower = tok.lower WHERE kind = 'w' GROUP BY doc_id, sent_no HAVING count(*) >= 3 AND 100 * count(*) FILTER (WHERE vocab.lower IS NULL) >= 15 * count(*)""")
 def agg16(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = corpus(spark, sf_dir).tokens.where("kind = 'w'").select("doc_id", "sent_no", "lower")
+    per = through_folder(words.groupBy("doc_id", "sent_no", "lower").agg(F.count(F.lit(1)).alias("k")), "words")
     # words that two documents have; a first grouping by (word, document) keeps frequent words small
-    vocab = words.groupBy("lower", "doc_id").agg(F.lit(1).alias("one")).groupBy("lower").agg(F.count(F.lit(1)).alias("docs")).where("docs >= 2").select("lower", F.lit(True).alias("known"))
-    per = words.groupBy("doc_id", "sent_no", "lower").agg(F.count(F.lit(1)).alias("k")).join(vocab, "lower", "left")
+    of_doc = per.groupBy("lower", "doc_id").agg(F.count(F.lit(1)).alias("sents"))
+    vocab = through_folder(of_doc.groupBy("lower").agg(F.count(F.lit(1)).alias("docs"), F.sum("sents").alias("rows")).where("docs >= 2").select("lower", F.lit(True).alias("known"), "rows"), "vocabulary")
+    per = looked_up(per, vocab, ["lower"], "rows")
     out = per.groupBy("doc_id", "sent_no").agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("k"))), F.lit(0)).alias("n_oov"))
     return out.where("n >= 3 AND 100 * n_oov >= 15 * n")
 
