@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import annotate, language_model, phrases, planner, readability, rules, training, violations
+from ..operators import annotate, language_model, phrases, planner, readability, rules, training, violations, word_vectors
 from ..operators.annotate import Annotated
 from ..sources.folders import through_folder
 from .registry import query, table
@@ -346,6 +346,20 @@ def agg18_log_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("log_perplexity", F.floor(F.col("log_perplexity") * 10000 + F.lit(0.5)).cast("double") / F.lit(10000.0))
 
 
+@query("r18_word_neighbours")
+def r18_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with vectors alike, by the index. (Tests measure its recall and hold vectors and pairs against brute force.)"""
+    return word_vectors.neighbours(word_vectors.vectors(_docs(spark, sf_dir))).select("word", "other", F.round("cosine", 4).alias("cosine"))
+
+
+@query("r18_semantic_clusters")
+def r18_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a document's words that mean about the same, and the plainest of each."""
+    docs = _docs(spark, sf_dir)
+    found = word_vectors.vectors(docs)
+    return word_vectors.clusters(docs, found, word_vectors.neighbours(found))
+
+
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
