@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import companions, corpus, files, fixtures, rules, service  # noqa: F401  they register their queries
+from . import companions, corpus, files, fixtures, learned, rules, service  # noqa: F401  they register their queries
 from .registry import REGISTRY, Query
 
 
