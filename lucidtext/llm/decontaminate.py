@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._shared import bound_batches, columns, release, table, written
+from ._shared import bound_batches, columns, few, release, table, written
 
 WINDOW = 13
 #: Free positions between two documents of a segment: no phrase spans two.
@@ -332,7 +332,7 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")
     index = written(build_index(docs.select(key.alias("doc_id"), "text")), "index")
-    bad = search(index, table(spark, sf_dir, "benchmark")).where(contaminated()).select("doc_id").distinct()
+    bad = few(written(search(index, table(spark, sf_dir, "benchmark")).where(contaminated()).select("doc_id").distinct(), "bad"), 1)
     row = docs.select(F.struct(*columns(docs)).alias("_row"))
     gone = F.xxhash64(F.col("_row.doc_id").cast("long"), F.col("_row.text")) == F.col("_bad")
     return row.join(bad.select(F.col("doc_id").alias("_bad")), gone, "left_anti").select("_row.*")
