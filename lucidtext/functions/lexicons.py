@@ -84,6 +84,145 @@ MORPH_PREFIXES = ("un", "ver", "ent", "er", "be", "ge", "über", "unter", "miss"
 MORPH_SUFFIXES = ("ung", "heit", "keit", "schaft", "ismus", "ation", "ierung")
 MORPH_FOREIGN = ("tion", "sion", "ment", "enz", "anz", "ismus")
 
+# --- complex words: (word, plainer words, category); words that are never complex; fixed values
+COMPLEX_WORDS = (
+    ("administration", "Verwaltung", "Fremdwort"),
+    ("implementieren", "umsetzen", "Fremdwort"),
+    ("implementation", "Umsetzung", "Fremdwort"),
+    ("evaluieren", "prüfen", "Fremdwort"),
+    ("evaluation", "Prüfung", "Fremdwort"),
+    ("konzept", "Plan, Idee", "Fremdwort"),
+    ("konzeption", "Planung", "Fremdwort"),
+    ("kommunikation", "Gespräch, Austausch", "Fremdwort"),
+    ("kommunizieren", "sprechen, sich austauschen", "Fremdwort"),
+    ("information", "Auskunft, Nachricht", "Fremdwort"),
+    ("informieren", "mitteilen, sagen", "Fremdwort"),
+    ("organisation", "Gruppe, Verein", "Fremdwort"),
+    ("organisieren", "planen, vorbereiten", "Fremdwort"),
+    ("dokumentation", "Aufschreibung, Unterlagen", "Fremdwort"),
+    ("dokumentieren", "aufschreiben", "Fremdwort"),
+    ("präsentation", "Vorstellung, Vortrag", "Fremdwort"),
+    ("präsentieren", "vorstellen, zeigen", "Fremdwort"),
+    ("diskussion", "Gespräch, Besprechung", "Fremdwort"),
+    ("diskutieren", "besprechen", "Fremdwort"),
+    ("akzeptieren", "annehmen, einverstanden sein", "Fremdwort"),
+    ("analysieren", "untersuchen, prüfen", "Fremdwort"),
+    ("optimieren", "verbessern", "Fremdwort"),
+    ("realisieren", "verwirklichen, umsetzen", "Fremdwort"),
+    ("ignorieren", "nicht beachten", "Fremdwort"),
+    ("tolerieren", "dulden, erlauben", "Fremdwort"),
+    ("integrieren", "einbeziehen, aufnehmen", "Fremdwort"),
+    ("koordinieren", "abstimmen, planen", "Fremdwort"),
+    ("korrigieren", "verbessern, richtig machen", "Fremdwort"),
+    ("kontrollieren", "prüfen, überprüfen", "Fremdwort"),
+    ("produzieren", "herstellen, machen", "Fremdwort"),
+    ("konstruieren", "bauen, entwerfen", "Fremdwort"),
+    ("funktionieren", "arbeiten, gehen", "Fremdwort"),
+    ("existieren", "da sein, es gibt", "Fremdwort"),
+    ("resultieren", "sich ergeben", "Fremdwort"),
+    ("initiieren", "beginnen, starten", "Fremdwort"),
+    ("definieren", "festlegen, bestimmen", "Fremdwort"),
+    ("identifizieren", "erkennen, feststellen", "Fremdwort"),
+    ("qualifizieren", "befähigen", "Fremdwort"),
+    ("quantifizieren", "zählen, messen", "Fremdwort"),
+    ("differenzieren", "unterscheiden", "Fremdwort"),
+    ("spezialisieren", "sich auf etwas ausrichten", "Fremdwort"),
+    ("generalisieren", "verallgemeinern", "Fremdwort"),
+    ("visualisieren", "zeigen, darstellen", "Fremdwort"),
+    ("maximieren", "so groß wie möglich machen", "Fremdwort"),
+    ("minimieren", "so klein wie möglich machen", "Fremdwort"),
+    ("garantieren", "versprechen, sichern", "Fremdwort"),
+    ("riskieren", "wagen", "Fremdwort"),
+    ("profitieren", "Vorteil haben", "Fremdwort"),
+    ("investieren", "Geld ausgeben für", "Fremdwort"),
+    ("finanzieren", "bezahlen, Geld geben für", "Fremdwort"),
+    ("kompensieren", "ausgleichen", "Fremdwort"),
+    ("demonstrieren", "zeigen, vorführen", "Fremdwort"),
+    ("illustrieren", "zeigen, erklären", "Fremdwort"),
+    ("motivieren", "anspornen, ermutigen", "Fremdwort"),
+    ("inspirieren", "anregen", "Fremdwort"),
+    ("frustrieren", "enttäuschen", "Fremdwort"),
+    ("irritieren", "verwirren", "Fremdwort"),
+    ("dominieren", "beherrschen", "Fremdwort"),
+    ("eliminieren", "entfernen, beseitigen", "Fremdwort"),
+    ("reduzieren", "verringern, weniger machen", "Fremdwort"),
+    ("regulieren", "regeln, steuern", "Fremdwort"),
+    ("stimulieren", "anregen", "Fremdwort"),
+    ("simulieren", "nachahmen", "Fremdwort"),
+    ("methodologie", "Vorgehensweise", "Fachsprache"),
+    ("infrastruktur", "Grundausstattung", "Fachsprache"),
+    ("kapazität", "Fähigkeit, Möglichkeit", "Fachsprache"),
+    ("kompetenz", "Fähigkeit, Können", "Fachsprache"),
+    ("komplexität", "Schwierigkeit", "Fachsprache"),
+    ("effizienz", "Wirksamkeit", "Fachsprache"),
+    ("effektivität", "Wirksamkeit", "Fachsprache"),
+    ("transparenz", "Offenheit, Klarheit", "Fachsprache"),
+    ("flexibilität", "Anpassungsfähigkeit", "Fachsprache"),
+    ("stabilität", "Festigkeit, Beständigkeit", "Fachsprache"),
+    ("priorität", "Wichtigkeit, Vorrang", "Fachsprache"),
+    ("qualität", "Güte", "Fachsprache"),
+    ("quantität", "Menge", "Fachsprache"),
+    ("kontinuität", "Fortdauer", "Fachsprache"),
+    ("intensität", "Stärke", "Fachsprache"),
+    ("aktivität", "Tätigkeit", "Fachsprache"),
+    ("produktivität", "Leistung", "Fachsprache"),
+    ("kreativität", "Einfallsreichtum", "Fachsprache"),
+    ("objektivität", "Sachlichkeit", "Fachsprache"),
+    ("subjektivität", "persönliche Sicht", "Fachsprache"),
+    ("realität", "Wirklichkeit", "Fachsprache"),
+    ("potenzial", "Möglichkeit", "Fachsprache"),
+    ("ressource", "Mittel, Vorrat", "Fachsprache"),
+    ("strategie", "Plan, Vorgehen", "Fachsprache"),
+    ("perspektive", "Blickwinkel, Sicht", "Fachsprache"),
+    ("dimension", "Ausmaß, Größe", "Fachsprache"),
+    ("konsequenz", "Folge", "Fachsprache"),
+    ("tendenz", "Richtung, Neigung", "Fachsprache"),
+    ("frequenz", "Häufigkeit", "Fachsprache"),
+    ("relevanz", "Wichtigkeit, Bedeutung", "Fachsprache"),
+    ("präsenz", "Anwesenheit", "Fachsprache"),
+    ("evidenz", "Beweis, Nachweis", "Fachsprache"),
+    ("kompetent", "fähig, können", "Fachsprache"),
+    ("effizient", "wirksam, gut", "Fachsprache"),
+    ("effektiv", "wirksam", "Fachsprache"),
+    ("relevant", "wichtig, bedeutsam", "Fachsprache"),
+    ("signifikant", "bedeutsam, wichtig", "Fachsprache"),
+    ("adäquat", "angemessen, passend", "Fachsprache"),
+    ("optimal", "bestmöglich", "Fachsprache"),
+    ("essenziell", "wichtig, wesentlich", "Fachsprache"),
+    ("fundamental", "grundlegend", "Fachsprache"),
+    ("elementar", "grundlegend, einfach", "Fachsprache"),
+    ("substanziell", "wesentlich", "Fachsprache"),
+    ("potenziell", "möglich", "Fachsprache"),
+    ("partiell", "teilweise", "Fachsprache"),
+    ("individuell", "einzeln, persönlich", "Fachsprache"),
+    ("kollektiv", "gemeinsam, zusammen", "Fachsprache"),
+    ("kontinuierlich", "fortlaufend, ständig", "Fachsprache"),
+    ("sukzessive", "nach und nach", "Fachsprache"),
+    ("simultan", "gleichzeitig", "Fachsprache"),
+    ("parallel", "gleichzeitig, nebeneinander", "Fachsprache"),
+    ("konträr", "gegensätzlich", "Fachsprache"),
+    ("analog", "ähnlich, entsprechend", "Fachsprache"),
+    ("konkret", "genau, bestimmt", "Fachsprache"),
+    ("abstrakt", "nicht greifbar", "Fachsprache"),
+    ("explizit", "ausdrücklich, klar", "Fachsprache"),
+    ("implizit", "nicht direkt gesagt", "Fachsprache"),
+)
+SIMPLE_WORDS = tuple(
+    """
+    der die das ein eine einer einem einen dieser diese dieses jeder jede jedes kein keine keiner keinem keinen mein meine dein deine sein seine ihr
+    ihre unser unsere euer eure ich du er sie es wir mich dich sich uns euch mir dir ihm ihnen man jemand niemand alle alles haus zimmer tisch stuhl
+    bett tür fenster auto bus zug fahrrad straße weg wasser brot essen trinken mann frau kind mensch leute familie freund freundin mutter vater eltern
+    arzt schule arbeit geld zeit tag nacht stadt land ort platz hund katze tier baum blume buch brief bild telefon computer haben werden können müssen
+    sollen wollen dürfen machen tun gehen kommen fahren laufen sagen sprechen fragen antworten erzählen sehen hören fühlen denken wissen verstehen
+    geben nehmen bringen holen legen stellen setzen kaufen verkaufen bezahlen kosten arbeiten lernen lesen schreiben spielen schlafen wohnen leben
+    helfen brauchen suchen finden beginnen anfangen aufhören enden öffnen schließen warten gut schlecht schön hässlich groß klein lang kurz hoch tief
+    neu alt jung schnell langsam früh spät viel viele wenig wenige mehr weniger wichtig richtig falsch einfach schwer leicht schwierig warm kalt heiß
+    hell dunkel laut leise nah weit nächste letzte erste hier dort da wo wohin woher jetzt heute morgen gestern bald später immer nie oft manchmal
+    selten sehr ganz ziemlich etwas fast auch noch schon nur erst ja nein nicht vielleicht warum weil deshalb darum in an auf unter über vor hinter
+    neben zwischen mit ohne für gegen um durch von zu nach bei aus seit bis und oder aber sondern denn wenn als ob dass obwohl eins zwei drei vier
+    fünf sechs sieben acht neun zehn hundert tausend million
+    """.split()
+)
 # --- complexity of words; fixed values
 COMPLEX_SUFFIXES = ("tion", "sion", "ment", "ismus", "ität", "enz", "anz", "ieren", "ierung", "ik", "ie", "ur", "or", "är")
 COMPLEX_PREFIXES = ("pre", "pro", "anti", "inter", "trans", "multi", "super", "sub", "ex", "re", "de", "dis", "un", "in")

@@ -91,6 +91,36 @@ def counted(docs: DataFrame) -> DataFrame:
     return batched(docs).mapInArrow(count, "w1 string, w2 string, w3 string, n bigint").groupBy(*GRAM).agg(F.sum("n").alias("n"))
 
 
+def gram_counts(docs: DataFrame, order: int) -> DataFrame:
+    """g (words with blanks between them), n: the grams of whole texts, with ``order`` - 1 starts before and ends after each. Null texts have none."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, sizes = [START, END], []
+            for text in pc.utf8_lower(batch["text"]).to_pylist():
+                if text is not None:
+                    own = _TOKEN.findall(text)
+                    words += own
+                    sizes.append(len(own))
+            coded = pa.array(words, pa.string()).dictionary_encode()
+            n, pad = np.array(sizes, np.int64), order - 1
+            ends = np.cumsum(n + 2 * pad)
+            padded = np.zeros(int(ends[-1]) if len(n) else 0, np.int64)
+            inner, begins = np.ones(len(padded), bool), np.ones(len(padded), bool)
+            for k in range(1, pad + 1):
+                padded[ends - k] = 1
+                inner[ends - k] = inner[ends - n - 2 * pad + k - 1] = False
+                begins[ends - k] = False
+            padded[inner] = coded.indices.to_numpy()[2:]
+            at = np.flatnonzero(begins)
+            grams = np.stack([padded[at + j] for j in range(order)])
+            first, many = _distinct(grams, len(coded.dictionary))
+            joined = pc.binary_join_element_wise(*(coded.dictionary.take(pa.array(g[first])) for g in grams), " ")
+            yield pa.RecordBatch.from_arrays([joined, pa.array(many, pa.int64())], names=["g", "n"])
+
+    return batched(docs).mapInArrow(count, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+
+
 def of_sentences(docs: DataFrame) -> DataFrame:
     """row (numbers the documents), doc_id, sent_no, size (tokens predicted), w1, w2, w3, k: the trigrams of each sentence."""
 

@@ -81,11 +81,21 @@ def complexity_bonus() -> str:
     return f"((CASE WHEN length(text) > 15 THEN 15 WHEN length(text) > 12 THEN 8 ELSE 0 END) + (CASE WHEN {suffix} THEN 10 ELSE 0 END) + (CASE WHEN {prefix} THEN 5 ELSE 0 END))"
 
 
+_COMPLEX = tuple(w for w, *_ in L.COMPLEX_WORDS)
+
+
+def _told(group: int) -> str:
+    """Shared SQL: the plainer words (1) or the category (2) of a complex word, looked up in the list as one text."""
+    text = "".join(f" {w}={plain}:{category};" for w, plain, category in L.COMPLEX_WORDS)
+    return f"regexp_extract('{text}', concat(' ', lower, '=([^:]*):([^;]*);'), {group})"
+
+
 #: (rule, predicate over words, what must hold besides of the token and its neighbours, message)
 TOKEN_RULES: tuple[tuple[str, str, str, str], ...] = (
     ("kurze_woerter", f"{COUNTED} AND {LONG}", "", "concat(CASE WHEN n_syll >= 6 THEN 'Sehr langes Wort' WHEN n_syll >= 4 THEN 'Langes Wort' ELSE 'Etwas langes Wort' END, ' \"', text, '\" (', n_syll, ' Silben, ', length(text), ' Zeichen).')"),
     ("komposita", f"{_WORD} AND {_CAPITAL} AND length(text) >= 12 AND text NOT LIKE '%-%'", "", "concat(CASE WHEN length(text) > 25 THEN 'Sehr langes Kompositum' WHEN length(text) > 20 THEN 'Langes Kompositum' ELSE 'Komplexes Kompositum' END, ' \"', text, '\" (', CASE WHEN length(text) > 25 THEN 'sehr hoch' WHEN length(text) > 20 THEN 'hoch' ELSE 'mittel' END, ').')"),
-    ("komplexitaet", f"{_WORD} AND length(text) >= 3 AND {complexity_bonus()} >= 10", "", f"concat('Komplexes Wort \"', text, '\" (Bonus ', {complexity_bonus()}, ').')"),
+    ("komplexitaet", f"{_WORD} AND {_in('lower', _COMPLEX)}", "", f"concat({_told(2)}, ': \"', text, '\" (', {_told(2)}, ': bekanntes schwieriges Wort). Besser: \"', {_told(1)}, '\"')"),
+    ("komplexitaet", f"{_WORD} AND length(text) >= 3 AND {complexity_bonus()} >= 10 AND NOT {_in('lower', (*L.SIMPLE_WORDS, *_COMPLEX))}", "", f"concat('Komplexes Wort \"', text, '\" (Bonus ', {complexity_bonus()}, ').')"),
     ("zahlwoerter", f"{_WORD} AND {_in('lower', L.NUMBER_WORDS)}", "", "concat('Zahlwort \"', text, '\" sollte als Ziffer geschrieben werden. Text-Position: ', t_start, '-', t_end)"),
     ("zahlwoerter", f"{_WORD} AND (rx(text, '{L.ROMAN}') OR rx(lower, '{L.NUMBERS_TO_100}'))", "", "concat('Zahl \"', text, '\" sollte als Ziffer geschrieben werden. Text-Position: ', t_start, '-', t_end)"),
     ("negationen", f"{_WORD} AND {_in('lower', L.NEG_PARTICLES)}", "", "concat('Negationspartikel \"', text, '\" macht den Satz schwer verständlich.')"),
@@ -108,7 +118,7 @@ TOKEN_RULES: tuple[tuple[str, str, str, str], ...] = (
 )
 
 #: (rule, predicate over sentences, message); see ``sentence_features``.
-_SCORE = "(5.0 * n_paren + 2.0 * n_passive + 1.5 * n_modal + 2.0 * n_nominal + 1.2 * n_sub)"
+_SCORE = "(5.0 * n_paren + 2.0 * n_passive + 1.5 * n_modal + 2.0 * n_nominal + 7.2 * n_sub)"
 SENTENCE_RULES: tuple[tuple[str, str, str], ...] = (
     ("satzlaenge", f"n_words > (CASE WHEN {_SCORE} > 5 THEN 8 WHEN {_SCORE} > 3 THEN 9 ELSE 10 END) OR {_SCORE} > 6", f"concat('Satz ', sent_no, ' ist zu komplex (', n_words, ' Wörter, Typ: ', CASE WHEN {_SCORE} > 8 THEN 'hochkomplex' WHEN {_SCORE} > 5 THEN 'komplex' WHEN n_words > 15 THEN 'lang' WHEN n_words > 10 THEN 'mittel' ELSE 'einfach' END, ', Priorität: ', CASE WHEN {_SCORE} > 8 THEN 'sehr hoch' WHEN {_SCORE} > 5 OR n_words > 15 THEN 'hoch' WHEN n_words > 12 THEN 'mittel' ELSE 'niedrig' END, ').')"),
     ("kurze_woerter", "n_long >= 3", "concat('Satz ', sent_no, ' enthält ', n_long, ' lange Wörter.')"),

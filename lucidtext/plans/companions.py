@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import rules
+from ..operators import compounds, rules
 from ..operators.annotate import TOKENS_SQL, Annotated
 from .registry import Inline, query, table
 
@@ -135,6 +135,14 @@ def aux11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("lower", F.regexp_extract("lower", p, 1).alias("head"), F.regexp_extract("lower", p, 2).alias("tail"))
 
 
+@query("aux11_compound_splits")
+def aux11_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents cut into other words of them, by each variant. (Tests hold the cuts against all cuts.)"""
+    words = _corpus(spark, sf_dir).tokens.where("kind = 'w' AND NOT contains(lower, '-')").groupBy(F.col("lower").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    found = compounds.split(words)
+    return found.select("word", "n", *(F.array_join(v, "-").alias(v) for v in compounds.COSTS))
+
+
 @query("win12_plateaus", "SELECT user_id, count(*) AS n, max(run) AS longest FROM (SELECT user_id, g, count(*) AS run FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) GROUP BY user_id, event_type, g) GROUP BY user_id")
 def win12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of the same outcome: how many, and the longest."""

@@ -310,23 +310,20 @@ def agg10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("agg17_bigram_counts", """WITH t AS (SELECT doc_id, list_concat(['<s>'], regexp_extract_all(lower(text), '\\p{L}+|[.,!?]'), ['</s>']) AS w FROM documents)
 SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM t) GROUP BY g""")
 def agg17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = training.ngrams(training.lm_tokens(F.col("text")), 2)
-    return _docs(spark, sf_dir).select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return language_model.gram_counts(_docs(spark, sf_dir), 2)
 
 
 @query("agg17_continuation_counts", """WITH t AS (SELECT list_concat(['<s>'], regexp_extract_all(lower(text), '\\p{L}+|[.,!?]'), ['</s>']) AS w FROM documents)
 SELECT w2, count(DISTINCT w1) AS n_before FROM (SELECT unnest(w[1:len(w) - 1]) AS w1, unnest(w[2:]) AS w2 FROM t) GROUP BY w2""")
 def agg17c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = training.ngrams(training.lm_tokens(F.col("text")), 2)
-    pairs = _docs(spark, sf_dir).select(F.explode(grams).alias("g")).select(F.substring_index("g", " ", 1).alias("w1"), F.substring_index("g", " ", -1).alias("w2"))
-    return pairs.distinct().groupBy("w2").agg(F.count(F.lit(1)).alias("n_before"))
+    pairs = language_model.gram_counts(_docs(spark, sf_dir), 2)  # a row for each pair
+    return pairs.groupBy(F.substring_index("g", " ", -1).alias("w2")).agg(F.count(F.lit(1)).alias("n_before"))
 
 
 @query("agg17_trigram_counts", """WITH t AS (SELECT doc_id, list_concat(['<s>', '<s>'], regexp_extract_all(lower(text), '\\p{L}+|[.,!?]'), ['</s>', '</s>']) AS w FROM documents)
 SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t) GROUP BY g""")
 def agg17_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = training.ngrams(training.lm_tokens(F.col("text")), 3)
-    return _docs(spark, sf_dir).select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return language_model.gram_counts(_docs(spark, sf_dir), 3)
 
 
 @query("agg17_kneser_ney", f"WITH {annotate.SENTENCES_SQL}, {language_model.MODEL_SQL} SELECT w1, w2, w3, c AS n, p FROM kn")

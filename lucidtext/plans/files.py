@@ -65,3 +65,15 @@ def str1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pipeline.coalesced(spark.readStream.schema(schema).parquet(f"{at}/in"))
     found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{at}/out").select(F.col("request_hash").alias("request"))
+
+
+@query("str2_failure_triggers", "SELECT event_type AS key, CAST(unnest(generate_series(50, n, 50)) AS BIGINT) AS at FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)")
+def str2_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each 50th event of a kind, told by a stream with state that reads its files one after the other."""
+    at = sinks.shared_folder(spark)
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"))
+    events.repartition(4).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema("key string").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    told = pipeline.failure_triggers(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    told.awaitTermination()
+    return spark.read.schema("key string, at bigint").parquet(f"{at}/out")

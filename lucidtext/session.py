@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -15,6 +17,7 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, **settings: str)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    settings.setdefault("spark_checkpoint_dir", f"file://{tempfile.mkdtemp(prefix='lucidtext-')}")  # on one machine
     for key, value in settings.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()

@@ -31,7 +31,7 @@ def test_entry_without_corpus_operators(tmp_path, gone):
             target.unlink(missing_ok=True)
     got = names(tmp_path)
     here = not gone and (ROOT / "lucidtext/llm").exists() and (ROOT / "corpus_pipeline.py").exists()
-    assert got[2:] == (["True", "10"] if here else ["False", "0"])
+    assert got[2:] == (["True", "13"] if here else ["False", "0"])
     assert int(got[1]) > 100
 
 

@@ -84,3 +84,11 @@ def test_contained(spark, monkeypatch):
     for block in (phrases.BLOCK, 7):
         monkeypatch.setattr(phrases, "BLOCK", block)
         assert sorted(map(tuple, phrases.contained(docs, given).collect())) == sorted(want)
+
+
+def test_complex_words_with_suggestions(spark):
+    docs = spark.createDataFrame([(1, "Das Konzept ist effektiv."), (2, "Die Familie kommt."), (3, "Die Biologie kommt.")], "doc_id long, text string")
+    got = rules.check_rule(Annotated(docs), "komplexitaet").collect()
+    assert sorted((r.doc_id, r.term) for r in got) == [(1, "Konzept"), (1, "effektiv"), (3, "Biologie")]
+    assert {r.message for r in got if r.term == "Konzept"} == {'Fremdwort: "Konzept" (Fremdwort: bekanntes schwieriges Wort). Besser: "Plan, Idee"'}
+    assert len(L.COMPLEX_WORDS) == 120 and len(L.SIMPLE_WORDS) == len(set(L.SIMPLE_WORDS)) > 200
