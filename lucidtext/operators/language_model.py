@@ -28,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import through_folder
 from .annotate import SENTENCE, batched
-from .joins import looked_up
+from .joins import FREQUENT, looked_up
 
 DISCOUNT = 0.1
 MIN_TOKENS = 3
@@ -79,8 +79,8 @@ def _distinct(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return first, many
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """w1, w2, w3, n: trigrams of all sentences."""
+def _listed(docs: DataFrame) -> DataFrame:
+    """w1, w2, w3, n: trigrams of each batch of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +88,12 @@ def counted(docs: DataFrame) -> DataFrame:
             first, many = _distinct(grams, len(words))
             yield pa.RecordBatch.from_arrays([*(words.take(pa.array(g[first])) for g in grams), pa.array(many, pa.int64())], names=[*GRAM, "n"])
 
-    return batched(docs).mapInArrow(count, "w1 string, w2 string, w3 string, n bigint").groupBy(*GRAM).agg(F.sum("n").alias("n"))
+    return batched(docs).mapInArrow(count, "w1 string, w2 string, w3 string, n bigint")
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """w1, w2, w3, n: trigrams of all sentences."""
+    return _listed(docs).groupBy(*GRAM).agg(F.sum("n").alias("n"))
 
 
 def gram_counts(docs: DataFrame, order: int) -> DataFrame:
@@ -190,11 +195,47 @@ def fitted(docs: DataFrame, discount: float = DISCOUNT) -> Model:
     return Model(through_folder(trigrams, "a3"), pairs.select("w1", "w2", weight("g2"), "types"), through_folder(bigrams, "a2"), singles.select("w2", weight("g1"), "types"), words)
 
 
+def of_all(docs: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """w1, w2, w3, n, p: every trigram of ``docs`` with its probability under the model of ``docs``.
+
+    The same as ``fitted`` and ``probabilities``, but a trigram brings its sums with it: trigrams are moved to those with the same first two words, then to those with the same last
+    two. So many trigrams share two words as there are words that stand next to these, so no group is large. The sums of single words are looked up.
+    """
+    d = F.lit(discount)
+    left = lambda n: F.greatest(n - d, F.lit(0.0))
+    first, last = Window.partitionBy("w1", "w2"), Window.partitionBy("w2", "w3")
+    t = _listed(docs).repartition("w1", "w2").groupBy(*GRAM).agg(F.sum("n").alias("n")).select(*GRAM, "n", F.sum("n").over(first).alias("total"), F.count(F.lit(1)).over(first).alias("types"))
+    b = t.select("*", F.count(F.lit(1)).over(last).cast("int").alias("before"), (F.row_number().over(last.orderBy("w1")) == 1).alias("new"))
+    b = through_folder(b, "trigrams")
+    singles = through_folder(b.groupBy("w2").agg(F.count(F.lit(1)).alias("total1"), F.count_if("new").alias("types1")), "singles")
+    words = through_folder(b.where("new").groupBy("w3").agg(F.count(F.lit(1)).alias("n3")).join(b.groupBy("w3").agg(F.count(F.lit(1)).alias("rows")), "w3"), "words")
+    n_bigrams = F.lit(float(words.agg(F.sum("n3")).first()[0] or 1))
+    both = looked_up(looked_up(b, singles.withColumn("rows", F.col("total1")), ["w2"], "rows"), words, ["w3"], "rows")
+    p1 = left(F.col("before")) / F.col("total1") + d * F.col("types1") / F.col("total1") * (F.col("n3") / n_bigrams)
+    return both.select(*GRAM, "n", (left(F.col("n")) / F.col("total") + d * F.col("types") / F.col("total") * p1).alias("p"))
+
+
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, sent_no, n_tokens, log_perplexity (of a token; null where a word was never seen) of each sentence. Rows that share a doc_id stay apart."""
     each = through_folder(of_sentences(docs), "grams")
     asked = through_folder(each.groupBy(*GRAM).agg(F.count(F.lit(1)).alias("many")), "asked")
     scored = looked_up(each, through_folder(model.probabilities(asked), "scored"), list(GRAM), "many")
+    return _of_sentences(scored)
+
+
+def own_perplexities(docs: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """``perplexities`` under the model of ``docs`` themselves: all their trigrams are known, so none is asked for, and the texts are read again instead of written as trigrams."""
+    known = through_folder(of_all(docs, discount), "known")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(known.where(F.col("n") > total // FREQUENT).select(*GRAM, F.col("p").alias("hot")))
+    each = of_sentences(docs).join(often, list(GRAM), "left")
+    # a frequent trigram has its probability already; its rows are dealt out by chance
+    key = F.when(F.col("hot").isNull(), F.col("w1")).otherwise(F.concat(F.lit(" "), F.col("row"), F.lit(" "), F.col("sent_no")))
+    scored = each.withColumn("w1", key).join(known.select(*GRAM, "p"), list(GRAM), "left").withColumn("p", F.coalesce("hot", "p"))
+    return _of_sentences(scored)
+
+
+def _of_sentences(scored: DataFrame) -> DataFrame:
     lost = F.sum(F.when(F.col("p") > 0, 0).otherwise(1))
     total = F.sum(F.when(F.col("p") > 0, F.col("k") * F.log("p")))
     per = scored.groupBy("row", "doc_id", "sent_no", "size").agg(lost.alias("lost"), total.alias("total"))

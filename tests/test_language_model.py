@@ -83,11 +83,38 @@ def test_perplexities(spark, texts, tmp_path):
     assert [r.log_perplexity for r in got if r.doc_id == 9] == [None]
 
 
+@pytest.mark.parametrize("sent", [joins.SENT_ROWS, 0])
+def test_own_trigrams(spark, texts, monkeypatch, sent):
+    monkeypatch.setattr(joins, "SENT_ROWS", sent)
+    monkeypatch.setattr(joins, "FREQUENT", 20)
+    monkeypatch.setattr(lm, "FREQUENT", 20)
+    docs = spark.createDataFrame([(k % 4, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    hand = ByHand(texts, 0.4)
+    got = {(r.w1, r.w2, r.w3): (r.n, r.p) for r in lm.of_all(docs, 0.4).collect()}
+    assert {g: n for g, (n, _) in got.items()} == dict(hand.c)
+    assert all(p == pytest.approx(hand.p(*g)) for g, (_, p) in got.items())
+    key = lambda r: (r[0], r[1], r[2], round(r[3], 6))
+    want = lm.perplexities(docs, lm.fitted(docs, 0.4))
+    assert sorted(map(key, lm.own_perplexities(docs, 0.4).collect())) == sorted(map(key, want.collect()))
+
+
+def test_few_tables_of_all_trigrams(spark, texts, monkeypatch):
+    """Trigrams are written once, however many sums they need; before, seven times."""
+    written = []
+    monkeypatch.setattr(lm, "through_folder", lambda df, name, real=lm.through_folder: (written.append(name), real(df, name))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert lm.of_all(docs).count() and written == ["trigrams", "singles", "words"]
+
+
 def test_no_sentences(spark):
     docs = spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")
     assert lm.perplexities(docs, lm.fitted(docs)).count() == 0
 
 
+def test_own_of_no_sentences(spark):
+    assert lm.own_perplexities(spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")).count() == 0
+
+
 def test_looked_up_keeps_all_rows(spark, monkeypatch):
     big = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(200)] + [(None, 1000), (99, 1001)], "key int, v int")
     small = big.where("key IS NOT NULL AND key <> 99").groupBy("key").count().withColumnRenamed("count", "rows").selectExpr("key", "key * 2 AS twice", "rows")
