@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import compounds, rules
+from ..operators import annotate, compounds, rules
 from ..operators.annotate import TOKENS_SQL, Annotated
 from .registry import Inline, query, table
 
@@ -131,14 +131,14 @@ def hyphen_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("aux11_longest_match_split", f"WITH {TOKENS_SQL} SELECT lower, regexp_extract(lower, '^(.{{3,}})(ung|heit|keit|schaft|tion|ment|able|tion|mente|ción)$', 1) AS head, regexp_extract(lower, '^(.{{3,}})(ung|heit|keit|schaft|tion|ment|able|tion|mente|ción)$', 2) AS tail FROM (SELECT DISTINCT lower FROM tok WHERE kind = 'w' AND length(lower) >= 8) WHERE regexp_matches(lower, '^.{{3,}}(ung|heit|keit|schaft|tion|ment|able|tion|mente|ción)$')")
 def aux11(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = "^(.{3,})(ung|heit|keit|schaft|tion|ment|able|tion|mente|ción)$"
-    w = _corpus(spark, sf_dir).tokens.where("kind = 'w' AND length(lower) >= 8").select("lower").distinct().where(F.col("lower").rlike(p))
+    w = annotate.distinct_words(table(spark, sf_dir, "documents")).where("length(lower) >= 8").where(F.col("lower").rlike(p)).select("lower").distinct()
     return w.select("lower", F.regexp_extract("lower", p, 1).alias("head"), F.regexp_extract("lower", p, 2).alias("tail"))
 
 
 @query("aux11_compound_splits")
 def aux11_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents cut into other words of them, by each variant. (Tests hold the cuts against all cuts.)"""
-    words = _corpus(spark, sf_dir).tokens.where("kind = 'w' AND NOT contains(lower, '-')").groupBy(F.col("lower").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    words = annotate.word_counts(table(spark, sf_dir, "documents")).where("NOT contains(lower, '-')").withColumnRenamed("lower", "word")
     found = compounds.split(words)
     return found.select("word", "n", *(F.array_join(v, "-").alias(v) for v in compounds.COSTS))
 
