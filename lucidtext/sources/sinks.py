@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import training
+from ..operators import language_model, training
 from .folders import dropped, shared_folder, through_folder  # noqa: F401
 
 
@@ -57,7 +57,5 @@ def split_csvs(rows: DataFrame, path: str) -> None:
 
 def ngram_tables(docs: DataFrame, path: str, order: int = 3) -> None:
     """Counts of all n-grams up to ``order`` as Parquet, by n."""
-    tokens = training.lm_tokens(F.col("text"))
     for n in range(1, order + 1):
-        grams = docs.select(F.explode(training.ngrams(tokens, n)).alias("gram"))
-        grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/n={n}")
+        language_model.gram_counts(docs, n).withColumnRenamed("g", "gram").write.mode("overwrite").parquet(f"{path}/n={n}")
