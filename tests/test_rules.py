@@ -126,3 +126,11 @@ def test_sentences_cover_text(spark):
     text = "Eins. Zwei!  Drei? ... Vier"
     s = annotate.sentences(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("sent_no").collect()
     assert "".join(x.text for x in s).replace(" ", "") == text.replace(" ", "")
+
+
+def test_metaphors_are_looked_for_without_classes_of_letters(spark):
+    """Such classes made the scan for whole metaphors take most of the rule's time; what may be one is judged after it."""
+    assert "\\p{" not in rules.wanted(("redewendungen",)).cased
+    texts = ["Das HERZ\tist Älter geworden.", "Das Holzherz ist alt.", "(Feuer  brennt)", "Sein Blick: Tellerrand schauen.", "Die Türen öffnen sich, Mosaikstein.", "herz ist."]
+    got = rules.check_rule(Annotated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "redewendungen")
+    assert {(r.doc_id, r.term) for r in got.collect()} == {(0, "herz\tist älter"), (2, "feuer  brennt"), (3, "tellerrand schauen"), (4, "türen öffnen"), (4, "mosaikstein")}
