@@ -1,8 +1,10 @@
 """What leaves a batch of texts: words, pairs and runs that are asked for, not a row for each token."""
 
+import random
 import re
 
 import pytest
+import regex
 
 from lucidtext.operators import annotate
 from lucidtext.plans import companions, corpus, rules, service
@@ -98,3 +100,21 @@ def test_grams_are_counted_in_batches(spark, at, tmp_path, monkeypatch):
     assert got["hund"] == 5 and got["."] == sum((t or "").count(".") for _, t in TEXTS) and "<s>" not in got
     pairs = dict(rows(spark.read.parquet(f"{tmp_path}/grams/n=2").select("gram", "n")))
     assert pairs["<s> hund"] == 2 and pairs["<s> </s>"] == 1
+
+
+def test_a_batch_is_cut_at_once(monkeypatch):
+    """No object for each token of a text: kinds of code points tell where tokens and sentences begin."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abÄß--.!? \n\t\x0b\x1c12٣ǅªʰ日🙂é’'İ") for _ in range(rng.randrange(50))) for _ in range(2000)] + [None, "", " ", "...", "-a-b--c-", "a"]
+    assert not hasattr(annotate, "_TOKEN")
+    s = annotate.Scanned(pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"]))
+    got = [(s.row[s.doc[k]], s.numbers[k], a, s.text[w].as_py()) for k, a, w in zip(s.sentence.tolist(), s.start.tolist(), s.word.tolist(), strict=True)]
+    want, sents = [], []
+    for row, text in enumerate(texts):
+        for no, m in enumerate(re.finditer(r"[^.!?]+[.!?]*|[.!?]+", text or ""), 1):
+            own = [(row, no, m.start() + x.start(), x[0]) for x in regex.finditer(r"\p{L}+(?:-\p{L}+)*|[0-9]+|[^\p{L}0-9 \t\n\r\f\x0B]", m[0])]
+            sents += [(m.start(), m.end(), m[0])] if own else []
+            want += own
+    assert got == want and list(zip(s.begins, s.ends, s.sents, strict=True)) == sents
