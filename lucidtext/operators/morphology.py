@@ -141,64 +141,120 @@ def _tables() -> tuple[dict[str, list[tuple[str, float]]], Trie, Trie]:
 
 
 @lru_cache(maxsize=1 << 16)
-def candidates(word: str, first: bool) -> tuple[tuple[int, float, str], ...]:
-    """(tag, cost, lemma) of a word; ``first``: it begins a sentence, where a capital tells nothing."""
-    closed, upper, lower = _tables()
-    low = word.lower()
-    if not word[0].isalpha():
-        return ((_T["M" if word[0].isdigit() else "Q"], 0.0, word),)
-    out = [(_T[t], c, _LEMMA.get(low, low)) for t, c in closed.get(low, ())]
-    if out and (first or word[0].islower()):
+def _ranked(first: bool, small: bool, closed: tuple, upper: tuple, lower: tuple, participle: bool) -> tuple[tuple[int, float, int, str], ...]:
+    """(tag, cost, cut, add) of the candidates of all words alike in this: their entries in the closed classes and in the tries. A lemma is made by cut and add; cut: -1 of the closed class, from ``_LOW`` on of the word in lower case."""
+    out = [(_T[t], c, -1, "") for t, c in closed]
+    if out and (first or small):
         return tuple(sorted(out, key=lambda x: x[1])[:MOST])
-    if word[0].isupper():
-        out += [(_T[t], c, word[: len(word) - cut] + add) for t, c, cut, add in upper(word)]
-    if word[0].islower() or first:
-        more = 0.0 if word[0].islower() else 1.0
-        own = [(_T[t], c + more, low[: len(low) - cut] + add) for t, c, cut, add in lower(low)]
-        if low.endswith(("t", "en")) and low.startswith(_PARTICIPLE) and len(low) > 5:
-            own = [(_T["part"], 0.2 + more, low)] + [(t, c + 1.2, lemma) for t, c, lemma in own if t != _T["part"]]
+    out += [(_T[t], c, cut, add) for t, c, cut, add in upper]
+    if small or first:
+        more = 0.0 if small else 1.0
+        own = [(_T[t], c + more, cut + _LOW, add) for t, c, cut, add in lower]
+        if participle:
+            own = [(_T["part"], 0.2 + more, _LOW, "")] + [(t, c + 1.2, cut, add) for t, c, cut, add in own if t != _T["part"]]
         out += own
-    best: dict[int, tuple[int, float, str]] = {}
+    best: dict[int, tuple[int, float, int, str]] = {}
     for x in sorted(out, key=lambda x: x[1]):
         best.setdefault(x[0], x)
-    return tuple(list(best.values())[:MOST])
+    # letters that are neither capital nor small, as in other scripts: a name
+    return tuple(list(best.values())[:MOST]) or ((_T["E"], 0.0, 0, ""),)
+
+
+_LOW = 1 << 10
+_SIGNS = {t: ((_T[t], 0.0, 0, ""),) for t in ("M", "Q")}
+
+
+def _told(word: str, first: bool) -> tuple[tuple[int, float, int, str], ...]:
+    head = word[0]
+    if not head.isalpha():
+        return _SIGNS["M" if head.isdigit() else "Q"]
+    closed, upper, lower = _tables()
+    low, small = word.lower(), head.islower()
+    own = closed.get(low, ())
+    if own and (first or small):
+        return _ranked(first, small, tuple(own), (), (), False)
+    below = small or first
+    return _ranked(first, small, tuple(own), upper(word) if head.isupper() else (), lower(low) if below else (), below and len(low) > 5 and low.endswith(("t", "en")) and low.startswith(_PARTICIPLE))
+
+
+def _lemma(word: str, cut: int, add: str) -> str:
+    low = word.lower() if cut < 0 or cut >= _LOW else word
+    if cut < 0:
+        return _LEMMA.get(low, low)
+    cut &= _LOW - 1
+    return low[: len(low) - cut] + add
+
+
+def candidates(word: str, first: bool) -> tuple[tuple[int, float, str], ...]:
+    """(tag, cost, lemma) of a word; ``first``: it begins a sentence, where a capital tells nothing."""
+    return tuple((t, c, _lemma(word, cut, add)) for t, c, cut, add in _told(word, first))
 
 
 def decoded(tag: np.ndarray, cost: np.ndarray, sizes: np.ndarray, between: np.ndarray) -> np.ndarray:
     """The cheapest candidate of each word. tag, cost: words x MOST (an infinite cost: none); sizes: words of each sentence; of equal ones the first candidates, decided from the end."""
     order = np.argsort(-sizes, kind="stable")
-    at, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
-    on = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
-    sums, came = cost.copy(), np.zeros(cost.shape, np.int8)
-    sums[at] += between[len(TAGS)][tag[at]]
-    for t in range(1, len(on)):
-        k = at[: on[t]] + t
-        step = sums[k - 1][:, :, None] + between[tag[k - 1][:, :, None], tag[k][:, None, :]]
-        came[k] = step.argmin(1)
-        sums[k] += step.min(1)
-    best = np.zeros(len(tag), np.int64)
-    ends = at + size - 1
-    best[ends] = sums[ends].argmin(1)
-    for t in range(len(on) - 2, -1, -1):
-        k = at[: on[t + 1]] + t
-        best[k] = came[k + 1, best[k + 1]]
-    return best
+    size = sizes[order]
+    many, longest = len(size), int(size[0]) if len(size) else 0
+    on = np.searchsorted(-size, -np.arange(longest), side="left")
+    # places of sentences lie together: those of the first words, then of the second ones
+    begin = np.cumsum(on) - on
+    place = np.empty(many, np.int64)
+    place[order] = np.arange(many)
+    sentence = np.repeat(np.arange(many), sizes)
+    at = begin[np.arange(len(tag)) - (np.cumsum(sizes) - sizes)[sentence]] + place[sentence]
+    x, own = np.empty((MOST, len(tag))), np.empty((MOST, len(tag)), tag.dtype)
+    x[:, at], own[:, at] = cost.T, tag.T
+    x[:, :many] += between[len(TAGS)][own[:, :many]]
+    flat, a = between.ravel(), 0
+    bounds = list(zip(on.tolist(), begin.tolist(), strict=True))
+    for n, b in bounds[1:]:
+        x[:, b : b + n] += np.minimum.reduce(x[:, None, a : a + n] + flat[own[:, None, a : a + n] * len(TAGS) + own[None, :, b : b + n]])
+        a = b
+    best = np.empty(len(tag), np.int64)
+    more = 0
+    for n, a in reversed(bounds):
+        # sentences that end here; the others go on where the next words' tags come from
+        best[a + more : a + n] = x[:, a + more : a + n].argmin(0)
+        if more:
+            then = own[best[b : b + more], np.arange(b, b + more)]
+            best[a : a + more] = (x[:, a : a + more] + flat[own[:, a : a + more] * len(TAGS) + then]).argmin(0)
+        more, b = n, a
+    return best[at]
+
+
+class Analysed:
+    """The tags of a batch's tokens. With ``wanted`` tags, only sentences that may have one of them are decoded; other tokens have tag -1."""
+
+    def __init__(self, s: Scanned, between: np.ndarray, wanted: np.ndarray | None = None) -> None:
+        first = np.zeros(len(s.word), bool)
+        first[s.first[:-1]] = True
+        distinct, back = np.unique(s.word * 2 + first, return_inverse=True)
+        self.words = s.text.take(pa.array(distinct // 2)).to_pylist()
+        self.own = [_told(w, f) for w, f in zip(self.words, (distinct % 2 == 1).tolist(), strict=True)]
+        many = np.fromiter(map(len, self.own), np.int64, len(self.own))
+        which = np.repeat(np.arange(len(many)), many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        tag, cost = np.zeros((len(many), MOST), np.int64), np.full((len(many), MOST), np.inf)
+        tag[which] = [c[0] for cs in self.own for c in cs]
+        cost[which] = [c[1] for cs in self.own for c in cs]
+        sizes, told = np.diff(s.first), np.ones(len(s.word), bool)
+        if wanted is not None and len(sizes):
+            may = np.logical_or.reduceat((np.isin(tag, wanted) & (cost < np.inf)).any(1)[back], s.first[:-1])
+            told, sizes = np.repeat(may, sizes), sizes[may]
+        self.back, self.best = back, np.zeros(len(back), np.int64)
+        back = back[told]
+        best = self.best[told] = decoded(tag[back], cost[back], sizes, between)
+        self.tag = np.full(len(told), -1, np.int64)
+        self.tag[told] = tag[back, best]
+
+    def lemmas(self, a: int = 0, b: int | None = None) -> list[str]:
+        """Of the tokens from ``a`` to ``b``."""
+        return [_lemma(self.words[k], *self.own[k][j][2:]) for k, j in zip(self.back[a:b].tolist(), self.best[a:b].tolist(), strict=True)]
 
 
 def analysed(s: Scanned, between: np.ndarray) -> tuple[np.ndarray, list[str]]:
     """Tag and lemma of each token of a batch."""
-    first = np.zeros(len(s.word), bool)
-    first[s.first[:-1]] = True
-    which = s.word * 2 + first
-    distinct, back = np.unique(which, return_inverse=True)
-    words = s.text.take(pa.array(distinct // 2)).to_pylist()
-    own = [candidates(w, bool(f)) for w, f in zip(words, (distinct % 2).tolist(), strict=True)]
-    tag, cost = np.zeros((len(own), MOST), np.int64), np.full((len(own), MOST), np.inf)
-    for k, cs in enumerate(own):
-        for j, (t, c, _) in enumerate(cs):
-            tag[k, j], cost[k, j] = t, c
-    best = decoded(tag[back], cost[back], np.diff(s.first), between)
-    return tag[back, best], [own[k][j][2] for k, j in zip(back.tolist(), best.tolist(), strict=True)]
+    found = Analysed(s, between)
+    return found.tag, found.lemmas()
 
 
 def analyses(docs: DataFrame, counts: np.ndarray | None = None) -> DataFrame:
@@ -227,7 +283,7 @@ def counted(docs: DataFrame, counts: np.ndarray | None = None) -> np.ndarray:
         for batch in batches:
             s = Scanned(batch)
             if len(s.word):
-                tag, _ = analysed(s, between)
+                tag = Analysed(s, between).tag
                 before = np.concatenate([[0], tag[:-1]])
                 before[s.first[:-1]] = len(TAGS)
                 n += np.bincount(before * len(TAGS) + tag, minlength=len(n))
@@ -312,22 +368,29 @@ def _subjunctives(tags: list[str], lower: list[str], lemma: list[str]) -> Iterat
             yield k, "Konjunktiv II" if past else "Konjunktiv I", "Unbestimmt"
 
 
-def governed(docs: DataFrame, counts: np.ndarray | None = None) -> DataFrame:
-    """doc_id, rule (genitiv or konjunktiv), sent_no, t_start, t_end, term, kind, function of the genitives and subjunctives of ``docs``."""
+_GENITIVE = [_T[t] for t in TAGS if t in ("S", "D.gen")]
+_SUBJUNCTIVE = [_T[t] for t in TAGS if t.endswith((".k1", ".k2"))]
+
+
+def governed(docs: DataFrame, counts: np.ndarray | None = None, rules: tuple[str, ...] = ("genitiv", "konjunktiv")) -> DataFrame:
+    """doc_id, rule (genitiv or konjunktiv), sent_no, t_start, t_end, term, kind, function of the genitives and subjunctives of ``docs``, or of one of the two."""
     between = costs(first_counts() if counts is None else counts)
+    wanted = np.array((_GENITIVE if "genitiv" in rules else []) + (_SUBJUNCTIVE if "konjunktiv" in rules else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = Scanned(batch)
             out: list[tuple] = []
             if len(s.word):
-                tag, lemma = analysed(s, between)
-                hit = np.isin(tag, [_T[t] for t in TAGS if t in ("S", "D.gen") or t.endswith((".k1", ".k2"))])
+                own = Analysed(s, between, wanted)
+                hit = np.isin(own.tag, wanted)
                 lower = s.lower.to_pylist()
                 for k in np.unique(s.sentence[hit]).tolist():
                     a, b = int(s.first[k]), int(s.first[k + 1])
-                    tags, low = [TAGS[t] for t in tag[a:b].tolist()], [lower[w] for w in s.word[a:b].tolist()]
-                    found = [("genitiv", i, j, kind, "") for i, j, kind in _genitives(tags, low)] + [("konjunktiv", i, i, kind, use) for i, kind, use in _subjunctives(tags, low, lemma[a:b])]
+                    tags, low = [TAGS[t] for t in own.tag[a:b].tolist()], [lower[w] for w in s.word[a:b].tolist()]
+                    found = [("genitiv", i, j, kind, "") for i, j, kind in _genitives(tags, low)] if "genitiv" in rules else []
+                    if "konjunktiv" in rules:
+                        found += [("konjunktiv", i, i, kind, use) for i, kind, use in _subjunctives(tags, low, own.lemmas(a, b))]
                     for rule, i, j, kind, use in found:
                         start, end = int(s.start[a + i]), int(s.start[a + j] + s.length[s.word[a + j]])
                         out.append((s.doc[k], rule, s.numbers[k], start, end, s.texts[s.row[s.doc[k]]][start:end], kind, use))

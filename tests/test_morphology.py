@@ -98,3 +98,20 @@ def test_counts_of_a_corpus(spark):
     per = lambda c: (hand - M.first_counts()).ravel() @ M.costs(c).ravel()
     assert per(counts) < per(M.first_counts())
     assert {r.tag for r in M.analyses(docs, counts).collect()} <= set(M.TAGS)
+
+
+def test_only_sentences_that_may_have_the_tags_are_decoded(monkeypatch):
+    seen = []
+    monkeypatch.setattr(M, "decoded", lambda tag, cost, sizes, between, real=M.decoded: (seen.append(sizes.tolist()), real(tag, cost, sizes, between))[1])
+    s = Scanned(pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["Ich gehe heim. Das Dach des Hauses ist rot. Wir lesen gern."], pa.string())], names=["doc_id", "text"]))
+    between = M.costs(M.first_counts())
+    all_of = M.Analysed(s, between)
+    some = M.Analysed(s, between, np.array([M.TAGS.index("D.gen")]))
+    assert seen == [[4, 7, 4], [7]]
+    assert some.tag[4:11].tolist() == all_of.tag[4:11].tolist() and some.lemmas(4, 11) == all_of.lemmas(4, 11) and set(some.tag[:4]) == {-1}
+
+
+def test_letters_without_case(spark):
+    docs = spark.createDataFrame([(1, "Das Dach des Hauses in 日本 und ªa.")], "doc_id long, text string")
+    assert [(r.term, r.rule) for r in M.governed(docs).collect()] == [("des Hauses", "genitiv")]
+    assert M.analyses(docs).where("text = '日本'").first().tag == "E"
