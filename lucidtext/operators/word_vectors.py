@@ -39,6 +39,8 @@ SAMPLE = 20_000
 PROBES = 12
 #: Vectors in a block.
 BLOCK = 1_024
+#: Vectors that are compared with all centres at once; rows that leave a batch of texts at once.
+PIECE, ROWS = 256, 50_000
 
 # --- quality of a word: least share of all words and what it adds, longest and what it adds; fixed values
 FREQUENT = ((0.001, 0.4), (0.0001, 0.3), (0.00001, 0.2))
@@ -72,8 +74,9 @@ def contexts(docs: DataFrame) -> DataFrame:
                 a, b = number[:-k], number[k:]
                 keys += [(a * many + b)[near & noun[:-k]], (b * many + a)[near & noun[k:]]]
             key, n = np.unique(np.concatenate(keys), return_counts=True)
-            context = key % many
-            yield pa.RecordBatch.from_arrays([lower.dictionary.take(pa.array(key // many)), lower.dictionary.take(pa.array(context, mask=context == many - 1)), pa.array(n)], names=["word", "context", "n"])
+            for k in range(0, len(key), ROWS):
+                word, context = key[k : k + ROWS] // many, key[k : k + ROWS] % many
+                yield pa.RecordBatch.from_arrays([lower.dictionary.take(pa.array(word)), lower.dictionary.take(pa.array(context, mask=context == many - 1)), pa.array(n[k : k + ROWS])], names=["word", "context", "n"])
 
     return batched(docs).mapInArrow(count, "word string, context string, n bigint").groupBy("word", "context").agg(F.sum("n").alias("n"))
 
@@ -146,13 +149,22 @@ def centres(found: DataFrame, cells: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def nearest(x: np.ndarray, where: np.ndarray, probes: int) -> np.ndarray:
+    """For each vector the ``probes`` nearest centres, nearest first; some vectors at a time, since each is compared with all centres."""
+    probes = min(probes, len(where))
+    near = np.empty((len(x), probes), np.int64)
+    for k in range(0, len(x), PIECE):
+        near[k : k + PIECE] = np.argsort(-(x[k : k + PIECE] @ where.T), axis=1, kind="stable")[:, :probes]
+    return near
+
+
 def _blocks(found: DataFrame, where: np.ndarray | None, probes: int) -> DataFrame:
     """cell, words, vectors: blocks of at most ``BLOCK`` vectors of a cell; with probes, each vector in that many cells."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch["vector"].to_pylist())
-            near = np.argsort(-(x @ where.T), axis=1, kind="stable")[:, :probes]
+            near = nearest(x, where, probes)
             row = np.repeat(np.arange(len(x)), near.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch["word"].take(pa.array(row)), batch["vector"].take(pa.array(row))], names=["cell", "word", "vector"])
 

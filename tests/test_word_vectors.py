@@ -105,3 +105,18 @@ def test_quality(spark):
     words = [("Haus", 0.01), ("Dokumentation", 0.00005), ("Wohnung", 0.0), ("E-Bike", 0.002)]
     got = {r.w: round(r.q, 6) for r in spark.createDataFrame(words, "w string, s double").select("w", W.quality(F.col("w"), F.col("s")).alias("q")).collect()}
     assert got == {"Haus": 0.8, "Dokumentation": 0.2, "Wohnung": 0.4, "E-Bike": 0.6}
+
+
+def test_nearest_centres_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    x, c = rng.normal(size=(5_000, W.SIZE)).astype("<f4"), rng.normal(size=(1_024, W.SIZE)).astype("<f4")
+    want = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :12]
+    tracemalloc.start()
+    got = W.nearest(x, c, 12)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all vectors against all centres at once took 60 MB
+    assert most < 10e6 and (got == want).all(1).mean() > 0.999
+    assert W.nearest(x[:3], c[:2], 12).shape == (3, 2) and W.nearest(x[:0], c, 12).shape == (0, 12)
