@@ -3,7 +3,7 @@
 A sentence's weight is that of its own violations. Each round every sentence that still has weight gets one candidate
 from the stage whose turn it is; a candidate takes its place if it is a real rewrite and weighs less. All sentences of all documents
 go through a round together; a sentence rests once its weight is 0 or it has been refused as often as there are
-stages. The states are written after each round.
+stages. The states are written after each round that changes any, but the last.
 
 Stages are column functions, text -> text; a model's can be a vectorised UDF. Null and blank texts have no sentences.
 """
@@ -31,7 +31,10 @@ def clauses_apart(text: Column) -> Column:
 def plain_words(text: Column) -> Column:
     """Foreign words give way to plainer ones."""
     pairs = F.create_map(*(F.lit(x) for w, plain, _, _ in L.FOREIGN_WORDS for x in (w, plain)))
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.coalesce(F.try_element_at(pairs, F.lower(F.regexp_replace(w, r"[.,!?;:]+$", ""))), F.regexp_replace(w, r"[.,!?;:]+$", "")), F.regexp_extract(w, r"([.,!?;:]*)$", 1))), " ")
+    plainer = F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.coalesce(F.try_element_at(pairs, F.lower(F.regexp_replace(w, r"[.,!?;:]+$", ""))), F.regexp_replace(w, r"[.,!?;:]+$", "")), F.regexp_extract(w, r"([.,!?;:]*)$", 1))), " ")
+    # few texts have such a word; in others nothing changes (a mark before a line's end might)
+    some = F.exists(F.split(F.lower(text), "[ .,!?;:]+"), lambda w: w.isin([w for w, *_ in L.FOREIGN_WORDS]))
+    return F.when(some | text.rlike(r"[\n\r\x85\u2028\u2029]"), plainer).otherwise(text)
 
 
 def single_marks(text: Column) -> Column:
@@ -42,45 +45,48 @@ def single_marks(text: Column) -> Column:
 STAGES: tuple[Stage, ...] = (clauses_apart, plain_words, single_marks)
 
 
-def weighed(texts: DataFrame) -> DataFrame:
-    """sid, weighted (the cost of a text's violations by itself) of the rows of ``texts`` (sid, text) with any; sids differ."""
-    return violations.statistics(texts.select(F.col("sid").alias("doc_id"), "text")).select(F.col("doc_id").alias("sid"), "weighted")
+#: Accepted sentences of so many characters in all are sent to all executors.
+SENT_CHARS = 4_000_000
 
 
 def refined(docs: DataFrame, stages: Sequence[Stage] = STAGES, rounds: int = 3) -> DataFrame:
-    """doc_row, doc_id, idx, original, current, before, weighted, attempts, status of each sentence of ``docs`` (doc_id, text).
+    """doc_row, doc_id, idx, original, current, before, weighted, attempts, status of each sentence of ``docs`` (doc_id, a whole number, and text).
 
-    Documents are numbered first (doc_row) and sentences after that (sid), and both are written, so that rows that share a doc_id, or have none, stay apart. In a round only
-    candidates are weighed, not sentences at rest; rounds end when there is no candidate.
+    Documents are numbered first (doc_row) and sentences as they are written with their weights (sid), so that rows that share a doc_id, or have none, stay
+    apart. Sentences are cut and weighed where their document is read. In a round only candidates are weighed, and only those that take a place are written and joined.
     """
     spark = docs.sparkSession
-    numbered = through_folder(docs.select("doc_id", "text").withColumn("doc_row", F.monotonically_increasing_id()), "numbered")
-    s = annotate.sentences(numbered.select(F.col("doc_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("doc_row"), F.col("sent_no").alias("idx"), T.strip(F.col("text")).alias("text"))
-    texts = through_folder(s.withColumn("sid", F.monotonically_increasing_id()), "sentences")
-    states = texts.join(weighed(texts), "sid", "left").withColumn("weighted", F.coalesce("weighted", F.lit(0).cast("long")))
-    states = through_folder(states.select("sid", "doc_row", "idx", F.col("text").alias("original"), F.col("text").alias("current"), F.col("weighted").alias("before"), "weighted", F.lit(0).alias("attempts")), "states")
-    dropped(spark, texts)
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("doc_row"))
+    each = numbered.select("doc_row", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(annotate.SENTENCE), F.lit(0))).alias("p", "piece"))
+    s = each.select("doc_row", "doc_id", (F.col("p") + 1).alias("idx"), T.strip(F.col("piece")).alias("text")).where("text <> ''")
+    about = (F.col("doc_row"), F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("idx").cast("int").alias("idx"))
+    written = through_folder(violations.weights(s, ("doc_row", "doc_id", "idx")).select(F.monotonically_increasing_id().alias("sid"), *about, F.col("text").alias("original"), F.col("weighted").alias("before")), "states")
+    states = written.withColumns({"current": F.col("original"), "weighted": F.col("before"), "attempts": F.lit(0)})
     for k in range(rounds):
         stage = stages[k % len(stages)]
         is_open = (F.col("weighted") > 0) & (F.col("attempts") < len(stages))
-        asked = states.where(is_open).select("sid", "current", T.strip(stage(F.col("current"))).alias("text")).where("text <> current")
-        asked = through_folder(asked, "asked")
-        if asked.isEmpty():  # all open sentences are refused alike
+        # a stage runs once for a sentence: a filter isn't moved before explode
+        asked = states.where(is_open).select("sid", F.col("weighted").alias("most"), "current", F.explode(F.array(T.strip(stage(F.col("current"))))).alias("text"))
+        asked = asked.where((F.col("text") != F.col("current")) & ~planner.looks_lazy(F.col("text"), F.col("current")))
+        good = violations.weights(asked, ("sid", "most")).where("weighted < most")
+        good = through_folder(good.select("sid", F.col("text").alias("c_text"), F.col("weighted").alias("c_weighted")), "accepted")
+        chars = good.agg(F.sum(F.length("c_text") + 1)).first()[0]
+        if not chars:  # all open sentences are refused alike
             states = states.withColumn("attempts", F.col("attempts") + F.when(is_open, 1).otherwise(0))
+            dropped(spark, good)
             continue
-        good = asked.join(weighed(asked), "sid", "left").select("sid", "text", F.coalesce("weighted", F.lit(0).cast("long")).alias("c_weighted"), (~planner.looks_lazy(F.col("text"), F.col("current"))).alias("real"))
-        tried = states.join(good, "sid", "left")
-        better = F.col("real") & (F.col("c_weighted") < F.col("weighted"))
-        refused = is_open & ~F.coalesce(better, F.lit(False))
-        now = tried.select(
-            "sid", "doc_row", "idx", "original", F.when(better, F.col("text")).otherwise(F.col("current")).alias("current"), "before",
-            F.when(better, F.col("c_weighted")).otherwise(F.col("weighted")).alias("weighted"), (F.col("attempts") + F.when(refused, 1).otherwise(0)).alias("attempts"),
+        tried = states.join(F.broadcast(good) if chars <= SENT_CHARS else good, "sid", "left")
+        better = F.col("c_weighted").isNotNull()
+        states = tried.select(
+            "sid", "doc_row", "doc_id", "idx", "original", F.when(better, F.col("c_text")).otherwise(F.col("current")).alias("current"), "before",
+            F.when(better, F.col("c_weighted")).otherwise(F.col("weighted")).alias("weighted"), (F.col("attempts") + F.when(is_open & ~better, 1).otherwise(0)).alias("attempts"),
         )
-        now = through_folder(now, "states")
-        dropped(spark, states, asked)
-        states = now
+        if k < rounds - 1:
+            now = through_folder(states, "states")
+            dropped(spark, written, good)
+            written = states = now
     status = F.when(F.col("weighted") == 0, "done").when(F.col("attempts") >= len(stages), "failed").otherwise("open")
-    return states.join(numbered.select("doc_row", "doc_id"), "doc_row").select("doc_row", "doc_id", "idx", "original", "current", "before", "weighted", "attempts", status.alias("status"))
+    return states.select("doc_row", "doc_id", "idx", "original", "current", "before", "weighted", "attempts", status.alias("status"))
 
 
 def rewritten(docs: DataFrame, stages: Sequence[Stage] = STAGES, rounds: int = 3) -> DataFrame:

@@ -134,3 +134,17 @@ def test_metaphors_are_looked_for_without_classes_of_letters(spark):
     texts = ["Das HERZ\tist Älter geworden.", "Das Holzherz ist alt.", "(Feuer  brennt)", "Sein Blick: Tellerrand schauen.", "Die Türen öffnen sich, Mosaikstein.", "herz ist."]
     got = rules.check_rule(Annotated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "redewendungen")
     assert {(r.doc_id, r.term) for r in got.collect()} == {(0, "herz\tist älter"), (2, "feuer  brennt"), (3, "tellerrand schauen"), (4, "türen öffnen"), (4, "mosaikstein")}
+
+
+def test_weights_are_those_of_statistics_of_every_row(spark):
+    """No message is made and no row lost; nothing is shuffled."""
+    from lucidtext.operators import violations
+
+    texts = ["Die Administration hilft!!", "Das Haus ist rot.", "Wir gehen, und sie gehen, und alle Leute gehen heute zusammen nach Hause.", "Das Haus des Mannes wird nicht ohne Geduld gebaut ... siehe www.haus.de", None, "", " ", "Man hat Annas Haus und das Bild der Katze (EU) gesehen, aber das ist kaum der Rede wert und Ärger liegt schwer im Magen."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {r.doc_id: r.weighted for r in violations.statistics(docs).collect()}
+    out = violations.weights(docs, ("doc_id",))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobinPartitioning", "").replace("Exchange SinglePartition", "")
+    got = {r.doc_id: (r.text, r.weighted) for r in out.collect()}
+    assert got == {k: (t, want.get(k, 0)) for k, t in enumerate(texts)}
+    assert sum(w > 0 for _, w in got.values()) >= 4
