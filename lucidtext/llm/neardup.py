@@ -48,8 +48,9 @@ from .components import components
 
 #: Members of a bucket that are compared in one task at most, twice over.
 TILE = 1000
-#: Fine sketches have so many bits for each token of the longest set of the band.
-FINE = 4
+#: Fine sketches have so many bits for each token of the longest set of the band. Any number bounds the difference from below; sketches travel with pairs and members
+#: of buckets, and with one bit sets that are far apart are still told from near ones.
+FINE = 1
 
 
 class Bands:

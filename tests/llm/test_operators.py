@@ -567,3 +567,17 @@ def test_languages_of_nothing(spark):
     pages = spark.createDataFrame([(1, "https://a.b/c", "<html lang=de>x</html>")], "page_id long, url string, html string")
     docs = spark.createDataFrame([], "text string, lang string")
     assert [r.lang for r in langid.identified(pages, docs).collect()] == [None]
+
+
+def test_fine_sketches_are_short_and_bound_the_difference_from_below():
+    from lucidtext.llm.neardup import bands, fine_sketch
+
+    rng = np.random.default_rng(5)
+    b = bands(80)
+    for n in (40, 300, 2000):
+        tokens = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+        for k in (1, n // 10, n // 5):
+            other = np.concatenate([tokens[k:], rng.integers(0, 1 << 62, k, dtype=np.uint64)])
+            x, y = (np.frombuffer(fine_sketch(t, b.band(n), b), np.uint64) for t in (tokens, other))
+            assert x.nbytes * 8 <= 2 * n + 64
+            assert np.bitwise_count(x ^ y).sum() <= 2 * k
