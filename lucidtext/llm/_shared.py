@@ -47,10 +47,10 @@ def mark() -> int:
     return len(_written)
 
 
-def sweep(since: int) -> None:
-    """Delete the tables written since ``mark`` gave ``since``, all but the last."""
-    inside = _written[since:-1]
-    del _written[since:-1]
+def sweep(since: int, until: int = -1) -> None:
+    """Delete the tables written since ``mark`` gave ``since``, all but the last, or up to ``until``."""
+    inside = _written[since:until]
+    del _written[since:until]
     for spark, path in inside:
         _delete(spark, path)
 

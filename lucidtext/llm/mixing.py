@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import columns, table, written
+from ._shared import columns, few, table, written
 
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -195,7 +195,9 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = sized.select("_row", *(c.alias(f"_{n}") for c, n in zip(own, ("id", "source", "size"), strict=True)))
     cond = F.col("_id").eqNullSafe(F.col("t.doc_id")) & F.col("_source").eqNullSafe(F.col("t.source")) & (F.col("_size") == F.col("t.size"))
     taken = t.where("copies > 0")
-    one = row.join(taken.where("rows = 1").alias("t"), cond).select("_row", F.col("t.copies").alias("n"))
+    # a source's name is as many values as it has eight bytes, and one
+    single = few(taken.where("rows = 1").drop("rows"), 4 + F.floor(F.octet_length(F.coalesce("source", F.lit(""))) / 8))
+    one = row.join(single.alias("t"), cond).select("_row", F.col("t.copies").alias("n"))
     many = taken.where("rows > 1")
     if not many.isEmpty():
         key = ["_id", "_source", "_size"]

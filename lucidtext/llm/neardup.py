@@ -17,13 +17,16 @@ With set sizes a <= b that means a symmetric difference of at most
 3. A finer sketch, one parity bit a token, lower-bounds the symmetric difference again and
    rejects most candidates; shingle sets decide about the others.
 4. First each bucket's least node is compared with its others. What that links shares a
-   label. Buckets that still hold several labels are compared by sketch in tiles of
-   bounded size: first, the nearest pairs that join a tile's labels are checked, no more
-   than it has labels; then all pairs of labels that are still different. A pair within
-   one label needs no check: it can't change the components.
+   label. Buckets of several others are compared by sketch in tiles of bounded size: the
+   nearest pairs that join a tile's labels are checked, no more than it has labels. Of the
+   other pairs that come near enough only the groups of nodes that they connect leave the
+   task, once for however many buckets have the same group. These few nodes get larger
+   sketches; the pairs of a group that come near enough by these and still have different
+   labels are checked all. A pair within one label needs no check: it can't change the
+   components.
 
-Nothing quadratic leaves a task but pairs whose sketches come near enough and whose sets
-then turn out not to link.
+Nothing quadratic leaves a task but pairs whose larger sketches come near enough and whose
+sets then turn out not to link.
 
 Documents with no words (null, empty) have no shingles and are linked with nothing. Fewer
 words than a shingle has make one shingle. Null doc_ids take part and come last when a
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from . import _words
-from ._shared import bound_batches, columns, few, parts, release, settled, table, written
+from ._shared import bound_batches, columns, few, mark, parts, release, settled, sweep, table, written
 from .components import components
 
 #: Members of a bucket that are compared in one task at most, twice over.
@@ -51,6 +54,8 @@ TILE = 1000
 #: Fine sketches have so many bits for each token of the longest set of the band. Any number bounds the difference from below; sketches travel with pairs and members
 #: of buckets, and with one bit sets that are far apart are still told from near ones.
 FINE = 1
+#: The larger sketches of nodes that the fine ones leave undecided have so many times the bits.
+LARGER = 4
 
 
 class Bands:
@@ -112,8 +117,8 @@ def node_of(tokens: np.ndarray) -> bytes:
         return _words.mix(np.array(sums, np.uint64)).astype(">u8").tobytes()
 
 
-def fine_sketch(tokens: np.ndarray, band: int, b: Bands) -> bytes:
-    bits = b.sizes(band)[2]
+def fine_sketch(tokens: np.ndarray, band: int, b: Bands, times: int = 1) -> bytes:
+    bits = times * b.sizes(band)[2]
     odd = np.bincount(_below(_spread(tokens, 2 * band + 2), bits), minlength=bits) & 1
     packed = np.packbits(odd.astype(np.uint8))
     return np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).tobytes()
@@ -151,33 +156,35 @@ def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-SKETCHED = "doc_id long, h long, n long, node binary, own binary, low binary, keys array<long>"
+SKETCHED = "doc_id long, h long, n long, node binary, odd int, own binary, low binary, keys array<long>"
 
 
 def _sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """A row for each document; the first of equal sets in a batch has the fine sketches and the join keys of the coarse ones."""
+    """A row for each document; the first of equal sets in a batch has its band's lowest bit, the fine sketches and the join keys of the coarse ones."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bands(percent)
         for batch in batches:
             sets = _sets(batch.column("text"), k)
-            nodes, own, low, keys, seen = [], [], [], [], set()
+            nodes, odd, own, low, keys, seen = [], [], [], [], [], set()
             for s in sets:
                 node = node_of(s) if len(s) else None
                 nodes.append(node)
                 if node is None or node in seen:
+                    odd.append(None)
                     own.append(None)
                     low.append(None)
                     keys.append(None)
                     continue
                 seen.add(node)
                 of = b.sets(len(s))
+                odd.append(of[0] & 1)
                 own.append(fine_sketch(s, of[0], b))
                 low.append(fine_sketch(s, of[1], b) if len(of) > 1 else None)
                 keys.append(np.concatenate([word_keys(s, band, b) for band in of]))
-            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(own, pa.binary()), pa.array(low, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(odd, pa.int32()), pa.array(own, pa.binary()), pa.array(low, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *made], names=[x.split()[0] for x in SKETCHED.split(", ")])
-            del sets, nodes, own, low, keys, made
+            del sets, nodes, odd, own, low, keys, made
             release()
 
     return docs.mapInArrow(sketch, SKETCHED)
@@ -190,7 +197,7 @@ def _nodes_of(column: pa.Array) -> np.ndarray:
 
 
 def _buckets(rows: DataFrame, n_parts: int) -> DataFrame:
-    """key, pivot, node: all nodes of each bucket but the least, with that. Rows are read in order, so a bucket may have any size."""
+    """key, pivot, node, alone: all nodes of each bucket but the least, with that; is it seen to be the only one? Rows are read in order, so a bucket may have any size."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_node, pivot = None, None, b""
@@ -209,9 +216,14 @@ def _buckets(rows: DataFrame, n_parts: int) -> DataFrame:
             # a row that repeats its pivot comes right after it, so it repeats the row before, too
             if out.any():
                 at = np.flatnonzero(out)
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pivots.take(pa.array(begin[at])), nodes.take(pa.array(at))], names=["key", "pivot", "node"])
+                # the first and the last bucket of a batch may have more nodes in those beside it
+                of = begin[at]
+                more = (of == 0) | (of == begin[-1])
+                more[1:] |= of[1:] == of[:-1]
+                more[:-1] |= of[1:] == of[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pivots.take(pa.array(of)), nodes.take(pa.array(at)), pa.array(~more)], names=["key", "pivot", "node", "alone"])
 
-    return rows.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(runs, "key long, pivot binary, node binary")
+    return rows.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(runs, "key long, pivot binary, node binary, alone boolean")
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -272,19 +284,35 @@ def _forest(la: np.ndarray, lb: np.ndarray, far: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _grouped(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least of 0 to n - 1 that pairs (i, j) connect each with."""
+    root = np.arange(n)
+    while True:
+        least, low = root.copy(), np.minimum(root[i], root[j])
+        np.minimum.at(least, i, low)
+        np.minimum.at(least, j, low)
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+CROSSING = "a binary, b binary, odd int, nodes array<binary>"
+
+
 def _cross_pairs(percent: int, forest: bool):
-    """mapInArrow function: tiles of a bucket -> pairs of different labels whose sketches come near enough.
+    """mapInArrow function: tiles of a bucket -> pairs (a, b) of different labels whose sketches come near enough.
 
-    forest: no more of them than join the labels; else all.
+    forest: no more of them than join the labels; of the others the nodes that they connect, a row for each group of them, and the band's lowest bit. Else all.
     """
 
-    def near(m: list[tuple], inside: bool) -> list[tuple[bytes, bytes]]:
-        """Pairs of members (tile, node, label, n, sketch) with sketches of one size."""
+    def near(m: list[tuple], inside: bool) -> tuple[list[tuple[bytes, bytes]], list[list[bytes]]]:
+        """Pairs and groups of members (tile, node, label, n, sketch) with sketches of one size."""
         names: dict[bytes, int] = {}
         tile, n = (np.array([x[i] for x in m], np.int64) for i in (0, 3))
         label = np.array([names.setdefault(x[2], len(names)) for x in m], np.int64)
         if len(names) < 2:
-            return []
+            return [], []
         sketch = np.frombuffer(b"".join(x[4] for x in m), np.uint64).reshape(len(m), -1)
         pairs = []
         for i in range(len(m) - 1):
@@ -295,22 +323,28 @@ def _cross_pairs(percent: int, forest: bool):
             pairs.append(np.stack([np.full(close.sum(), i), j[close], apart[close]]))
         i, j, apart = np.concatenate(pairs, axis=1)
         kept = _forest(np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), apart) if forest and len(i) else np.arange(len(i))
-        return [tuple(sorted((m[x][1], m[y][1]))) for x, y in zip(i[kept].tolist(), j[kept].tolist(), strict=True)]
+        found = [tuple(sorted((m[x][1], m[y][1]))) for x, y in zip(i[kept].tolist(), j[kept].tolist(), strict=True)]
+        i, j = np.delete(i, kept), np.delete(j, kept)
+        root, groups = _grouped(i, j, len(m)), {}
+        for x in np.unique(np.concatenate([i, j])).tolist():
+            groups.setdefault(int(root[x]), []).append(m[x][1])
+        return found, [sorted(g) for g in groups.values()]
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bands(percent)
         for batch in batches:
             for row in batch.to_pylist():
-                # the key's lowest bit tells which of its bands a member is here for; should keys of several bands be equal, each band is on its own
+                # should keys of several bands be equal, each band is on its own
                 by_band: dict[int, list[tuple]] = {}
                 for x in row["members"]:
                     own = b.band(x["n"])
-                    of, sketch = (own, x["own"]) if (own ^ row["key"]) & 1 == 0 else (own - 1, x["low"])
-                    if sketch is not None:
-                        by_band.setdefault(of, []).append((x["tile"], x["node"], x["label"], x["n"], sketch))
-                found = [pair for m in by_band.values() if len(m) > 1 for pair in near(m, row["ti"] == row["tj"])]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                    by_band.setdefault(own if (own ^ row["key"]) & 1 == 0 else own - 1, []).append((x["tile"], x["node"], x["label"], x["n"], x["sketch"]))
+                for of, m in by_band.items():
+                    found, groups = near(m, row["ti"] == row["tj"]) if len(m) > 1 else ([], [])
+                    if found or groups:
+                        ends = [[x[k] for x in found] + [None] * len(groups) for k in (0, 1)]
+                        made = [*(pa.array(x, pa.binary()) for x in ends), *(pa.array([None] * len(found) + x, t) for x, t in (([of & 1] * len(groups), pa.int32()), (groups, pa.list_(pa.binary()))))]
+                        yield pa.RecordBatch.from_arrays(made, names=["a", "b", "odd", "nodes"])
 
     return cross
 
@@ -319,10 +353,13 @@ def _of(df: DataFrame, name: str, end: str) -> DataFrame:
     return df.select(*(F.col(c).alias(name if c == "node" else c + end) for c in df.columns))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b: nodes) whose shingle sets link. ``reps``: a document of each node."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(reps.join(nodes, "node").select(F.col("doc_id").alias("rep_id"), F.col("h").alias("rep_h")), "reps")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
+def _tokens(nodes: DataFrame, docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """node, tokens: the shingle sets of some nodes. ``reps``: a document of each node."""
+    wanted = written(reps.join(nodes.distinct(), "node").select(F.col("doc_id").alias("rep_id"), F.col("h").alias("rep_h")), "reps")
     texts = docs.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h")), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,27 +368,56 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, perce
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()) for x in (found, found.values())], names=["node", "tokens"])
 
     # a text that repeats gives its node in several batches
-    s = written(texts.select("text").mapInArrow(sets, "node binary, tokens binary"), "sets").dropDuplicates(["node"])
-    both = pairs.join(_of(s, "a", "_a"), "a").join(_of(s, "b", "_b"), "b")
+    return written(texts.select("text").mapInArrow(sets, "node binary, tokens binary"), "sets").dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b: nodes) whose shingle sets link."""
+    both = pairs.join(_of(tokens, "a", "_a"), "a").join(_of(tokens, "b", "_b"), "b")
     return both.where(_linked(percent)("tokens_a", "tokens_b")).select("a", "b")
 
 
+def _larger(tokens: DataFrame, percent: int) -> DataFrame:
+    """node, n, odd, own, low: the larger sketches."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = bands(percent)
+        for batch in batches:
+            rows = []
+            for node, tokens in zip(batch.column("node").to_pylist(), batch.column("tokens"), strict=True):
+                s = np.frombuffer(tokens.as_buffer(), np.uint64)
+                of = b.sets(len(s))
+                rows.append((node, len(s), of[0] & 1, fine_sketch(s, of[0], b, LARGER), fine_sketch(s, of[1], b, LARGER) if len(of) > 1 else None))
+            types = zip(("node", "n", "odd", "own", "low"), (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)
+            made = {name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(types)}
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+    return tokens.mapInArrow(sketch, "node binary, n long, odd int, own binary, low binary")
+
+
 def _signature() -> list[Column]:
     """What tells the members of a bucket: two independent 64-bit sums over them, the least and the greatest."""
     return [F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("other"), "node")).alias("s2"), F.min("node").alias("first"), F.max("node").alias("last")]
 
 
-def _crossing(buckets: DataFrame, near: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Candidate pairs a, b of different labels in buckets that hold several. The least node of a bucket has met all others already."""
-    named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    open_keys = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2"), *_signature()).where("size > 1 AND l1 <> l2")
+def _members(buckets: DataFrame) -> DataFrame:
+    """key, node, tiles of the buckets of several nodes. The least node of a bucket, which has met all others already, isn't among them."""
+    several = buckets.where("NOT alone").select("key", "node")
+    keys = several.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *_signature()).where("size > 1")
     # buckets with the same members in the same band are compared once
-    open_keys = open_keys.groupBy("size", "s1", "s2", "first", "last", F.expr("key & 1")).agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    members = written(named.join(open_keys, "key"), "members")
-    members = members.join(near, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiled = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), F.struct("tile", "node", "label", "n", "own", "low").alias("m"))
+    keys = keys.groupBy("size", "s1", "s2", "first", "last", F.expr("key & 1")).agg(F.min("key").alias("key"), F.ceil(F.first("size") / TILE).cast("int").alias("tiles"))
+    return several.join(keys.select("key", "tiles"), "key")
+
+
+def _crossing(members: DataFrame, near: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Candidate pairs a, b of different labels in the same bucket, and the groups of those left out. ``near``: n, odd and sketches of the nodes."""
+    named = near.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    # the key's lowest bit tells which of its bands a member is here for
+    sketch = F.when(F.col("key").bitwiseAND(1) == F.col("odd"), F.col("own")).otherwise(F.col("low"))
+    placed = members.join(named, "node").withColumns({"sketch": sketch, "tile": F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")}).where("sketch IS NOT NULL")
+    tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), F.struct("tile", "node", "label", "n", "sketch").alias("m"))
     tiles = tiled.groupBy("key", "ti", "tj").agg(F.collect_list("m").alias("members"))
-    return written(tiles.mapInArrow(_cross_pairs(percent, forest), "a binary, b binary").distinct(), "crossing")
+    return written(tiles.mapInArrow(_cross_pairs(percent, forest), CROSSING).distinct(), "crossing")
 
 
 def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -361,26 +427,38 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    before = mark()
     sketched = written(_sketched(docs, k, percent), "sketched")
     keys = sketched.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")
     buckets = written(_buckets(keys, parts(docs)), "buckets")
+    # most of the bytes are keys, which nothing needs any more
+    sketched = written(sketched.drop("keys"), "slim")
+    sweep(before, before + 1)
     met = buckets.select("node").unionByName(buckets.select(F.col("pivot").alias("node"))).distinct()
     # null doc_ids sort first in a struct; any document of the node will do
-    mine = sketched.where("own IS NOT NULL").select("doc_id", "h", "n", "node", "own", "low").join(met, "node")
-    nodes = written(mine.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("n").alias("n"), F.min("own").alias("own"), F.min("low").alias("low")), "nodes")
-    reps, near = nodes.select("node", "rep.*"), nodes.select("node", "n", "own", "low")
+    mine = sketched.where("own IS NOT NULL").select("doc_id", "h", "n", "node", "odd", "own", "low").join(met, "node")
+    nodes = written(mine.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("n").alias("n"), F.min("odd").alias("odd"), F.min("own").alias("own"), F.min("low").alias("low")), "nodes")
+    reps, near = nodes.select("node", "rep.*"), nodes.select("node", "n", "odd", "own", "low")
 
     stars = buckets.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(_of(near, "a", "_a"), "a").join(_of(near, "b", "_b"), "b")
     stars = written(stars.where(_near(percent)("n_a", "own_a", "low_a", "n_b", "own_b", "low_b")).select("a", "b"), "stars")
-    links = written(_confirmed(stars, docs, reps, k, percent), "links")
+    links = written(_confirmed(stars, _tokens(_ends(stars), docs, reps, k), percent), "links")
     labels = written(components(links, "a", "b"), "labels")
 
-    # a spanning forest of each bucket's labels joins most of them; all pairs of those left are few
-    for forest in (True, False):
-        crossing = _crossing(buckets, near, labels, percent, forest)
-        if not crossing.isEmpty():
-            links = written(links.unionByName(_confirmed(crossing, docs, reps, k, percent)), "links")
+    # a spanning forest of each bucket's labels joins most of them; the pairs of those left are few
+    crossing = _crossing(written(_members(buckets), "members"), near, labels, percent, forest=True)
+    if not crossing.isEmpty():
+        pairs, groups = crossing.where("nodes IS NULL").select("a", "b"), crossing.where("nodes IS NOT NULL").select("odd", "nodes")
+        tokens = _tokens(_ends(pairs).unionByName(groups.select(F.explode("nodes").alias("node"))), docs, reps, k)
+        links = written(links.unionByName(_confirmed(pairs, tokens, percent)), "links")
+        labels = written(components(links, "a", "b"), "labels")
+        # a group is a bucket of its own, with its band in the key's lowest bit
+        numbered = groups.withColumn("key", F.shiftleft(F.monotonically_increasing_id(), 1).bitwiseOR(F.col("odd")))
+        members = written(numbered.select("key", F.explode("nodes").alias("node"), F.lit(1).alias("tiles")), "members")
+        pairs = _crossing(members, _larger(tokens, percent), labels, percent, forest=False).select("a", "b")
+        if not pairs.isEmpty():
+            links = written(links.unionByName(_confirmed(pairs, tokens, percent)), "links")
             labels = written(components(links, "a", "b"), "labels")
     final = labels.withColumnRenamed("component", "class")
     return sketched.select("doc_id", "h", "n", "node").join(final, "node", "left").select("doc_id", "h", "n", "node", F.coalesce("class", "node").alias("class"))

@@ -581,3 +581,41 @@ def test_fine_sketches_are_short_and_bound_the_difference_from_below():
             x, y = (np.frombuffer(fine_sketch(t, b.band(n), b), np.uint64) for t in (tokens, other))
             assert x.nbytes * 8 <= 2 * n + 64
             assert np.bitwise_count(x ^ y).sum() <= 2 * k
+
+
+def test_pairs_that_nearly_link_leave_no_row_each(spark, monkeypatch):
+    """Copies of one text that are all a little too far apart to link: larger sketches turn most pairs down where they are found."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(404)]
+    docs = []
+    for k in range(60):
+        words = list(base)
+        for i in rng.choice(404, 5, replace=False):
+            words[i] = f"x{k}y{i}"
+        docs.append((k, " ".join(words)))
+    seen = []
+    original = neardup.written
+
+    def written(df, name, *more):
+        out = original(df, name, *more)
+        if name == "crossing":
+            seen.append(out.where("a IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", written)
+    found = neardup.classes(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80).collect()
+    _, want = brute_classes([(k, t, None) for k, t in docs], 5, 80)
+    same = {}
+    for r in found:
+        same.setdefault(r["class"], set()).add(r.doc_id)
+    brute = {}
+    for (k, _), c in zip(docs, want, strict=True):
+        brute.setdefault(c, set()).add(k)
+    assert sorted(map(sorted, same.values())) == sorted(map(sorted, brute.values()))
+    assert seen and seen[-1] < 200  # there are 1,770 pairs
+
+
+def test_groups_of_pairs():
+    i, j = np.array([1, 4, 2, 6]), np.array([4, 2, 5, 7])
+    assert neardup._grouped(i, j, 8).tolist() == [0, 1, 1, 3, 1, 1, 6, 6]
+    assert neardup._grouped(i[:0], j[:0], 2).tolist() == [0, 1]
