@@ -590,7 +590,7 @@ def test_pairs_that_nearly_link_leave_no_row_each(spark, monkeypatch):
     docs = []
     for k in range(60):
         words = list(base)
-        for i in rng.choice(404, 5, replace=False):
+        for i in rng.choice(404, 6, replace=False):
             words[i] = f"x{k}y{i}"
         docs.append((k, " ".join(words)))
     seen = []
