@@ -148,3 +148,29 @@ def test_weights_are_those_of_statistics_of_every_row(spark):
     got = {r.doc_id: (r.text, r.weighted) for r in out.collect()}
     assert got == {k: (t, want.get(k, 0)) for k, t in enumerate(texts)}
     assert sum(w > 0 for _, w in got.values()) >= 4
+
+
+def test_long_sentences_have_no_stack_to_overflow(spark):
+    """A clause of very many words behind a comma or "und" is one match; Java's recursion over its words ended the executor."""
+    more = "wort " * 20_000
+    texts = [f"Es regnet und macht {more}.", f"Es regnet, aber {more}, und stürmt {more}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.term) for r in rules.check_rule(Annotated(docs), "mehrere_aussagen").where("message LIKE 'Zweite Aussage%'").collect()}
+    assert got == {(0, f"und macht {more}".strip()), (1, f", aber {more}".strip()), (1, f"und stürmt {more}".strip())}
+    assert {r.doc_id for r in violations.statistics(docs).collect()} == {0, 1}
+    assert all(r.weighted > 0 for r in violations.weights(docs, ("doc_id",)).collect())
+
+
+def test_patterns_for_spark_find_the_same(spark):
+    """Groups that keep what they took, against the patterns as SQL has them."""
+    import itertools
+    import re
+
+    parts = ("und", "geht", "t", ",", "aber", "der", "x", ".")
+    joined = [f" {' '.join(x)} " for x in itertools.product(parts, repeat=5)]
+    for rule, column, pattern, *_ in rules.PATTERN_RULES:
+        if rules.spark_pattern(pattern) != pattern:
+            assert (rule, column) == ("mehrere_aussagen", "joined")
+            df = spark.createDataFrame([(x,) for x in joined], "j string")
+            got = df.selectExpr("j", f"regexp_extract_all(j, r'{rules.spark_pattern(pattern)}', 0) AS m").collect()
+            assert all(r.m == re.findall(pattern, r.j) for r in got) and any(r.m for r in got)
