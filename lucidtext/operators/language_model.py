@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,17 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.folders import through_folder
+from ..sources.folders import dropped, shuffles_dropped, through_folder
 from .annotate import SENTENCE, batched
-from .joins import FREQUENT, looked_up
+from .joins import FREQUENT, looked_up  # noqa: F401  tests set it here, too
 
 DISCOUNT = 0.1
 MIN_TOKENS = 3
 START, END = "<s>", "</s>"
 _SENTENCE, _TOKEN = regex.compile(SENTENCE), regex.compile(r"\p{L}+|[.,!?]")
 GRAM = ("w1", "w2", "w3")
+#: Slices of the texts whose trigrams are on their way to their probabilities at once.
+SLICES = 4
 
 
 def _trigrams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[int], pa.Array]:
@@ -201,18 +204,25 @@ def of_all(docs: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     The same as ``fitted`` and ``probabilities``, but a trigram brings its sums with it: trigrams are moved to those with the same first two words, then to those with the same last
     two. So many trigrams share two words as there are words that stand next to these, so no group is large. The sums of single words are looked up.
     """
+    return _of_all(docs, discount)[0]
+
+
+def _of_all(docs: DataFrame, discount: float) -> tuple[DataFrame, list[DataFrame]]:
+    """``of_all``, and the tables that were written for it."""
     d = F.lit(discount)
     left = lambda n: F.greatest(n - d, F.lit(0.0))
     first, last = Window.partitionBy("w1", "w2"), Window.partitionBy("w2", "w3")
     t = _listed(docs).repartition("w1", "w2").groupBy(*GRAM).agg(F.sum("n").alias("n")).select(*GRAM, "n", F.sum("n").over(first).alias("total"), F.count(F.lit(1)).over(first).alias("types"))
     b = t.select("*", F.count(F.lit(1)).over(last).cast("int").alias("before"), (F.row_number().over(last.orderBy("w1")) == 1).alias("new"))
     b = through_folder(b, "trigrams")
+    shuffles_dropped(docs.sparkSession)
     singles = through_folder(b.groupBy("w2").agg(F.count(F.lit(1)).alias("total1"), F.count_if("new").alias("types1")), "singles")
     words = through_folder(b.where("new").groupBy("w3").agg(F.count(F.lit(1)).alias("n3")).join(b.groupBy("w3").agg(F.count(F.lit(1)).alias("rows")), "w3"), "words")
     n_bigrams = F.lit(float(words.agg(F.sum("n3")).first()[0] or 1))
     both = looked_up(looked_up(b, singles.withColumn("rows", F.col("total1")), ["w2"], "rows"), words, ["w3"], "rows")
     p1 = left(F.col("before")) / F.col("total1") + d * F.col("types1") / F.col("total1") * (F.col("n3") / n_bigrams)
-    return both.select(*GRAM, "n", (left(F.col("n")) / F.col("total") + d * F.col("types") / F.col("total") * p1).alias("p"))
+    p = both.select(*GRAM, "n", (left(F.col("n")) / F.col("total") + d * F.col("types") / F.col("total") * p1).alias("p"))
+    return p, [b, singles, words]
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
@@ -223,16 +233,65 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     return _of_sentences(scored)
 
 
+def _of_batches(docs: DataFrame) -> DataFrame:
+    """Each distinct trigram of a batch of texts, with the places of the sentences that have it (``at``, as often as they do); one row of a batch has its sentences instead (``own``: doc_id, whether it has one, sent_no, size)."""
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            grams, sentence, n, rows, numbers, words = _trigrams(batch)
+            if not len(n):
+                continue
+            key = np.zeros(grams.shape[1], np.int64)
+            for part in grams:
+                key = np.unique(key * len(words) + part, return_inverse=True)[1]
+            order = np.argsort(key, kind="stable")
+            begins = np.flatnonzero(np.diff(key[order], prepend=-1))
+            # numbers as bytes: Spark turns lists into rows and back very slowly
+            places, ends = sentence[order].astype("<i4").tobytes(), np.append(begins, len(order)) * 4
+            at = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(places)])
+            ids = batch["doc_id"].take(pa.array(rows, pa.int64()))
+            own = np.stack([pc.fill_null(ids, 0).to_numpy(), pc.is_valid(ids).to_numpy(zero_copy_only=False), np.array(numbers), n + 1]).astype("<i8").tobytes()
+            none = pa.nulls(1, pa.string())
+            made = [pa.concat_arrays([words.take(pa.array(g[order[begins]])), none]) for g in grams]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(begins) + 1, number)), *made, pa.concat_arrays([at, pa.nulls(1, pa.binary())]), pa.concat_arrays([pa.nulls(len(begins), pa.binary()), pa.array([own], pa.binary())])], names=["batch", *GRAM, "at", "own"])
+            number += 1
+
+    return batched(docs).mapInArrow(list_, "batch bigint, w1 string, w2 string, w3 string, at binary, own binary")
+
+
+def _batch_scored(t: pa.Table) -> pa.Table:
+    """doc_id, sent_no, n_tokens, log_perplexity of the sentences of one of ``_of_batches``, whose trigrams have p."""
+    doc_id, has, sent_no, n = np.frombuffer(t["own"].drop_null()[0].as_py(), "<i8").reshape(4, -1)
+    t = t.filter(pc.is_valid(t["at"]))
+    raw = t["at"].to_pylist()
+    p = np.repeat(pc.fill_null(t["p"], 0.0).to_numpy(), np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw)))
+    at, seen = np.frombuffer(b"".join(raw), "<i4"), p > 0
+    total = np.bincount(at, np.log(np.where(seen, p, 1.0)), len(n))
+    lost = np.bincount(at, ~seen, len(n)) > 0
+    return pa.table({"doc_id": pa.array(doc_id, mask=has == 0), "sent_no": pa.array(sent_no, pa.int32()), "n_tokens": pa.array(n, pa.int32()), "log_perplexity": pa.array(-total / n, mask=lost)})
+
+
 def own_perplexities(docs: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """``perplexities`` under the model of ``docs`` themselves: all their trigrams are known, so none is asked for, and the texts are read again instead of written as trigrams."""
-    known = through_folder(of_all(docs, discount), "known")
-    total = known.agg(F.sum("n")).first()[0] or 0
-    often = F.broadcast(known.where(F.col("n") > total // FREQUENT).select(*GRAM, F.col("p").alias("hot")))
-    each = of_sentences(docs).join(often, list(GRAM), "left")
-    # a frequent trigram has its probability already; its rows are dealt out by chance
-    key = F.when(F.col("hot").isNull(), F.col("w1")).otherwise(F.concat(F.lit(" "), F.col("row"), F.lit(" "), F.col("sent_no")))
-    scored = each.withColumn("w1", key).join(known.select(*GRAM, "p"), list(GRAM), "left").withColumn("p", F.coalesce("hot", "p"))
-    return _of_sentences(scored)
+    """``perplexities`` under the model of ``docs`` themselves: all their trigrams are known, so none is asked for, and the texts are read again instead of written as trigrams.
+
+    A trigram is asked for once by a batch of texts, so that even the most frequent one has few rows; probabilities go back to their batch, where sentences are summed up.
+    What was shuffled and written for a table is deleted once the next one stands, and the texts go through the join in slices, so that disk holds the trigrams of one of them.
+    """
+    spark = docs.sparkSession
+    made, tables = _of_all(docs, discount)
+    known = through_folder(made.drop("n"), "known")
+    dropped(spark, *tables)
+    shuffles_dropped(spark)
+    scored = []
+    for k in range(SLICES):
+        own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == k)
+        scored.append(through_folder(_of_batches(own).join(known, list(GRAM), "left").select(F.lit(k).alias("slice"), "batch", "at", "p", "own"), "scored"))
+        shuffles_dropped(spark)
+    dropped(spark, known)
+    return reduce(DataFrame.unionByName, scored).groupBy("slice", "batch").applyInArrow(_batch_scored, "doc_id bigint, sent_no int, n_tokens int, log_perplexity double")
 
 
 def _of_sentences(scored: DataFrame) -> DataFrame:

@@ -25,6 +25,11 @@ def through_folder(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def shuffles_dropped(spark: SparkSession) -> None:
+    """Delete what queries that have ended have shuffled: Spark does so once the driver has collected its garbage, which a driver with little to do rarely does by itself."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables that ``through_folder`` has written and nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -123,3 +123,24 @@ def test_looked_up_keeps_all_rows(spark, monkeypatch):
         monkeypatch.setattr(joins, "SENT_ROWS", sent)
         monkeypatch.setattr(joins, "FREQUENT", often)
         assert sorted((str(r.key), r.v, str(r.twice)) for r in joins.looked_up(big, small, ["key"], "rows").collect()) == want
+
+
+def test_own_trigrams_are_asked_for_once_by_a_batch(spark, texts, monkeypatch):
+    """Not once for each sentence; and tables go once the next one stands, so that disk holds few of them at once."""
+    import os
+
+    files = {}
+
+    def through(df, name, real=lm.through_folder):
+        files[name] = (out := real(df, name)).inputFiles()
+        return out
+
+    docs = spark.createDataFrame([(k % 4 if k % 5 else None, t) for k, t in enumerate(texts * 20)], "doc_id long, text string").repartition(2)
+    key = lambda r: (str(r[0]), r[1], r[2], round(r[3], 6))
+    want = sorted(map(key, lm.perplexities(docs, lm.fitted(docs)).collect()))
+    asked = lm._of_batches(docs).where("at IS NOT NULL")
+    assert asked.count() == asked.select("batch", *lm.GRAM).distinct().count() < lm.of_sentences(docs).count() / 2
+    monkeypatch.setattr(lm, "through_folder", through)
+    assert sorted(map(key, lm.own_perplexities(docs).collect())) == want
+    stand = {name: [os.path.exists(f.removeprefix("file:").replace("//", "/")) for f in own] for name, own in files.items()}
+    assert all(stand["scored"]) and not any(x for name in ("trigrams", "singles", "words", "known") for x in stand[name])
